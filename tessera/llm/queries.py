@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, media, packing, sharding, tokencount, urlfilter
+from tessera.llm import bpe, fingerprint, media, packing, sharding, tokencount, urlfilter
 from tessera.session import prepare, table
 
 #: Domains whose labels name what is advertised; a host that has one is on the block list.
@@ -18,6 +18,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprint_edits(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.text_of(F.col("fp")).alias("fingerprint"), fingerprint.text_of(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprint.likeness(F.col("fp"), F.col("next.fp")).alias("near_next"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(_documents(spark, sf_dir), ranks, pattern)
@@ -74,5 +83,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
 ORACLES = {"op5_urls": OP5_SQL}
