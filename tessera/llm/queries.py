@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fingerprint, media, packing, sharding, tokencount, urlfilter
+from tessera.llm import bpe, fingerprint, media, neardup, packing, sharding, tokencount, urlfilter
 from tessera.session import prepare, table
 
 #: Domains whose labels name what is advertised; a host that has one is on the block list.
@@ -83,5 +83,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(_documents(spark, sf_dir), width=4)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_neardup": op10_neardup}
 ORACLES = {"op5_urls": OP5_SQL}
