@@ -65,6 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """At most four partitions per core: a result of small rows need not be written in as many files as its shuffle had."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes a table into the shared folder and reads it again. The files go when the application ends.
 
