@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm.common import require, without
-from tessera.session import materialised
+from tessera.session import few_files, materialised
 
 BANDS, ROWS = 42, 6
 #: Members up to which a bucket proposes all its pairs; times that a larger one is dealt again, and by how many bands.
@@ -163,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
 
     edges, mark = materialised(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()), None
     while True:
-        edges = materialised(gather(hook(edges).distinct()).distinct())
+        edges = materialised(few_files(gather(hook(edges).distinct()).distinct()))
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
         if now == mark or now[0] == 0:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
@@ -229,7 +229,7 @@ BROADCAST_IDS = 500_000
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
-    ids = materialised(ids)
+    ids = materialised(few_files(ids))
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 

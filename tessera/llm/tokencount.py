@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm.common import OUT_ROWS, require
 from tessera.llm.wordbpe import pre_tokens, word_encoder
-from tessera.session import materialised
+from tessera.session import few_files, materialised
 
 #: At most so many pre-tokens are broadcast, each of at most HEAD_CHARS characters.
 HEAD_SHARE, HEAD_CHARS = 1 << 19, 48
@@ -63,7 +63,7 @@ def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     """
     require(df, key, text)
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counts = materialised(vocabulary_counts(texts, vocabulary))
+    counts = materialised(few_files(vocabulary_counts(texts, vocabulary)))
     total = counts.agg(F.sum("n")).first()[0] or 0
     in_head = (F.col("n") * HEAD_SHARE >= total) & (F.length("piece") <= HEAD_CHARS)
     head = {row.piece: row.tokens for row in counts.filter(in_head).select("piece", "tokens").toLocalIterator()}
@@ -93,4 +93,4 @@ def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     tail = counts.filter(~in_head).select("piece", "tokens")
     joined = texts.mapInArrow(frequencies, schema).join(tail, "piece", "left")
     sums = joined.groupBy("row", "key").agg(F.sum("size").alias("n_bytes"), F.sum(F.col("amount") * F.coalesce("tokens", F.lit(1))).alias("n_tokens"))
-    return sums.select(F.col("key").alias(key), "n_bytes", "n_tokens")
+    return few_files(sums.select(F.col("key").alias(key), "n_bytes", "n_tokens"))
