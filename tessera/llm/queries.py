@@ -5,13 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fingerprint, media, neardup, packing, quality, sharding, tokencount, urlfilter
+from tessera.llm import bpe, fingerprint, media, neardup, packing, pii, quality, sharding, tokencount, urlfilter
 from tessera.session import prepare, table
 
 #: Domains whose labels name what is advertised; a host that has one is on the block list.
 SPAM_LABELS = r"(^|[.-])(ads|bets|casino|loans|pills|track)([.-]|$)"
 TOKEN_LIMIT = 2048
 QUALITY_LEAST = 0.3
+#: A stand-in; a deployment passes its own secret.
+PII_KEY = b"replace-this-key-in-production"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "replaced")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(_documents(spark, sf_dir), ranks, pattern)
@@ -94,5 +100,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_quality": op2_quality, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_neardup": op10_neardup}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_neardup": op10_neardup}
 ORACLES = {"op5_urls": OP5_SQL}
