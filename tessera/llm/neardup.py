@@ -7,8 +7,8 @@
 4. A bucket of up to SMALL members proposes its pairs, at most SMALL - 1 per row; a larger one proposes a star, from its
    smallest member to each other. Proposed pairs are confirmed on full shingle sets.
 5. A larger bucket whose members are not yet in one component is not settled by its star: its members are dealt again by
-   AGAIN other bands within the bucket, until buckets are small or settled. So a group costs a number of pairs linear in
-   its rows, and a link that the star's centre does not have is still found.
+   AGAIN other bands within the bucket. So a group costs a number of pairs linear in its rows, and a link that the star's
+   centre does not have is still found.
 6. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
 """
 
@@ -25,8 +25,12 @@ from tessera.llm.common import require, without
 from tessera.session import few_files, materialised
 
 BANDS, ROWS = 42, 6
-#: Members up to which a bucket proposes all its pairs; times that a larger one is dealt again, and by how many bands.
-SMALL, DEPTH, AGAIN = 12, 3, 8
+#: Members up to which a bucket proposes all its pairs; times that a larger one is dealt again, by how many other bands.
+SMALL, DEPTH, AGAIN = 12, 1, 14
+#: Stars of a bucket that is dealt again: one from its smallest member, the others from members that a hash chooses.
+STARS = 8
+#: Rows of ids that are broadcast at most, 16 to 40 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _BINS = BANDS * ROWS
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -149,38 +153,46 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps of Kiveris et al., "Connected Components in MapReduce and Beyond": each vertex hooks its larger
     neighbours, then its smaller ones and itself, onto its smallest; stars are left, in a number of rounds that grows with
-    the logarithm of the size, squared. Minima are summed before they move, so hubs do not meet in one task.
+    the logarithm of the size, squared. Minima are summed before they move; where there are many edges, minima are also
+    written before the join, so that the planner can split a hub's rows.
     """
 
-    def hook(edges: DataFrame) -> DataFrame:
+    def hook(edges: DataFrame, hold) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        return both.filter("b > a").join(_bounded(least), "a").select(F.col("m").alias("a"), "b").filter("a < b")
+        return both.filter("b > a").join(hold(least), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
-    def gather(edges: DataFrame) -> DataFrame:  # a is the smaller end
+    def gather(edges: DataFrame, hold) -> DataFrame:  # a is the smaller end
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        return edges.join(_bounded(least), "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b")
-
-    edges, mark = materialised(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()), None
-    while True:
-        edges = materialised(few_files(gather(hook(edges).distinct()).distinct()))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
-        if now == mark or now[0] == 0:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
-        mark = now
+        return edges.join(hold(least), "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first())
+
+    edges = materialised(few_files(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()))
+    mark = state(edges)
+    while mark[0]:
+        hold = F.broadcast if mark[0] <= BROADCAST_IDS // 2 else materialised
+        edges = materialised(few_files(gather(hook(edges, hold), hold)))
+        before, mark = mark, state(edges)
+        if before == mark:
+            break
+    return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
 
 
-def _propose(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _propose(rows: DataFrame, stars: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different labels from buckets (bucket, id, n, label), and the rows of buckets that are larger than SMALL."""
-    seen = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "label")).alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counted = _bounded(seen.filter("lo < hi").select("bucket", "size", "centre"))
+    centres = [F.min(F.struct((F.xxhash64(F.lit(i), "id") if i else F.col("id")).alias("rank"), "id", "n", "label")) for i in range(stars)]
+    seen = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.array(*centres).alias("centres"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    counted = _bounded(seen.filter("lo < hi").select("bucket", "size", F.when(F.col("size") > SMALL, F.col("centres")).alias("centres")))
     held = rows.join(counted, "bucket")
     small, large = held.filter(F.col("size") <= SMALL), held.filter(F.col("size") > SMALL)
     one, two = ([F.col(c).alias(f"{c}{side}") for c in ("id", "n", "label")] for side in "ab")
     pairs = small.select("bucket", *one).join(small.select("bucket", *two), "bucket").filter("ida < idb and labela <> labelb")
     pairs = pairs.filter(_sizes_fit(F.col("na"), F.col("nb"))).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    stars = large.filter((F.col("label") != F.col("centre.label")) & _sizes_fit(F.col("n"), F.col("centre.n"))).select(F.col("centre.id").alias("a"), F.col("id").alias("b"))
-    return pairs.union(stars).distinct(), large.select("bucket", "id", "n")
+    rays = large.select("id", "n", "label", F.explode("centres").alias("centre")).filter((F.col("label") != F.col("centre.label")) & _sizes_fit(F.col("n"), F.col("centre.n")))
+    rays = rays.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+    return pairs.union(rays).distinct(), large.select("bucket", "id", "n")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -201,13 +213,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = heads.select("id", "n", F.explode("bands").alias("bucket"), F.col("id").alias("label"))
     links = labels = None
     for depth in range(DEPTH + 1):
-        pairs, large = _propose(rows)
+        pairs, large = _propose(rows, STARS if depth else 1)
         pairs = materialised(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
         chosen = df.withColumn("__id", F.col(key).cast("long")).join(_bounded(ends), "__id", "left_semi")
         sets = materialised(sketches(chosen, "__id", text, width, ("members",)).dropDuplicates(["id"]).select("id", "members"))
-        found = _confirm(pairs, sets)
-        links = materialised(found if links is None else links.union(found))
+        found = materialised(few_files(_confirm(pairs, sets)))
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
         labels = components(links)
         if depth == DEPTH:
             break
@@ -224,10 +238,6 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return named.select("id", "n", own.alias("component"))
 
 
-#: Ids that are broadcast at most, 16 bytes each; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-
 def _bounded(ids: DataFrame) -> DataFrame:
     ids = materialised(few_files(ids))
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

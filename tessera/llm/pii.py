@@ -53,8 +53,8 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"),
     "person": re.compile(rf"(?<!\w)(?:{_ANY_TITLE})\.? ({_NAME}(?: {_NAME}){{0,2}})"),
 }
-#: What a text must have for any of the patterns; decided before a row leaves the JVM.
-PREFILTER = rf"[0-9@]|(?i:token|passw|pwd|secret|api.?key|access.?key)|(?:{_ANY_TITLE})"
+#: What a text must have for any of the patterns: a digit, an at sign, an assignment, or a title. Decided before a row leaves the JVM.
+PREFILTER = rf"[0-9@=:]|(?=[{''.join(sorted({t[0] for t in _TITLE}))}])(?:{_ANY_TITLE})\.? "
 
 
 def luhn_digit(digits: str) -> str:

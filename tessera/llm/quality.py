@@ -21,6 +21,7 @@ from tessera.llm.common import OUT_ROWS, require, without
 from tessera.session import materialised
 
 FEATURES, RIDGE, WIDTH, BINS, SEED = 192, 1e-3, 3.0, 512, 7
+BROADCAST_KEYS = 500_000
 _PUNCTUATED = re.compile(r"[.!?][\"')\]]*(?:\s|$)")
 _SYMBOL_RUN = re.compile(r"[^\w\s]{2,}")
 _LONE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
@@ -217,16 +218,42 @@ def fold(key: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)), F.lit(0)).cast("int")
 
 
+def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(__key, label): one row per key that may be learned from."""
+    filled = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0))
+    return filled.groupBy(F.col(key).alias("__key")).agg(F.avg(label).alias("label"))
+
+
+def _learn(stats: DataFrame, labels: DataFrame, key: str, label: str) -> Model:
+    rows = stats.join(_known(labels, key, label), "__key").select("stats", F.col("label").cast("double").alias("label"), (fold("__key") == 1).alias("calibrate"))
+    return fit(materialised(rows))
+
+
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``df``: ``key`` and score (double, higher: label 1 likelier).
 
     Learns from the labelled rows whose fold is not 0: fold 1 calibrates, the others fit. The label of a key that ``labels``
     has several times is their mean; null labels, and labels without a row, are left out. The statistics of all rows are made
-    once and joined to the labels, so no text moves. The label, the key and other columns are never inputs of a score. Null and empty texts are scored like any other.
-    Repeated rows are scored each; an empty table gives an empty result.
+    once and joined to the labels, so no text moves. The label, the key and other columns are never inputs of a score.
+    Null and empty texts are scored like any other. Repeated rows are scored each; an empty table gives an empty result.
     """
     require(df, key, text)
     stats = materialised(with_statistics(df.select(F.col(key).alias("__key"), F.col(text).alias("text")), "text", "stats"))
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.avg(label).alias("label")).filter(fold("__key") != 0)
-    rows = materialised(stats.join(known, "__key").select("stats", F.col("label").cast("double").alias("label"), (fold("__key") == 1).alias("calibrate")))
-    return score(stats, fit(rows)).withColumnRenamed("__key", key)
+    return score(stats, _learn(stats, labels, key, label)).withColumnRenamed("__key", key)
+
+
+def keep(df: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``df`` whose score is ``least`` or more, with all their columns. Learns as ``classify`` does.
+
+    Rows are scored where they are. Up to BROADCAST_KEYS labelled keys are broadcast, so that only their rows' statistics are
+    made for learning; beyond, the statistics of all rows are made and joined to the labels. No text moves either way.
+    """
+    require(df, key, text)
+    wanted = materialised(_known(labels, key, label).select("__key"))
+    labelled = df.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    if wanted.count() <= BROADCAST_KEYS:
+        labelled = labelled.join(F.broadcast(wanted), "__key", "left_semi")
+    model = _learn(materialised(with_statistics(labelled, "text", "stats")), labels, key, label)
+    kept = [F.col(f"`{c}`") for c in without(df, ["__stats", "__score"])]
+    stats = with_statistics(df.select(*kept, F.col(text).alias("__stats")), "__stats", "__stats")
+    return score(stats, model, "__stats", "__score").filter(F.col("__score") >= least).select(*kept)
