@@ -140,13 +140,16 @@ def mmr(ranked: DataFrame, limit: int = 5, weight: float = LAMBDA) -> DataFrame:
     return ranked.select("query", "key", "score", "vector").groupBy("query").applyInPandas(select, "query long, key long, place long")
 
 
-def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """L2-normalised counts of md5 buckets of the tokens, as a dense array; zeros for no tokens. Stays in the JVM."""
+def hashed(df: DataFrame, text: str, out: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Adds L2-normalised counts of the tokens' md5 buckets, as a dense array; zeros for no tokens. Stays in the JVM, in steps, so
+    that no step is evaluated once per dimension."""
     bucket = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    spots = F.array_sort(F.transform(tokens(text), bucket))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(spots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c))
-    return F.transform(counts, lambda c: F.when(norm == 0, 0.0).otherwise(c / F.nullif(norm, F.lit(0.0))))
+    spots = df.withColumn("__spots", F.transform(tokens(F.col(text)), bucket))
+    # The guard is a second reference, without which the planner would inline the spots into the loop over dimensions.
+    counts = spots.withColumn("__counts", F.when(F.col("__spots").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("__spots", lambda s: s == i)).cast("double"))))
+    normed = counts.withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda s, c: s + c * c)))
+    scaled = F.transform("__counts", lambda c: F.when(F.col("__norm") == 0, 0.0).otherwise(c / F.nullif(F.col("__norm"), F.lit(0.0))))
+    return normed.withColumn(out, scaled).drop("__spots", "__counts", "__norm")
 
 
 def embed(docs: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
