@@ -32,14 +32,18 @@ def _sum(hashes: Column, part) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + part(h))
 
 
+def _hashes(column: str, seed: int) -> Column:
+    """The seed goes first: it seeds the hash of the text. (A second parameter of the function would be the element's index.)"""
+    return F.transform(column, lambda x: F.xxhash64(F.lit(seed), x))
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds struct ``out`` (n int, wide array<int>, signs array<smallint>) for a text column; null counts as empty, which is one empty paragraph."""
     kept = [F.col(f"`{c}`") for c in without(df, [out])]
     lines = df.select(*kept, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
     units = lines.withColumn("__units", F.flatten(F.transform("__lines", lambda x: F.split(x, "(?<=[.!?,;:|] )"))))
     hashed = units.withColumns(
-        {f"__w{j}": F.transform("__lines", lambda x, j=j: F.xxhash64(F.lit(j), x)) for j in range(WIDE_HASHES)}
-        | {f"__s{j}": F.transform("__units", lambda x, j=j: F.xxhash64(F.lit(WIDE_HASHES + j), x)) for j in range(SIGN_HASHES)}
+        {f"__w{j}": _hashes("__lines", j) for j in range(WIDE_HASHES)} | {f"__s{j}": _hashes("__units", WIDE_HASHES + j) for j in range(SIGN_HASHES)}
     )
     wide = [_signed(_sum(F.col(f"__w{j}"), part), 32).cast("int") for j in range(WIDE_HASHES) for part in (lambda h: h.bitwiseAND(_LOW32), lambda h: F.shiftrightunsigned(h, 32))]
     packed = hashed.withColumn("__bits", F.array(*[_sum(F.col(f"__s{j}"), lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(_BITS)) for j in range(SIGN_HASHES) for k in range(32)]))

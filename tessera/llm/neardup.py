@@ -26,9 +26,9 @@ from tessera.session import few_files, materialised
 
 BANDS, ROWS = 42, 6
 #: Members up to which a bucket proposes all its pairs; times that a larger one is dealt again, by how many other bands.
-SMALL, DEPTH, AGAIN = 12, 1, 14
+SMALL, DEPTH, AGAIN = 12, 1, 8
 #: Stars of a bucket that is dealt again: one from its smallest member, the others from members that a hash chooses.
-STARS = 8
+STARS = 5
 #: Rows of ids that are broadcast at most, 16 to 40 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _BINS = BANDS * ROWS
@@ -149,7 +149,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each end of the links (a, b) reaches.
+    """(id, label): the smallest id that each end of the links (a, b) reaches, for every id but that smallest one itself.
 
     Alternates two steps of Kiveris et al., "Connected Components in MapReduce and Beyond": each vertex hooks its larger
     neighbours, then its smaller ones and itself, onto its smallest; stars are left, in a number of rounds that grows with
@@ -184,14 +184,14 @@ def _propose(rows: DataFrame, stars: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different labels from buckets (bucket, id, n, label), and the rows of buckets that are larger than SMALL."""
     centres = [F.min(F.struct((F.xxhash64(F.lit(i), "id") if i else F.col("id")).alias("rank"), "id", "n", "label")) for i in range(stars)]
     seen = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.array(*centres).alias("centres"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    counted = _bounded(seen.filter("lo < hi").select("bucket", "size", F.when(F.col("size") > SMALL, F.col("centres")).alias("centres")))
+    counted = _bounded(seen.filter("lo < hi").select("bucket", "size", F.when(F.col("size") > SMALL, F.col("centres")).alias("centres")), small=False)
     held = rows.join(counted, "bucket")
     small, large = held.filter(F.col("size") <= SMALL), held.filter(F.col("size") > SMALL)
     one, two = ([F.col(c).alias(f"{c}{side}") for c in ("id", "n", "label")] for side in "ab")
     pairs = small.select("bucket", *one).join(small.select("bucket", *two), "bucket").filter("ida < idb and labela <> labelb")
     pairs = pairs.filter(_sizes_fit(F.col("na"), F.col("nb"))).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    rays = large.select("id", "n", "label", F.explode("centres").alias("centre")).filter((F.col("label") != F.col("centre.label")) & _sizes_fit(F.col("n"), F.col("centre.n")))
-    rays = rays.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+    fits = F.filter("centres", lambda c: (c["label"] != F.col("label")) & _sizes_fit(F.col("n"), c["n"]))
+    rays = large.select("id", F.explode(F.transform(fits, lambda c: c["id"])).alias("centre")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     return pairs.union(rays).distinct(), large.select("bucket", "id", "n")
 
 
@@ -238,8 +238,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return named.select("id", "n", own.alias("component"))
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    ids = materialised(few_files(ids))
+def _bounded(ids: DataFrame, small: bool = True) -> DataFrame:
+    """The written table, broadcast if it is within the bound."""
+    ids = materialised(few_files(ids) if small else ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 

@@ -200,7 +200,7 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
             if settled is not None:
                 good = good.join(settled.select("surrogate"), "surrogate", "left_anti")
         good = materialised(few_files(good))
-        settled = good if settled is None else settled.union(good)
+        settled = good if settled is None else settled.unionByName(good)
         open_ = drawn.join(good.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", F.lit(attempt + 1).alias("attempt"))
         if open_.isEmpty():
             break

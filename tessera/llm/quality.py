@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import OUT_ROWS, require, without
+from tessera.llm.common import OUT_ROWS, map_rows, require, without
 from tessera.session import materialised
 
 FEATURES, RIDGE, WIDTH, BINS, SEED = 192, 1e-3, 3.0, 512, 7
@@ -254,6 +254,11 @@ def keep(df: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", te
     if wanted.count() <= BROADCAST_KEYS:
         labelled = labelled.join(F.broadcast(wanted), "__key", "left_semi")
     model = _learn(materialised(with_statistics(labelled, "text", "stats")), labels, key, label)
-    kept = [F.col(f"`{c}`") for c in without(df, ["__stats", "__score"])]
-    stats = with_statistics(df.select(*kept, F.col(text).alias("__stats")), "__stats", "__stats")
-    return score(stats, model, "__stats", "__score").filter(F.col("__score") >= least).select(*kept)
+    columns = without(df, ["__score"])
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (value,) in rows:
+            yield (float(model.score(np.asarray([statistics(value or "")]))[0]),)
+
+    scored = map_rows(df.select(*[F.col(f"`{c}`") for c in columns]), [text], [T.StructField("__score", T.DoubleType())], kernel)
+    return scored.filter(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in columns])

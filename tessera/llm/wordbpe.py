@@ -10,8 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 from tokenizers import Tokenizer  # noqa: E402
@@ -20,8 +19,8 @@ from tokenizers import Tokenizer  # noqa: E402
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _BLANKS = r"\t-\r \x85\xa0"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
-#: Distinct pre-tokens that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+#: Distinct pre-tokens of a generation that a worker remembers, and the longest of them.
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 64
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -35,31 +34,33 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class WordEncoder:
-    """Encodes pre-tokens through a bounded cache."""
+    """Encodes pre-tokens through a bounded cache of two generations: the older is dropped when the younger is full."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_distinct(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def packed(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
-        pieces, known = pre_tokens(text), self.known
+        pieces = pre_tokens(text)
+        known, older = self.known, self.older
         missing = [p for p in set(pieces) if p not in known]
-        extra: dict[str, bytes] = {}
-        if missing:
-            fresh = dict(zip(missing, self.encode_distinct(missing), strict=True))
-            if len(known) + len(fresh) > CACHE_ENTRIES:
-                known.clear()
-                missing = [p for p in set(pieces) if p not in fresh]
-                fresh |= dict(zip(missing, self.encode_distinct(missing), strict=True)) if missing else {}
-            known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHE_CHARS)
-            extra = {p: ids for p, ids in fresh.items() if len(p) > CACHE_CHARS}
-        if extra:
-            return b"".join([extra[p] if p in extra else known[p] for p in pieces])
-        return b"".join(map(known.__getitem__, pieces))
+        if not missing:
+            return b"".join(map(known.__getitem__, pieces))
+        new = [p for p in missing if p not in older]
+        known.update((p, older[p]) for p in missing if p in older)
+        known.update(zip(new, self.encode_distinct(new), strict=True))
+        made = b"".join(map(known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > CACHE_CHARS:
+                del known[piece]
+        if len(known) > CACHE_ENTRIES:
+            self.known, self.older = {}, known
+        return made
 
 
 @functools.lru_cache(maxsize=2)
