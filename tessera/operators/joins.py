@@ -22,7 +22,7 @@ def lines_of(files: DataFrame, text: str, *keep: str) -> DataFrame:
 def directives(files: DataFrame, text: str = "content") -> DataFrame:
     """(file_path, ordinal, line, target_line, file_level, rule, reason): a standalone comment covers the next line, a bare * nothing."""
     rows = lines_of(files, text, "file_path").filter(F.col("body").rlike(DIRECTIVE))
-    rules = F.transform(F.split(F.regexp_extract("body", DIRECTIVE, 2), ","), F.trim)
+    rules = F.transform(F.split(F.regexp_extract("body", DIRECTIVE, 2), ","), lambda x: F.trim(x))
     file_level = F.regexp_extract("body", DIRECTIVE, 1) != ""
     standalone = F.ltrim("body").startswith("#") | F.ltrim("body").startswith("//")
     out = rows.select("file_path", "line", file_level.alias("file_level"), F.when(standalone & ~file_level, F.col("line") + 1).otherwise(F.col("line")).alias("target_line"), F.trim(F.regexp_extract("body", DIRECTIVE, 3)).alias("reason"), F.posexplode(F.filter(rules, lambda r: r != "")).alias("ordinal", "rule"))

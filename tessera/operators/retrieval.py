@@ -140,16 +140,15 @@ def mmr(ranked: DataFrame, limit: int = 5, weight: float = LAMBDA) -> DataFrame:
     return ranked.select("query", "key", "score", "vector").groupBy("query").applyInPandas(select, "query long, key long, place long")
 
 
-def hashed(df: DataFrame, text: str, out: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Adds L2-normalised counts of the tokens' md5 buckets, as a dense array; zeros for no tokens. Stays in the JVM, in steps, so
-    that no step is evaluated once per dimension."""
-    bucket = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    spots = df.withColumn("__spots", F.transform(tokens(F.col(text)), bucket))
-    # The guard is a second reference, without which the planner would inline the spots into the loop over dimensions.
-    counts = spots.withColumn("__counts", F.when(F.col("__spots").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("__spots", lambda s: s == i)).cast("double"))))
-    normed = counts.withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda s, c: s + c * c)))
-    scaled = F.transform("__counts", lambda c: F.when(F.col("__norm") == 0, 0.0).otherwise(c / F.nullif(F.col("__norm"), F.lit(0.0))))
-    return normed.withColumn(out, scaled).drop("__spots", "__counts", "__norm")
+def hashed(df: DataFrame, key: str, text: str, out: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, out): L2-normalised counts of the tokens' md5 buckets, as a dense array; zeros for no tokens. Stays in the JVM: buckets
+    are counted per key before they move, and a key gathers ``dimensions`` counts at most."""
+    bucket = (F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    spots = df.select(key, F.explode_outer(tokens(F.col(text))).alias("t")).select(key, bucket.alias("b")).groupBy(key, "b").agg(F.count("b").alias("n"))
+    held = F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n"))))
+    rows = spots.groupBy(key).agg(held.alias("held"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("held", i) / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0)))
+    return rows.select(key, dense.alias(out))
 
 
 def embed(docs: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -84,7 +84,7 @@ counts AS (SELECT item_id, list_transform(range(64), lambda i: len(list_filter(s
 norms AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS norm FROM counts)
 SELECT item_id, (unnest(range(64)))::INT AS dimension, round(unnest(list_transform(c, lambda x: CASE WHEN norm = 0 THEN 0 ELSE x / norm END)), 6) AS value FROM norms""")
 def hashing_embed(spark, sf_dir):
-    made = retrieval.hashed(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", "vector", 64)
+    made = retrieval.hashed(table(spark, sf_dir, "benchmark"), "item_id", "text", "vector", 64)
     return made.select("item_id", F.posexplode("vector").alias("dimension", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -168,12 +168,9 @@ def rule_scan(spark, sf_dir):
 def _redact_sql() -> str:
     ctes, before = ["r0 AS (SELECT doc_id, text AS t, 0 AS n FROM documents)"], "r0"
     for i, (pattern, group) in enumerate(scan.SECRETS):
-        counted, put, whole = "(?i)" + pattern, scan.MASK, "(?i)" + pattern
-        if group:
-            at = pattern.index("([")
-            whole, put = f"(?i)({pattern[:at]}){pattern[at:]}", r"\1" + scan.MASK
-            if pattern.endswith("[\"']"):
-                whole, put = whole[: -len("[\"']")] + "([\"'])", put + r"\3"
+        counted = "(?i)" + pattern
+        whole, put = scan.masking(pattern, group)
+        put = put.format("\\")
         ctes.append(f"r{i + 1} AS (SELECT doc_id, regexp_replace(t, {_q(whole)}, {_q(put)}, 'g') AS t, n + len(regexp_extract_all(t, {_q(counted)})) AS n FROM {before})")
         before = f"r{i + 1}"
     return f"WITH {', '.join(ctes)} SELECT doc_id, md5(t) AS digest, n::INT AS masked FROM {before}"
