@@ -133,3 +133,30 @@ def recipe_coverage(rules: DataFrame, recipes: DataFrame, declined: DataFrame) -
     """Each rule: recipe, declined or unaccounted."""
     joined = rules.join(recipes.select("rule_id", F.lit(1).alias("r")).distinct(), "rule_id", "left").join(declined.select("rule_id", F.lit(1).alias("d")).distinct(), "rule_id", "left")
     return joined.select("rule_id", F.when(F.col("r") == 1, "recipe").when(F.col("d") == 1, "declined").otherwise("unaccounted").alias("state"))
+
+
+def check_agreement(results: DataFrame) -> DataFrame:
+    """Adds agrees: a check passes exactly where it is not expected to fail. results: case_name, check, passed, expect_failure."""
+    return results.withColumn("agrees", F.col("passed") != F.col("expect_failure"))
+
+
+def narration_score(agreed: DataFrame) -> DataFrame:
+    """One row: the share of agreeing checks (0 for no checks), the cases, and the Wilson interval over cases that agree throughout."""
+    per_case = agreed.groupBy("case_name").agg(F.bool_and("agrees").alias("whole"), F.count("*").alias("n"), F.count_if("agrees").alias("right"))
+    total = per_case.agg(F.coalesce(F.sum("right") / F.sum("n"), F.lit(0.0)).alias("score"), F.count("*").alias("cases"), F.count_if("whole").alias("whole"))
+    return total.withColumn("interval", stats.wilson(F.col("whole"), F.col("cases"))).withColumn("measured_nothing", F.col("cases") == 0)
+
+
+def check_coverage(agreed: DataFrame, checks: list[str]) -> DataFrame:
+    """Per check, with zeros: cases that pass, cases that fire, and the share that agrees."""
+    known = agreed.sparkSession.createDataFrame([(c,) for c in checks], "check string")
+    counts = agreed.groupBy("check").agg(F.count_if("passed").alias("passing"), F.count_if(~F.col("passed")).alias("firing"), F.avg(F.col("agrees").cast("int")).alias("rate"))
+    return known.join(counts, "check", "left").fillna(0, ["passing", "firing"])
+
+
+def baseline(agreed: DataFrame, model: str, fingerprint: str, at: str) -> DataFrame:
+    """One row: rates per check as a map, the cases, and who made them when."""
+    rates = agreed.groupBy("check").agg(F.avg(F.col("agrees").cast("int")).alias("rate"))
+    named = rates.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check", "rate")))).alias("rates"))
+    cases = agreed.agg(F.sort_array(F.collect_set("case_name")).alias("cases"))
+    return named.join(cases).select("rates", "cases", F.lit(model).alias("model"), F.lit(fingerprint).alias("fingerprint"), F.lit(at).alias("at"))

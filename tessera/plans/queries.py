@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import severity, stats
 from tessera.functions.text import basename, directory, estimated_tokens, is_binary, tokens
-from tessera.operators import chain, chunking, evaluation, history, joins, retrieval, rollup, routing, scan, trace
+from tessera.operators import chain, chunking, code, evaluation, history, joins, retrieval, rollup, routing, scan, trace
 from tessera.plans.fixtures import CHANGES_SQL, FINDINGS_SQL, HISTORY_SQL, SPANS_SQL, changes, findings, sightings, spans
-from tessera.session import prepare, table
+from tessera.session import prepare, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ TOKENS_SQL = rf"flatten(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-
 
 @registered(f"SELECT doc_id, len({TOKENS_SQL})::INT AS n_tokens, md5(array_to_string({TOKENS_SQL}, ' ')) AS digest, length(text) // 4 AS estimate, contains(text, chr(0)) OR (length(text) - length(replace(text, '�', ''))) > greatest(1.0, length(text) / 100.0) AS is_binary FROM documents")
 def tokenise(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", tokens(F.col("text")).alias("t"), "text").select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"), estimated_tokens(F.col("text")).alias("estimate"), is_binary(F.col("text")).alias("is_binary"))
 
 
@@ -54,7 +54,7 @@ bm AS (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY
 
 @registered(f"WITH {BM25_SQL} SELECT query, key, score, place FROM bm WHERE place <= 10")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("query", "key", "score", "place")
+    return retrieval.bm25(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).select("query", "key", "score", "place")
 
 
 @registered(f"""WITH {BM25_SQL}, shared AS (SELECT item_id AS query, doc_id AS key, count(*) AS n FROM hits JOIN asked USING (term) GROUP BY ALL),
@@ -62,7 +62,7 @@ overlap AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY n
 lists AS (SELECT query, key, place FROM bm WHERE place <= 20 UNION ALL SELECT query, key, place FROM overlap WHERE place <= 20)
 SELECT query, key, round(sum(1.0 / (60 + place)), 6) AS score FROM lists GROUP BY ALL""")
 def hybrid_rrf(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, asked = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     first = retrieval.bm25(docs, asked, limit=20).select("query", F.lit("bm25").alias("source"), "key", "place")
     terms = asked.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     held = docs.select(F.col("doc_id").alias("key"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -90,7 +90,7 @@ def hashing_embed(spark, sf_dir):
 
 @registered()
 def hybrid_related(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, asked = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     vectors = retrieval.embed(docs, "doc_id", F.col("text"), 128)
     wanted = retrieval.embed(asked, "item_id", F.col("text"), 128)
     near = retrieval.knn(vectors, wanted, 20, key="key", vector="vector", exclude_self=False)
@@ -116,7 +116,7 @@ s AS (SELECT *, sum(is_heading::INT) OVER (PARTITION BY doc_id ORDER BY line) AS
 b AS (SELECT *, (line - min(line) OVER (PARTITION BY doc_id, section)) // 3 AS block, max(CASE WHEN is_heading THEN regexp_extract(body, '^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$', 1) END) OVER (PARTITION BY doc_id, section) AS title FROM s)
 SELECT doc_id, min(line)::INT AS start_line, max(line)::INT AS end_line, md5(string_agg(body, chr(10) ORDER BY line)) AS digest, coalesce(max(title), '') AS name FROM b GROUP BY doc_id, section, block HAVING regexp_matches(string_agg(body, chr(10) ORDER BY line), '\S')""")
 def chunk_markdown(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n## S\n"))).alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n## S\n"))).alias("t"))
     return chunking.markdown(d, "doc_id", "t", 3).select(F.col("path").alias("doc_id"), "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("digest"), "name")
 
 
@@ -126,7 +126,7 @@ k AS (SELECT * FROM c WHERE tidy <> '' AND NOT starts_with(tidy, '#') AND NOT st
 b AS (SELECT doc_id, line, list(tidy) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS block FROM k)
 SELECT doc_id, md5(array_to_string(block, chr(10))) AS hash, array_to_string(list_sort(list(line)), ',') AS starts FROM b WHERE len(block) = 2 GROUP BY doc_id, md5(array_to_string(block, chr(10))) HAVING count(*) > 1""")
 def duplicate_blocks(spark, sf_dir):
-    found = chunking.duplicate_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", 2)
+    found = chunking.duplicate_blocks(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 2)
     return found.select(F.col("path").alias("doc_id"), "hash", F.array_join("starts", ",").alias("starts"))
 
 
@@ -161,7 +161,7 @@ def _rule_sql() -> str:
 
 @registered(_rule_sql())
 def rule_scan(spark, sf_dir):
-    lines = joins.lines_of(table(spark, sf_dir, "documents"), "text", "doc_id")
+    lines = joins.lines_of(spread(table(spark, sf_dir, "documents")), "text", "doc_id")
     return scan.scan_lines(lines, F.when(F.col("doc_id") % 4 == 0, "cpp").otherwise("python")).select("doc_id", "line", "rule_no", "rule_id", "severity", "evidence")
 
 
@@ -178,7 +178,7 @@ def _redact_sql() -> str:
 
 @registered(_redact_sql())
 def redact_secrets(spark, sf_dir):
-    return scan.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("digest"), "masked")
+    return scan.redact(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), "text").select("doc_id", F.md5(F.col("redacted").cast("binary")).alias("digest"), "masked")
 
 
 def _any_sql(column: str, patterns, flags: str = "") -> str:
@@ -476,7 +476,7 @@ h AS (SELECT symbol, path, line, row_number() OVER (PARTITION BY symbol ORDER BY
 def _usages(spark, sf_dir):
     extra = spark.createDataFrame([("the",), ("der",), ("les",), ("que",)], "symbol string")
     symbols = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("symbol")).union(extra).distinct()
-    return joins.usages(symbols, joins.lines_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), "text", "path"))
+    return joins.usages(symbols, joins.lines_of(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("path"), "text"), "text", "path"))
 
 
 @registered(f"WITH {USAGE_SQL} SELECT * FROM u")
@@ -580,3 +580,53 @@ def assignments(spark, sf_dir):
 def retain_jobs(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"), "o_orderdate")
     return routing.forget_old(o, 200, "state", ("F", "P"), [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_orderkey")
+
+
+# Added: claims and narration scores ------------------------------------------------------------------------------------
+
+
+@registered(r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS body, generate_subscripts(string_split(t, chr(10)), 1)::INT AS line FROM (SELECT doc_id, replace(replace(text, ', ', ' `--x` '), ' the ', ' `the` ') AS t FROM documents)),
+s AS (SELECT doc_id, line, unnest(regexp_extract_all(body, '`([^`]+)`', 1)) AS subject FROM l), k AS (SELECT *, CASE WHEN regexp_matches(subject, '^--?[a-z][\w-]*$') THEN 'option' WHEN regexp_matches(subject, '^[A-Z][A-Z0-9]*_[A-Z0-9_]+$') THEN 'environment' WHEN regexp_matches(subject, '^[A-Za-z_][\w.]*\(.*\)$') THEN 'signature' WHEN regexp_matches(subject, '^[A-Za-z_][\w.]*$') THEN 'symbol' END AS kind FROM s)
+SELECT doc_id, line, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
+def document_claims(spark, sf_dir):
+    marked = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" `--x` ")), F.lit(" the "), F.lit(" `the` "))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked.alias("t"))
+    return scan.document_claims(d, "doc_id", "t").groupBy(F.col("path").alias("doc_id"), "line", "kind").agg(F.count("*").alias("n"))
+
+
+AGREED_SQL = "r AS (SELECT conv_id AS case_name, role AS chk, length(text) > 200 AS passed, turn % 2 = 1 AS expected FROM conversations), a AS (SELECT *, passed <> expected AS agrees FROM r)"
+
+
+def _agreed(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return evaluation.check_agreement(c.select(F.col("conv_id").alias("case_name"), F.col("role").alias("check"), (F.length("text") > 200).alias("passed"), (F.col("turn") % 2 == 1).alias("expect_failure")))
+
+
+@registered(f"WITH {AGREED_SQL}, c AS (SELECT case_name, bool_and(agrees) AS whole, count(*) AS n, count_if(agrees) AS ok FROM a GROUP BY 1), t AS (SELECT sum(ok) / sum(n)::DOUBLE AS score, count(*) AS cases, count_if(whole) AS whole FROM c) SELECT round(score, 6) AS score, cases, whole, round({_wilson_sql('whole', 'cases', 'lower')}, 6) AS lower FROM t")
+def narration_score(spark, sf_dir):
+    return evaluation.narration_score(_agreed(spark, sf_dir)).select(F.round("score", 6).alias("score"), "cases", "whole", F.round("interval.lower", 6).alias("lower"))
+
+
+@registered(f"WITH {AGREED_SQL}, k AS (SELECT unnest(['user', 'assistant', 'tool']) AS chk) SELECT k.chk AS \"check\", coalesce(count_if(passed), 0) AS passing, coalesce(count_if(NOT passed), 0) AS firing, round(avg(agrees::INT), 6) AS rate FROM k LEFT JOIN a ON a.chk = k.chk GROUP BY k.chk")
+def check_coverage(spark, sf_dir):
+    return evaluation.check_coverage(_agreed(spark, sf_dir), ["user", "assistant", "tool"]).select("check", "passing", "firing", F.round("rate", 6).alias("rate"))
+
+
+@registered("WITH h AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 3 = 0), d AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 5 = 0) SELECT coalesce(h.heading, c.heading) AS heading, CASE WHEN d.heading IS NOT NULL THEN 'declined' WHEN h.heading IS NOT NULL AND c.heading IS NOT NULL THEN 'aligned' WHEN h.heading IS NOT NULL THEN 'ungoverned' ELSE 'unbacked' END AS state FROM h FULL JOIN c ON h.heading = c.heading LEFT JOIN d ON d.heading = coalesce(h.heading, c.heading)")
+def prompt_alignment(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("heading"))
+    return evaluation.alignment(n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0"), n.filter("n_nationkey % 5 = 0"))
+
+
+@registered(f"WITH {FINDINGS_SQL}, m AS (SELECT DISTINCT rule_id || ':' || line_number AS content, line_number % 4 AS b FROM findings), k AS (SELECT content, list_extract(['critical', 'high', 'normal', 'low'], b + 1) AS bucket FROM m) SELECT count_if(bucket = 'critical') AS critical, count_if(bucket = 'high') AS high, count_if(bucket = 'normal') AS normal, count_if(bucket = 'low') AS low FROM k")
+def memory_buckets(spark, sf_dir):
+    tag = F.element_at(F.array(F.lit("[critical] "), F.lit("[HIGH] "), F.lit(""), F.lit("[low] ")), F.col("line_number") % 4 + 1)
+    told = findings(spark, sf_dir).select(F.concat(tag, "rule_id", F.lit(":"), F.col("line_number").cast("string")).alias("content"), F.col("event_id").alias("at"))
+    return routing.memory_stats(routing.remember(told), 1000).drop("used_percent")
+
+
+@registered()
+def python_facts(spark, sf_dir):
+    """Every document as a Python file: each either parses or is one degraded row."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.col("text").alias("content"))
+    return code.facts(spread(d)).groupBy("kind").agg(F.count("*").alias("n"))

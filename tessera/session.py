@@ -65,6 +65,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the input has fewer splits than that (one small file); as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """At most four partitions per core: a result of small rows need not be written in as many files as its shuffle had."""
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -185,3 +185,47 @@ def test_fixes(spark):
     found = spark.createDataFrame([("f.py", 2, "SAST.WEAK_CRYPTO"), ("f.py", 3, "SAST.HARDCODED_SECRET"), ("f.py", 4, "SAST.INSECURE_RANDOM"), ("f.py", 5, "SAST.INSECURE_HTTP"), ("f.py", 6, "SAST.INSECURE_HTTP"), ("f.py", 7, "QUALITY.ERROR_HANDLING")], "file_path string, line_number int, rule_id string")
     edits = fixes.suggest(found, files)
     assert fixes.applied(files, edits.select("file_path", "line", "after")).first().content == 'import os\nh = hashlib.sha256(x)\nTOKEN = os.environ["TOKEN"]\ny = secrets.SystemRandom().choice(z)\nu = "https://a.b/c"\nv = "http://localhost:1/"\nexcept Exception:\n'
+
+
+def test_policy(tmp_path):
+    from tessera.plans import policy
+
+    path = tmp_path / "p.yaml"
+    path.write_text("gate:\n  blocking_severity: high\n")
+    made = policy.load(str(path), {"TESSERA_TRIAGE__MAX_LINES_FOR_AUTO": "3"})
+    assert made["gate"]["blocking_severity"] == "high" and made["triage"]["max_lines_for_auto"] == 3
+    for bad in ("gate:\n  nope: 1\n", "gate:\n  quality_score_threshold: x\n", "x: {}\n"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            policy.load(str(path), {})
+
+
+def test_claims_and_calls(spark):
+    doc = spark.createDataFrame([("d.md", "Use `run_it(a)` with `--fast` and `APP_KEY`, see `a.b`.\n```\nx = 1\n```\n")], "path string, content string")
+    assert sorted((r.line, r.kind, r.subject) for r in scan.document_claims(doc).collect()) == [(1, "environment", "APP_KEY"), (1, "option", "--fast"), (1, "signature", "run_it(a)"), (1, "symbol", "a.b"), (3, "example", "x = 1")]
+    assert tuple(one(spark, scan.tool_call(F.lit('<tool_call>{"name": "grep", "arguments": {"p": 1}}</tool_call>')))) == ("grep", '{"p":1}')
+    assert one(spark, scan.tool_call(F.lit("an answer"))) is None
+
+
+def test_stores_and_streams(spark, tmp_path):
+    from tessera.sources import stores, workspace
+    from tessera.streaming.history import history_updates
+
+    d = dt.date
+    rows = [("finding", "a.py", "R", d(2024, 1, 1), d(2024, 1, 2), "low", 2, ""), ("finding", "a.py", "R", d(2024, 1, 3), d(2024, 1, 3), "high", 1, "")]
+    seen = spark.createDataFrame(rows, stores.HISTORY)
+    stores.write_history(history.consolidate(seen), str(tmp_path / "h"))
+    assert stores.read_history(spark, str(tmp_path / "h")).first().occurrences == 3
+    seen.write.parquet(str(tmp_path / "in"))
+    query = history_updates(spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("hist").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("hist").exceptAll(history.consolidate(seen).drop("reason").select(spark.table("hist").columns)).count() == 0
+    root = tmp_path / "repo"
+    for name, text in {"a.py": "import os\ndef f(x): pass\n", ".env.py": "x", "node_modules/b.py": "y", "c/d.go": "func (s *S) Run() {}\n", "README.md": "# T\nhi"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    found = workspace.files(spark, str(root))
+    assert {r.path for r in found.collect()} == {"a.py", "c/d.go"}
+    assert {("function", "f"), ("declaration", "Run")} <= {(r.kind, r.name) for r in workspace.symbol_index(found).collect()}
+    assert [r.name for r in workspace.entries(found, "").collect()] == ["a.py", "c"] and workspace.document_chunks(workspace.documents(spark, str(root))).first().name == "T"
