@@ -48,7 +48,7 @@ def vocabulary_counts(texts: DataFrame, vocabulary: str, text: str = "text") ->
         encoder = word_encoder(vocabulary)
         for batch in batches:
             pieces = batch.column(0).to_pylist()
-            tokens = [len(e.ids) for e in encoder.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            tokens = encoder.count_distinct(pieces)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], names=["piece", "n", "tokens"])
 
     partial = texts.select(F.col(text).alias("text")).mapInArrow(tally, "piece string, n long")

@@ -8,6 +8,7 @@ which the library drops and never merges across; such a chunk is then encoded wh
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -20,40 +21,75 @@ _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _BLANKS = r"\t-\r \x85\xa0"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 #: Distinct pre-tokens of a generation that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+
+
+def plain_pieces(text: str) -> list[str] | None:
+    """The pre-tokens of a text that is cut here; None for a text that is not."""
+    if "<|" in text:
+        return None
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return _PIECES.findall(text.lower())
 
 
 def pre_tokens(text: str) -> list[str]:
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            return _PIECES.findall(text.lower())
-        except UnicodeEncodeError:
-            pass
-    return [chunk for chunk in text.replace("\n", " ").split(" ") if chunk]
+    pieces = plain_pieces(text)
+    return [chunk for chunk in text.replace("\n", " ").split(" ") if chunk] if pieces is None else pieces
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable character that byte-level BPE writes for each byte: itself, or the next one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordEncoder:
-    """Encodes pre-tokens through a bounded cache of two generations: the older is dropped when the younger is full."""
+    """Encodes pre-tokens through a bounded cache of two generations: the older is dropped when the younger is full.
+
+    Plain pre-tokens need neither the library's normaliser nor its cutting, so they go to a tokenizer of the same vocabulary
+    without these, as the byte-level letters that it would make of them.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as text:
+            bare = json.load(text)
+        bare |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode_distinct(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode_distinct(self, pieces: list[str], plain: bool) -> list[list[int]]:
+        if plain:
+            letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in pieces]
+            return [e.ids for e in self.bare.encode_batch_fast(letters, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def count_distinct(self, pieces: list[str]) -> list[int]:
+        """Token counts of pieces of either kind."""
+        plain = [plain_pieces(p) == [p] for p in pieces]
+        counts = {k: iter(self.encode_distinct([p for p, x in zip(pieces, plain, strict=True) if x == k], k)) for k in (True, False)}
+        return [len(next(counts[k])) for k in plain]
 
     def packed(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
-        pieces = pre_tokens(text)
+        pieces = plain_pieces(text)
+        plain = pieces is not None
+        pieces = pieces if plain else pre_tokens(text)
         known, older = self.known, self.older
         missing = [p for p in set(pieces) if p not in known]
         if not missing:
             return b"".join(map(known.__getitem__, pieces))
         new = [p for p in missing if p not in older]
         known.update((p, older[p]) for p in missing if p in older)
-        known.update(zip(new, self.encode_distinct(new), strict=True))
+        known.update(zip(new, [array("I", ids).tobytes() for ids in self.encode_distinct(new, plain)], strict=True))
         made = b"".join(map(known.__getitem__, pieces))
         for piece in new:
             if len(piece) > CACHE_CHARS:
