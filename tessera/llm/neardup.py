@@ -7,9 +7,11 @@
 4. A bucket of up to SMALL members proposes its pairs, at most SMALL - 1 per row; a larger one proposes a star, from its
    smallest member to each other. Proposed pairs are confirmed on full shingle sets.
 5. A larger bucket whose members are not yet in one component is not settled by its star: its members are dealt again by
-   AGAIN other bands within the bucket. So a group costs a number of pairs linear in its rows, and a link that the star's
-   centre does not have is still found.
-6. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
+   AGAIN other bands within the bucket. So a group costs a number of pairs linear in its rows, and most links that the star's
+   centre does not have are found.
+6. The members of larger buckets that are still not in one component are joined exactly, by their rarest shingles: two sets
+   that are similar enough have their first common shingle, rare ones first, near the start of both. No bucket is dropped.
+7. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.llm.common import require, without
 from tessera.session import few_files, materialised
@@ -128,15 +130,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 x intersection >= 80 x union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened(packed: bytes) -> np.ndarray:
-            wide = np.zeros((len(packed) // _KEPT, 8), dtype=np.uint8)
-            wide[:, :_KEPT] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _KEPT)
-            return wide.view("<u8").ravel()
-
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = opened(x.as_py()), opened(y.as_py())
+                one, two = _opened(x.as_py()), _opened(y.as_py())
                 both = np.concatenate((one, two))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -148,6 +145,38 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _opened(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // _KEPT, 8), dtype=np.uint8)
+    wide[:, :_KEPT] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _KEPT)
+    return wide.view("<u8").ravel()
+
+
+def _joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair (a, b) of rows (id, n, label) with different labels that can have a similarity of 0.8, by prefix filtering.
+
+    Shingles are ranked by the number of rows that have them, rarest first. Two sets of na and nb shingles need 4/9 (na + nb)
+    common ones. Their first common one, at places ia and ib from 0, leaves at most na - ia and nb - ib; so it is among the
+    first ninth of the smaller set and the first fifth of the larger one. A passage that many rows share is behind that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = _opened(packed.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), id_, dtype=np.int64)), pa.array(found)], names=["id", "shingle"])
+
+    tokens = sets.join(_bounded(rows.select("id")), "id", "left_semi").select("id", "members").mapInArrow(run, "id long, shingle long")
+    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    ranked = tokens.join(_bounded(common, small=False), "shingle", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle")).cast("long") - 1).filter("held > 1")
+    starts = materialised(ranked.join(_bounded(rows), "id").filter("5 * at <= n").select("shingle", "id", "n", "label", "at"))
+    smaller, larger = ([F.col(c).alias(f"{c}{side}") for c in ("id", "n", "label", "at")] for side in "ab")
+    met = starts.filter("9 * at <= n").select("shingle", *smaller).join(starts.select("shingle", *larger), "shingle")
+    met = met.filter("labela <> labelb and (na < nb or (na = nb and ida < idb))").filter(_sizes_fit(F.col("na"), F.col("nb")))
+    met = met.filter("9 * (na - ata) >= 4 * (na + nb) and 9 * (nb - atb) >= 4 * (na + nb)")
+    return met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of the links (a, b) reaches, for every id but that smallest one itself.
 
@@ -212,27 +241,37 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     heads = materialised(heads.select("id", "n", "bands"))
     rows = heads.select("id", "n", F.explode("bands").alias("bucket"), F.col("id").alias("label"))
     links = labels = None
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        chosen = df.withColumn("__id", F.col(key).cast("long")).join(_bounded(ids.select(F.col("id").alias("__id"))), "__id", "left_semi")
+        return materialised(sketches(chosen, "__id", text, width, ("members",)).dropDuplicates(["id"]).select("id", "members"))
+
+    def unsettled(large: DataFrame) -> DataFrame:
+        """The rows (bucket, id, n), with their labels, of buckets that are not in one component."""
+        named = large.join(_bounded(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        return materialised(named.join(_bounded(split), "bucket", "left_semi"))
+
     for depth in range(DEPTH + 1):
         pairs, large = _propose(rows, STARS if depth else 1)
         pairs = materialised(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-        chosen = df.withColumn("__id", F.col(key).cast("long")).join(_bounded(ends), "__id", "left_semi")
-        sets = materialised(sketches(chosen, "__id", text, width, ("members",)).dropDuplicates(["id"]).select("id", "members"))
-        found = materialised(few_files(_confirm(pairs, sets)))
-        if links is not None and found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if depth == DEPTH:
-            break
-        large = large.join(_bounded(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        unsettled = materialised(large.join(_bounded(split), "bucket", "left_semi"))
-        if unsettled.isEmpty():
+        found = materialised(few_files(_confirm(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))))
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        # The first buckets hold all that was dealt again.
+        held = unsettled(materialised(large) if depth == 0 else held.drop("label"))
+        if depth == DEPTH or held.isEmpty():
             break
         turn = F.array(*[F.get("bands", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BANDS)).cast("int")) for i in range(AGAIN)])
-        again = unsettled.join(heads.select("id", "bands"), "id").select("id", "n", "label", "bucket", F.explode(F.array_distinct(turn)).alias("band"))
+        again = held.join(heads.select("id", "bands"), "id").select("id", "n", "label", "bucket", F.explode(F.array_distinct(turn)).alias("band"))
         rows = materialised(again.filter(F.col("bucket") != F.col("band")).select("id", "n", F.xxhash64("bucket", "band").alias("bucket"), "label"))
+    open_ = materialised(few_files(held.select("id", "n", "label").distinct()))
+    if not open_.isEmpty():
+        sets = sets_of(open_)
+        found = materialised(few_files(_confirm(materialised(_joined(open_, sets)), sets)))
+        if not found.isEmpty():
+            labels = components(links.union(found))
     named = base.select("id", "n", "digest").join(reps, "digest", "left").join(_bounded(labels.withColumnRenamed("id", "rep")), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("label", "rep", "id")).otherwise(F.col("id"))
     return named.select("id", "n", own.alias("component"))

@@ -254,6 +254,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small):
     assert neardup.keep_one(df).columns == ["doc_id", "text", "n"]
 
 
+def test_pairs_in_a_family_that_shares_a_template_are_found(spark):
+    template, texts = " ".join(f"t{i}" for i in range(442)), {}
+    for i in range(600):  # 0.78 alike; the first 120 are in pairs that are 0.81 alike
+        pair = [f"p{i // 2}x{j}" for j in range(10)] if i < 120 else [f"q{i}x{j}" for j in range(10)]
+        texts[i] = " ".join([template, *pair, *(f"u{i}x{j}" for j in range(52))])
+    sets = {i: set(neardup.shingles(t, 5).tolist()) for i, t in texts.items()}
+    expected = {i: i for i in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            expected[b] = expected[a]
+    assert sum(i != c for i, c in expected.items()) == 60
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.id: r.component for r in neardup.classes(df).collect()} == expected
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 150)] + [(300, 200), (200, 300), (7, 7)]
     got = {r.id: r.label for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
