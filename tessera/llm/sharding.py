@@ -1,6 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
-Each shard owns several points of a ring; a row belongs to the arc that its key's hash falls in. Every shard takes a fixed
+Each shard owns several points of a ring of 64-bit hashes, which depend on the shard alone; a row belongs to the next point
+clockwise of its key's hash. So another shard only inserts points, and takes the rows before them. Every shard takes a fixed
 number of rows, and these loads sum to the row count, so all shards end exactly full: counts differ by one at most. The
 rows that a full shard leaves over continue clockwise to the next shard that has room.
 
@@ -10,6 +11,9 @@ whatever the row count. Rows are ranked within their arc, in many small groups,
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.common import require, without
@@ -17,15 +21,15 @@ from tessera.llm.common import require, without
 SHARDS, VIRTUAL_NODES = 24, 256
 
 
+def points(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
+    """(point, shard) in ring order: a shard's points are hashes of its number and the replica's, whatever the other shards are."""
+    at = lambda s, i: int.from_bytes(hashlib.blake2b(f"{s}:{i}".encode(), digest_size=8).digest(), signed=True)
+    return sorted((at(s, i), s) for s in range(shards) for i in range(virtual_nodes))
+
+
 def ring(shards: int, virtual_nodes: int) -> list[int]:
-    """The shard that owns each of the ring's equal arcs: every shard owns ``virtual_nodes`` of them, in a fixed random order."""
-    owner = [s for s in range(shards) for _ in range(virtual_nodes)]
-    state = 0x9E3779B97F4A7C15
-    for i in range(len(owner) - 1, 0, -1):
-        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        j = (state >> 33) % (i + 1)
-        owner[i], owner[j] = owner[j], owner[i]
-    return owner
+    """The shard that owns each arc, in ring order: every shard owns ``virtual_nodes`` of them."""
+    return [s for _, s in points(shards, virtual_nodes)]
 
 
 def deal(counts: list[int], owner: list[int], loads: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -59,8 +63,18 @@ def deal(counts: list[int], owner: list[int], loads: list[int]) -> list[tuple[in
     return runs
 
 
-def arc_of(key: Column, arcs: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(arcs)).cast("int")
+def arc_of(key: Column, ends: list[int]) -> Column:
+    """The index of the first of the sorted points that is not below the key's hash; behind the last one, 0."""
+    table, spot = F.lit(np.asarray(ends, dtype=np.int64)), F.xxhash64(key)
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["lo"] + state["hi"], 1)
+        open_, below = state["lo"] < state["hi"], F.get(table, middle) < spot
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(state["hi"]).alias("hi"))
+
+    span = F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(ends).bit_length()))
+    return F.aggregate(steps, span, halve, lambda s: F.pmod(s["lo"], F.lit(len(ends)))).cast("int")
 
 
 def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
@@ -71,10 +85,10 @@ def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shard
     ``df`` named like an output are replaced. An empty table gives an empty table.
     """
     require(df, key, *order)
-    arcs = shards * virtual_nodes
-    owner = ring(shards, virtual_nodes)
-    counts = [0] * arcs
-    for row in df.groupBy(arc_of(F.col(key), arcs).alias("arc")).count().collect():  # one row per arc at most
+    placed_at = points(shards, virtual_nodes)
+    ends, owner = [p for p, _ in placed_at], [s for _, s in placed_at]
+    counts = [0] * len(owner)
+    for row in df.groupBy(arc_of(F.col(key), ends).alias("arc")).count().collect():  # one row per arc at most
         counts[row["arc"]] = row["count"]
     total = sum(counts)
     loads = [total // shards + (s < total % shards) for s in range(shards)]
@@ -82,7 +96,7 @@ def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shard
     # Runs are at most arcs + shards x arcs passed; each arc splits only where a shard fills up, so they stay near the arc count.
     table = df.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "`__arc` int, `__first` long, `__end` long, `__shard` int, `__slot` long")
     kept = without(df, ["shard", "slot", "__arc", "__rank"])
-    ranked = df.select(*[F.col(f"`{c}`") for c in kept], arc_of(F.col(key), arcs).alias("__arc")).withColumn(
+    ranked = df.select(*[F.col(f"`{c}`") for c in kept], arc_of(F.col(key), ends).alias("__arc")).withColumn(
         "__rank", F.row_number().over(Window.partitionBy("__arc").orderBy(F.xxhash64(key), key, *order)).cast("long") - 1
     )
     placed = ranked.join(F.broadcast(table), "__arc").filter((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")))

@@ -162,6 +162,17 @@ def test_ring_moves_little():
     assert own > 0.8 * len(ids)  # most rows stay with the owner of their arc
 
 
+def test_another_shard_moves_few_rows(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"))
+    before, after = ({r.doc_id: r.shard for r in sharding.shard(df, shards=n).collect()} for n in (24, 25))
+    moved = [i for i in before if before[i] != after[i]]
+    assert 0.03 < len(moved) / len(before) < 0.15  # one in 25 must move; full shards pass some more on
+    ends = sharding.points(25, 256)
+    assert [x for x in ends if x[1] < 24] == sharding.points(24, 256)
+    hashes = {r.doc_id: (r.h, r.arc) for r in df.limit(500).select("doc_id", F.xxhash64("doc_id").alias("h"), sharding.arc_of(F.col("doc_id"), [p for p, _ in ends]).alias("arc")).collect()}
+    assert all(arc == sum(p < h for p, _ in ends) % len(ends) for h, arc in hashes.values())
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/x", "https://example.com/en/1", "http://www.example.com/en/", "x://b.net/es/?q", "x://b.net/fr/", "x://b.net/de/", "x://com", None, "no scheme", "x://spam.org/", "x://spam.org/a", "x://s.com?x/", ""]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
