@@ -5,8 +5,8 @@ addresses stay addresses, and names keep gender and script. It is a keyed permut
 a keyed hash), so without the key it can't be undone, and the same entity gets the same surrogate in every document.
 
 A corpus-wide check makes the entities' table and draws again, with another attempt number, for every entity whose surrogate
-equals an entity of the corpus or another's surrogate, until no such case is left (or ATTEMPTS are used up, which happens
-only where a format's values are nearly all taken).
+equals an entity of the corpus or another's surrogate, until no such case is left. Names and e-mail addresses grow with the
+attempt; where another format's values are all taken (ATTEMPTS draws found none free), the operator fails.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tessera.llm.common import OUT_ROWS, map_rows, require, without
 from tessera.session import few_files, materialised
 
-ATTEMPTS = 16
+#: Draws of an entity at most; draws of a round, which grow from the round GROWS on, and attempts by which names get a syllable more.
+ATTEMPTS, GROWS, LONGER = 4096, 8, 2
 #: Forms of address by gender and script.
 TITLES = {
     ("f", "latin"): ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora"),
@@ -134,7 +135,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return _reshaped(key, label, f"{local}@{name}") + "." + top
+        return _reshaped(key, label, f"{local}{'a' * min(attempt // GROWS, 16)}@{name}") + "." + top
     if kind == "ip":
         number = 0
         for part in value.split("."):
@@ -160,14 +161,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind.startswith("person:"):
         _, gender, script = kind.split(":")
         words, syllables = value.split(" "), SYLLABLES[script]
-        drawn = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=16).digest())
+        drawn = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=64).digest())
         made = []
         for at in range(len(words)):
             parts = []
-            for _ in range(3):
+            for _ in range(3 + min(attempt // LONGER, 8)):
                 drawn, digit = divmod(drawn, len(syllables))
                 parts.append(syllables[digit])
-            made.append("".join(parts) + (ENDINGS[gender, script] if at == 0 and len(words) > 1 else ""))
+            made.append("".join(parts) + (ENDINGS[gender, script] if at == 0 else ""))
         return " ".join(w.upper() if old.isupper() and len(old) > 1 else w.capitalize() for w, old in zip(made, words, strict=True))
     return _reshaped(key, label, value)
 
@@ -186,25 +187,29 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): no surrogate is an entity or another's surrogate.
 
     Only the entities that are in conflict are drawn again in each round. Of those that share a surrogate, the least by kind
-    and value, and any that was settled in an earlier round, keeps it.
+    and value, and any that was settled in an earlier round, keeps it. Raises ValueError where no free surrogate is found.
     """
     real = entities.select(F.col("value").alias("surrogate")).distinct()
-    settled, open_ = None, entities.withColumn("attempt", F.lit(0))
-    for attempt in range(ATTEMPTS):
-        drawn = materialised(few_files(_assigned(open_, key)))
-        if attempt == ATTEMPTS - 1:
-            good = drawn
-        else:
-            least = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("first"))
-            good = drawn.join(real, "surrogate", "left_anti").join(least, "surrogate").filter(F.struct("kind", "value") == F.col("first")).select(*drawn.columns)
-            if settled is not None:
-                good = good.join(settled.select("surrogate"), "surrogate", "left_anti")
+    settled, open_, begun = None, entities.select("kind", "value"), 0
+    while begun < ATTEMPTS:
+        draws = 1 if begun < GROWS else min(3 * begun, ATTEMPTS - begun)
+        asked = open_.withColumn("attempt", F.lit(begun)) if draws == 1 else open_.withColumn("attempt", F.explode(F.sequence(F.lit(begun), F.lit(begun + draws - 1))))
+        drawn = materialised(few_files(_assigned(asked, key)))
+        free = drawn.join(real, "surrogate", "left_anti")
+        if settled is not None:
+            free = free.join(settled.select("surrogate"), "surrogate", "left_anti")
+        if draws > 1:
+            free = free.groupBy("kind", "value").agg(F.min(F.struct("attempt", "surrogate")).alias("first")).select("kind", "value", "first.attempt", "first.surrogate")
+            free = materialised(few_files(free))
+        least = free.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("first"))
+        good = free.join(least, "surrogate").filter(F.struct("kind", "value") == F.col("first")).select(*drawn.columns)
         good = materialised(few_files(good))
         settled = good if settled is None else settled.unionByName(good)
-        open_ = drawn.join(good.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", F.lit(attempt + 1).alias("attempt"))
+        open_ = materialised(few_files(open_.join(good.select("kind", "value"), ["kind", "value"], "left_anti")))
+        begun += draws
         if open_.isEmpty():
-            break
-    return settled.select("kind", "value", "surrogate")
+            return settled.select("kind", "value", "surrogate")
+    raise ValueError(f"no free surrogate for {open_.count()} entities of the kinds {sorted(r.kind for r in open_.select('kind').distinct().limit(20).collect())}")
 
 
 def _key_of(text: Column) -> list[Column]:

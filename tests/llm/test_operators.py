@@ -318,6 +318,14 @@ def test_pii_permutation_and_collisions(spark):
     assert len(got) == 250 and len(set(new)) == 250 and not values & set(new)
 
 
+def test_pii_surrogates_stay_distinct(spark):
+    names = spark.range(40000).selectExpr("if(id % 2 = 0, 'person:m:latin', 'person:f:latin') kind", "concat('Q', translate(cast(id as string), '0123456789', 'qxwjyhgfcb')) value")
+    assert pii.resolve(names, b"k").select("surrogate").distinct().count() == 40000
+    taken = spark.createDataFrame([("code", f"{i}") for i in range(10)], "kind string, value string")
+    with pytest.raises(ValueError, match="no free surrogate"):
+        pii.resolve(taken, b"k")
+
+
 def test_quality_learns(spark):
     r, rows, labels = random.Random(6), [], []
     for i in range(600):
