@@ -4,6 +4,9 @@ A surrogate keeps its entity's format: digits stay digits, letters keep their ca
 addresses stay addresses, and names keep gender and script. It is a keyed permutation of the entities of one format (names:
 a keyed hash), so without the key it can't be undone, and the same entity gets the same surrogate in every document.
 
+Names are replaced part by part, whatever their case, and a document's titled names also in its later mentions without a title;
+phone numbers and cards by their digits, whatever the punctuation. So different spellings of one entity agree.
+
 A corpus-wide check makes the entities' table and draws again, with another attempt number, for every entity whose surrogate
 equals an entity of the corpus or another's surrogate, until no such case is left. Names and e-mail addresses grow with the
 attempt; where another format's values are all taken (ATTEMPTS draws found none free), the operator fails.
@@ -11,6 +14,7 @@ attempt; where another format's values are all taken (ATTEMPTS draws found none
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -41,7 +45,11 @@ SYLLABLES = {
     "greek": ("βα", "βε", "δο", "φα", "γα", "κα", "κε", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "νο", "ρα", "ρε", "ρι", "ρο", "σα", "σε", "τα", "τε", "τι", "το", "βα", "βι", "ζο", "δα", "λυ", "πε"),
 }
 ENDINGS = {("f", "latin"): "na", ("m", "latin"): "n", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("f", "greek"): "να", ("m", "greek"): "ς"}
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
+_CAP = r"[^\W\d_a-zа-яα-ω]"
+_NAME = rf"(?:{_CAP}[^\W\d_]*(?:['’-]{_CAP}[^\W\d_]+)+|{_CAP}[^\W\d_]+)"
+_PART = re.compile(r"[^\W\d_]+")
+#: Country codes of phone numbers, by their first digits.
+_COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 #: In order of priority; a later kind leaves alone what an earlier one has taken. The entity is group 1.
 PATTERNS = {
     "secret": re.compile(r"""\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*["']?([A-Za-z0-9_+/-]{8,})""", re.I),
@@ -52,7 +60,7 @@ PATTERNS = {
     "card": re.compile(r"(?<![\d-])(\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5})(?!\d)"),
     "phone": re.compile(r"(?<![\d+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"),
-    "person": re.compile(rf"(?<!\w)(?:{_ANY_TITLE})\.? ({_NAME}(?: {_NAME}){{0,2}})"),
+    "person": re.compile(rf"(?<!\w)(?:{_ANY_TITLE})\.? ((?:{_CAP}\. ?){{0,3}}{_NAME}(?: (?:{_NAME}|{_CAP}\.(?= {_CAP}))){{0,2}})"),
 }
 #: What a text must have for any of the patterns: a digit, an at sign, an assignment, or a title. Decided before a row leaves the JVM.
 PREFILTER = rf"[0-9@=:]|(?=[{''.join(sorted({t[0] for t in _TITLE}))}])(?:{_ANY_TITLE})\.? "
@@ -88,7 +96,66 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if _valid(kind, m[1]) and not any(a < end and start < b for a, b, _, _ in found):
                 full = kind if kind != "person" else "person:" + ":".join(_TITLE[m[0][: m.start(1) - m.start(0)].rstrip(" .")])
                 found.append((start, end, full, m[1]))
-    return sorted(found)
+    return sorted(found + _mentions(text, found))
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The mentions, without a title, of words and hyphenated parts of the names among ``found``, behind the first that has them."""
+    first: dict[str, tuple[int, str]] = {}
+    for _, end, kind, value in sorted(x for x in found if x[2].startswith("person")):
+        for word in value.split(" "):
+            for part in {word, *_PART.findall(word)}:
+                if len(part) > 1 and not part.endswith("."):
+                    for spelled in (part, part.upper()):
+                        first.setdefault(spelled, (end, kind))
+    if not first:
+        return []
+    word = "(?:" + "|".join(map(re.escape, sorted(first, key=len, reverse=True))) + ")"
+    taken, more = sorted((a, b) for a, b, _, _ in found), []
+    starts = [a for a, _ in taken]
+    for m in re.finditer(rf"(?<!\w){word}(?:[ -]{word})*(?!\w)", text):
+        end, kind = first[re.match(word, m[0])[0]]
+        at = bisect.bisect_left(starts, m.end())
+        if m.start() >= end and not (at and taken[at - 1][1] > m.start()):
+            more.append((*m.span(), kind, m[0]))
+    return more
+
+
+def entities_of(kind: str, value: str) -> list[tuple[str, str]]:
+    """(kind, plain form) of what gets a surrogate: of a person, each part of the name but initials, in lower case; of a phone
+    number, all digits with the country's; of a card, its digits."""
+    if kind.startswith("person"):
+        return [(kind, part.lower()) for part in _PART.findall(value) if len(part) > 1]
+    if kind in ("phone", "card"):
+        digits = "".join(c for c in value if c.isdigit())
+        return [(kind, digits if kind == "card" or value[0] == "+" else "1" + digits)]
+    return [(kind, value)]
+
+
+def _initial(key: bytes, kind: str, letter: str) -> str:
+    """Another letter of the alphabet; different letters get different ones."""
+    letters = {"latin": _CLASSES[2], "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}[kind.split(":")[2]]
+    at = letters.index(letter) if letter in letters else ord(letter)
+    turn = int.from_bytes(hashlib.blake2b(kind.encode(), key=key, digest_size=8).digest()) % (len(letters) - 1) + 1
+    return letters[(at + turn) % len(letters)]
+
+
+def laid(key: bytes, kind: str, value: str, known: dict[tuple[str, str], str]) -> str:
+    """The surrogate of a found value, in its spelling, from those of its ``entities_of``."""
+    if kind.startswith("person"):
+
+        def part(m: re.Match) -> str:
+            if len(m[0]) == 1:
+                return _initial(key, kind, m[0])
+            new = known[kind, m[0].lower()]
+            return new.upper() if m[0].isupper() else new.capitalize()
+
+        return _PART.sub(part, value)
+    new = known[entities_of(kind, value)[0]]
+    if kind in ("phone", "card"):
+        digits = iter(new[-sum(c.isdigit() for c in value) :])
+        return "".join(next(digits) if c.isdigit() else c for c in value)
+    return new
 
 
 def _permuted(key: bytes, label: str, number: int, size: int) -> int:
@@ -130,7 +197,7 @@ def _reshaped(key: bytes, label: str, text: str, alphabets: tuple[str, ...] = _C
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of an entity. For one key and attempt, different entities of a kind but ``person`` differ in theirs."""
+    """The replacement of an entity in its plain form. For one key and attempt, different entities of a kind but ``person`` differ in theirs."""
     label = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -151,7 +218,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         made = _reshaped(key, label + value[:2], value[4:], ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         return value[:2] + f"{98 - _mod97(made + value[:2] + '00'):02d}" + made
     if kind == "phone":
-        head = re.match(r"\+\d{1,3}(?=\D)|", value)[0]
+        head = _COUNTRY.match(value)[0]
         return head + _reshaped(key, label + head, value[len(head) :])
     if kind == "key":
         return value[:4] + _reshaped(key, label + value[:4], value[4:], (_CLASSES[2] + _CLASSES[0],))
@@ -160,16 +227,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return _reshaped(key, label + alphabets[0], value, alphabets)
     if kind.startswith("person:"):
         _, gender, script = kind.split(":")
-        words, syllables = value.split(" "), SYLLABLES[script]
+        syllables, parts = SYLLABLES[script], []
         drawn = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=64).digest())
-        made = []
-        for at in range(len(words)):
-            parts = []
-            for _ in range(3 + min(attempt // LONGER, 8)):
-                drawn, digit = divmod(drawn, len(syllables))
-                parts.append(syllables[digit])
-            made.append("".join(parts) + (ENDINGS[gender, script] if at == 0 else ""))
-        return " ".join(w.upper() if old.isupper() and len(old) > 1 else w.capitalize() for w, old in zip(made, words, strict=True))
+        for _ in range(3 + min(attempt // LONGER, 8)):
+            drawn, digit = divmod(drawn, len(syllables))
+            parts.append(syllables[digit])
+        return "".join(parts) + ENDINGS[gender, script]
     return _reshaped(key, label, value)
 
 
@@ -235,7 +298,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str |
         for batch in batches:
             rows: list[tuple] = []
             for h1, h2, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += sorted({(h1, h2, kind, found) for _, _, kind, found in find(value)})
+                rows += sorted({(h1, h2, *entity) for _, _, kind, found in find(value) for entity in entities_of(kind, found)})
             for at in range(0, len(rows), OUT_ROWS):
                 part = list(zip(*rows[at : at + OUT_ROWS], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string()), pa.array(part[3], pa.string())], names=["__h1", "__h2", "kind", "value"])
@@ -251,7 +314,7 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str |
             known = {(p["kind"], p["value"]): p["surrogate"] for p in pairs or []}
             parts, at, said = [], 0, []
             for start, end, kind, found in find(value) if known else []:
-                new = known[kind, found]
+                new = laid(key, kind, found, known)
                 parts += [value[at:start], new]
                 said.append({"kind": kind, "surrogate": new})
                 at = end

@@ -326,6 +326,18 @@ def test_pii_surrogates_stay_distinct(spark):
         pii.resolve(taken, b"k")
 
 
+def test_pii_coreference(spark):
+    rows = [(0, "Mr John Smith met us. John Smith left, SMITH said. Then Mr Smith rang Mr J. Smith."), (1, "Mr O'Brien, Mrs Smith-Jones. Then O'Brien asked Jones."), (2, "call +1 (217) 555-7713 or +1 217 555 7713 or 217-555-7713, again (217) 555-7713")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert not any(w in t.lower() for t in got.values() for w in ("smith", "john", "brien", "jones", "7713", "217"))
+    words = [w.strip(".,") for w in got[0].split()]
+    assert words[1:3] == words[5:7] and words[2].upper() == words[8] and words[2] == words[12] == words[16] and words[15] != "J" and len(words[15]) == 1
+    words = [w.strip(".,") for w in got[1].split()]
+    assert words[1] == words[5] and words[3].split("-")[1] == words[7]
+    numbers = [m[-10:] for m in ("".join(c for c in x if c.isdigit()) for x in got[2].replace(",", " or").replace("again", "").split(" or "))]
+    assert len(set(numbers)) == 1 and got[2].count("+1") == 2
+
+
 def test_quality_learns(spark):
     r, rows, labels = random.Random(6), [], []
     for i in range(600):
