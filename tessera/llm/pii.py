@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,8 +63,19 @@ PATTERNS = {
     "ssn": re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"),
     "person": re.compile(rf"(?<!\w)(?:{_ANY_TITLE})\.? ((?:{_CAP}\. ?){{0,3}}{_NAME}(?: (?:{_NAME}|{_CAP}\.(?= {_CAP}))){{0,2}})"),
 }
-#: What a text must have for any of the patterns: a digit, an at sign, an assignment, or a title. Decided before a row leaves the JVM.
-PREFILTER = rf"[0-9@=:]|(?=[{''.join(sorted({t[0] for t in _TITLE}))}])(?:{_ANY_TITLE})\.? "
+#: What a text must have for any of the patterns: a digit of any script, an at sign, an assignment, a key's head, or a title. Decided
+#: before a row leaves the JVM. Characters beyond 16 bits pass: the JVM may not know the latest digits among them.
+PREFILTER = rf"[0-9@=:]|A(?:KIA|SIA)|[\p{{Nd}}\x{{10000}}-\x{{10FFFF}}]|(?=[{''.join(sorted({t[0] for t in _TITLE}))}])(?:{_ANY_TITLE})\.? "
+
+
+def plain(text: str) -> str:
+    """With the digits of any script as 0 to 9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _digits_like(digit: str, old: str) -> str:
+    """The digit in the script of the digit ``old``."""
+    return chr(ord(old) - unicodedata.decimal(old) + int(digit))
 
 
 def luhn_digit(digits: str) -> str:
@@ -76,6 +88,7 @@ def _mod97(text: str) -> int:
 
 
 def _valid(kind: str, value: str) -> bool:
+    value = plain(value)
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         issued = digits[0] in "3456" or "2221" <= digits[:4] <= "2720"
@@ -123,13 +136,13 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
 
 def entities_of(kind: str, value: str) -> list[tuple[str, str]]:
     """(kind, plain form) of what gets a surrogate: of a person, each part of the name but initials, in lower case; of a phone
-    number, all digits with the country's; of a card, its digits."""
+    number, all digits with the country's; of a card, its digits. Digits of any script are 0 to 9."""
     if kind.startswith("person"):
         return [(kind, part.lower()) for part in _PART.findall(value) if len(part) > 1]
     if kind in ("phone", "card"):
-        digits = "".join(c for c in value if c.isdigit())
+        digits = "".join(c for c in plain(value) if c.isdigit())
         return [(kind, digits if kind == "card" or value[0] == "+" else "1" + digits)]
-    return [(kind, value)]
+    return [(kind, plain(value))]
 
 
 def _initial(key: bytes, kind: str, letter: str) -> str:
@@ -153,9 +166,13 @@ def laid(key: bytes, kind: str, value: str, known: dict[tuple[str, str], str]) -
         return _PART.sub(part, value)
     new = known[entities_of(kind, value)[0]]
     if kind in ("phone", "card"):
-        digits = iter(new[-sum(c.isdigit() for c in value) :])
-        return "".join(next(digits) if c.isdigit() else c for c in value)
-    return new
+        digits = iter(new[-sum(c.isdecimal() for c in value) :])
+        return "".join(_digits_like(next(digits), c) if c.isdecimal() else c for c in value)
+    if value.isascii():
+        return new
+    if kind == "ip":
+        return "".join(_digits_like(c, value[0]) if c.isdigit() else c for c in new)
+    return "".join(_digits_like(c, old) if c.isdigit() and old.isdecimal() else c for c, old in zip(new, value, strict=True))
 
 
 def _permuted(key: bytes, label: str, number: int, size: int) -> int:
