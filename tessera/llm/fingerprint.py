@@ -6,7 +6,7 @@ be inserted or deleted by adding or subtracting theirs.
 
 ``wide`` has 16 lanes modulo 2^32 over whole paragraphs: equal exactly if the multisets of paragraphs are (up to a hash of
 512 bits). ``signs`` has 128 lanes modulo 2^16 over clauses (paragraphs cut after punctuation), each -1 or +1: the squared difference of two
-documents' lanes is, on average, the number of clauses that only one of them has, which gives their likeness.
+documents' lanes is, on average, the number of clauses that only one of them has (m copies count as m^2), which gives their likeness.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the estimated share of clauses, counted with repeats, that two fingerprints have in common; 1 for equal ones."""
+    """0 to 1: the estimated share of clauses that two fingerprints have in common; 1 for equal ones. A clause of which one text has
+    m copies more counts as m^2, so texts with repeated clauses come out too low (README)."""
     squares = F.zip_with(a["signs"], b["signs"], lambda x, y: F.pow(_signed(x.cast("long") - y.cast("long"), 16).cast("double"), F.lit(2.0)))
     apart = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / (64 * SIGN_HASHES)
     return F.greatest(F.lit(0.0), 1 - apart / F.greatest(a["n"] + b["n"], F.lit(1)))
