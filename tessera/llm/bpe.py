@@ -1,7 +1,12 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-Long texts are split at safe boundaries before the library sees them: a cut lies before a single space whose
-neighbours are both ASCII letters, so that no match of the pattern, and hence no merge, can straddle it.
+Long texts are split at safe boundaries before the library sees them. No match of the pattern holds a blank behind anything
+else, or letters, numbers and other characters together, but for one blank in front and an apostrophe with its letters. So a
+cut lies before a blank that follows another character, or between two of these classes, never behind a blank or an
+apostrophe, whatever the script. A run of one class is one match and stays whole; of a long run of blanks, on which the
+library's pattern overflows its stack, all but the last (which may belong to what follows) are one match by the pattern's
+rule, and are merged as such without it.
+
 Ids are stored packed (little-endian unsigned 32-bit), the form training files use; decoding gives raw bytes.
 """
 
@@ -9,18 +14,22 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
 from tessera.llm.common import map_rows, require
 
-#: Characters that the library gets at once.
-SEGMENT_CHARS = 1 << 16
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Characters after which a text is cut, and blanks that are merged without the pattern.
+SEGMENT_CHARS, BLANK_RUN = 1 << 16, 1 << 12
+#: Characters that Unicode has not assigned yet are of no class here, as the library may know them.
+_CUT = regex.compile(
+    r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{L}\p{White_Space}\p{Cn}])|(?<=\p{N})(?=[^\p{N}\p{White_Space}\p{Cn}])|(?<=[^'\p{L}\p{N}\p{White_Space}\p{Cn}])(?=[\p{L}\p{N}])"
+)
+_BLANKS = regex.compile(rf"\p{{White_Space}}{{{BLANK_RUN},}}+")
 
 
 @functools.lru_cache(maxsize=2)
@@ -30,8 +39,21 @@ def _encoding(rank_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
-    """Cuts a text at the first safe boundary after each ``size`` characters; their concatenation is the text."""
+def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[tuple[str, bool]]:
+    """(part, is it one match) of a text: cut at the first safe boundary after each ``size`` characters, and around long runs of
+    blanks. The concatenation of the parts is the text."""
+    if len(text) <= size:
+        yield text, False
+        return
+    start = 0
+    for run in _BLANKS.finditer(text):
+        yield from ((part, False) for part in _cut(text[start : run.start()], size))
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[run.start() : start], True
+    yield from ((part, False) for part in _cut(text[start:], size))
+
+
+def _cut(text: str, size: int) -> Iterator[str]:
     start = 0
     while len(text) - start > size:
         cut = _CUT.search(text, start + size)
@@ -39,15 +61,16 @@ def segments(text: str, size: int = SEGMENT_CHARS) -> Iterator[str]:
             break
         yield text[start : cut.start()]
         start = cut.start()
-    yield text[start:] if start else text
+    if start < len(text):
+        yield text[start:] if start else text
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replaces column ``text`` by packed token ids (``ids`` binary) and their number (``n_tokens`` long).
 
-    A null text is read as empty and gives no ids. Special tokens are never produced. Other columns are passed on;
-    one named like an output is replaced. Repeated rows are encoded each; an empty table gives an empty table.
-    The rank file is read on each worker, so its path must exist on every machine.
+    A null text is read as empty and gives no ids. A very long text is encoded whole, in parts that change no id. Special
+    tokens are never produced. Other columns are passed on; one named like an output is replaced. Repeated rows are encoded
+    each; an empty table gives an empty table. The rank file is read on each worker, so its path must exist on every machine.
     """
     require(df, text)
 
@@ -55,8 +78,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids:
         encoding = _encoding(rank_path, pattern)
         for (value,) in rows:
             found: list[int] = []
-            for part in segments(value or ""):
-                found += encoding.encode_ordinary(part)
+            for part, whole in segments(value or ""):
+                found += encoding._encode_single_piece(part) if whole else encoding.encode_ordinary(part)
             yield np.asarray(found, dtype="<u4").tobytes(), len(found)
 
     return map_rows(df, [text], [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())], kernel, drop=(text,))

@@ -64,11 +64,32 @@ def test_bpe_cuts_change_no_token():
     encoding = bpe._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for seed in range(30):
         text = some_text(seed, 200) + "   \n  " + some_text(seed + 99, 200)
-        parts = list(bpe.segments(text, 50))
+        parts = [part for part, whole in bpe.segments(text, 50) if not whole]
         assert "".join(parts) == text and len(parts) > 5
         assert [t for p in parts for t in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
 
 
+def test_bpe_cuts_of_any_script_change_no_token():
+    encoding, r = bpe._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(8)
+    alphabet = list("aZé'sтЖ漢字かن١२9½ \t\n\xa0\u3000\x1c.,-—'!🙂\u0301_") + [" ", "  ", "'s", "'ll", " '", "\n\n"]
+    for _ in range(400):
+        text = "".join(r.choice(alphabet) for _ in range(200))
+        assert [t for part, _ in bpe.segments(text, 1) for t in encoding.encode_ordinary(part)] == encoding.encode_ordinary(text), repr(text)
+
+
+def test_bpe_takes_very_long_texts(spark):
+    encoding, ranks = bpe._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken")
+    blank = encoding._encode_single_piece(" " * 999_999)
+    texts = {"cyrillic": "слово, мир " * 60_000, "cjk": "漢字仮名交。" * 200_000, "one word": "漢" * 700_000, "digits": "12" * 300_000, "mixed": "a" + "\t \n" * 20_000 + "b" + " " * 70_000}
+    expected = {name: encoding.encode_ordinary(text) for name, text in texts.items()}
+    texts |= {"blanks": " " * 1_000_000, "blanks before": " " * 1_000_000 + "word"}
+    expected |= {"blanks": encoding._encode_single_piece(" " * 1_000_000), "blanks before": blank + encoding.encode_ordinary(" word")}
+    out = bpe.decode(bpe.encode(spark.createDataFrame(list(texts.items()), "name string, text string").repartition(2), ranks, P.PATTERN), ranks, P.PATTERN)
+    for row in out.collect():
+        assert bytes(row.decoded).decode() == texts[row.name] and np.frombuffer(row.ids, "<u4").tolist() == expected[row.name], row.name
+    assert len(list(bpe.segments(texts["cyrillic"]))) > 9 and len(list(bpe.segments(texts["cjk"]))) > 9
+
+
 def test_word_encoder_equals_library():
     encoder, r = wordbpe.WordEncoder(P.path("word_bpe_49k.json")), random.Random(5)
     alphabet = [chr(i) for i in range(256)] + list("ΣςİıK ﬁ漢😀　 ̈'' ")
