@@ -1,7 +1,7 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
 A surrogate keeps its entity's format: digits stay digits, letters keep their case, separators stay, check digits are valid,
-addresses stay addresses, and names keep gender and script. It is a keyed permutation of the entities of one format (names:
+addresses stay addresses, and names keep gender (the title's) and script (their own letters'). It is a keyed permutation of the entities of one format (names:
 a keyed hash), so without the key it can't be undone, and the same entity gets the same surrogate in every document.
 
 Names are replaced part by part, whatever their case, and a document's titled names also in its later mentions without a title;
@@ -15,6 +15,7 @@ attempt; where another format's values are all taken (ATTEMPTS draws found none
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 import unicodedata
@@ -28,24 +29,28 @@ from tessera.session import few_files, materialised
 
 #: Draws of an entity at most; draws of a round, which grow from the round GROWS on, and attempts by which names get a syllable more.
 ATTEMPTS, GROWS, LONGER = 4096, 8, 2
-#: Forms of address by gender and script.
+#: Forms of address by gender.
 TITLES = {
-    ("f", "latin"): ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora"),
-    ("m", "latin"): ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Signor"),
-    ("f", "cyrillic"): ("г-жа", "госпожа"),
-    ("m", "cyrillic"): ("г-н", "господин"),
-    ("f", "greek"): ("κυρία",),
-    ("m", "greek"): ("κύριος",),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "г-жа", "госпожа", "κυρία"),
+    "m": ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Signor", "г-н", "господин", "κύριος"),
 }
-_TITLE = {title: kind for kind, titles in TITLES.items() for title in titles}
+_TITLE = {title: gender for gender, titles in TITLES.items() for title in titles}
 _ANY_TITLE = "|".join(sorted(map(re.escape, _TITLE), key=len, reverse=True))
-#: Syllables of surrogate names by script, and the endings of first names by gender.
+#: Syllables of surrogate names by script, and the endings of first names by gender. Names in other scripts are written in the first.
 SYLLABLES = {
     "latin": ("ba", "be", "do", "fa", "ga", "ka", "ke", "la", "le", "li", "ma", "me", "mi", "na", "ne", "no", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "ti", "to", "va", "ve", "vi", "zo", "da", "lu"),
     "cyrillic": ("ба", "бе", "до", "фа", "га", "ка", "ке", "ла", "ле", "ли", "ма", "ме", "ми", "на", "не", "но", "ра", "ре", "ри", "ро", "са", "се", "та", "те", "ти", "то", "ва", "ве", "ви", "зо", "да", "лу"),
-    "greek": ("βα", "βε", "δο", "φα", "γα", "κα", "κε", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "νο", "ρα", "ρε", "ρι", "ρο", "σα", "σε", "τα", "τε", "τι", "το", "βα", "βι", "ζο", "δα", "λυ", "πε"),
+    "greek": ("βα", "βε", "δο", "φα", "γα", "κα", "κε", "λα", "λε", "λι", "μα", "με", "μι", "να", "νε", "νο", "ρα", "ρε", "ρι", "ρο", "σα", "σε", "τα", "τε", "τι", "το", "βο", "βι", "ζο", "δα", "λυ", "πε"),
+    "cjk": tuple("安白成春大方光海和华吉江金兰林明宁平青仁山石水天文西小星雪永玉云"),
+    "hangul": tuple("가나다라마바사아자차하고노도로모보소오조호구누두루무부수우주후기"),
+    "katakana": tuple("アイウエカキクケサシスセタチツテナニネノハヒフヘマミムメラリルレ"),
+    "hiragana": tuple("あいうえかきくけさしすせたちつてなにねのはひふへまみむめらりるれ"),
+    "arabic": ("با", "بي", "تا", "تي", "جا", "حا", "دا", "دي", "را", "ري", "زا", "سا", "سي", "شا", "صا", "طا", "عا", "غا", "فا", "في", "قا", "كا", "كي", "لا", "لي", "ما", "مي", "نا", "ني", "ها", "وا", "يا"),
+    "hebrew": ("בא", "בי", "גא", "גי", "דא", "די", "הא", "וא", "זא", "זי", "חא", "טא", "יא", "כא", "כי", "לא", "לי", "מא", "מי", "נא", "ני", "סא", "סי", "עא", "פא", "פי", "צא", "קא", "רא", "רי", "שא", "תא"),
 }
-ENDINGS = {("f", "latin"): "na", ("m", "latin"): "n", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("f", "greek"): "να", ("m", "greek"): "ς"}
+ENDINGS = {
+    "latin": ("na", "n"), "cyrillic": ("на", "н"), "greek": ("να", "ς"), "cjk": ("娜", "龙"), "hangul": ("희", "준"), "katakana": ("コ", "ロウ"), "hiragana": ("こ", "ろう"), "arabic": ("ة", "ن"), "hebrew": ("ית", "ן"),
+}
 _CAP = r"[^\W\d_a-zа-яα-ω]"
 _NAME = rf"(?:{_CAP}[^\W\d_]*(?:['’-]{_CAP}[^\W\d_]+)+|{_CAP}[^\W\d_]+)"
 _PART = re.compile(r"[^\W\d_]+")
@@ -100,15 +105,29 @@ def _valid(kind: str, value: str) -> bool:
     return kind != "phone" or 7 <= sum(c.isdigit() for c in value) <= 15
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def script_of(word: str) -> str:
+    """The script of a word's first letter, by its Unicode name."""
+    head = unicodedata.name(word[0], "").split(" ")[0].split("-")[0].lower()
+    return head if head in SYLLABLES else "latin"
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of a text's entities in order, not overlapping. A person's kind also has gender and script."""
+    """(start, end, kind, value) of a text's entities in order, not overlapping. A person's kind also has the gender.
+
+    Each kind's matches are in order and so is what earlier kinds took, so one pass over both finds the overlaps.
+    """
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern in PATTERNS.items():
+        at, fresh = 0, []
         for m in pattern.finditer(text):
             start, end = m.span(1)
-            if _valid(kind, m[1]) and not any(a < end and start < b for a, b, _, _ in found):
-                full = kind if kind != "person" else "person:" + ":".join(_TITLE[m[0][: m.start(1) - m.start(0)].rstrip(" .")])
-                found.append((start, end, full, m[1]))
+            while at < len(found) and found[at][1] <= start:
+                at += 1
+            if (at == len(found) or found[at][0] >= end) and _valid(kind, m[1]):
+                full = kind if kind != "person" else "person:" + _TITLE[m[0][: m.start(1) - m.start(0)].rstrip(" .")]
+                fresh.append((start, end, full, m[1]))
+        found = sorted(found + fresh) if fresh else found
     return sorted(found + _mentions(text, found))
 
 
@@ -118,7 +137,7 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
     for _, end, kind, value in sorted(x for x in found if x[2].startswith("person")):
         for word in value.split(" "):
             for part in {word, *_PART.findall(word)}:
-                if len(part) > 1 and not part.endswith("."):
+                if not _is_initial(part) and not part.endswith("."):
                     for spelled in (part, part.upper()):
                         first.setdefault(spelled, (end, kind))
     if not first:
@@ -135,19 +154,24 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
 
 
 def entities_of(kind: str, value: str) -> list[tuple[str, str]]:
-    """(kind, plain form) of what gets a surrogate: of a person, each part of the name but initials, in lower case; of a phone
+    """(kind, plain form) of what gets a surrogate: of a person, each part of the name but initials, in lower case, the kind with its script; of a phone
     number, all digits with the country's; of a card, its digits. Digits of any script are 0 to 9."""
     if kind.startswith("person"):
-        return [(kind, part.lower()) for part in _PART.findall(value) if len(part) > 1]
+        return [(f"{kind}:{script_of(part)}", part.lower()) for part in _PART.findall(value) if not _is_initial(part)]
     if kind in ("phone", "card"):
         digits = "".join(c for c in plain(value) if c.isdigit())
         return [(kind, digits if kind == "card" or value[0] == "+" else "1" + digits)]
     return [(kind, plain(value))]
 
 
+def _is_initial(part: str) -> bool:
+    """A lone letter of a script that has capitals; in others one letter may be a whole name."""
+    return len(part) == 1 and part.lower() != part.upper()
+
+
 def _initial(key: bytes, kind: str, letter: str) -> str:
     """Another letter of the alphabet; different letters get different ones."""
-    letters = {"latin": _CLASSES[2], "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}[kind.split(":")[2]]
+    letters = {"cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}.get(script_of(letter), _CLASSES[2])
     at = letters.index(letter) if letter in letters else ord(letter)
     turn = int.from_bytes(hashlib.blake2b(kind.encode(), key=key, digest_size=8).digest()) % (len(letters) - 1) + 1
     return letters[(at + turn) % len(letters)]
@@ -158,10 +182,10 @@ def laid(key: bytes, kind: str, value: str, known: dict[tuple[str, str], str]) -
     if kind.startswith("person"):
 
         def part(m: re.Match) -> str:
-            if len(m[0]) == 1:
+            if _is_initial(m[0]):
                 return _initial(key, kind, m[0])
-            new = known[kind, m[0].lower()]
-            return new.upper() if m[0].isupper() else new.capitalize()
+            new = known[f"{kind}:{script_of(m[0])}", m[0].lower()]
+            return new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize()
 
         return _PART.sub(part, value)
     new = known[entities_of(kind, value)[0]]
@@ -246,10 +270,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         _, gender, script = kind.split(":")
         syllables, parts = SYLLABLES[script], []
         drawn = int.from_bytes(hashlib.blake2b(f"{label}|{value}".encode(), key=key, digest_size=64).digest())
-        for _ in range(3 + min(attempt // LONGER, 8)):
+        for _ in range((2 if script == "cjk" else 3) + min(attempt // LONGER, 8)):
             drawn, digit = divmod(drawn, len(syllables))
             parts.append(syllables[digit])
-        return "".join(parts) + ENDINGS[gender, script]
+        return "".join(parts) + ENDINGS[script][gender == "m"]
     return _reshaped(key, label, value)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,8 +14,16 @@ from tessera.session import prepare, table
 SPAM_LABELS = r"(^|[.-])(ads|bets|casino|loans|pills|track)([.-]|$)"
 TOKEN_LIMIT = 2048
 QUALITY_LEAST = 0.3
-#: A stand-in; a deployment passes its own secret.
-PII_KEY = b"replace-this-key-in-production"
+#: The Spark setting that holds the key of the PII surrogates, and a public stand-in for test corpora where it is not set.
+PII_SETTING, PII_KEY = "spark.tessera.pii.key", b"replace-this-key-in-production"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's own secret. Without one the stand-in, from which surrogates can be recomputed: for test corpora only."""
+    held = spark.conf.get(PII_SETTING, None)
+    if not held:
+        warnings.warn(f"{PII_SETTING} is not set: surrogates are made with a public key", stacklevel=2)
+    return held.encode() if held else PII_KEY
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +46,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "replaced")
+    return pii.pseudonymise(_documents(spark, sf_dir), pii_key(spark)).select("doc_id", "text", "replaced")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
