@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import neardup, packing, pii, quality
-from tessera.llm.queries import PII_KEY, QUALITY_LEAST
+from tessera.llm.queries import QUALITY_LEAST, pii_key
 from tessera.session import materialised, prepare, table
 
 
@@ -28,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for their PII; n_chars follows the new text."""
     prepare(spark)
-    changed = pii.pseudonymise(docs, PII_KEY, replaced=None)
+    changed = pii.pseudonymise(docs, pii_key(spark), replaced=None)
     return changed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
