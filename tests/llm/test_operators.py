@@ -6,6 +6,7 @@ import itertools
 import random
 import wave
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -238,6 +239,28 @@ def test_fingerprint_is_homomorphic(spark):
     assert r.x == r.y == r.uv and r.x_v == r.u != r.x
 
 
+def test_likeness_counts_copies(spark):
+    """Against the exact share of clauses, counted with copies: runs of m equal lines of which one text lacks half."""
+    r, rows = random.Random(11), []
+    for m in (1, 2, 5, 10, 100):
+        for i in range(12):
+            whole = [f"{m} {i} {j // m} {r.random()}" if m == 1 else f"{m} {i} {j // m}" for j in range(400)]
+            rows.append((m, "\n".join(whole), "\n".join(x for j, x in enumerate(whole) if j % m < m / 2 and (m > 1 or j % 2))))
+    rows += [(0, "a\n" * 65536, "b")] * 5
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(spark.createDataFrame(rows, "m int, x string, y string").repartition(4), "x", "fx"), "y", "fy")
+    got = {}
+    for q in df.select("m", "x", "y", fingerprint.likeness(F.col("fx"), F.col("fy")).alias("near")).collect():
+        one, two = (Counter(t.split("\n")) for t in (q.x, q.y))
+        right = 2 * sum((one & two).values()) / (sum(one.values()) + sum(two.values()))
+        got.setdefault(q.m, []).append((q.near, right))
+    assert max(near for near, _ in got.pop(0)) < 0.7  # none shared: 0 but for the error of one drawn clause
+    for m, pairs in got.items():
+        near, right = np.array(pairs).T
+        apart = 1 - right
+        assert np.all(np.abs(near - right) <= 0.85 * apart), m  # over 4 standard errors
+        assert abs(near.mean() - right.mean()) < 0.25 * apart.mean(), m
+
+
 def test_next_rows_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     ids = random.Random(2).sample(range(10**12), 100)
