@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm import bpe, fingerprint, media, neardup, packing, pii, quality, sharding, tokencount, urlfilter
 from tessera.session import prepare, table
 
-#: Domains whose labels name what is advertised; a host that has one is on the block list.
+#: Labels that name what is advertised; a host that has one is on the block list, beside those that show less text than markup.
 SPAM_LABELS = r"(^|[.-])(ads|bets|casino|loans|pills|track)([.-]|$)"
 TOKEN_LIMIT = 2048
 QUALITY_LEAST = 0.3
@@ -57,15 +57,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), F.col("host").rlike(SPAM_LABELS)).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    listed = urlfilter.listed_hosts(pages, SPAM_LABELS)
+    return urlfilter.judge(pages.select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP5_SQL = f"""
 WITH cut AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+listed AS (
+  SELECT host AS key FROM parts GROUP BY host HAVING regexp_matches(host, '{SPAM_LABELS}')
+    OR coalesce(2 * sum(length(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', '', 'g'))) < sum(length(html)), false)),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -75,7 +80,7 @@ ruled AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '{SPAM_LABELS}') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN host IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
 

@@ -16,7 +16,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.session import materialised
+from tessera.session import few_files, materialised
 
 #: Longest wins: (host, path, verdict).
 RULES = (
@@ -106,9 +106,9 @@ def build_cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade |
     """From (key string, listed boolean), one row per distinct key. None if the filters would exceed ``max_bytes``.
 
     Levels are salted by their number, so each holds about half of the false positives of the one before; the loop ends when
-    none is left. Null keys are left out.
+    none is left. Null keys are left out. The universe should be a written table, as each level reads it.
     """
-    keys = materialised(universe.filter(F.col("key").isNotNull()))
+    keys = universe.filter(F.col("key").isNotNull())
     sizes = {row["listed"]: row["count"] for row in keys.groupBy("listed").count().collect()}
     listed, others = sizes.get(True, 0), sizes.get(False, 0)
     if not listed:
@@ -127,17 +127,31 @@ def build_cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade |
         levels.append(_level(remain[side], n, len(levels) + 1, 0.5))
 
 
-def judge(pages: DataFrame, listed: Column, url: str = "url", rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
+def listed_hosts(pages: DataFrame, labels: str, url: str = "url", html: str = "html") -> DataFrame:
+    """(key): the distinct hosts of ``pages`` that go on the block list.
+
+    A host is listed if one of its labels matches ``labels``, or if its pages together show less text than markup: tags,
+    scripts and styles are more than half of their characters. Pages without a text count nothing. An empty table lists nothing.
+    """
+    shown = F.length(F.regexp_replace(F.col(html), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", ""))
+    sums = pages.groupBy(host_of(F.col(url)).alias("key")).agg(F.sum(F.length(F.col(html))).alias("whole"), F.sum(shown).alias("shown"))
+    return sums.filter(F.col("key").rlike(labels) | F.coalesce(2 * F.col("shown") < F.col("whole"), F.lit(False))).select("key")
+
+
+def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds host, path, rule (null: none fits) and verdict (allow or block).
 
-    ``listed`` is a boolean expression over column ``host`` that says which hosts of the universe, the distinct hosts of
-    ``pages``, are on the block list. It is evaluated once per distinct host; pages are judged by the cascade made from it.
-    A null url, or one without ``://``, has an empty host and path, which no rule fits and which is a key like any other.
-    Columns of ``pages`` named like an output are replaced; repeated rows are judged each.
+    ``listed`` (key) is the block list; a key that it repeats, or that no page has, or null, changes nothing. The universe is
+    the distinct hosts of ``pages``; a host of it is blocked exactly if it is listed. The list meets the universe once, to
+    build the cascade; pages are judged by the cascade alone. A null url, or one without ``://``, has an empty host and path,
+    which no rule fits and which is a key like any other. Very long urls are read whole. Columns of ``pages`` named like an
+    output are replaced; repeated rows are judged each; an empty table gives an empty result.
     """
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "__said", "__hit")]
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    universe = parts.select("host").distinct().select(F.col("host").alias("key"), F.coalesce(listed, F.lit(False)).alias("listed"))
+    marked = parts.select(F.col("host").alias("key"), F.lit(False).alias("listed"), F.lit(True).alias("here")).unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("here")))
+    universe = marked.groupBy("key").agg(F.max("listed").alias("listed"), F.max("here").alias("here")).filter("here").select("key", "listed")
+    universe = materialised(few_files(universe))
     cascade = build_cascade(universe, max_bytes)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parts.withColumns({"rule": rule, "__said": verdict})

@@ -198,14 +198,23 @@ def test_another_shard_moves_few_rows(spark):
 def test_urls(spark):
     urls = ["http://A.com/en/x", "https://example.com/en/1", "http://www.example.com/en/", "x://b.net/es/?q", "x://b.net/fr/", "x://b.net/de/", "x://com", None, "no scheme", "x://spam.org/", "x://spam.org/a", "x://s.com?x/", ""]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, F.col("host").contains("spam")).collect()}
+    listed = spark.createDataFrame([("spam.org",), ("spam.org",), ("not.here",), (None,)], "key string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, listed).collect()}
     assert got[0] == ("a.com", "/en/x", "com/", "allow") and got[1] == ("example.com", "/en/1", "example.com/en/", "block")
     assert got[2][2:] == ("www.example.com/en/", "allow") and got[3] == ("b.net", "/es/", "net/es/", "block") and got[4][2] == "net/fr/"
     assert got[5][2:] == (None, "allow") and got[6] == ("com", "", None, "allow") and got[7] == ("", "", None, "allow") == got[8]
     assert got[9] == ("spam.org", "/", None, "block") == got[10][:1] + ("/",) + got[10][2:] and got[11] == ("s.com", "", None, "allow")
-    by_join = {r.page_id: r.verdict for r in urlfilter.judge(pages, F.col("host").contains("spam"), max_bytes=-1).collect()}
+    by_join = {r.page_id: r.verdict for r in urlfilter.judge(pages, listed, max_bytes=-1).collect()}
     assert by_join == {k: v[3] for k, v in got.items()}
-    assert urlfilter.judge(pages.limit(0), F.col("host").contains("spam")).count() == 0
+    assert urlfilter.judge(pages.limit(0), listed).count() == 0
+    assert {r.verdict for r in urlfilter.judge(pages.withColumn("__hit", F.lit(1)).filter("rule is null or page_id > 8"), listed.limit(0)).collect()} == {"allow"}
+
+
+def test_block_list_comes_from_the_pages(spark):
+    rows = [("x://a.org/1", "<p>" + "text " * 20), ("x://a.org/2", "<a href=''>" * 20 + "hm"), ("x://b.org", "<a href=''>" * 20 + "hm"), ("x://m.casino-win.org", "<p>" + "text " * 20), ("x://casinos.org", None), (None, "<script>var a = 1 < 2;</script>t"), ("x://c.org", "")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert {r.key for r in urlfilter.listed_hosts(pages, r"(^|[.-])casino([.-]|$)").collect()} == {"a.org", "b.org", "m.casino-win.org", ""}
+    assert urlfilter.listed_hosts(pages.limit(0), "x").count() == 0
 
 
 def test_cascade_is_exact(spark):
