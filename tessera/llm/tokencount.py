@@ -2,11 +2,12 @@
 
 The distinct pre-tokens of the corpus are counted with partial sums in each task and encoded once each. Those that hold at
 least one in HEAD_SHARE of all occurrences are at most HEAD_SHARE many, whatever the corpus; their piece counts are
-broadcast, so the words that every text repeats never meet in one task. All others go through a shuffle join.
+broadcast, long ones under their digest, so what every text repeats never meets in one task. All others go through a shuffle join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from tessera.llm.common import OUT_ROWS, require
 from tessera.llm.wordbpe import pre_tokens, word_encoder
 from tessera.session import few_files, materialised
 
-#: At most so many pre-tokens are broadcast, each of at most HEAD_CHARS characters.
+#: At most so many pre-tokens are broadcast; those of more than HEAD_CHARS characters as an MD5 digest.
 HEAD_SHARE, HEAD_CHARS = 1 << 19, 48
 #: Distinct pre-tokens that a task sums before it passes them on.
 PARTIAL_ENTRIES = 200_000
@@ -58,15 +59,16 @@ def vocabulary_counts(texts: DataFrame, vocabulary: str, text: str = "text") ->
 def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: ``key``, n_bytes (UTF-8) and n_tokens, both long.
 
-    Null and empty texts have no bytes and no tokens. Rows that repeat, or share a key, are counted each. Columns other than
-    the key and the text are not read. An empty table gives an empty result.
+    Null and empty texts have no bytes and no tokens; very long ones are counted whole. Rows that repeat, or share a key, are
+    counted each. Columns other than the key and the text are not read. An empty table gives an empty result.
     """
     require(df, key, text)
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     counts = materialised(few_files(vocabulary_counts(texts, vocabulary)))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    in_head = (F.col("n") * HEAD_SHARE >= total) & (F.length("piece") <= HEAD_CHARS)
-    head = {row.piece: row.tokens for row in counts.filter(in_head).select("piece", "tokens").toLocalIterator()}
+    in_head = F.col("n") * HEAD_SHARE >= total
+    short = F.length("piece") <= HEAD_CHARS
+    head = {row.name or bytes(row.digest): row.tokens for row in counts.filter(in_head).select(F.when(short, F.col("piece")).alias("name"), F.when(~short, F.unhex(F.md5(F.col("piece").cast("binary")))).alias("digest"), "tokens").toLocalIterator()}
     shared = df.sparkSession.sparkContext.broadcast(head)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,7 @@ def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                 for name, value in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
                     value, tokens = value or "", 0
                     for piece, n in Counter(pre_tokens(value)).items():
-                        each = known.get(piece)
+                        each = known.get(piece if len(piece) <= HEAD_CHARS else hashlib.md5(piece.encode()).digest())
                         if each is None:
                             keys.append(name), rows.append(row), pieces.append(piece), sizes.append(0), amounts.append(n)
                         else:
