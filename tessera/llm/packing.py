@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tessera.llm.common import OUT_ROWS, require
 from tessera.llm.wordbpe import word_encoder
 
-#: Windows of a block, tokens that a block leaves free in all, and tokens of a piece at most.
-BLOCK_WINDOWS, BLOCK_SLACK, PIECE_TOKENS = 64, 2048, 512
+#: Windows of a block, tokens that a block leaves free in all, tokens of a piece at most, and of a bundle at least.
+BLOCK_WINDOWS, BLOCK_SLACK, PIECE_TOKENS, BUNDLE_TOKENS = 64, 2048, 512, 16
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -63,6 +63,23 @@ def differencing(sizes: list[int], k: int) -> np.ndarray:
     return window[:n]
 
 
+def bundles(sizes: list[int]) -> np.ndarray:
+    """The bundle (from 0) of each size: pieces under BUNDLE_TOKENS are put together, in order, until they have as many; any
+    other is a bundle of its own. So a block of tiny pieces has few partial partitions to merge."""
+    at, open_, held, out = -1, -1, 0, np.empty(len(sizes), dtype=np.int64)
+    for i, size in enumerate(sizes):
+        if size >= BUNDLE_TOKENS or open_ < 0:
+            at += 1
+            out[i] = at
+            if size < BUNDLE_TOKENS:
+                open_, held = at, size
+            continue
+        out[i], held = open_, held + size
+        if held >= BUNDLE_TOKENS:
+            open_ = -1
+    return out
+
+
 def pack_block(sizes: list[int], capacity: int) -> tuple[np.ndarray, int]:
     """Windows of the sizes, and their count: the least that the total allows, raised while one exceeds the capacity."""
     k = max(1, -(-sum(sizes) // capacity))
@@ -88,7 +105,7 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2,
     """One row per piece: ``key``, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long but the key).
 
     A document's tokens are its ids by the tokenizers library without added special tokens, then ``end_id``; null and
-    empty texts have that one token. A long text fills several pieces and may span blocks. Repeated rows are packed each.
+    empty texts have that one token, and are put in bundles of BUNDLE_TOKENS before they are merged. A long text fills several pieces and may span blocks. Repeated rows are packed each.
     ``sequence_id`` is unique in the result, not gapless; offsets in a sequence are gapless from 0. Columns of ``df`` other
     than the key and the text are not read. An empty table gives an empty result.
     """
@@ -108,7 +125,10 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2,
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows, used, sequences
-            window, k = pack_block([r[2] for r in rows], capacity)
+            sizes = [r[2] for r in rows]
+            bundle = bundles(sizes)
+            window, k = pack_block(np.bincount(bundle, weights=sizes).astype(int).tolist(), capacity)
+            window = window[bundle]
             fill, made = np.zeros(k, dtype=np.int64), []
             for row, w in zip(rows, window.tolist(), strict=True):
                 made.append((*row, sequences + w, int(fill[w])))
