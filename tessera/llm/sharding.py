@@ -63,9 +63,9 @@ def deal(counts: list[int], owner: list[int], loads: list[int]) -> list[tuple[in
     return runs
 
 
-def arc_of(key: Column, ends: list[int]) -> Column:
-    """The index of the first of the sorted points that is not below the key's hash; behind the last one, 0."""
-    table, spot = F.lit(np.asarray(ends, dtype=np.int64)), F.xxhash64(key)
+def arc_of(spot: Column, ends: list[int]) -> Column:
+    """The index of the first of the sorted points that is not below the hash ``spot``; behind the last one, 0."""
+    table = F.lit(np.asarray(ends, dtype=np.int64))
 
     def halve(state: Column, _: Column) -> Column:
         middle = F.shiftright(state["lo"] + state["hi"], 1)
@@ -80,24 +80,26 @@ def arc_of(key: Column, ends: list[int]) -> Column:
 def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to every row.
 
-    The arc is found from ``key`` (nulls: one arc of their own); rows of one arc are ranked by the key's hash, the key and
-    the ``order`` columns, so equal rows may swap places and nothing else can. Rows that repeat are placed each. Columns of
-    ``df`` named like an output are replaced. An empty table gives an empty table.
+    The arc is found from ``key``, of rows without a key from the ``order`` columns, so that these spread too; rows of one arc
+    are ranked by the key's hash, the key and the ``order`` columns, so equal rows may swap places and nothing else can. Rows
+    that repeat are placed each. Other columns, very long texts among them, move with their row and are not read. Columns of
+    ``df`` named like an output are replaced; its other names can't clash. An empty table gives an empty table.
     """
     require(df, key, *order)
     placed_at = points(shards, virtual_nodes)
     ends, owner = [p for p, _ in placed_at], [s for _, s in placed_at]
+    kept = without(df, ["shard", "slot"])
+    named = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate((key, *order))])
+    wanted = [f"o{i}" for i in range(len(order) + 1)]
+    rows = named.withColumn("hash", F.when(F.col("o0").isNotNull(), F.xxhash64("o0")).otherwise(F.xxhash64(F.lit("no key"), *wanted[1:]))).withColumn("arc", arc_of(F.col("hash"), ends))
     counts = [0] * len(owner)
-    for row in df.groupBy(arc_of(F.col(key), ends).alias("arc")).count().collect():  # one row per arc at most
+    for row in rows.groupBy("arc").count().collect():  # one row per arc at most
         counts[row["arc"]] = row["count"]
     total = sum(counts)
     loads = [total // shards + (s < total % shards) for s in range(shards)]
     runs = deal(counts, owner, loads)
     # Runs are at most arcs + shards x arcs passed; each arc splits only where a shard fills up, so they stay near the arc count.
-    table = df.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "`__arc` int, `__first` long, `__end` long, `__shard` int, `__slot` long")
-    kept = without(df, ["shard", "slot", "__arc", "__rank"])
-    ranked = df.select(*[F.col(f"`{c}`") for c in kept], arc_of(F.col(key), ends).alias("__arc")).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy("__arc").orderBy(F.xxhash64(key), key, *order)).cast("long") - 1
-    )
-    placed = ranked.join(F.broadcast(table), "__arc").filter((F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")))
-    return placed.select(*[F.col(f"`{c}`") for c in kept], F.col("__shard").alias("shard"), (F.col("__slot") + F.col("__rank") - F.col("__first")).alias("slot"))
+    table = df.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "arc int, first long, end long, shard int, slot long")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("hash", *wanted)).cast("long") - 1)
+    placed = ranked.join(F.broadcast(table), "arc").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
