@@ -106,12 +106,19 @@ def test_token_counts(docs, empty, rows):
 
 
 def test_token_counts_without_a_head(docs, rows, monkeypatch):
-    monkeypatch.setattr(tokencount, "HEAD_CHARS", -1)  # every pre-token takes the shuffle join
+    monkeypatch.setattr(tokencount, "HEAD_SHARE", 0)  # every pre-token takes the shuffle join
     got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(docs.union(docs), P.path("word_bpe_49k.json")).collect()}
     assert got == {i: len(word_ids(t)) for i, t, *_ in rows}
     assert tokencount.count_tokens(docs.union(docs), P.path("word_bpe_49k.json")).count() == 2 * len(rows)
 
 
+def test_token_counts_of_a_frequent_long_word(spark):
+    long = "x" * 5000 + "yz" * 900
+    df = spark.createDataFrame([(i, f"{long} {i} alpha" if i % 3 else f"漢{'字' * 60} beta") for i in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, P.path("word_bpe_49k.json")).collect()}
+    assert got == {r.doc_id: len(word_ids(r.text)) for r in df.collect()}
+
+
 def test_packing_holds_every_id_once(docs, empty, rows):
     pieces = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
     by_doc = {}
@@ -134,6 +141,16 @@ def test_packing_holds_every_id_once(docs, empty, rows):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_tiny_documents(spark):
+    sizes = [1] * 40 + [600, 3, 20, 2, 15, 1]
+    at = packing.bundles(sizes)
+    loads = np.bincount(at, weights=sizes)
+    assert sorted(set(at)) == list(range(len(loads))) and len(loads) == 3 + 1 + 1 + 1 + 0 and all(x >= 16 for x in loads[:-1])
+    df = spark.range(300_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    got = packing.pack(df, P.path("word_bpe_49k.json")).groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("last"), F.countDistinct("offset").alias("places")).collect()
+    assert sum(r.n for r in got) == 300_000 and all(r.n == r.last + 1 == r.places <= 4096 for r in got) and len(got) <= 75
+
+
 def test_differencing_is_balanced():
     r = random.Random(3)
     for k in (1, 2, 5, 16):
@@ -171,6 +188,15 @@ def test_sharding_is_balanced_and_gapless(docs, empty):
     assert len(few) == len({r.shard for r in few})  # fewer rows than shards: one each
 
 
+def test_sharding_spreads_rows_without_a_key(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("arc"), F.col("id").alias("__first"), F.lit("x").alias("rank"))
+    got = sharding.shard(df, order=("arc",))
+    assert got.columns == ["doc_id", "arc", "__first", "rank", "shard", "slot"] and got.select("arc").distinct().count() == 3000
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {125}
+    before = {r.arc: r.shard for r in sharding.shard(df.limit(2900), order=("arc",)).collect()}
+    assert sum(r.shard != before[r.arc] for r in got.filter("arc < 2900").collect() if r.arc in before) < 900
+
+
 def test_ring_moves_little():
     ids = range(4000)
     spot = lambda i: zlib.crc32(str(i).encode())
@@ -191,7 +217,7 @@ def test_another_shard_moves_few_rows(spark):
     assert 0.03 < len(moved) / len(before) < 0.15  # one in 25 must move; full shards pass some more on
     ends = sharding.points(25, 256)
     assert [x for x in ends if x[1] < 24] == sharding.points(24, 256)
-    hashes = {r.doc_id: (r.h, r.arc) for r in df.limit(500).select("doc_id", F.xxhash64("doc_id").alias("h"), sharding.arc_of(F.col("doc_id"), [p for p, _ in ends]).alias("arc")).collect()}
+    hashes = {r.doc_id: (r.h, r.arc) for r in df.limit(500).select("doc_id", F.xxhash64("doc_id").alias("h"), sharding.arc_of(F.xxhash64("doc_id"), [p for p, _ in ends]).alias("arc")).collect()}
     assert all(arc == sum(p < h for p, _ in ends) % len(ends) for h, arc in hashes.values())
 
 
