@@ -91,7 +91,8 @@ def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shard
     kept = without(df, ["shard", "slot"])
     named = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate((key, *order))])
     wanted = [f"o{i}" for i in range(len(order) + 1)]
-    rows = named.withColumn("hash", F.when(F.col("o0").isNotNull(), F.xxhash64("o0")).otherwise(F.xxhash64(F.lit("no key"), *wanted[1:]))).withColumn("arc", arc_of(F.col("hash"), ends))
+    spot = F.when(F.col("o0").isNotNull(), F.xxhash64("o0")).otherwise(F.xxhash64(F.lit("no key"), *wanted[1:]))
+    rows = named.withColumn("arc", arc_of(spot, ends))
     counts = [0] * len(owner)
     for row in rows.groupBy("arc").count().collect():  # one row per arc at most
         counts[row["arc"]] = row["count"]
@@ -100,6 +101,6 @@ def shard(df: DataFrame, key: str = "doc_id", order: tuple[str, ...] = (), shard
     runs = deal(counts, owner, loads)
     # Runs are at most arcs + shards x arcs passed; each arc splits only where a shard fills up, so they stay near the arc count.
     table = df.sparkSession.createDataFrame(runs or [(0, 0, 0, 0, 0)], "arc int, first long, end long, shard int, slot long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("hash", *wanted)).cast("long") - 1)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy(spot, *wanted)).cast("long") - 1)
     placed = ranked.join(F.broadcast(table), "arc").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "shard", (F.col("slot") + F.col("rank") - F.col("first")).alias("slot"))
