@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: White space of any script, as Java and RE2 both read it.
+BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ENDS = f"^{BLANK}+|{BLANK}+$"
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 
 
@@ -55,3 +58,8 @@ def directory(path: Column) -> Column:
 def truncated(text: Column, limit: int, note: str = "") -> Column:
     """The head of a text that is longer than ``limit``, with a note; shorter ones as they are."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(note))).otherwise(text)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at either end; Spark's ``trim`` takes blanks only."""
+    return F.regexp_replace(text, ENDS, "")

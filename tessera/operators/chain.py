@@ -1,20 +1,18 @@
-"""Hash-chained records: sealing, parallel verification, erasure, redaction."""
+"""Hash-chained records: sealing, parallel verification, signatures, erasure and redaction, decision records."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GENESIS = "0" * 64
-
-
-def digest(previous: Column, sequence: Column, payload: Column) -> Column:
-    """sha256 of the previous digest, the sequence and the payload, a line each."""
-    return F.sha2(F.concat_ws("\n", previous, sequence.cast("string"), payload).cast("binary"), 256)
+# The key of a tombstone, and the fields of a record that name a subject.
+TOMBSTONE, SUBJECT_FIELDS = "tombstone", ("project", "merge_request")
 
 
 def canonical(payload: str) -> str:
@@ -22,22 +20,25 @@ def canonical(payload: str) -> str:
     return json.dumps(json.loads(payload), sort_keys=True, separators=(",", ":"))
 
 
-def blake_digest(previous: str, sequence: int, payload: str) -> str:
-    return hashlib.blake2b(f"{previous}\n{sequence}\n{canonical(payload)}".encode(), digest_size=32).hexdigest()
+def record_digest(previous: str, sequence: int, payload: str, algorithm: str = "blake2b") -> str:
+    """The digest of the previous digest, the sequence and the canonical payload, a line each: 256 bits of BLAKE2b, or ``sha256``."""
+    text = f"{previous}\n{sequence}\n{canonical(payload)}".encode()
+    return hashlib.blake2b(text, digest_size=32).hexdigest() if algorithm == "blake2b" else hashlib.new(algorithm, text).hexdigest()
+
 
+def _digest_or_none(previous, sequence, payload, algorithm: str) -> str | None:
+    try:
+        return record_digest(previous, int(sequence), payload, algorithm)
+    except (TypeError, ValueError):
+        return None
 
-def with_blake(df: DataFrame, previous: str, sequence: str, payload: str, out: str) -> DataFrame:
-    """Adds the blake2b digest of canonical JSON, which Spark has no function for, in Arrow batches; null where the payload is no JSON."""
+
+def with_digest(df: DataFrame, previous: str, sequence: str, payload: str, out: str, algorithm: str = "blake2b") -> DataFrame:
+    """Adds the digest that a record should have, in Arrow batches; null where the payload is no JSON."""
 
     @F.pandas_udf("string")
     def made(p: pd.Series, s: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y, z):
-            try:
-                return blake_digest(x, int(y), z)
-            except (TypeError, ValueError):
-                return None
-
-        return pd.Series([one(*row) for row in zip(p, s, b, strict=True)], dtype=object)
+        return pd.Series([_digest_or_none(*row, algorithm) for row in zip(p, s, b, strict=True)], dtype=object)
 
     return df.withColumn(out, made(F.col(previous), F.col(sequence), F.col(payload)))
 
@@ -50,63 +51,93 @@ def canonical_json(payload: Column) -> Column:
     return made(payload)
 
 
-def seal(records: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
-    """Adds sequence, previous and digest (sha256) along each chain. Each digest needs the one before, so a chain is a fold over
-    its ordered payloads, inside the JVM; chains are sealed side by side."""
-    items = records.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("items"))
-    shape = "array<struct<o:" + dict(records.dtypes)[order] + ",sequence:bigint,previous:string,digest:string,payload:string>>"
-    start = F.struct(F.lit(GENESIS).alias("last"), F.lit(0).cast("long").alias("n"), F.array().cast(shape).alias("rows"))
-
-    def step(state, item):
-        n = state["n"] + 1
-        made = digest(state["last"], n, item["p"])
-        row = F.struct(item["o"].alias("o"), n.alias("sequence"), state["last"].alias("previous"), made.alias("digest"), item["p"].alias("payload"))
-        return F.struct(made.alias("last"), n.alias("n"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    folded = items.select(chain, F.explode(F.aggregate("items", start, step, lambda s: s["rows"])).alias("r"))
-    return folded.select(chain, F.col("r.o").alias(order), "r.sequence", "r.previous", "r.digest", "r.payload")
+def signature(key: bytes, value: str) -> str:
+    return hmac.new(key, value.encode(), hashlib.sha256).hexdigest()
 
 
-def checked(entries: DataFrame, chain: str, position: str) -> DataFrame:
-    """Adds place and reason (null, link, sequence, digest) to every record. Each record is checked against its own predecessor
-    only, so a chain is verified in parallel."""
+def seal(records: DataFrame, chain: str, order: str, payload: str, algorithm: str = "blake2b", signer: tuple[str, bytes] | None = None, after: DataFrame | None = None) -> DataFrame:
+    """(chain, order, sequence, previous, digest, signature, key_id, payload): records sealed along each chain.
+
+    Each digest needs the one before, so a chain is read in order inside one task, chains side by side; a task holds one Arrow
+    batch and the last digest, however long a chain is. ``after`` (chain, sequence, digest) are the ends of chains that are
+    continued. A payload that is no JSON fails the job: it can't be sealed.
+    """
+    kinds = dict(records.dtypes)
+    rows = records.select(F.col(chain).alias("c"), F.col(order).alias("o"), F.col(payload).alias("p"))
+    if after is not None:
+        rows = rows.join(after.select(F.col(chain).alias("c"), F.col("sequence").alias("n"), F.col("digest").alias("d")), "c", "left")
+    else:
+        rows = rows.withColumns({"n": F.lit(None).cast("long"), "d": F.lit(None).cast("string")})
+
+    def run(batches):
+        held, n, last = object(), 0, GENESIS
+        for pdf in batches:
+            out = []
+            for c, o, p, n0, d0 in zip(pdf["c"], pdf["o"], pdf["p"], pdf["n"], pdf["d"], strict=True):
+                if c != held:
+                    held, n, last = c, 0 if pd.isna(n0) else int(n0), d0 or GENESIS
+                n += 1
+                digest = record_digest(last, n, p, algorithm)
+                out.append((c, o, n, last, digest, signature(signer[1], digest) if signer else "", signer[0] if signer else "", p))
+                last = digest
+            yield pd.DataFrame(out, columns=["c", "o", "sequence", "previous", "digest", "signature", "key_id", "payload"])
+
+    schema = f"c {kinds[chain]}, o {kinds[order]}, sequence long, previous string, digest string, signature string, key_id string, payload string"
+    sealed = rows.repartition("c").sortWithinPartitions("c", "o").mapInPandas(run, schema)
+    return sealed.withColumnsRenamed({"c": chain, "o": order})
+
+
+def checked(entries: DataFrame, chain: str, position: str, algorithm: str = "blake2b", keys: dict[str, bytes] | None = None) -> DataFrame:
+    """Adds place, accepted and reason (null, link, sequence, digest, signature) to every record. Each record is checked against
+    its own predecessor only, so a chain is verified in parallel."""
     order = Window.partitionBy(chain).orderBy(position)
-    placed = entries.withColumns({"place": F.row_number().over(order), "__before": F.lag("digest", 1, GENESIS).over(order)})
-    reason = F.when(F.col("previous") != F.col("__before"), "link").when(F.col("sequence") != F.col("place"), "sequence").when(F.col("digest") != digest(F.col("previous"), F.col("sequence"), F.col("payload")), "digest")
-    return placed.withColumn("reason", reason).drop("__before")
-
-
-def verify(entries: DataFrame, chain: str, position: str, expect_at_least: DataFrame | None = None) -> DataFrame:
-    """Per chain: n, status, broken_at and reason of the first record that does not hold. ``expect_at_least`` (chain, least) is an
-    outside count; without it a chain that lost its end still holds."""
-    out = checked(entries, chain, position).groupBy(chain).agg(F.count("*").alias("n"), F.min(F.when(F.col("reason").isNotNull(), F.struct("place", "reason"))).alias("first"))
+    placed = with_digest(check_signatures(entries, keys), "previous", "sequence", "payload", "__right", algorithm)
+    placed = placed.withColumns({"place": F.row_number().over(order), "__before": F.lag("digest", 1, GENESIS).over(order)})
+    reason = (
+        F.when(F.col("previous") != F.col("__before"), "link")
+        .when(F.col("sequence") != F.col("place"), "sequence")
+        .when(~F.col("digest").eqNullSafe(F.col("__right")), "digest")
+        .when(~F.coalesce("accepted", F.lit(True)), "signature")
+    )
+    return placed.withColumn("reason", reason).drop("__before", "__right")
+
+
+def verify(entries: DataFrame, chain: str, position: str, expect_at_least: DataFrame | None = None, algorithm: str = "blake2b", keys: dict[str, bytes] | None = None) -> DataFrame:
+    """Per chain: n, signed, unheld (key names), status, broken_at and reason of the first record that does not hold.
+
+    tampered: a record does not hold, or the chain is shorter than ``expect_at_least`` (chain, least) says from outside; without
+    that, a chain that lost its end still holds. unverifiable: the links hold, but signatures could not be judged: no key of
+    that name, or keys are given and a record is unsigned. intact: all else.
+    """
+    signed = F.coalesce(F.col("signature"), F.lit("")) != ""
+    rows = checked(entries, chain, position, algorithm, keys)
+    out = rows.groupBy(chain).agg(
+        F.count("*").alias("n"),
+        F.count_if(signed).alias("signed"),
+        F.array_sort(F.collect_set(F.when(signed & F.col("accepted").isNull(), F.col("key_id")))).alias("unheld"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct("place", "reason"))).alias("first"),
+    )
     if expect_at_least is not None:
         out = out.join(expect_at_least, chain, "left")
     short = F.coalesce(F.col("n") < F.col("least"), F.lit(False)) if expect_at_least is not None else F.lit(False)
     broken = F.when(F.col("first").isNotNull(), F.col("first.place")).when(short, F.col("n").cast("int"))
     reason = F.coalesce("first.reason", F.when(short, "truncated"))
-    return out.select(chain, "n", F.when(reason.isNull(), "intact").otherwise("tampered").alias("status"), broken.alias("broken_at"), reason.alias("reason"))
+    open_ = (F.size("unheld") > 0) if keys is None else ((F.size("unheld") > 0) | (F.col("signed") < F.col("n")))
+    status = F.when(reason.isNotNull(), "tampered").when(open_, "unverifiable").otherwise("intact")
+    return out.select(chain, "n", "signed", "unheld", status.alias("status"), broken.alias("broken_at"), reason.alias("reason"))
 
 
-def signature(key: bytes, value: str) -> str:
-    return hmac.new(key, value.encode(), hashlib.sha256).hexdigest()
-
-
-def check_signatures(entries: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+def check_signatures(entries: DataFrame, keys: dict[str, bytes] | None) -> DataFrame:
     """Adds accepted: true, false, or null where no key of that name is held or nothing is signed."""
+    held = keys or {}
+    if "signature" not in entries.columns:
+        entries = entries.withColumns({"signature": F.lit(""), "key_id": F.lit("")})
 
     @F.pandas_udf("boolean")
-    def held(d: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if not sig or name not in keys else hmac.compare_digest(signature(keys[name], value), sig) for value, sig, name in zip(d, s, k, strict=True)], dtype=object)
-
-    return entries.withColumn("accepted", held(F.col("digest"), F.col("signature"), F.col("key_id")))
-
+    def judged(d: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if not sig or name not in held else hmac.compare_digest(signature(held[name], value or ""), sig) for value, sig, name in zip(d, s, k, strict=True)], dtype=object)
 
-def signature_status(signed: DataFrame, chain: str) -> DataFrame:
-    """intact; unverifiable where a signing key is not held; tampered where one refuses; unsigned where there is none."""
-    a, is_signed = F.col("accepted"), F.coalesce(F.col("signature"), F.lit("")) != ""
-    refused, unheld = F.count_if(is_signed & ~a), F.count_if(is_signed & a.isNull())
-    return signed.groupBy(chain).agg(F.count_if(is_signed).alias("signed"), F.when(F.count_if(is_signed) == 0, "unsigned").when(refused > 0, "tampered").when(unheld > 0, "unverifiable").otherwise("intact").alias("status"))
+    return entries.withColumn("accepted", judged(F.col("digest"), F.col("signature"), F.col("key_id")))
 
 
 def is_older(stamp: Column, cutoff: Column) -> Column:
@@ -114,18 +145,84 @@ def is_older(stamp: Column, cutoff: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(stamp) < cutoff, F.lit(False))
 
 
+def is_tombstone(payload: Column) -> Column:
+    return F.coalesce(F.get_json_object(payload, f"$.{TOMBSTONE}").isNotNull(), F.lit(False))
+
+
 def erase(records: DataFrame, selected: Column, policy: str, when: str, payload: str = "payload") -> DataFrame:
-    """Replaces the payload of selected records by a tombstone; to be sealed again."""
-    stone = F.to_json(F.struct(F.lit(when).alias("erased_at"), F.lit(policy).alias("policy"), F.lit(True).alias("tombstone")))
-    return records.withColumn(payload, F.when(F.coalesce(selected, F.lit(False)), stone).otherwise(F.col(payload)))
+    """Replaces the payload of selected records, but tombstones, by a tombstone; to be sealed again."""
+    stone = F.to_json(F.struct(F.struct(F.lit(policy).alias("policy"), F.lit(when).alias("removed_at")).alias(TOMBSTONE)))
+    chosen = F.coalesce(selected, F.lit(False)) & ~is_tombstone(F.col(payload))
+    return records.withColumn(payload, F.when(chosen, stone).otherwise(F.col(payload)))
+
 
+def redact(records: DataFrame, selected: Column, policy: str, when: str, fields: tuple[str, ...] = SUBJECT_FIELDS, payload: str = "payload") -> DataFrame:
+    """Blanks the fields that name a subject, where a selected record has them, and stamps it; to be sealed again."""
 
-def redact(records: DataFrame, selected: Column, fields: tuple[str, ...], policy: str, when: str, payload: str = "payload") -> DataFrame:
-    """Blanks the given fields where a selected payload (a JSON object of strings) has them, and stamps it; to be sealed again."""
-    held = F.from_json(payload, "map<string,string>")
-    blanked = F.transform_values(held, lambda k, v: F.when(k.isin(*fields), F.lit("")).otherwise(v))
-    stamped = F.map_concat(F.map_filter(blanked, lambda k, v: ~k.isin("redacted_at", "redaction_policy")), F.create_map(F.lit("redacted_at"), F.lit(when), F.lit("redaction_policy"), F.lit(policy)))
-    return records.withColumn(payload, F.when(F.coalesce(selected, F.lit(False)), F.to_json(stamped)).otherwise(F.col(payload)))
+    @F.pandas_udf("string")
+    def made(p: pd.Series) -> pd.Series:
+        def one(text):
+            held = json.loads(text)
+            return json.dumps(held | {f: "" for f in fields if f in held} | {"redacted_at": when, "redaction_policy": policy}, sort_keys=True, separators=(",", ":"))
+
+        return p.map(lambda x: None if x is None else one(x))
+
+    chosen = F.coalesce(selected, F.lit(False)) & ~is_tombstone(F.col(payload))
+    return records.withColumn(payload, F.when(chosen, made(F.when(chosen, F.col(payload)))).otherwise(F.col(payload)))
+
+
+def rewrite(entries: DataFrame, chain: str, position: str, change: Callable[[DataFrame], DataFrame], algorithm: str = "blake2b", keys: dict[str, bytes] | None = None, signer: tuple[str, bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, outcome): a store whose records ``change`` has altered, each chain sealed again from its beginning.
+
+    outcome (chain, kept, changed, refused): a chain that does not verify, or is signed and could not be signed again, is left
+    as it is and named with the reason; so is one in which nothing changed, without a reason.
+    """
+    state = verify(entries, chain, position, None, algorithm, keys)
+    refused = (
+        F.when(F.col("status") == "tampered", F.concat(F.lit("record "), F.col("broken_at").cast("string"), F.lit(": "), "reason"))
+        .when((F.col("status") == "unverifiable") & (F.col("signed") > 0), "signatures could not be verified")
+        .when((F.col("signed") > 0) & F.lit(signer is None), "no key to sign the rewrite")
+    )
+    altered = change(entries).select(chain, position, F.col("payload").alias("__new"))
+    both = entries.join(altered, [chain, position])
+    counts = both.groupBy(chain).agg(F.count("*").alias("kept"), F.count_if(~F.col("payload").eqNullSafe(F.col("__new"))).alias("changed"))
+    outcome = state.join(counts, chain).select(chain, "kept", F.when(refused.isNull(), F.col("changed")).otherwise(0).alias("changed"), refused.alias("refused"))
+    rewritten = both.join(outcome.filter("refused is null and changed > 0").select(chain), chain, "left_semi").select(chain, position, F.col("__new").alias("payload"))
+    fresh = seal(rewritten, chain, position, "payload", algorithm, signer)
+    left = entries.join(outcome.filter("refused is not null or changed = 0").select(chain), chain, "left_semi")
+    for column in ("signature", "key_id"):
+        if column not in left.columns:
+            left = left.withColumn(column, F.lit(""))
+    return fresh.unionByName(left.select(*fresh.columns)), outcome
+
+
+def decisions(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run, payload): one decision record per run as canonical JSON, to be sealed.
+
+    runs: run, verdict, exit_code, project, merge_request, trace_id, recorded_at. findings: run, rule_id, file_path,
+    line_number, producer, blocks, directive (null: not suppressed), reason. Records hold rules and places, never source. A run
+    whose failing verdict nothing that may block stands behind is a record that says it is incomplete.
+    """
+    place = F.concat("file_path", F.lit(":"), F.col("line_number").cast("string"))
+    claim = F.struct(place.alias("location"), "producer", "rule_id")
+    stands = F.col("directive").isNull()
+    held = findings.groupBy("run").agg(
+        F.array_sort(F.collect_list(F.when(stands, claim))).alias("findings"),
+        F.array_sort(F.collect_list(F.when(stands & F.col("blocks"), claim))).alias("blocking"),
+        F.array_sort(F.collect_list(F.when(~stands, F.struct(place.alias("location"), F.coalesce("reason", F.lit("")).alias("reason"), F.col("directive").alias("rule_id"))))).alias("suppressions"),
+    )
+    rows = runs.join(held, "run", "left")
+    none = F.array().cast("array<struct<location:string,producer:string,rule_id:string>>")
+    blocking = F.when(F.col("verdict") == "fail", F.coalesce("blocking", none)).otherwise(none)
+    complete = (F.col("verdict") != "fail") | (F.size(blocking) > 0)
+    body = F.to_json(
+        F.struct(
+            blocking.alias("blocking"), complete.alias("completed"), "exit_code", F.when(~complete, "a failing verdict needs a finding that may block").otherwise("").alias("failure_reason"),
+            F.coalesce("findings", none).alias("findings"), "merge_request", "project", "recorded_at", F.coalesce("suppressions", F.array().cast("array<struct<location:string,reason:string,rule_id:string>>")).alias("suppressions"),
+            "trace_id", F.when(complete, F.col("verdict")).otherwise("warn").alias("verdict"),
+        )
+    )
+    return rows.select("run", body.alias("payload"))
 
 
 def fingerprint(*prompts: Column) -> Column:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-from tessera.operators.joins import lines_of
+from pyspark.sql import DataFrame, functions as F
 
 WINDOW, OVERLAP, SECTION_LINES, DUPLICATE_LINES = 40, 10, 80, 8
 HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
@@ -29,17 +30,39 @@ def windows(files: DataFrame, path: str = "path", text: str = "content", window:
     return out.filter(F.col("text").rlike(r"\S"))
 
 
+def per_file(files: DataFrame, path: str, text: str, cut: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """One row per tuple that ``cut`` makes of each file's text, behind its path. A file is read where it lies, in one Arrow pass."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *row) for p, t in zip(pdf["path"], pdf["content"], strict=True) for row in cut(t or "")]
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["path", *(c.split()[0] for c in schema.split(", "))]
+    kind = dict(files.dtypes)[path]
+    return files.select(F.col(path).alias("path"), F.col(text).alias("content")).mapInPandas(run, f"path {kind}, {schema}")
+
+
+_HEADING, _FENCE = re.compile(HEADING, re.ASCII), re.compile(r"\s*```", re.ASCII)
+
+
+def _sections(text: str, max_lines: int) -> Iterator[tuple]:
+    lines, fenced, starts = text.removesuffix("\n").split("\n"), False, [(0, "")]
+    for i, line in enumerate(lines):
+        fenced ^= bool(_FENCE.match(line))
+        title = None if fenced else _HEADING.match(line)
+        if title:
+            starts.append((i, title[1]))
+    for (first, name), (end, _) in zip(starts, [*starts[1:], (len(lines), "")], strict=True):
+        for at in range(first, end, max_lines):
+            block = "\n".join(lines[at : min(at + max_lines, end)])
+            if re.search(r"\S", block, re.ASCII):
+                yield at + 1, min(at + max_lines, end), block, name
+
+
 def markdown(files: DataFrame, path: str = "path", text: str = "content", max_lines: int = SECTION_LINES) -> DataFrame:
     """Sections: a heading outside fences and all up to the next, in blocks of ``max_lines``; blank blocks are left out."""
-    rows = lines_of(files.select(F.col(path).alias("path"), F.regexp_replace(text, r"\n$", "").alias("t")), "t", "path")
-    order = Window.partitionBy("path").orderBy("line")
-    fenced = F.count_if(F.col("body").rlike(r"^\s*```")).over(order) % 2 == 1
-    marked = rows.withColumn("is_heading", ~fenced & F.col("body").rlike(HEADING))
-    placed = marked.withColumn("section", F.count_if("is_heading").over(order))
-    begun = placed.withColumns({"first": F.min("line").over(Window.partitionBy("path", "section")), "title": F.max(F.when(F.col("is_heading"), F.regexp_extract("body", HEADING, 1))).over(Window.partitionBy("path", "section"))})
-    blocks = begun.withColumn("block", F.floor((F.col("line") - F.col("first")) / max_lines))
-    out = blocks.groupBy("path", "section", "block").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n").alias("text"), F.coalesce(F.max("title"), F.lit("")).alias("name"))
-    return out.filter(F.col("text").rlike(r"\S")).select("path", "start_line", "end_line", "text", "name")
+    return per_file(files, path, text, lambda t: _sections(t, max_lines), CHUNK.removeprefix("path string, "))
 
 
 def sources(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
@@ -78,29 +101,34 @@ def sources(files: DataFrame, path: str = "path", text: str = "content") -> Data
     return parsed.unionByName(windows(rest))
 
 
+def _repeats(text: str, size: int) -> Iterator[tuple]:
+    code = [(i, tidy) for i, line in enumerate(text.split("\n"), 1) if (tidy := " ".join(line.split())) and not tidy.startswith(("#", "//"))]
+    seen: dict[str, list[int]] = {}
+    for at in range(len(code) - size + 1):
+        block = "\n".join(tidy for _, tidy in code[at : at + size])
+        seen.setdefault(hashlib.md5(block.encode(), usedforsecurity=False).hexdigest(), []).append(code[at][0])
+    yield from ((digest, starts) for digest, starts in seen.items() if len(starts) > 1)
+
+
 def duplicate_blocks(files: DataFrame, path: str = "path", text: str = "content", size: int = DUPLICATE_LINES) -> DataFrame:
     """(path, hash, starts array<int>): runs of ``size`` normalised lines that a file has more than once. Comments and blanks are no lines."""
-    rows = lines_of(files.select(F.col(path).alias("path"), F.col(text).alias("t")), "t", "path")
-    tidy = F.trim(F.regexp_replace("body", r"\s+", " "))
-    code = rows.withColumn("tidy", tidy).filter((F.col("tidy") != "") & ~F.col("tidy").startswith("#") & ~F.col("tidy").startswith("//"))
-    run = Window.partitionBy("path").orderBy("line").rowsBetween(0, size - 1)
-    blocks = code.withColumn("block", F.collect_list("tidy").over(run)).filter(F.size("block") == size)
-    return blocks.groupBy("path", F.md5(F.array_join("block", "\n").cast("binary")).alias("hash")).agg(F.array_sort(F.collect_list("line")).alias("starts")).filter(F.size("starts") > 1)
+    return per_file(files, path, text, lambda t: _repeats(t, size), "hash string, starts array<int>")
+
+
+def _greedy(text: str, budget: int) -> Iterator[tuple]:
+    part, held, size = 0, [], 0
+    for line in text.split("\n"):
+        if held and size + len(line) + 1 > budget:
+            yield part, "\n".join(held)
+            part, held, size = part + 1, [], 0
+        held.append(line)
+        size += len(line) + 1
+    yield part, "\n".join(held)
 
 
 def greedy(files: DataFrame, path: str = "path", text: str = "content", budget: int = 2000) -> DataFrame:
-    """Consecutive lines up to ``budget`` characters each; a longer line stands alone. A fold over the line array, no shuffle."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def add(state, line):
-        fits = state["open"].isNotNull() & (F.length(state["open"]) + 1 + F.length(line) <= budget)
-        return F.struct(
-            F.when(fits | state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"),
-            F.when(fits, F.concat(state["open"], F.lit("\n"), line)).otherwise(line).alias("open"),
-        )
-
-    folded = F.aggregate(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
-    return files.select(F.col(path).alias("path"), F.posexplode(folded).alias("part", "text"))
+    """(path, part, text): consecutive lines of up to ``budget`` characters, each with its newline; a longer line stands alone."""
+    return per_file(files, path, text, lambda t: _greedy(t, budget), "part int, text string")
 
 
 def read_within(files: DataFrame, per_file: int, total: int) -> DataFrame:

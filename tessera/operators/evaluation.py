@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import stats
+from tessera.operators import code, documentation, scan
 
 
 def confusion(rows: DataFrame, actual: Column, predicted: Column, *by: str) -> DataFrame:
@@ -113,20 +114,35 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumns({"delta": delta, "change": word})
 
 
+def comparable(before: DataFrame, after: DataFrame, key: str = "case_name") -> None:
+    """Raises where two runs cover different cases: their difference would be no movement."""
+    other = same_cases(before, after, key).limit(20).collect()
+    if other:
+        raise ValueError(f"the runs cover different cases: {sorted((r['side'], r[key]) for r in other)}")
+
+
 def same_cases(before: DataFrame, after: DataFrame, key: str = "case_name") -> DataFrame:
     """Cases that only one run has; runs are comparable where this is empty."""
     one, two = before.select(key).distinct(), after.select(key).distinct()
     return one.join(two, key, "left_anti").withColumn("side", F.lit("before")).unionByName(two.join(one, key, "left_anti").withColumn("side", F.lit("after")))
 
 
-def alignment(headings: DataFrame, checked: DataFrame, declined: DataFrame) -> DataFrame:
-    """Each heading that a prompt demands or a check expects: aligned, ungoverned (demanded, not checked), unbacked (checked, not
-    demanded), declined. All have column heading."""
-    norm = lambda d: d.select(F.lower(F.trim("heading")).alias("heading")).distinct()
-    asked, tested, waived = (norm(d).withColumn(n, F.lit(True)) for d, n in ((headings, "asked"), (checked, "tested"), (declined, "waived")))
-    joined = asked.join(tested, "heading", "full").join(waived, "heading", "left")
-    state = F.when(F.col("waived"), "declined").when(F.col("asked") & F.col("tested"), "aligned").when(F.col("asked"), "ungoverned").otherwise("unbacked")
-    return joined.select("heading", state.alias("state"))
+def alignment(demanded: DataFrame, checked: DataFrame, declined: DataFrame) -> DataFrame:
+    """(heading, state) of each heading that a prompt demands or the code names: declined or graded (demanded), ungoverned (demanded,
+    neither checked nor declined), ungrounded (named, not demanded). All have column heading. One that is both checked and
+    declined contradicts itself and is refused when it is run."""
+    asked, tested, waived = (d.select("heading").distinct().withColumn(n, F.lit(True)) for d, n in ((demanded, "asked"), (checked, "tested"), (declined, "waived")))
+    joined = asked.join(tested, "heading", "full").join(waived, "heading", "full")
+    clear = F.assert_true(~(F.coalesce("tested", F.lit(False)) & F.coalesce("waived", F.lit(False))), "a heading is both graded and declined").isNull()
+    state = F.when(F.col("asked") & F.col("waived"), "declined").when(F.col("asked") & F.col("tested"), "graded").when(F.col("asked"), "ungoverned").otherwise("ungrounded")
+    return joined.filter(clear).select("heading", state.alias("state"))
+
+
+def backed_checks(expectations: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(prompt, check, missing, state): which checks a prompt has an instruction for. expectations: check, phrases, any_of. prompts: prompt, text."""
+    pairs = prompts.join(F.broadcast(expectations))  # a check per rule of the output, which the code names
+    missing = scan.absent(F.col("phrases"), F.col("text"), F.col("any_of"))
+    return pairs.select("prompt", "check", missing.alias("missing")).withColumn("state", F.when(F.size("missing") == 0, "aligned").otherwise("unbacked"))
 
 
 def recipe_coverage(rules: DataFrame, recipes: DataFrame, declined: DataFrame) -> DataFrame:
@@ -160,3 +176,44 @@ def baseline(agreed: DataFrame, model: str, fingerprint: str, at: str) -> DataFr
     named = rates.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check", "rate")))).alias("rates"))
     cases = agreed.agg(F.sort_array(F.collect_set("case_name")).alias("cases"))
     return named.join(cases).select("rates", "cases", F.lit(model).alias("model"), F.lit(fingerprint).alias("fingerprint"), F.lit(at).alias("at"))
+
+
+def stale(cases: DataFrame, fingerprint: str) -> DataFrame:
+    """Adds stale: whether a case was recorded under another prompt, or nobody knows which."""
+    return cases.withColumn("stale", F.coalesce(F.col("prompt_fingerprint") != fingerprint, F.lit(True)))
+
+
+def evaluate_narration(cases: DataFrame, fingerprint: str) -> DataFrame:
+    """(case_name, check, passed, expect_failure, stale): the five checks on each case. cases: case_name, review, file_path, line_count,
+    findings, prompt_fingerprint, expect_failures (check names)."""
+    judged = stale(scan.narration_checks(cases), fingerprint)
+    pairs = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("passed")) for c in scan.CHECKS])
+    rows = judged.select("case_name", "expect_failures", "stale", F.inline(pairs))
+    return rows.select("case_name", "check", "passed", F.coalesce(F.array_contains("expect_failures", F.col("check")), F.lit(False)).alias("expect_failure"), "stale")
+
+
+def evaluate(cases: DataFrame, expected: DataFrame, forbidden: DataFrame, limits: dict[str, int] = code.LIMITS) -> tuple[DataFrame, DataFrame]:
+    """(graded, errors): the analyzers over the file of each case, suppressed findings left out, graded against its annotations.
+
+    cases: case_name, file_path, content, diff, scope, line_tolerance. A case without content can't be graded; neither can one
+    that an analyzer crashed on. Both are errors (case_name, reason), not misses.
+    """
+    files = cases.filter(F.col("content").isNotNull()).select(F.concat("case_name", F.lit("/"), "file_path").alias("file_path"), "content", "diff")
+    found, crashed = code.analyse_files(files, limits)
+    case = F.substring_index("file_path", "/", 1).alias("case_name")
+    errors = crashed.select(case, "reason").unionByName(cases.filter(F.col("content").isNull()).select("case_name", F.lit("no such file").alias("reason")))
+    good = lambda df: df.join(F.broadcast(errors.select("case_name").distinct()), "case_name", "left_anti")
+    rows = found.filter("directive is null").select(case, "rule_id", "line_number", "severity")
+    return grade(good(expected), good(rows), good(forbidden), good(cases)), errors
+
+
+def evaluate_documentation(cases: DataFrame, claims: DataFrame, index: DataFrame, changes: DataFrame, expected: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Grades what ``documentation.defects`` reports per case. claims: case_name and those of ``documentation.claims``; index: case_name,
+    kind, name, params; changes: case_name, path, diff. Names get their case in front, so that one join serves all cases."""
+    mark = lambda c: F.concat("case_name", F.lit("\x01"), c)
+    scopes = changes.select("case_name", "path", documentation.scope_of(F.col("diff")).alias("s"))
+    named = lambda side: scopes.select(mark(F.explode(f"s.{side}")).alias("name"))
+    asked = claims.withColumns({"path": mark(F.col("path")), "subject": mark(F.col("subject"))})
+    found = documentation.defects(asked, index.withColumn("name", mark(F.col("name"))).drop("case_name"), named("removed"), named("touched"), scopes.select(mark(F.col("path")).alias("path")))
+    rows = found.select(F.substring_index("path", "\x01", 1).alias("case_name"), F.col("rule").alias("rule_id"), F.col("line").alias("line_number"), F.lit("low").alias("severity"))
+    return grade(expected, rows, forbidden, cases)

@@ -66,32 +66,14 @@ def deterministic_only(attributed: DataFrame) -> DataFrame:
     return attributed.filter("may_block")
 
 
-def documentation_defects(claims: DataFrame, symbols: DataFrame, scope: DataFrame) -> DataFrame:
-    """Claims about touched names that the index contradicts: dead_reference, or signature_mismatch.
-
-    claims: path, line, subject, params array<string> (null: no signature claimed). symbols: name, params. scope: name. A
-    dotted subject is found by its last part only where one symbol ends so.
-    """
-    tail = lambda c: F.element_at(F.split(c, r"\."), -1)
-    owners = symbols.groupBy(tail(F.col("name")).alias("tail")).agg(F.count("*").alias("owners"), F.min("name").alias("owner"))
-    named = symbols.select(F.col("name").alias("subject"), F.col("params").alias("exact"), F.lit(True).alias("known")).dropDuplicates(["subject"])
-    touched = scope.select(tail(F.col("name")).alias("tail")).distinct()
-    asked = claims.withColumn("tail", tail(F.col("subject"))).join(touched, "tail", "left_semi").join(named, "subject", "left").join(owners, "tail", "left")
-    by_tail = symbols.select(F.col("name").alias("owner"), F.col("params").alias("widened")).dropDuplicates(["owner"])
-    full = asked.join(by_tail, "owner", "left")
-    one = F.coalesce(F.col("owners"), F.lit(0)) == 1
-    signature = F.coalesce("exact", F.when(one, F.col("widened")))
-    defect = F.when(~F.coalesce("known", F.lit(False)) & ~one, "dead_reference").when(F.col("params").isNotNull() & signature.isNotNull() & (F.col("params") != signature), "signature_mismatch")
-    return full.withColumn("defect", defect).filter("defect is not null").select("path", "line", "subject", "defect")
-
-
 def usage_class(context: Column, symbol: Column) -> Column:
     """import > inheritance > call > type > data_structure, by what stands around the symbol."""
+    around = lambda before, after: F.regexp_like(context, F.concat(F.lit(before), symbol, F.lit(after)))
     return (
-        F.when(context.rlike(r"^\s*(import|from|#include)\b"), "import")
-        .when(F.regexp_like(context, F.concat(F.lit(r"class\s+\w+\s*\([^)]*\b"), symbol, F.lit(r"\b"))), "inheritance")
-        .when(F.regexp_like(context, F.concat(F.lit(r"\b"), symbol, F.lit(r"\s*\("))), "call")
-        .when(F.regexp_like(context, F.concat(F.lit(r"[:>]\s*"), symbol, F.lit(r"\b"))), "type")
+        F.when(context.rlike(r"^\s*(?:import|from)\s"), "import")
+        .when(around(r"class\s+\w+\s*\([^)]*\b", r"\b"), "inheritance")
+        .when(around(r"\b", r"\s*\("), "call")
+        .when(around(r":\s*[^=]*\b", r"\b") | around(r"->\s*[^:]*\b", r"\b"), "type")
         .otherwise("data_structure")
     )
 
@@ -116,10 +98,10 @@ def impact(usage_rows: DataFrame) -> DataFrame:
 
 
 def containing(rows: DataFrame, functions: DataFrame) -> DataFrame:
-    """Adds the innermost function (path, name, start, end) that holds each (path, line); null outside. Ties: the later start, then name."""
+    """Adds the outermost function (path, name, start, end) that holds each (path, line); null outside. Ties: the earlier start, then name."""
     spans = functions.select("path", "name", "start", "end")
     inside = rows.select("path", "line").distinct().join(spans, "path").filter("line between start and end")
-    best = inside.groupBy("path", "line").agg(F.min_by("name", F.struct(F.expr("end - start"), F.expr("-start"), "name")).alias("function"))
+    best = inside.groupBy("path", "line").agg(F.min_by("name", F.struct(F.expr("start - end"), "start", "name")).alias("function"))
     return rows.join(best, ["path", "line"], "left")
 
 
@@ -134,21 +116,34 @@ def ripple(edges: DataFrame, first_cap: int = 50, second_cap: int = 5) -> DataFr
     return one.unionByName(kept)
 
 
+def impact_summary(usage_rows: DataFrame) -> DataFrame:
+    """(symbol, usage, n, place): how often a symbol is used in which way, most often first, ties by name."""
+    from pyspark.sql import Window
+
+    counts = usage_rows.groupBy("symbol", "usage").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("n"), "usage")))
+
+
 def call_graph(edges: DataFrame, entries: DataFrame, depth: int = 3, fan: int = 10, deeper: int = 5) -> DataFrame:
-    """(entry, caller, callee, level): up to ``fan`` callees per function, the first ``deeper`` of which are followed, no function twice per entry."""
+    """(entry, name, level, callers, callees): the functions reached from each entry over calls (caller, callee), level by level.
+
+    A function shows up to ``fan`` callers and callees, in name order; the first ``deeper`` callees are followed, none twice per entry.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("caller").orderBy("callee")
-    ranked = edges.select("caller", "callee").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= fan)
-    front = entries.select(F.col("name").alias("entry"), F.col("name").alias("node"))
-    seen, out = front, None
-    for level in range(1, depth + 1):
-        step = front.join(ranked, F.col("node") == F.col("caller")).select("entry", "caller", "callee", "n", F.lit(level).alias("level"))
-        out = step if out is None else out.unionByName(step)
-        following = step.filter(F.col("n") <= deeper).select("entry", F.col("callee").alias("node")).distinct()
-        front = following.join(seen, ["entry", "node"], "left_anti")
+    once = edges.select("caller", "callee").distinct()
+    first = lambda by, of: once.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(of))).filter(F.col("n") <= fan)
+    out_of, into = first("caller", "callee"), first("callee", "caller")
+    front = entries.select(F.col("name").alias("entry"), "name").distinct().withColumn("level", F.lit(0))
+    seen = front
+    for level in range(1, depth):
+        step = front.join(out_of.filter(F.col("n") <= deeper), F.col("name") == F.col("caller")).select("entry", F.col("callee").alias("name")).distinct()
+        front = step.join(seen, ["entry", "name"], "left_anti").withColumn("level", F.lit(level))
         seen = seen.unionByName(front)
-    return out.drop("n")
+    held = lambda rows, by, of, out: rows.groupBy(F.col(by).alias("name")).agg(F.array_sort(F.collect_list(of)).alias(out))
+    found = seen.join(held(into, "callee", "caller", "callers"), "name", "left").join(held(out_of, "caller", "callee", "callees"), "name", "left")
+    none = F.array().cast("array<string>")
+    return found.select("entry", "name", "level", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
 
 
 def first_symbols(entries: DataFrame, keys: list[str], arrival: str) -> DataFrame:

@@ -6,36 +6,106 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions import stats
 from tessera.functions.text import tokens
+from tessera.session import materialised
 
 K1, B, RRF_K, LAMBDA, DIMENSIONS = 1.5, 0.75, 60, 0.7, 512
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, len): term frequencies, counted per document before anything moves."""
-    split = docs.select(F.col(key).alias("key"), tokens(text).alias("terms"))
-    return split.select("key", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("key", "len", "term").agg(F.count("*").alias("tf"))
+#: Query terms, each with the queries that ask for it, that are broadcast at most; more queries are taken in blocks of this size.
+ASKED_TERMS = 200_000
+#: Characters of documents' terms per Arrow batch are bounded by the session; partial results per query that a task keeps.
+_HELD = 4
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
     """(query, key, score, place): the ``limit`` best documents of each query by Okapi BM25, ties by key.
 
-    Only terms that some query has are kept once their document lengths are known, by a semi-join before any score is
-    made. A query's repeated terms count repeatedly. Documents without tokens count towards the mean length.
+    Documents are tokenised once, in the JVM, and cut to the terms that some query has, with their lengths; that table is
+    written. Document frequencies and the mean length are sums over it. Scores are made in the tasks that read it, from the
+    query terms, which are broadcast in blocks of ASKED_TERMS; a task keeps ``limit`` documents per query, so what moves is
+    queries x tasks x limit rows, and no pair of a query and a document is ever a row. A query's repeated terms count repeatedly.
+    Documents without tokens count towards the mean length.
     """
-    asked = queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    split = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("terms")).withColumn("len", F.size("terms"))
-    size = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    wanted = asked.select("term").distinct()
-    hits = split.select("key", "len", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "key", "len").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    joined = hits.join(df, "term").join(asked, "term").join(F.broadcast(size))  # one row
-    scores = joined.groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return top(scores, ["query"], [F.desc("score"), F.col("key")], limit)
+    asked = materialised(queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")))
+    hits = asked_terms(docs, asked.select("term").distinct(), key, text)
+    n, mean = hits.agg(F.count("*"), F.avg("len")).first()
+    df = hits.select(F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = materialised(asked.join(df, "term").select("query", "term", (F.col("qtf") * idf).alias("weight")))
+    return top(_scored(hits, weighed, lambda tf, size: tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / (mean or 1.0))), limit), ["query"], [F.desc("score"), F.col("key")], limit)
+
+
+def asked_terms(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, len, terms map<string,int>): each document's number of tokens, and how often it has each of the wanted terms."""
+    terms = {row["term"] for row in wanted.limit(ASKED_TERMS + 1).collect()}
+    every = len(terms) > ASKED_TERMS  # a vocabulary beyond the bound is not sent: all terms are kept
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, maps = [], [], []
+            for k, words in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held: dict[str, int] = {}
+                for word in words or ():
+                    if every or word in terms:
+                        held[word] = held.get(word, 0) + 1
+                keys.append(k), sizes.append(len(words or ())), maps.append(list(held.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(sizes, pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.int32()))], names=["key", "len", "terms"])
+
+    kind = dict(docs.dtypes)[key]
+    return materialised(docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).mapInArrow(run, f"key {kind}, len int, terms map<string,int>"))
+
+
+def _scored(hits: DataFrame, weighed: DataFrame, part, limit: int) -> DataFrame:
+    """(query, key, score): per task the ``limit`` best documents of each query, by the sum over terms of weight x part(tf, len)."""
+    total = weighed.count()
+    blocks, out = max(1, -(-total // ASKED_TERMS)), None
+    dealt = weighed.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    for block in range(blocks):  # a block of queries at a time on the driver, of bounded size
+        by_term: dict[str, list[tuple[int, float]]] = {}
+        names: dict = {}
+        for row in dealt.filter(F.col("b") == block).toLocalIterator():
+            by_term.setdefault(row["term"], []).append((names.setdefault(row["query"], len(names)), row["weight"]))
+        asked = {term: (np.array([q for q, _ in rows]), np.array([w for _, w in rows])) for term, rows in by_term.items()}
+        queries = list(names)
+
+        def run(batches, asked=asked, queries=queries):
+            best: list[list] = [[] for _ in queries]
+            floor = np.zeros(len(queries))
+            for batch in batches:
+                for key, size, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    score = np.zeros(len(queries))
+                    for term, tf in terms:
+                        if (found := asked.get(term)) is not None:
+                            score[found[0]] += found[1] * part(tf, size)
+                    score = score.round(6)
+                    for q in np.flatnonzero((score > 0) & (score >= floor)).tolist():
+                        held = best[q]
+                        held.append((-score[q], key))
+                        if len(held) >= _HELD * limit:
+                            held.sort()
+                            del held[limit:]
+                            floor[q] = -held[-1][0]
+            rows = [(queries[q], key, -s) for q, held in enumerate(best) for s, key in sorted(held)[:limit]]
+            for at in range(0, len(rows), 10_000):
+                q, k, s = zip(*rows[at : at + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(k), pa.array([float(x) for x in s])], names=["query", "key", "score"])
+
+        kinds = dict(weighed.dtypes)["query"], dict(hits.dtypes)["key"]
+        found = hits.mapInArrow(run, f"query {kinds[0]}, key {kinds[1]}, score double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def overlap(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(query, key, score, place): the ``limit`` documents that share the most distinct terms with each query, ties by key."""
+    asked = materialised(queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
+    hits = asked_terms(docs, asked.select("term").distinct(), key, text)
+    return top(_scored(hits, asked.withColumn("weight", F.lit(1.0)), lambda tf, size: 1.0, limit), ["query"], [F.desc("score"), F.col("key")], limit)
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
@@ -193,10 +263,23 @@ def recall(expected: DataFrame, results: DataFrame, limit: int) -> DataFrame:
     return hits.join(alive, "query", "left").select("query", F.when(F.col("alive"), F.col("rank")).alias("rank"))
 
 
-def drift_candidates(matches: DataFrame, edited: DataFrame, per_file: int = 3, floor: float = 0.005, cap: int = 8) -> DataFrame:
-    """matches: changed_path, path, line, score. The best ``per_file`` of each change at or over the floor, not in edited
-    documents, one per (path, line), the ``cap`` best in all."""
-    best = top(matches, ["changed_path"], [F.desc("score"), F.col("path"), F.col("line")], per_file).drop("place").filter(F.col("score") >= floor)
-    fresh = best.join(edited.select("path").distinct(), "path", "left_anti")
-    once = fresh.groupBy("path", "line").agg(F.max_by(F.struct("changed_path", "score"), F.struct("score", "changed_path")).alias("m")).select("path", "line", "m.changed_path", "m.score")
-    return once.orderBy(F.desc("score"), "path", "line").limit(cap)
+def recall_share(ranks: DataFrame) -> DataFrame:
+    """One row: cases that ran, found, first, broken, and the Wilson intervals of the share found and of the share at the first place."""
+    ran = F.col("rank").isNotNull()
+    counts = ranks.agg(F.count_if(ran).alias("cases"), F.count_if(F.col("rank") > 0).alias("found"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(~ran).alias("broken"))
+    return counts.withColumns({"recall": stats.wilson(F.col("found"), F.col("cases")), "first_place": stats.wilson(F.col("first"), F.col("cases"))})
+
+
+def drift_candidates(matches: DataFrame, edited: DataFrame, per_file: int = 3, floor: float = 0.005, cap: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(candidates, counts) from matches (changed_path, path, line, score).
+
+    Of each change the best ``per_file``; those under the floor are counted as below; of the rest, in no edited document, one
+    per (path, line), that of the first change, and of these the first ``cap`` in the order of changes and scores; what is over
+    the cap is counted as dropped.
+    """
+    best = top(matches, ["changed_path"], [F.desc("score"), F.col("path"), F.col("line")], per_file)
+    fresh = best.filter(F.col("score") >= floor).join(edited.select("path").distinct(), "path", "left_anti")
+    order = F.struct("changed_path", "place")
+    once = fresh.groupBy("path", "line").agg(F.min(F.struct(order.alias("at"), "score")).alias("m")).select("path", "line", "m.at", "m.score")
+    counts = best.agg(F.count_if(F.col("score") < floor).alias("below")).join(once.agg(F.greatest(F.lit(0), F.count("*") - cap).alias("dropped")))
+    return once.orderBy("at", "path", "line").limit(cap).select("path", "line", F.col("at.changed_path").alias("changed_path"), "score"), counts

@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SPECIALISTS = (("architecture", 3), ("security", 4), ("performance", 2), ("dependency", 2))
 CATEGORY_ROUTING = {"security": "security", "performance": "performance", "dependency": "dependency"}
 TRANSITIONS = (("queued", "running"), ("running", "succeeded"), ("running", "failed"), ("queued", "failed"))
-BUCKETS = (("critical", None), ("high", 20), ("normal", 10), ("low", 15))
+BUCKETS = (("critical", None), ("high", 20), ("normal", 15), ("low", 0))
+TAGS = {
+    "SECURITY": "critical", "BREAKING": "critical", "CRITICAL": "critical", "RISK": "high", "DEPENDENCY": "high", "AFFECTED_CODE": "high",
+    "PERFORMANCE": "normal", "PATTERN": "normal", "QUALITY": "normal", "TODO": "low", "GENERAL": "low",
+}
+# Affected places that a context shows, free tokens that it needs to show normal insights; per bucket that is
+# summarised, in order: insights it must exceed, insights that stay, and the share of the budget that must be exceeded.
+AFFECTED, ROOM = 10, 5000
+SUMMARIES = (("low", 3, 2, 0.0), ("normal", 5, 3, 0.8), ("high", 10, 5, 0.95))
 
 
 def split_budget(parts: DataFrame, group: str, order: str, weight: str, total: str) -> DataFrame:
@@ -72,52 +80,79 @@ def illegal_transitions(moves: DataFrame) -> DataFrame:
 
 
 def forget_old(jobs: DataFrame, keep: int, state: str, finished: tuple[str, ...], order: list[Column]) -> DataFrame:
-    """All unfinished jobs and the newest ``keep`` of each finished state; groups are cut in each task before they move."""
-    done = jobs.filter(F.col(state).isin(*finished))
-    newest = done.withColumn("__n", F.row_number().over(Window.partitionBy(state).orderBy(*order))).filter(F.col("__n") <= keep).drop("__n")
-    return newest.unionByName(jobs.filter(~F.col(state).isin(*finished)))
+    """All jobs, less the oldest finished ones by which their number exceeds ``keep``; unfinished ones always stay."""
+    done = F.col(state).isin(*finished)
+    excess = max(0, jobs.count() - keep)
+    dropped = jobs.filter(done).orderBy(*order).limit(excess).select("key")
+    return jobs.join(dropped, "key", "left_anti")
 
 
 def bucket_of(insight: Column) -> Column:
-    """The bucket that a leading tag names; normal without one."""
-    tag = F.lower(F.regexp_extract(insight, r"^\s*\[(\w+)\]", 1))
-    return F.when(tag.isin("critical", "high", "low"), tag).otherwise("normal")
+    """The bucket of a leading tag: low without one, normal for an unknown one."""
+    tag = F.upper(F.regexp_extract(insight, r"^\[(\w+)\]", 1))
+    known = F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair])
+    return F.when(tag == "", "low").otherwise(F.coalesce(F.try_element_at(known, tag), F.lit("normal")))
 
 
-def remember(insights: DataFrame) -> DataFrame:
-    """Each (bucket, content) once. insights: content, at."""
-    return insights.withColumn("bucket", bucket_of(F.col("content"))).groupBy("bucket", "content").agg(F.min("at").alias("at"))
+def remember(insights: DataFrame, *by: str) -> DataFrame:
+    """Each (bucket, content) once, when it was first told. insights: content, at, and the columns that tell memories apart."""
+    return insights.withColumn("bucket", bucket_of(F.col("content"))).groupBy(*by, "bucket", "content").agg(F.min("at").alias("at"))
 
 
-def load_context(memory: DataFrame) -> DataFrame:
-    """One text: the newest insights of each bucket within its cap, most urgent bucket first."""
-    rank = F.array_position(F.array(*[F.lit(b[0]) for b in BUCKETS]), F.col("bucket"))
-    cap = F.create_map(*[F.lit(x) for name, n in BUCKETS for x in (name, n if n is not None else 1 << 30)])
-    kept = memory.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("at"), "content"))).filter(F.col("n") <= F.element_at(cap, F.col("bucket")))
-    return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "n", "content"))), lambda x: x["content"]), "\n").alias("context"))
+def tokens_of(content: Column) -> Column:
+    return F.floor(F.length(content) / 4)
+
+
+def load_context(memory: DataFrame, affected: DataFrame | None = None, summary: str = "", budget: int = 100_000) -> DataFrame:
+    """One text: all critical insights, then the first of each bucket within its cap, oldest first; affected places (path, symbol,
+    reason, at) stand behind the high ones. Normal insights are shown while more than ROOM tokens are free; low ones never are."""
+    rank, cap = ({b[0]: v for b, v in zip(BUCKETS, values, strict=True)} for values in ((0, 1, 3, 4), [b[1] if b[1] is not None else 1 << 30 for b in BUCKETS]))
+    lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("bucket"))
+    order = Window.partitionBy("bucket").orderBy("at", "content")
+    shown = memory.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= lookup(cap))
+    lines = shown.select(lookup(rank).alias("r"), "n", F.concat(F.lit("- "), "content").alias("line"), F.upper("bucket").alias("head"))
+    if affected is not None:
+        near = affected.select(F.row_number().over(Window.orderBy("at", "path", "symbol")).alias("n"), F.concat(F.lit("- `"), "path", F.lit(":"), "symbol", F.lit("` - "), "reason").alias("line"))
+        lines = lines.unionByName(near.filter(F.col("n") <= AFFECTED).select(F.lit(2).alias("r"), "n", "line", F.lit("AFFECTED CODE").alias("head")))
+    parts = lines.groupBy("r", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    parts = parts.select("r", F.concat(F.lit("## "), "head", F.lit("\n"), "text").alias("text"))
+    total = parts.agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("parts"))
+    used = F.aggregate(F.filter("parts", lambda p: p["r"] < 3), F.lit(0).cast("long"), lambda s, p: s + tokens_of(p["text"]))
+    kept = F.filter("parts", lambda p: (p["r"] < 3) | (budget - used > ROOM))
+    tail = F.array(*[F.lit(f"## SUMMARY\n{summary}")] if summary else []).cast("array<string>")
+    return total.select(F.array_join(F.concat(F.transform(kept, lambda p: p["text"]), tail), "\n\n").alias("context"))
 
 
 def memory_stats(memory: DataFrame, budget: int) -> DataFrame:
     counts = [F.count_if(F.col("bucket") == b[0]).alias(b[0]) for b in BUCKETS]
-    return memory.agg(*counts, F.round(100 * F.sum(F.floor(F.length("content") / 4)) / budget, 2).alias("used_percent"))
+    return memory.agg(*counts, F.round(100 * F.coalesce(F.sum(tokens_of(F.col("content"))), F.lit(0)) / budget, 2).alias("used_percent"))
+
+
+def summary_of(contents: list[str]) -> str:
+    """The contents' lines; of more than ten the first and the last three."""
+    lines = "\n".join(contents).split("\n")
+    return "\n".join(lines if len(lines) <= 10 else [*lines[:3], "...[summarized]...", *lines[-3:]])
 
 
 def summarise(memory: DataFrame, group: str, budget: int) -> DataFrame:
-    """Evicts the oldest of the low, then normal, then high bucket until a group's estimated tokens fit; never critical ones.
+    """The memory (group, bucket, content, at) after it was pressed into its budget: from 80 % of it on, the older insights of the
+    low, then the normal, then the high bucket become one row of bucket ``summary``; critical ones stay.
 
-    What is evicted depends on all that went before, so a group, whose size its budget bounds, is one fold.
+    Whether a bucket is pressed depends on what the ones before have freed, so a group, whose size its budget bounds, is a fold.
     """
     names = memory.columns
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = int((pdf["content"].str.len() // 4).sum())
-        gone: list = []
-        for bucket in ("low", "normal", "high"):
-            for i in pdf[pdf["bucket"] == bucket].sort_values(["at", "content"]).index:
-                if used <= budget:
-                    break
-                used -= len(pdf.at[i, "content"]) // 4
-                gone.append(i)
-        return pdf.drop(index=gone)[names]
+        pdf = pdf.sort_values(["at", "content"], kind="stable")
+        cost = lambda: int((pdf["content"].str.len() // 4).sum())
+        if cost() < int(budget * 0.8):
+            return pdf[names]
+        for bucket, least, stay, share in SUMMARIES:
+            old = pdf[pdf["bucket"] == bucket]
+            if len(old) <= least or cost() <= int(budget * share):
+                continue
+            told = old.iloc[:1].assign(bucket="summary", content=f"{bucket}: " + summary_of(old["content"].tolist()))
+            pdf = pd.concat([pdf.drop(index=old.index[:-stay]), told], ignore_index=True)
+        return pdf[names]
 
     return memory.groupBy(group).applyInPandas(fold, memory.schema)

@@ -6,13 +6,15 @@ import json
 import os
 from collections.abc import Mapping
 
+from tessera.operators import code, scan
+
 # Sections, keys and defaults.
 DEFAULTS: dict[str, dict[str, object]] = {
-    "triage": {"max_lines_for_auto": 10, "max_lines_for_quick": 50, "allow_only_comments": True, "allow_only_formatting": True, "allow_test_files": True},
-    "security": {"block_on_critical": True, "block_on_high": True, "block_on_medium": False},
-    "quality": {"max_class_methods": 15, "max_function_lines": 100, "max_cyclomatic_complexity": 15, "min_duplicate_lines": 8, "enforce_srp": True, "enforce_dip": True},
+    "triage": {"max_lines_for_auto": 10, "max_lines_for_quick": 50, "allow_only_comments": True, "allow_only_formatting": True, "allow_test_files": True, "skip_patterns": list(scan.SKIP), "manifest_patterns": list(scan.MANIFESTS)},
+    "security": {"block_on_critical": True, "block_on_high": True, "block_on_medium": False, "banned_patterns": list(scan.BANNED[:4]), "secret_patterns": list(scan.BANNED[4:])},
+    "quality": {"max_class_methods": 15, "max_function_lines": 100, "max_cyclomatic_complexity": 15, "min_duplicate_lines": 8, "enforce_srp": True, "enforce_dip": True, "block_empty_catches": True, "block_generic_exceptions": False},
     "performance": {"alert_on_n_squared": True, "alert_on_n_plus_one": True, "alert_on_memory_leak": True, "max_nested_loops": 3},
-    "gate": {"blocking_severity": "critical", "quality_score_threshold": 60, "fail_pipeline_on_critical": True, "fail_pipeline_on_quality_below": 50, "fail_on_review_error": False, "fail_pipeline_on_analysis_error": True},
+    "gate": {"blocking_severity": "critical", "quality_score_threshold": 60, "security_score_threshold": 70, "performance_score_threshold": 50, "fail_pipeline_on_critical": True, "fail_pipeline_on_quality_below": 50, "fail_on_review_error": False, "fail_pipeline_on_analysis_error": True, "notify_on_critical": True, "notify_channels": []},
 }
 
 
@@ -22,9 +24,17 @@ def _typed(section: str, key: str, value: object) -> object:
         value = json.loads(value.lower())
     if type(value) is not type(default):
         raise ValueError(f"{section}.{key} must be {type(default).__name__}, not {value!r}")
+    if isinstance(value, list) and not all(isinstance(x, str) for x in value):
+        raise ValueError(f"{section}.{key} must hold texts only")
     return value
 
 
+def limits(policy: dict[str, dict[str, object]]) -> dict[str, int]:
+    """The thresholds of the code analyzers under a policy."""
+    quality, performance = policy["quality"], policy["performance"]
+    return code.LIMITS | {"methods": quality["max_class_methods"], "lines": quality["max_function_lines"], "complexity": quality["max_cyclomatic_complexity"], "duplicate": quality["min_duplicate_lines"], "loops": performance["max_nested_loops"]}
+
+
 def load(path: str | None = None, environment: Mapping[str, str] = os.environ, prefix: str = "TESSERA_") -> dict[str, dict[str, object]]:
     """The policy as nested dictionaries. The environment's ``TESSERA_GATE__BLOCKING_SEVERITY`` sets gate.blocking_severity."""
     policy = {name: dict(keys) for name, keys in DEFAULTS.items()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions import severity, stats
-from tessera.functions.text import basename, directory, estimated_tokens, is_binary, tokens
-from tessera.operators import chain, chunking, code, evaluation, history, joins, retrieval, rollup, routing, scan, trace
+from tessera.functions.text import BLANK, ENDS, basename, directory, estimated_tokens, is_binary, tokens
+from tessera.operators import chain, chunking, evaluation, history, joins, retrieval, rollup, routing, scan, trace
 from tessera.plans.fixtures import CHANGES_SQL, FINDINGS_SQL, HISTORY_SQL, SPANS_SQL, changes, findings, sightings, spans
 from tessera.session import prepare, spread, table
 
@@ -64,10 +64,7 @@ SELECT query, key, round(sum(1.0 / (60 + place)), 6) AS score FROM lists GROUP B
 def hybrid_rrf(spark, sf_dir):
     docs, asked = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     first = retrieval.bm25(docs, asked, limit=20).select("query", F.lit("bm25").alias("source"), "key", "place")
-    terms = asked.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    held = docs.select(F.col("doc_id").alias("key"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    shared = held.join(terms, "term").groupBy("query", "key").agg(F.count("*").alias("n"))
-    second = retrieval.top(shared, ["query"], [F.desc("n"), F.col("key")], 20).select("query", F.lit("overlap").alias("source"), "key", "place")
+    second = retrieval.overlap(docs, asked, 20).select("query", F.lit("overlap").alias("source"), "key", "place")
     return retrieval.fuse(first.unionByName(second)).select("query", "key", F.round("score", 6).alias("score"))
 
 
@@ -121,7 +118,7 @@ def chunk_markdown(spark, sf_dir):
 
 
 @registered(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-c AS (SELECT doc_id, line, trim(regexp_replace(body, '\s+', ' ', 'g')) AS tidy FROM l),
+c AS (SELECT doc_id, line, trim(regexp_replace(body, '""" + BLANK + r"""+', ' ', 'g')) AS tidy FROM l),
 k AS (SELECT * FROM c WHERE tidy <> '' AND NOT starts_with(tidy, '#') AND NOT starts_with(tidy, '//')),
 b AS (SELECT doc_id, line, list(tidy) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS block FROM k)
 SELECT doc_id, md5(array_to_string(block, chr(10))) AS hash, array_to_string(list_sort(list(line)), ',') AS starts FROM b WHERE len(block) = 2 GROUP BY doc_id, md5(array_to_string(block, chr(10))) HAVING count(*) > 1""")
@@ -130,9 +127,12 @@ def duplicate_blocks(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), "hash", F.array_join("starts", ",").alias("starts"))
 
 
-@registered()
+@registered("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+w AS (SELECT doc_id, n, 0 AS part, length(body) + 1 AS size FROM l WHERE n = 1 UNION ALL
+  SELECT l.doc_id, l.n, w.part + CASE WHEN w.size + length(l.body) + 1 > 300 THEN 1 ELSE 0 END, CASE WHEN w.size + length(l.body) + 1 > 300 THEN 0 ELSE w.size END + length(l.body) + 1 FROM w JOIN l ON l.doc_id = w.doc_id AND l.n = w.n + 1)
+SELECT doc_id, part::INT AS part, (max(size) - 1)::INT AS chars FROM w GROUP BY doc_id, part""")
 def greedy_chunks(spark, sf_dir):
-    return chunking.greedy(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("path").alias("doc_id"), "part", F.length("text").alias("chars"))
+    return chunking.greedy(spread(table(spark, sf_dir, "documents")), "doc_id", "text", 300).select(F.col("path").alias("doc_id"), "part", F.length("text").alias("chars"))
 
 
 # Scans -----------------------------------------------------------------------------------------------------------------
@@ -151,10 +151,10 @@ def _rule_sql() -> str:
             test = rf"regexp_matches(body, {_q('(?i)' + pattern.replace(lookahead, ''))}) AND NOT regexp_matches(body, {_q('(?i)' + pattern.replace(lookahead, '') + r'[^)]*Loader\s*=')})"
         else:
             test = f"regexp_matches(body, {_q('(?i)' + pattern)})"
-        cases.append(f"SELECT doc_id, line, {i + 1} AS rule_no, 'SAST.{kind}' AS rule_id, '{sev}' AS severity, substr(trim(body), 1, 100) AS evidence FROM l WHERE lang = '{'cpp' if lang == 'cpp' else 'python'}' AND {test}")
+        cases.append(f"SELECT doc_id, line, {i + 1} AS rule_no, 'SAST.{kind}' AS rule_id, '{sev}' AS severity, substr(bare, 1, 100) AS evidence FROM l WHERE lang = '{'cpp' if lang == 'cpp' else 'python'}' AND {test}")
     return (
         "WITH raw AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'cpp' ELSE 'python' END AS lang, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents), "
-        "l AS (SELECT * FROM raw WHERE NOT CASE WHEN lang = 'python' THEN starts_with(trim(body), '#') OR starts_with(trim(body), '\"\"\"') OR starts_with(trim(body), '''''''') ELSE starts_with(trim(body), '//') OR starts_with(trim(body), '/*') OR starts_with(trim(body), '*') END) "
+        f"l AS (SELECT * FROM (SELECT *, regexp_replace(body, '{ENDS}', '', 'g') AS bare FROM raw) WHERE NOT CASE WHEN lang = 'python' THEN starts_with(bare, '#') OR starts_with(bare, '\"\"\"') OR starts_with(bare, '''''''') ELSE starts_with(bare, '//') OR starts_with(bare, '/*') OR starts_with(bare, '*') END) "
         + " UNION ALL ".join(cases)
     )
 
@@ -201,7 +201,7 @@ triaged AS (SELECT doc_id, n::INT AS n_changes, CASE WHEN {_any_sql('path', scan
   WHEN len(list_filter(both_sides, lambda i: NOT {_any_sql('i', scan.COMMENTS)})) = 0 THEN 'auto_approve'
   WHEN len(added) > 0 AND len(removed) > 0 AND list_sort(list_transform(added, lambda i: regexp_replace(i, '\\s+', '', 'g'))) = list_sort(list_transform(removed, lambda i: regexp_replace(i, '\\s+', '', 'g'))) THEN 'auto_approve'
   WHEN {_any_sql('path', scan.TESTS, '(?i)')} AND n <= 50 THEN 'quick_scan'
-  WHEN n <= 10 AND len(list_filter(both_sides, lambda i: NOT starts_with(trim(i), '#') AND NOT starts_with(trim(i), '//') AND {_any_sql('i', scan.LOGIC)})) = 0 THEN 'auto_approve'
+  WHEN n <= 10 AND len(list_filter(both_sides, lambda i: NOT starts_with(regexp_replace(i, '{ENDS}', '', 'g'), '#') AND NOT starts_with(regexp_replace(i, '{ENDS}', '', 'g'), '//') AND {_any_sql('i', scan.LOGIC)})) = 0 THEN 'auto_approve'
   WHEN n <= 50 THEN 'quick_scan' ELSE 'full_review' END AS decision FROM counted)"""
 
 
@@ -225,17 +225,27 @@ def changed_lines(spark, sf_dir):
     return scan.changed_lines(changes(spark, sf_dir), "doc_id")
 
 
-@registered(r"""SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)\b(?:LGTM|ship\s+it)\b'))::INT AS idioms, regexp_matches(text, '(?i)\bdo\s+not\s+merge\b') AS refuses FROM conversations""")
-def verdict_idioms(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_count("text", F.lit("(?i)" + scan.VERDICTS[6])).cast("int").alias("idioms"), F.col("text").rlike("(?i)" + scan.VERDICTS[7]).alias("refuses"))
+def _verdict_sql() -> str:
+    return "SELECT conv_id, turn, " + ", ".join(f"regexp_matches(said, {_q('(?i)' + p)}) AS v{i}" for i, p in enumerate(scan.VERDICTS)) + f" FROM ({SAID_SQL})"
 
 
-@registered()
-def narration_checks(spark, sf_dir):
+# A conversation's turns with, by turn, one of nine claims of a verdict behind each.
+CLAIMS = (
+    "It was approved.", "The merge request clearly blocks the pipeline.", "This will fail the pipeline", "I am rejecting it", "Approving this change",
+    "\\nBlocking the merge", "LGTM, ship  it", "do not merge", "change is approved", "nothing was said",
+)
+SAID_SQL = "SELECT conv_id, turn, text || ' ' || list_extract([" + ", ".join("'" + c.replace("\\n", "' || chr(10) || '") + "'" for c in CLAIMS) + "], (conv_id + turn) % 10 + 1) AS said FROM conversations"
+
+
+def said(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    none = F.array().cast("array<struct<severity:string,title:string,line:int>>")
-    cases = c.select("conv_id", "turn", F.col("text").alias("review"), F.lit("app.py").alias("file_path"), F.lit(40).alias("line_count"), none.alias("findings"))
-    return scan.narration_checks(cases).drop("review", "findings", "file_path", "line_count")
+    claim = F.element_at(F.array(*[F.lit(x.replace("\\n", "\n")) for x in CLAIMS]), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat("text", F.lit(" "), claim).alias("said"))
+
+
+@registered(_verdict_sql())
+def verdict_idioms(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", *[F.col("said").rlike("(?i)" + p).alias(f"v{i}") for i, p in enumerate(scan.VERDICTS)])
 
 
 @registered(f"WITH {CHANGES_SQL} SELECT doc_id, regexp_extract(path, '([^/]*)$', 1) AS basename, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, md5(substr(array_to_string(list_concat([regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '')], list_transform(list_filter(string_split(diff, chr(10)), lambda i: starts_with(i, '+') AND NOT starts_with(i, '+++')), lambda i: substr(i, 2))), chr(10)), 1, 2000)) AS query FROM changes")
@@ -357,25 +367,30 @@ WEIGHT_SQL = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'me
 RANK_SQL = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 
 
-@registered(f"""WITH {FINDINGS_SQL}, g AS (SELECT file_path, day, greatest(0, 100 - sum({WEIGHT_SQL})) AS score, min({RANK_SQL}) AS worst, least(100, sum({WEIGHT_SQL})) AS total, count_if(severity = 'critical') AS crit, count_if(severity = 'high') AS high FROM findings WHERE event_id % 5 = 0 GROUP BY ALL)
+@registered(f"""WITH {FINDINGS_SQL}, g AS (SELECT file_path, day, greatest(0, 100 - sum({WEIGHT_SQL})) AS score, min({RANK_SQL}) AS worst, least(100, sum({WEIGHT_SQL})) AS total, count_if(severity = 'critical') AS crit, count_if(severity = 'high') AS high FROM findings GROUP BY ALL)
 SELECT file_path, day::VARCHAR AS day, score::BIGINT AS score, list_extract(['critical','high','medium','low','info'], worst + 1) AS worst, total::BIGINT AS risk, CASE WHEN total >= 100 OR crit > 0 THEN 'critical' WHEN total >= 50 OR high >= 3 THEN 'high' WHEN total >= 20 OR high >= 1 THEN 'medium' WHEN total > 0 THEN 'low' ELSE 'safe' END AS level FROM g""")
 def risk_levels(spark, sf_dir):
     s = F.col("severity")
     total, level = rollup.risk(s)
-    return findings(spark, sf_dir).filter("event_id % 5 = 0").groupBy("file_path", F.col("day").cast("string").alias("day")).agg(rollup.score(s).alias("score"), rollup.worst_severity(s).alias("worst"), total.alias("risk"), level.alias("level"))
+    return findings(spark, sf_dir).groupBy("file_path", F.col("day").cast("string").alias("day")).agg(rollup.score(s).alias("score"), rollup.worst_severity(s).alias("worst"), total.alias("risk"), level.alias("level"))
 
 
-GATE_SQL = FINDINGS_SQL + f""", sel AS (SELECT * FROM findings WHERE event_id % 40 = 0), files AS (SELECT DISTINCT file_path, user_of % 5 <> 0 AS analysed, user_of % 9 = 0 AS warned FROM (SELECT file_path, regexp_extract(file_path, 'f([0-9]+)', 1)::INT AS user_of FROM findings)),
+GATE_SQL = FINDINGS_SQL + f""", sel AS (SELECT * REPLACE (file_path || '@' || day AS file_path) FROM findings), files AS (SELECT DISTINCT file_path, user_of % 5 <> 0 AS analysed, user_of % 9 = 0 AS warned FROM (SELECT file_path, regexp_extract(file_path, 'f([0-9]+)', 1)::INT AS user_of FROM sel)),
 x AS (SELECT file_path, count(*) AS n, greatest(0, 100 - sum({WEIGHT_SQL})) AS q, count_if(severity = 'critical') AS b, count_if(severity IN ('high', 'medium')) AS w FROM sel GROUP BY file_path),
 g AS (SELECT f.*, CASE WHEN analysed THEN coalesce(n, 0) END AS n_findings, CASE WHEN analysed THEN coalesce(q, 100) END AS quality, coalesce(b, 0) AS b, coalesce(w, 0) AS w FROM files f LEFT JOIN x USING (file_path)),
 gated AS (SELECT file_path, n_findings::BIGINT AS n_findings, quality::BIGINT AS quality, CASE WHEN analysed AND (b > 0 OR quality < 50) THEN 'fail' WHEN warned OR (analysed AND (w > 0 OR quality < 60)) THEN 'warn' ELSE 'pass' END AS result FROM g)"""
 
 
+def daily(spark, sf_dir):
+    """Findings whose file is a file's state of one day, so that scores do not all end at 0."""
+    return findings(spark, sf_dir).withColumn("file_path", F.concat("file_path", F.lit("@"), F.col("day").cast("string")))
+
+
 def _gates(spark, sf_dir):
-    f = findings(spark, sf_dir)
+    f = daily(spark, sf_dir)
     user = F.regexp_extract("file_path", "f([0-9]+)", 1).cast("int")
     files = f.select("file_path").distinct().select("file_path", (user % 5 != 0).alias("analysed"), F.lit(False).alias("prose_blocks"), (user % 9 == 0).alias("prose_warns"))
-    return files, rollup.gate(files, f.filter("event_id % 40 = 0"))
+    return files, rollup.gate(files, f)
 
 
 @registered(f"WITH {GATE_SQL} SELECT * FROM gated")
@@ -469,8 +484,10 @@ def ripple_two_hop(spark, sf_dir):
 
 USAGE_SQL = r"""sym AS (SELECT DISTINCT lower(n_name) AS symbol FROM nation UNION SELECT unnest(['the', 'der', 'les', 'que'])),
 l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents),
-w AS (SELECT path, line, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z_]\w*'))) AS symbol FROM l),
-h AS (SELECT symbol, path, line, row_number() OVER (PARTITION BY symbol ORDER BY path, line) AS n FROM w WHERE symbol IN (SELECT symbol FROM sym)), u AS (SELECT symbol, path, line FROM h WHERE n <= 50)"""
+w AS (SELECT path, line, body, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z_]\w*'))) AS symbol FROM l),
+h AS (SELECT symbol, path, line, body, row_number() OVER (PARTITION BY symbol ORDER BY path, line) AS n FROM w WHERE symbol IN (SELECT symbol FROM sym)),
+u AS (SELECT symbol, path, line, CASE WHEN regexp_matches(body, '^\s*(?:import|from)\s') THEN 'import' WHEN regexp_matches(body, 'class\s+\w+\s*\([^)]*\b' || symbol || '\b') THEN 'inheritance' WHEN regexp_matches(body, '\b' || symbol || '\s*\(') THEN 'call'
+  WHEN regexp_matches(body, ':\s*[^=]*\b' || symbol || '\b') OR regexp_matches(body, '->\s*[^:]*\b' || symbol || '\b') THEN 'type' ELSE 'data_structure' END AS usage FROM h WHERE n <= 50)"""
 
 
 def _usages(spark, sf_dir):
@@ -481,7 +498,7 @@ def _usages(spark, sf_dir):
 
 @registered(f"WITH {USAGE_SQL} SELECT * FROM u")
 def symbol_usages(spark, sf_dir):
-    return _usages(spark, sf_dir).select("symbol", "path", "line")
+    return _usages(spark, sf_dir).select("symbol", "path", "line", "usage")
 
 
 @registered(f"WITH {USAGE_SQL} SELECT symbol, count(DISTINCT path) AS files, CASE WHEN count(DISTINCT path) > 10 THEN 'critical' WHEN count(DISTINCT path) > 5 THEN 'high' WHEN count(DISTINCT path) > 2 THEN 'medium' ELSE 'low' END AS risk FROM u GROUP BY symbol")
@@ -489,6 +506,11 @@ def structure_impact(spark, sf_dir):
     return joins.impact(_usages(spark, sf_dir))
 
 
+@registered(f"WITH {USAGE_SQL}, c AS (SELECT symbol, usage, count(*) AS n FROM u GROUP BY ALL) SELECT symbol, usage, n, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, usage)::INT AS place FROM c")
+def impact_summary(spark, sf_dir):
+    return joins.impact_summary(_usages(spark, sf_dir))
+
+
 # Traces ----------------------------------------------------------------------------------------------------------------
 
 
@@ -519,14 +541,14 @@ def critical_path(spark, sf_dir):
 
 # Chains ----------------------------------------------------------------------------------------------------------------
 
-CHAIN_SQL = f"""RECURSIVE rec AS (SELECT user_id, event_id, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+CHAIN_SQL = f"""RECURSIVE rec AS (SELECT user_id, event_id, '{{"event_id":' || event_id || ',"kind":"' || event_type || '"}}' AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 sealed AS (SELECT user_id, event_id, n, payload, '{chain.GENESIS}' AS previous, sha256('{chain.GENESIS}' || chr(10) || n || chr(10) || payload) AS digest FROM rec WHERE n = 1
   UNION ALL SELECT r.user_id, r.event_id, r.n, r.payload, s.digest, sha256(s.digest || chr(10) || r.n || chr(10) || r.payload) FROM sealed s JOIN rec r ON r.user_id = s.user_id AND r.n = s.n + 1)"""
 
 
 def _sealed(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("payload"))
-    return chain.seal(e, "user_id", "event_id", "payload")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), "event_type", F.lit('"}')).alias("payload"))
+    return chain.seal(spread(e), "user_id", "event_id", "payload", "sha256")
 
 
 @registered(f"WITH {CHAIN_SQL} SELECT user_id, event_id, n AS sequence, previous, digest FROM sealed")
@@ -534,17 +556,17 @@ def chain_seal(spark, sf_dir):
     return _sealed(spark, sf_dir).select("user_id", "event_id", "sequence", "previous", "digest")
 
 
-@registered(f"""WITH {CHAIN_SQL}, kept AS (SELECT user_id, event_id, n, previous, digest, CASE WHEN user_id % 3 = 0 AND n = 4 THEN 'edited' ELSE payload END AS payload FROM sealed WHERE NOT (user_id % 3 = 1 AND n = 3)),
+@registered(f"""WITH {CHAIN_SQL}, kept AS (SELECT user_id, event_id, n, previous, digest, CASE WHEN user_id % 3 = 0 AND n = 4 THEN '{{"edited":true}}' ELSE payload END AS payload FROM sealed WHERE NOT (user_id % 3 = 1 AND n = 3)),
 p AS (SELECT *, row_number() OVER w AS place, coalesce(lag(digest) OVER w, '{chain.GENESIS}') AS before FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 c AS (SELECT *, CASE WHEN previous <> before THEN 'link' WHEN n <> place THEN 'sequence' WHEN digest <> sha256(previous || chr(10) || n || chr(10) || payload) THEN 'digest' END AS reason FROM p)
 SELECT user_id, count(*) AS n, CASE WHEN count(reason) = 0 THEN 'intact' ELSE 'tampered' END AS status, (min(place) FILTER (reason IS NOT NULL))::INT AS broken_at, arg_min(reason, place) FILTER (reason IS NOT NULL) AS reason FROM c GROUP BY user_id""")
 def chain_verify(spark, sf_dir):
     s = _sealed(spark, sf_dir).filter(~((F.col("user_id") % 3 == 1) & (F.col("sequence") == 3)))
-    edited = s.withColumn("payload", F.when((F.col("user_id") % 3 == 0) & (F.col("sequence") == 4), "edited").otherwise(F.col("payload")))
-    return chain.verify(edited, "user_id", "event_id")
+    edited = s.withColumn("payload", F.when((F.col("user_id") % 3 == 0) & (F.col("sequence") == 4), '{"edited":true}').otherwise(F.col("payload")))
+    return chain.verify(edited, "user_id", "event_id", algorithm="sha256").drop("signed", "unheld")
 
 
-@registered("SELECT event_id, CASE WHEN user_id % 10 = 0 AND ts < TIMESTAMP '2024-01-05' THEN '{\"erased_at\":\"2024-06-01\",\"policy\":\"p1\",\"tombstone\":true}' ELSE props END AS payload FROM events")
+@registered("SELECT event_id, CASE WHEN user_id % 10 = 0 AND ts < TIMESTAMP '2024-01-05' THEN '{\"tombstone\":{\"policy\":\"p1\",\"removed_at\":\"2024-06-01\"}}' ELSE props END AS payload FROM events")
 def erase_records(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("stamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     chosen = (F.col("user_id") % 10 == 0) & chain.is_older(F.col("stamp"), F.lit("2024-01-05").cast("timestamp"))
@@ -569,31 +591,23 @@ def budget_split(spark, sf_dir):
     return routing.split_budget(n, "grp", "ord", "weight", "total").select("grp", "ord", "share")
 
 
-@registered(f"""WITH {FINDINGS_SQL}, c AS (SELECT file_path, bool_or(rule_id LIKE 'SAST.%') AS s, bool_or(rule_id LIKE 'PERFORMANCE.%') AS p FROM findings WHERE event_id % 60 = 0 GROUP BY file_path)
+@registered(f"""WITH {FINDINGS_SQL}, c AS (SELECT file_path, bool_or(rule_id LIKE 'SAST.%') AS s, bool_or(rule_id LIKE 'PERFORMANCE.%') AS p FROM (SELECT file_path || '@' || day AS file_path, rule_id FROM findings) GROUP BY file_path)
 SELECT file_path, 'architecture' || CASE WHEN s THEN ',security' ELSE '' END || CASE WHEN p THEN ',performance' ELSE '' END AS specialists FROM c""")
 def assignments(spark, sf_dir):
-    f = findings(spark, sf_dir).filter("event_id % 60 = 0").select("file_path", F.when(F.col("rule_id").startswith("SAST"), "security").when(F.col("rule_id").startswith("PERF"), "performance").otherwise("quality").alias("category"))
+    f = daily(spark, sf_dir).select("file_path", F.when(F.col("rule_id").startswith("SAST"), "security").when(F.col("rule_id").startswith("PERF"), "performance").otherwise("quality").alias("category"))
     return routing.plan_assignments(f, f.select("file_path").distinct().withColumn("is_manifest", F.lit(False))).select("file_path", F.array_join("specialists", ",").alias("specialists"))
 
 
-@registered("WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT o_orderkey FROM r WHERE o_orderstatus = 'O' OR n <= 200")
+@registered("""WITH t AS (SELECT greatest(0, count(*) - 12000) AS excess FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus IN ('F', 'P'))
+SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM r, t WHERE n <= excess)""")
 def retain_jobs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"), "o_orderdate")
-    return routing.forget_old(o, 200, "state", ("F", "P"), [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("state"), "o_orderdate")
+    return routing.forget_old(o, 12000, "state", ("F", "P"), [F.col("o_orderdate"), F.col("key")]).select(F.col("key").alias("o_orderkey"))
 
 
 # Added: claims and narration scores ------------------------------------------------------------------------------------
 
 
-@registered(r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS body, generate_subscripts(string_split(t, chr(10)), 1)::INT AS line FROM (SELECT doc_id, replace(replace(text, ', ', ' `--x` '), ' the ', ' `the` ') AS t FROM documents)),
-s AS (SELECT doc_id, line, unnest(regexp_extract_all(body, '`([^`]+)`', 1)) AS subject FROM l), k AS (SELECT *, CASE WHEN regexp_matches(subject, '^--?[a-z][\w-]*$') THEN 'option' WHEN regexp_matches(subject, '^[A-Z][A-Z0-9]*_[A-Z0-9_]+$') THEN 'environment' WHEN regexp_matches(subject, '^[A-Za-z_][\w.]*\(.*\)$') THEN 'signature' WHEN regexp_matches(subject, '^[A-Za-z_][\w.]*$') THEN 'symbol' END AS kind FROM s)
-SELECT doc_id, line, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
-def document_claims(spark, sf_dir):
-    marked = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" `--x` ")), F.lit(" the "), F.lit(" `the` "))
-    d = spread(table(spark, sf_dir, "documents")).select("doc_id", marked.alias("t"))
-    return scan.document_claims(d, "doc_id", "t").groupBy(F.col("path").alias("doc_id"), "line", "kind").agg(F.count("*").alias("n"))
-
-
 AGREED_SQL = "r AS (SELECT conv_id AS case_name, role AS chk, length(text) > 200 AS passed, turn % 2 = 1 AS expected FROM conversations), a AS (SELECT *, passed <> expected AS agrees FROM r)"
 
 
@@ -612,21 +626,25 @@ def check_coverage(spark, sf_dir):
     return evaluation.check_coverage(_agreed(spark, sf_dir), ["user", "assistant", "tool"]).select("check", "passing", "firing", F.round("rate", 6).alias("rate"))
 
 
-@registered("WITH h AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 3 = 0), d AS (SELECT DISTINCT lower(trim(n_name)) AS heading FROM nation WHERE n_nationkey % 5 = 0) SELECT coalesce(h.heading, c.heading) AS heading, CASE WHEN d.heading IS NOT NULL THEN 'declined' WHEN h.heading IS NOT NULL AND c.heading IS NOT NULL THEN 'aligned' WHEN h.heading IS NOT NULL THEN 'ungoverned' ELSE 'unbacked' END AS state FROM h FULL JOIN c ON h.heading = c.heading LEFT JOIN d ON d.heading = coalesce(h.heading, c.heading)")
+@registered("""WITH h AS (SELECT n_name AS heading FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT n_name AS heading FROM nation WHERE n_nationkey % 3 = 0), d AS (SELECT n_name AS heading FROM nation WHERE n_nationkey % 5 = 1 AND n_nationkey % 3 <> 0)
+SELECT n_name AS heading, CASE WHEN n_name IN (FROM h) AND n_name IN (FROM d) THEN 'declined' WHEN n_name IN (FROM h) AND n_name IN (FROM c) THEN 'graded' WHEN n_name IN (FROM h) THEN 'ungoverned' ELSE 'ungrounded' END AS state FROM nation WHERE n_name IN (FROM h) OR n_name IN (FROM c) OR n_name IN (FROM d)""")
 def prompt_alignment(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("heading"))
-    return evaluation.alignment(n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0"), n.filter("n_nationkey % 5 = 0"))
+    return evaluation.alignment(n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0"), n.filter("n_nationkey % 5 = 1 and n_nationkey % 3 <> 0"))
 
 
-@registered(f"WITH {FINDINGS_SQL}, m AS (SELECT DISTINCT rule_id || ':' || line_number AS content, line_number % 4 AS b FROM findings), k AS (SELECT content, list_extract(['critical', 'high', 'normal', 'low'], b + 1) AS bucket FROM m) SELECT count_if(bucket = 'critical') AS critical, count_if(bucket = 'high') AS high, count_if(bucket = 'normal') AS normal, count_if(bucket = 'low') AS low FROM k")
-def memory_buckets(spark, sf_dir):
-    tag = F.element_at(F.array(F.lit("[critical] "), F.lit("[HIGH] "), F.lit(""), F.lit("[low] ")), F.col("line_number") % 4 + 1)
-    told = findings(spark, sf_dir).select(F.concat(tag, "rule_id", F.lit(":"), F.col("line_number").cast("string")).alias("content"), F.col("event_id").alias("at"))
-    return routing.memory_stats(routing.remember(told), 1000).drop("used_percent")
+MEMORY_TAGS = ("SECURITY", "BREAKING", "CRITICAL", "RISK", "DEPENDENCY", "AFFECTED_CODE", "PERFORMANCE", "PATTERN", "QUALITY", "TODO", "GENERAL", "other")
+MEMORY_SQL = f"""told AS (SELECT '[' || list_extract([{', '.join(f"'{t}'" for t in MEMORY_TAGS)}], line_number % 12 + 1) || '] ' || rule_id || ':' || line_number AS content, event_id AS seen, line_number FROM findings WHERE line_number % 13 <> 0 UNION ALL SELECT rule_id || ':' || line_number, event_id, 99 FROM findings WHERE line_number % 13 = 0),
+memory AS (SELECT content, min(seen) AS seen, CASE WHEN any_value(line_number) = 99 THEN 'low' WHEN any_value(line_number) % 12 < 3 THEN 'critical' WHEN any_value(line_number) % 12 < 6 THEN 'high' WHEN any_value(line_number) % 12 IN (6, 7, 8, 11) THEN 'normal' ELSE 'low' END AS bucket FROM told GROUP BY content)"""
 
 
-@registered()
-def python_facts(spark, sf_dir):
-    """Every document as a Python file: each either parses or is one degraded row."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.col("text").alias("content"))
-    return code.facts(spread(d)).groupBy("kind").agg(F.count("*").alias("n"))
+def memory(spark, sf_dir):
+    line, plain = F.col("line_number"), F.concat("rule_id", F.lit(":"), F.col("line_number").cast("string"))
+    tag = F.element_at(F.array(*[F.lit(t) for t in MEMORY_TAGS]), line % 12 + 1)
+    told = findings(spark, sf_dir).select(F.when(line % 13 != 0, F.concat(F.lit("["), tag, F.lit("] "), plain)).otherwise(plain).alias("content"), F.col("event_id").alias("at"))
+    return routing.remember(told)
+
+
+@registered(f"WITH {FINDINGS_SQL}, {MEMORY_SQL} SELECT count_if(bucket = 'critical') AS critical, count_if(bucket = 'high') AS high, count_if(bucket = 'normal') AS normal, count_if(bucket = 'low') AS low, round(100 * sum(length(content) // 4) / 1000.0, 2) AS used_percent FROM memory")
+def memory_buckets(spark, sf_dir):
+    return routing.memory_stats(memory(spark, sf_dir), 1000)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tessera.operators import chain, scan
+from tessera.session import materialised
 
 HISTORY = "kind string, file_path string, rule_id string, first_seen date, last_seen date, severity string, occurrences long, reason string"
 RECORD = "sequence long, previous string, digest string, signature string, key_id string, payload string"
@@ -18,10 +21,17 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("kind is not null and file_path is not null and rule_id is not null and occurrences >= 1 and last_seen >= first_seen")
 
 
+#: Recollections that one document of a written history holds, about.
+HISTORY_ROWS = 100_000
+
+
 def write_history(history: DataFrame, path: str) -> None:
-    """The whole history as one document per partition file; Spark's committer replaces it at once."""
-    rows = F.sort_array(F.collect_list(F.struct(*[c.split()[0] for c in HISTORY.split(", ")])))
-    history.agg(rows.alias("recollections")).select(F.lit(VERSION).alias("version"), "recollections").write.mode("overwrite").json(path)
+    """The history as documents {version, recollections} of a bounded number of rows; Spark's committer replaces the folder at once."""
+    fields = [c.split()[0] for c in HISTORY.split(", ")]
+    parts = max(1, -(-history.count() // HISTORY_ROWS))
+    part = F.pmod(F.xxhash64("kind", "file_path", "rule_id"), F.lit(parts))
+    grouped = history.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("recollections"))
+    grouped.select(F.lit(VERSION).alias("version"), "recollections").write.mode("overwrite").json(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -33,8 +43,70 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def append_sealed(payloads: DataFrame, path: str, chain_column: str, order: str, signer: tuple[str, bytes] | None = None) -> None:
+    """Seals records behind the ends of the chains that a store holds, and appends them. One writer at a time: two would fork a chain."""
+    spark, after = payloads.sparkSession, None
+    if _exists(spark, path):
+        held = spark.read.json(path)
+        after = held.groupBy(chain_column).agg(F.max_by(F.struct("sequence", "digest"), "sequence").alias("end")).select(chain_column, "end.sequence", "end.digest")
+        after = materialised(after)
+    chain.seal(payloads, chain_column, order, "payload", signer=signer, after=after).write.mode("append").json(path)
+
+
 def replace_records(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
+    """Replaces a store by records that were read from it: they are written beside it first."""
+    materialised(records).write.mode("overwrite").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_metrics(files: DataFrame, path: str) -> None:
+    """The metrics of every file, one JSON object each, for analysis elsewhere."""
+    files.write.mode("overwrite").json(path)
+
+
+BASELINE = "rates map<string,double>, cases array<string>, model string, fingerprint string, at string"
+
+
+def write_baseline(baseline: DataFrame, path: str) -> None:
+    baseline.write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored run (rates, cases, model, fingerprint, at); None where there is none, or none that can be read."""
+    if not _exists(spark, path):
+        return None
+    rows = spark.read.schema(BASELINE).json(path).filter("rates is not null and cases is not null and model is not null and fingerprint is not null")
+    return None if rows.isEmpty() else rows
+
+
+# What a catalogue of controls must state.
+CATALOGUE = ("name", "version", "publisher", "reference")
+
+
+def load_catalogue(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
+    """(what the catalogue says of itself, controls (control, description, namespaces)) of a YAML file. One that can't be read whole,
+    or does not say whose controls these are, in which version, is refused."""
+    import yaml
+
+    try:
+        with open(path, encoding="utf-8") as text:
+            raw = yaml.safe_load(text)
+    except (OSError, yaml.YAMLError) as error:
+        raise ValueError(f"no catalogue can be read from {path}: {type(error).__name__}") from error
+    if not isinstance(raw, dict):
+        raise ValueError(f"{path} is no mapping")
+    if missing := [k for k in CATALOGUE if not raw.get(k)]:
+        raise ValueError(f"{path} does not state its {', '.join(missing)}")
+    rows = []
+    for control, body in (raw.get("controls") or {}).items():
+        if not isinstance(body, dict):
+            raise ValueError(f"control {control} is no mapping")
+        rows.append((str(control), str(body.get("description", "")).strip(), [str(n).upper() for n in body.get("namespaces") or []]))
+    return {k: str(raw[k]) for k in CATALOGUE}, spark.createDataFrame(rows, "control string, description string, namespaces array<string>")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,8 +118,32 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(wanted).option("mode", "FAILFAST").option("multiLine", "true").json(path)
 
 
-def read_corpus(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """YAML cases, one per file, in path order, with a strict schema. Corpora are written by hand and small."""
+def _unknown(value, kind: T.DataType, at: str = "") -> list[str]:
+    """Paths of keys, at any depth, that a type does not have."""
+    if isinstance(kind, T.StructType) and isinstance(value, dict):
+        fields = {f.name: f.dataType for f in kind.fields}
+        return [f"{at}{k}" for k in value if k not in fields] + [x for k, v in value.items() if k in fields for x in _unknown(v, fields[k], f"{at}{k}.")]
+    if isinstance(kind, T.ArrayType) and isinstance(value, list):
+        return [x for v in value for x in _unknown(v, kind.elementType, at)]
+    if isinstance(kind, T.MapType) and isinstance(value, dict):
+        return [x for k, v in value.items() for x in _unknown(v, kind.valueType, f"{at}{k}.")]
+    return []
+
+
+# The fields of the four corpora.
+CORPORA = {
+    "cases": "name string, file string, diff string, scope array<string>, line_tolerance int, expect array<struct<rule:string,line:int,severity:string>>, expect_absent array<struct<rule:string,line:int>>",
+    "documentation": "name string, index struct<names:array<string>,signatures:map<string,array<string>>,options:array<string>,environment:array<string>>, changes array<struct<path:string,diff:string>>, documents map<string,string>, sources map<string,string>, expected array<struct<rule:string,line:int>>, forbidden array<struct<rule:string,line:int>>",
+    "narration": "name string, file string, review string, findings array<struct<rule:string,line:int,severity:string,title:string,category:string>>, prompt_fingerprint string, expect_failures array<string>",
+    "retrieval": "name string, because string, expect struct<path:string,heading:string>, diff string, documents map<string,string>",
+}
+
+
+def read_corpus(spark: SparkSession, paths: list[str], schema: str, secret_free: str | None = None) -> DataFrame:
+    """YAML cases, one per file, in path order, with a strict schema at every depth. Corpora are written by hand and small.
+
+    ``secret_free`` names a text field in which a secret is refused.
+    """
     import yaml
 
     wanted = spark.createDataFrame([], schema).schema
@@ -55,11 +151,29 @@ def read_corpus(spark: SparkSession, paths: list[str], schema: str) -> DataFrame
     for path in sorted(paths):
         with open(path, encoding="utf-8") as text:
             case = yaml.safe_load(text)
-        if extra := sorted(set(case) - set(wanted.names)):
+        if not isinstance(case, dict):
+            raise ValueError(f"{path}: no mapping")
+        if extra := sorted(_unknown(case, wanted)):
             raise ValueError(f"{path}: unknown fields {extra}")
         rows.append(json.dumps(case, default=str))
     held = spark.createDataFrame([(r,) for r in rows], "value string")
-    return held.select(F.from_json("value", wanted, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    cases = held.select(F.from_json("value", wanted, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    if secret_free:
+        told = [r[0] for r in scan.redact(cases, secret_free).filter("masked > 0").select(cases.columns[0]).collect()]
+        if told:
+            raise ValueError(f"cases with a secret: {sorted(told)}")
+    return cases
+
+
+def narration_cases(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return read_corpus(spark, paths, CORPORA["narration"], "review")
+
+
+def retrieval_cases(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cases, documents (name, path, content)); a case that expects a document it does not carry is broken."""
+    cases = read_corpus(spark, paths, CORPORA["retrieval"])
+    broken = ~F.array_contains(F.map_keys("documents"), F.col("expect.path"))
+    return cases.withColumn("broken", broken).drop("documents"), cases.select("name", F.explode("documents").alias("path", "content"))
 
 
 def merge_request_events(raw: DataFrame, body: str = "body") -> DataFrame:

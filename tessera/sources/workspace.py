@@ -73,11 +73,24 @@ DECLARATIONS = {
 }
 
 
+def parameters(signature: Column) -> Column:
+    """The names of a signature's parameters."""
+    inside = F.regexp_replace(F.regexp_extract(signature, r"^def \w+\((.*)\)", 1), r"\[[^\]]*\]", "")
+    names = F.transform(F.split(inside, ","), lambda x: F.trim(F.substring_index(x, ":", 1)))
+    return F.filter(names, lambda n: (n != "") & ~n.isin("self", "cls"))
+
+
+def documentation_index(symbols: DataFrame) -> DataFrame:
+    """A symbol index in the form that ``documentation.defects`` reads."""
+    return symbols.select(F.when(F.col("kind").isin("option", "environment"), F.col("kind")).otherwise("symbol").alias("kind"), "name", "params")
+
+
 def symbol_index(source_files: DataFrame) -> DataFrame:
-    """(path, kind, name): functions and classes (Python by syntax tree, others by declaration), options, environment names."""
-    python = code.symbols(code.facts(source_files, "path")).select("path", "kind", "name")
-    out = python
-    pick = lambda rows, pattern, kind: rows.select("path", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name"))
+    """(path, kind, name, params): functions and classes (Python by syntax tree, others by declaration), options, environment names;
+    of a function its parameters, without self and cls."""
+    out = code.symbols(code.facts(source_files, "path")).select("path", "kind", "name", F.when(F.col("kind") == "function", parameters(F.col("detail"))).alias("params"))
+    none = F.lit(None).cast("array<string>")
+    pick = lambda rows, pattern, kind: rows.select("path", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name"), none.alias("params"))
     for suffix, pattern in DECLARATIONS.items():
         out = out.unionByName(pick(source_files.filter(F.col("path").endswith("." + suffix)), pattern, "declaration"))
     out = out.unionByName(pick(source_files, r"""['"](--[a-z][a-z0-9-]+)['"]""", "option"))
