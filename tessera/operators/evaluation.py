@@ -212,7 +212,7 @@ def evaluate_documentation(cases: DataFrame, claims: DataFrame, index: DataFrame
     kind, name, params; changes: case_name, path, diff. Names get their case in front, so that one join serves all cases."""
     mark = lambda c: F.concat("case_name", F.lit("\x01"), c)
     scopes = changes.select("case_name", "path", documentation.scope_of(F.col("diff")).alias("s"))
-    named = lambda side: scopes.select(mark(F.explode(f"s.{side}")).alias("name"))
+    named = lambda side: scopes.select("case_name", F.explode(f"s.{side}").alias("name")).select(mark(F.col("name")).alias("name"))
     asked = claims.withColumns({"path": mark(F.col("path")), "subject": mark(F.col("subject"))})
     found = documentation.defects(asked, index.withColumn("name", mark(F.col("name"))).drop("case_name"), named("removed"), named("touched"), scopes.select(mark(F.col("path")).alias("path")))
     rows = found.select(F.substring_index("path", "\x01", 1).alias("case_name"), F.col("rule").alias("rule_id"), F.col("line").alias("line_number"), F.lit("low").alias("severity"))

@@ -11,6 +11,9 @@ DIGEST, YAML, RANDOM, EXCEPT = r"\bhashlib\.(?:md5|sha1)\s*\(", r"\byaml\.load\s
 HTTP, SECRET = r"(['\"])http://(?!(?:localhost|127\.0\.0\.1|\[::1\])(?:[:/]|\1))([^'\"]*)\1", r"^(\s*)([A-Z][A-Z0-9_]*)\s*=\s*['\"][^'\"]+['\"]\s*$"
 
 
+RECIPES = ("SAST.WEAK_CRYPTO", "SAST.INSECURE_DESERIALIZATION", "SAST.HARDCODED_SECRET", "SAST.INSECURE_RANDOM", "SAST.INSECURE_HTTP", "QUALITY.ERROR_HANDLING")
+
+
 def rewritten(rule: Column, line: Column, has_os: Column, raises_soon: Column) -> Column:
     """The line after its rule's recipe; null where there is none, it declines, or nothing changes."""
     outside = ~F.substring_index(line, "random.", 1).rlike(r"#|['\"][^'\"]*$")

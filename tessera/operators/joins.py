@@ -37,10 +37,10 @@ def suppress(findings: DataFrame, directive_rows: DataFrame, key: str) -> DataFr
     """
     rules = directive_rows.withColumns({"glob": F.col("rule").endswith(".*"), "target": F.when(F.col("rule").endswith(".*"), F.expr("substr(rule, 1, length(rule) - 2)")).otherwise(F.col("rule"))})
     slim = rules.select("file_path", "target", "glob", F.struct((~F.col("file_level")).cast("int").alias("late"), "line", "ordinal", "rule", "reason", "file_level", "target_line").alias("d"))
-    asked = findings.select(F.col(key).alias("__key"), "file_path", "line_number", F.explode(F.array(F.struct(F.col("rule_id").alias("target"), F.lit(False).alias("glob")), F.struct(namespace(F.col("rule_id")).alias("target"), F.lit(True).alias("glob")))).alias("t"))
-    hits = asked.select("__key", "file_path", "line_number", "t.target", "t.glob").join(slim, ["file_path", "target", "glob"]).filter(F.col("d.file_level") | (F.col("d.target_line") == F.col("line_number")))
-    best = hits.groupBy("__key").agg(F.min("d").alias("d"))
-    return findings.join(best, findings[key] == best["__key"], "left").select(*findings.columns, F.col("d.rule").alias("directive"), F.col("d.line").alias("directive_line"), F.col("d.reason").alias("directive_reason"))
+    asked = findings.select(F.col(key).alias("__of"), "file_path", "line_number", F.explode(F.array(F.struct(F.col("rule_id").alias("target"), F.lit(False).alias("glob")), F.struct(namespace(F.col("rule_id")).alias("target"), F.lit(True).alias("glob")))).alias("t"))
+    hits = asked.select("__of", "file_path", "line_number", "t.target", "t.glob").join(slim, ["file_path", "target", "glob"]).filter(F.col("d.file_level") | (F.col("d.target_line") == F.col("line_number")))
+    best = hits.groupBy("__of").agg(F.min("d").alias("d"))
+    return findings.join(best, findings[key] == best["__of"], "left").select(*findings.columns, F.col("d.rule").alias("directive"), F.col("d.line").alias("directive_line"), F.col("d.reason").alias("directive_reason"))
 
 
 def control_coverage(controls: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
