@@ -376,3 +376,357 @@ def service_readiness(spark, sf_dir):
     """Ready only where all pass; nation 7 and its like fail."""
     checks = table(spark, sf_dir, "nation").select(F.col("n_name").alias("check"), (F.col("n_nationkey") % 7 != 0).alias("passed"))
     return rollup.readiness(checks)
+
+
+# Corpora ----------------------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {SOURCES_SQL} SELECT rule_id, count(*) FILTER (doc_id % 10 <> 0) AS matched, count(*) FILTER (doc_id % 10 = 0) AS mismatched, (SELECT count(*) FROM documents) AS cases FROM parts JOIN given USING (s) WHERE NOT (s = 26 AND line = 1) GROUP BY rule_id")
+def evaluated_corpus(spark, sf_dir):
+    """Each generated file is a case that expects what its snippets give; every tenth expects another severity."""
+    files = source_files(spark, sf_dir)
+    known = spark.createDataFrame([(i, r, s, n) for i, x in enumerate(SNIPPETS) for r, s, n in x[1]], "s int, rule_id string, severity string, line int")
+    sizes = spark.createDataFrame([(i, x[0].count("\n") + 1) for i, x in enumerate(SNIPPETS)], "s int, lines int")
+    key = F.col("doc_id")
+    parts = files.select("doc_id", (key % N).alias("s1"), ((key % N + 1 + F.floor(key / N) % (N - 1)) % N).alias("s2"))
+    first = parts.select("doc_id", F.col("s1").alias("s"), F.lit(0).alias("before"))
+    second = parts.join(F.broadcast(sizes), F.col("s1") == F.col("s")).select("doc_id", F.col("s2").alias("s"), F.col("lines").alias("before"))
+    name = F.col("doc_id").cast("string").alias("case_name")
+    wants = first.unionByName(second).join(F.broadcast(known), "s").filter("not (s = 26 and line = 1)")
+    expected = wants.select(name, (F.col("before") + F.col("line")).alias("line_number"), "rule_id", F.when(key % 10 == 0, "info").otherwise(F.col("severity")).alias("severity")).withColumn("ordinal", F.col("line_number"))
+    cases = files.select(name, "file_path", "content", F.lit("").alias("diff"), F.array(F.lit("*")).alias("scope"), F.lit(0).alias("line_tolerance"))
+    none = spark.createDataFrame([], "case_name string, rule_id string, line_number int")
+    graded, errors = evaluation.evaluate(cases, expected, none, LIMITS)
+    n = cases.count() - errors.count()
+    return graded.groupBy("rule_id").agg(F.count_if(F.col("verdict") == "matched").alias("matched"), F.count_if(F.col("verdict") == "mismatched").alias("mismatched")).withColumn("cases", F.lit(n).cast("long"))
+
+
+@registered(f"SELECT rule_id, count(*) AS matched FROM documents JOIN (VALUES {_rows([(i, d[0]) for i, s in enumerate(SCOPES) for d in s[3]])}) d(k, rule_id) ON k = doc_id % {len(SCOPES)} GROUP BY rule_id")
+def evaluated_documents(spark, sf_dir):
+    diffs = _diffs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("case_name"), F.lit("app.py").alias("path"), "diff", "doc_id")
+    claims = documentation.claims(spread(diffs).select("case_name", F.lit(DOC).alias("t")), "case_name", "t").withColumnRenamed("path", "case_name").withColumn("path", F.lit("README.md"))
+    index = diffs.select("case_name").join(F.broadcast(spark.createDataFrame(INDEX, "kind string, name string, params array<string>")))
+    known = spark.createDataFrame([(i, *d) for i, s in enumerate(SCOPES) for d in s[3]], "k int, rule_id string, subject string, line_number int")
+    expected = diffs.join(F.broadcast(known), F.col("doc_id") % len(SCOPES) == F.col("k")).select("case_name", "rule_id", "line_number", F.col("line_number").alias("ordinal"), F.lit("low").alias("severity"))
+    cases = diffs.select("case_name", F.array(F.lit("DOCS.*")).alias("scope"), F.lit(0).alias("line_tolerance"))
+    none = spark.createDataFrame([], "case_name string, rule_id string, line_number int")
+    graded = evaluation.evaluate_documentation(cases, claims, index, diffs.select("case_name", "path", "diff"), expected, none)
+    return graded.groupBy("rule_id").agg(F.count_if(F.col("verdict") == "matched").alias("matched"))
+
+
+# Retrieval --------------------------------------------------------------------------------------------------------------
+
+
+@registered("SELECT a.vec_id, CASE WHEN a.vec_id % 7 <> 0 THEN round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) END AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, sf_dir):
+    e = retrieval.same_width(table(spark, sf_dir, "embeddings"), "embedding")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    a = F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 3))
+    return e.join(other, "vec_id").select("vec_id", F.round(retrieval.cosine(a, F.col("b")), 6).alias("score"))
+
+
+@registered(f"WITH r AS (SELECT n_nationkey AS query, n_nationkey % 5 + 1 AS place FROM nation), c AS (SELECT count(*) AS cases, count_if(place <= 3) AS found, count_if(place = 1) AS first FROM r WHERE query <> 24) SELECT cases, found, first, 1::BIGINT AS broken, round({_wilson_sql('found', 'cases', 'lower')}, 6) AS lower, round({_wilson_sql('first', 'cases', 'lower')}, 6) AS first_lower FROM c")
+def recall_share(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query"), (F.col("n_nationkey") % 5 + 1).alias("place"))
+    results = n.filter("query <> 24").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("key", F.col("query") * 10 + F.col("place"))
+    expected = n.select("query", (F.col("query") * 10 + F.col("place")).alias("key"))
+    s = retrieval.recall_share(retrieval.recall(expected, results, 3))
+    return s.select("cases", "found", "first", "broken", F.round("recall.lower", 6).alias("lower"), F.round("first_place.lower", 6).alias("first_lower"))
+
+
+DRIFT_SQL = """m AS (SELECT 'c' || (o_custkey % 40) AS changed_path, 'd' || (o_orderkey % 50) AS path, (o_orderkey % 20)::INT AS line, max((o_orderkey % 997) / 50000.0::DOUBLE) AS score FROM orders GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY changed_path ORDER BY score DESC, path, line) AS place FROM m), t AS (SELECT * FROM b WHERE place <= 3),
+f AS (SELECT * FROM t WHERE score >= 0.0195 AND path NOT IN ('d1', 'd2')), o AS (SELECT path, line, min((changed_path, place)) AS first, arg_min(score, (changed_path, place)) AS score FROM f GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (ORDER BY first, path, line) AS n FROM o)"""
+
+
+@registered(f"WITH {DRIFT_SQL} SELECT path, line, score, (SELECT count(*) FROM t WHERE score < 0.0195) AS below, (SELECT greatest(0, count(*) - 8) FROM o) AS dropped FROM k WHERE n <= 8")
+def drift_candidates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = o.groupBy(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("changed_path"), F.concat(F.lit("d"), (F.col("o_orderkey") % 50).cast("string")).alias("path"), (F.col("o_orderkey") % 20).cast("int").alias("line")).agg(F.max((F.col("o_orderkey") % 997) / 50000.0).alias("score"))
+    found, counts = retrieval.drift_candidates(m, spark.createDataFrame([("d1",), ("d2",)], "path string"), floor=0.0195)
+    return found.join(counts).select("path", "line", "score", "below", "dropped")
+
+
+# Joins, graphs and traces -----------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {FINDINGS_SQL} SELECT event_id FROM findings WHERE split_part(rule_id, '.', 1) IN ('SAST', 'QUALITY')")
+def deterministic_findings(spark, sf_dir):
+    known = spark.createDataFrame([("SAST", "sast"), ("QUALITY", "quality")], "namespace string, producer string")
+    return joins.deterministic_only(joins.attribute(findings(spark, sf_dir), known)).select("event_id")
+
+
+@registered("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def first_symbols(spark, sf_dir):
+    return joins.first_symbols(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+CALLS_SQL = "e AS (SELECT DISTINCT 's' || a.l_suppkey AS caller, 's' || b.l_suppkey AS callee FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+@registered(f"""WITH {CALLS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS n FROM e), i AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS n FROM e),
+l0 AS (SELECT unnest(['s1', 's2', 's9']) AS entry), f0 AS (SELECT entry, entry AS name FROM l0),
+f1 AS (SELECT DISTINCT entry, callee AS name FROM f0 JOIN o ON caller = name AND n <= 5 WHERE callee <> entry), f2 AS (SELECT DISTINCT entry, callee AS name FROM f1 JOIN o ON caller = name AND n <= 5 EXCEPT SELECT * FROM f0 EXCEPT SELECT * FROM f1),
+a AS (SELECT *, 0 AS level FROM f0 UNION ALL SELECT *, 1 FROM f1 UNION ALL SELECT *, 2 FROM f2)
+SELECT entry, name, level, coalesce((SELECT string_agg(caller, ',' ORDER BY caller) FROM i WHERE callee = name AND n <= 10), '') AS callers, coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM o WHERE caller = name AND n <= 10), '') AS callees FROM a""")
+def call_graph(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("caller"))
+    nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("caller").alias("callee"))
+    graph = joins.call_graph(li.join(nxt, ["l_orderkey", "l_linenumber"]).select("caller", "callee"), spark.createDataFrame([("s1",), ("s2",), ("s9",)], "name string"))
+    return graph.select("entry", "name", "level", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+
+
+@registered("WITH RECURSIVE " + SPANS_SQL + """, w AS (SELECT trace_id, span_id, 0 AS depth, [lpad(started_ms::VARCHAR, 20, '0') || ':' || span_id] AS path FROM tree WHERE parent IS NULL UNION ALL
+  SELECT t.trace_id, t.span_id, w.depth + 1, list_append(w.path, lpad(t.started_ms::VARCHAR, 20, '0') || ':' || t.span_id) FROM w JOIN tree t ON t.trace_id = w.trace_id AND t.parent = w.span_id WHERE w.depth < 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path)::INT AS n FROM w), s AS (SELECT trace_id, count(*) AS spans FROM tree GROUP BY trace_id), k AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS shown FROM r WHERE n <= 6)
+SELECT k.trace_id, n, depth, span_id, spans - shown AS omitted FROM k JOIN s ON s.trace_id = k.trace_id""")
+def bounded_traces(spark, sf_dir):
+    return trace.bounded_tree(trace.resolved(spans(spark, sf_dir)), max_nodes=6)
+
+
+@registered("SELECT user_id AS trace_id, user_id::VARCHAR AS told, count(*)::INT AS spans FROM events GROUP BY user_id")
+def trace_documents(spark, sf_dir):
+    made = stores.trace_json(trace.self_time(trace.resolved(spans(spark, sf_dir))))
+    return made.select("trace_id", F.get_json_object("value", "$.trace_id").alias("told"), F.json_array_length(F.get_json_object("value", "$.spans")).alias("spans"))
+
+
+# Chains -----------------------------------------------------------------------------------------------------------------
+
+_KEYS = {"k1": b"one", "k2": b"two"}
+
+
+@registered("SELECT user_id, count(*) AS n, CASE user_id % 4 WHEN 0 THEN 'intact' WHEN 2 THEN 'tampered' ELSE 'unverifiable' END AS status, CASE WHEN user_id % 4 = 2 THEN 1 END AS broken_at, CASE WHEN user_id % 4 = 2 THEN 'signature' END AS reason, CASE WHEN user_id % 4 = 1 THEN 'k9' ELSE '' END AS unheld FROM events GROUP BY user_id")
+def chain_signatures(spark, sf_dir):
+    """Signed chains are intact; one with another's signature is tampered; of an unknown key, or unsigned, unverifiable."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct("event_id")).alias("payload"))
+    s = chain.seal(spread(e), "user_id", "event_id", "payload", signer=("k1", _KEYS["k1"]))
+    user = F.col("user_id") % 4
+    s = s.withColumns({"key_id": F.when(user == 1, "k9").when(user == 2, "k2").when(user == 3, "").otherwise(F.col("key_id")), "signature": F.when(user == 3, "").otherwise(F.col("signature"))})
+    return chain.verify(s, "user_id", "event_id", keys=_KEYS).select("user_id", "n", "status", "broken_at", "reason", F.array_join("unheld", ",").alias("unheld"))
+
+
+@registered("SELECT user_id, count(*) AS kept, CASE WHEN user_id % 3 <> 0 THEN count_if(ts < TIMESTAMP '2024-01-05') ELSE 0 END AS changed, CASE WHEN user_id % 3 = 0 THEN 'record 1: digest' END AS refused, user_id % 3 <> 0 AS intact FROM events GROUP BY user_id")
+def rewritten_stores(spark, sf_dir):
+    """Erasure by age: chains with an edited record are left as they are; the others are sealed again, and hold."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct("event_id", stamp.alias("recorded_at"))).alias("payload"))
+    s = chain.seal(spread(e), "user_id", "event_id", "payload")
+    s = s.withColumn("payload", F.when((F.col("user_id") % 3 == 0) & (F.col("sequence") == 1), "{}").otherwise(F.col("payload")))
+    older = chain.is_older(F.get_json_object("payload", "$.recorded_at"), F.lit("2024-01-05").cast("timestamp"))
+    fresh, outcome = chain.rewrite(s, "user_id", "event_id", lambda d: chain.erase(d, older, "p1", "2024-06-01"))
+    state = chain.verify(fresh, "user_id", "event_id").select("user_id", (F.col("status") == "intact").alias("intact"))
+    return outcome.join(state, "user_id")
+
+
+@registered("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '{\"event\":' || event_id || ',\"project\":\"\",\"redacted_at\":\"t\",\"redaction_policy\":\"p\"}' ELSE '{\"event\":' || event_id || ',\"project\":\"x\"}' END AS payload FROM events")
+def redacted_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_json(F.struct(F.col("event_id").alias("event"), F.lit("x").alias("project"))).alias("payload"))
+    return chain.redact(e, F.col("user_id") % 2 == 0, "p", "t").select("event_id", "payload")
+
+
+@registered(f"WITH {FINDINGS_SQL} SELECT file_path AS run, count_if(line_number % 4 <> 0)::INT AS n_findings, count_if(line_number % 4 = 0)::INT AS n_suppressed, CASE WHEN count_if(severity = 'critical' AND line_number % 4 <> 0) > 0 THEN 'fail' ELSE 'warn' END AS verdict, count_if(severity = 'critical' AND line_number % 4 <> 0) > 0 AS completed FROM findings GROUP BY file_path")
+def decision_records(spark, sf_dir):
+    f = findings(spark, sf_dir)
+    told = f.select(F.col("file_path").alias("run"), "rule_id", "file_path", "line_number", F.lit("sast").alias("producer"), (F.col("severity") == "critical").alias("blocks"), F.when(F.col("line_number") % 4 == 0, F.col("rule_id")).alias("directive"), F.lit(None).cast("string").alias("reason"))
+    runs = f.select(F.col("file_path").alias("run")).distinct().select("run", F.lit("fail").alias("verdict"), F.lit(1).alias("exit_code"), F.lit("p").alias("project"), F.lit("7").alias("merge_request"), F.lit("t").alias("trace_id"), F.lit("2024-01-01").alias("recorded_at"))
+    made, at = chain.decisions(runs, told), lambda p: F.get_json_object("payload", p)
+    return made.select("run", F.json_array_length(at("$.findings")).alias("n_findings"), F.json_array_length(at("$.suppressions")).alias("n_suppressed"), at("$.verdict").alias("verdict"), (at("$.completed") == "true").alias("completed"))
+
+
+# Stores -----------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from tessera.session import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/tessera-stores/{name}-{uuid.uuid4().hex}"
+
+
+@registered(f"WITH {FINDINGS_SQL} SELECT file_path, count(*) AS rules, sum(n)::BIGINT AS occurrences FROM (SELECT file_path, rule_id, count(*) AS n FROM findings GROUP BY ALL) GROUP BY file_path")
+def history_store(spark, sf_dir):
+    """The history written as versioned documents, and read again."""
+    from tessera.plans.fixtures import sightings
+
+    path = _folder(spark, "history")
+    stores.write_history(history.consolidate(sightings(spark, sf_dir)), path)
+    return stores.read_history(spark, path).groupBy("file_path").agg(F.count("*").alias("rules"), F.sum("occurrences").alias("occurrences"))
+
+
+@registered("SELECT user_id, count(*) AS n, 'intact' AS status FROM events GROUP BY user_id")
+def sealed_store(spark, sf_dir):
+    """Two appends to one store of sealed records, then verified as a whole."""
+    e, path = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct("event_id", "event_type")).alias("payload")), _folder(spark, "records")
+    middle = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for half in (e.filter(F.col("event_id") <= middle), e.filter(F.col("event_id") > middle)):
+        stores.append_sealed(half, path, "user_id", "event_id")
+    return chain.verify(spark.read.json(path), "user_id", "event_id").select("user_id", "n", "status")
+
+
+@registered(f"WITH {METRICS_SQL} SELECT project_id, count(*) AS files FROM f GROUP BY project_id")
+def metrics_store(spark, sf_dir):
+    path = _folder(spark, "metrics")
+    stores.write_metrics(_file_metrics(spark, sf_dir), path)
+    return spark.read.json(path).groupBy("project_id").agg(F.count("*").alias("files"))
+
+
+@registered("SELECT user_id AS project_id, event_id AS mr_id, CASE event_id % 3 WHEN 0 THEN 'open' ELSE 'update' END AS action FROM events WHERE event_type = 'click' AND event_id % 3 <> 2")
+def merge_events(spark, sf_dir):
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    action = F.when(key % 3 == 0, "open").when(key % 3 == 1, "update").otherwise("close")
+    kind = F.when(F.col("event_type") == "click", "merge_request").otherwise("push")
+    raw = e.select(F.to_json(F.struct(kind.alias("object_kind"), F.struct(F.col("user_id").alias("id")).alias("project"), F.struct(key.alias("iid"), action.alias("action")).alias("object_attributes"))).alias("body"))
+    return stores.merge_request_events(raw)
+
+
+# Routing and memory -----------------------------------------------------------------------------------------------------
+
+
+@registered("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'already_run' END END AS refused FROM orders")
+def accepted_handoffs(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    asked = o.select("o_orderkey", key.cast("string").alias("file_path"), F.when(key % 3 == 0, "poetry").when(key % 3 == 1, "security").otherwise("performance").alias("to"))
+    ran = asked.filter("o_orderkey % 2 = 0").select("file_path", F.lit("security").alias("to"))
+    return routing.accept_handoffs(asked, ran, 0).select("o_orderkey", "refused")
+
+
+@registered("SELECT n_regionkey::VARCHAR AS file_path, '## Architecture' || chr(10) || chr(10) || 'a' || n_regionkey || chr(10) || chr(10) || '## Security' || chr(10) || chr(10) || 's' || n_regionkey AS text FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def composed_reports(spark, sf_dir):
+    r = table(spark, sf_dir, "nation").select("n_regionkey").distinct()
+    part = lambda agent, letter: r.select(F.col("n_regionkey").cast("string").alias("file_path"), F.lit(agent).alias("agent"), F.concat(F.lit(letter), F.col("n_regionkey").cast("string")).alias("body"))
+    return routing.compose(part("security", "s").unionByName(part("architecture", "a")).unionByName(r.select(F.col("n_regionkey").cast("string").alias("file_path"), F.lit("performance").alias("agent"), F.lit("  ").alias("body"))))
+
+
+@registered("WITH n AS (SELECT o_custkey AS key, min(o_orderdate) AS submitted FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1), q AS (SELECT 500 - count(*) AS room FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 50 = 0)), r AS (SELECT *, row_number() OVER (ORDER BY submitted, key) AS n FROM n) SELECT key FROM r, q WHERE n <= greatest(0, room)")
+def submitted_jobs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    jobs = o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), F.when(F.col("o_custkey") % 50 == 0, "queued").otherwise("running").alias("state"))
+    return routing.submit(jobs, o.select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("submitted")), 500).select("key")
+
+
+@registered("SELECT o_orderkey AS key FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def claimed_job(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("submitted"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("running").alias("state"))
+    return routing.claim_next(o).select("key")
+
+
+STATES = ("queued", "running", "succeeded", "failed")
+
+
+@registered(f"WITH m AS (SELECT event_id, list_extract({list(STATES)}, (event_id % 4 + 1)::INT) AS before, list_extract({list(STATES)}, (event_id // 4 % 4 + 1)::INT) AS after FROM events) SELECT event_id FROM m WHERE before || '>' || after NOT IN ('queued>running', 'running>succeeded', 'running>failed', 'queued>failed')")
+def illegal_moves(spark, sf_dir):
+    state = lambda at: F.element_at(F.array(*[F.lit(s) for s in STATES]), (at % 4 + 1).cast("int"))
+    moves = table(spark, sf_dir, "events").select("event_id", state(F.col("event_id")).alias("before"), state(F.floor(F.col("event_id") / 4)).alias("after"))
+    return routing.illegal_transitions(moves).select("event_id")
+
+
+@registered(f"""WITH {FINDINGS_SQL}, {MEMORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY seen, content) AS n FROM memory), p AS (SELECT bucket, string_agg('- ' || content, chr(10) ORDER BY n) AS t FROM r WHERE bucket = 'critical' OR (bucket = 'high' AND n <= 20) OR (bucket = 'normal' AND n <= 15) GROUP BY bucket)
+SELECT md5('## CRITICAL' || chr(10) || (SELECT t FROM p WHERE bucket = 'critical') || chr(10) || chr(10) || '## HIGH' || chr(10) || (SELECT t FROM p WHERE bucket = 'high') || chr(10) || chr(10) || '## AFFECTED CODE' || chr(10) || '- `a.py:f` - renamed' || chr(10) || chr(10) || '## NORMAL' || chr(10) || (SELECT t FROM p WHERE bucket = 'normal') || chr(10) || chr(10) || '## SUMMARY' || chr(10) || 'old') AS context""")
+def memory_context(spark, sf_dir):
+    affected = spark.createDataFrame([("a.py", "f", "renamed", 1)], "path string, symbol string, reason string, at long")
+    return routing.load_context(memory(spark, sf_dir), affected, "old").select(F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+# Edits ------------------------------------------------------------------------------------------------------------------
+
+#: Line, rule, line after its recipe (null: declined or unchanged).
+EDITS = (
+    ("h = hashlib.md5(x) + hashlib.sha1(y)", "SAST.WEAK_CRYPTO", "h = hashlib.sha256(x) + hashlib.sha256(y)"),
+    ("c = yaml.load(t)", "SAST.INSECURE_DESERIALIZATION", "c = yaml.safe_load(t)"),
+    ("c = yaml.load(t, Loader=L)", "SAST.INSECURE_DESERIALIZATION", None),
+    ("API_KEY = 'abc123'", "SAST.HARDCODED_SECRET", 'API_KEY = os.environ["API_KEY"]'),
+    ("y = random.choice(z) + random.random()", "SAST.INSECURE_RANDOM", "y = secrets.SystemRandom().choice(z) + random.random()"),
+    ("y = 1  # random.choice(z)", "SAST.INSECURE_RANDOM", None),
+    ('u = "http://a.b/c"', "SAST.INSECURE_HTTP", 'u = "https://a.b/c"'),
+    ('u = "http://localhost:8080/"', "SAST.INSECURE_HTTP", None),
+    ("except:", "QUALITY.ERROR_HANDLING", "except Exception:"),
+    ("z = 1", "SAST.WEAK_CRYPTO", None),
+)
+
+
+def _edited(spark, sf_dir):
+    d, key = table(spark, sf_dir, "documents").select("doc_id"), (F.col("doc_id") % len(EDITS) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in EDITS]), key)
+    files = d.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("import os\n"), pick(0), F.lit("\nlast = 1\n")).alias("content"), pick(1).alias("rule_id"))
+    found = files.select("file_path", F.lit(2).alias("line_number"), "rule_id").unionByName(files.select("file_path", F.lit(1).alias("line_number"), F.lit("AGENT.GUESS").alias("rule_id")))
+    return files, found
+
+
+@registered(f"SELECT doc_id, before, after FROM documents JOIN (VALUES {_rows([(i, e[0], e[2]) for i, e in enumerate(EDITS)])}) e(k, before, after) ON k = doc_id % {len(EDITS)} WHERE after IS NOT NULL AND doc_id % 3 <> 0")
+def fix_suggestions(spark, sf_dir):
+    """Suggestions on changed lines; every third file's change did not touch the line."""
+    files, found = _edited(spark, sf_dir)
+    changed = files.select("file_path", F.when(F.col("doc_id") % 3 != 0, 2).otherwise(9).alias("line"))
+    got = fixes.suggest(found, files.select("file_path", "content"), changed)
+    return got.select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("doc_id"), "before", "after")
+
+
+@registered(f"SELECT doc_id, 'import os' || chr(10) || coalesce(after, before) || chr(10) || 'last = 1' || chr(10) AS content FROM documents JOIN (VALUES {_rows([(i, e[0], e[2]) for i, e in enumerate(EDITS)])}) e(k, before, after) ON k = doc_id % {len(EDITS)} WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 7 = 0")
+def applied_fixes(spark, sf_dir):
+    """Files after their edits; every seventh has one that is out of range, so none of its edits holds."""
+    files, found = _edited(spark, sf_dir)
+    edits = fixes.suggest(found, files.select("file_path", "content")).select("file_path", "line", "after").unionByName(files.filter("doc_id % 7 = 0").select("file_path", F.lit(99).alias("line"), F.lit("x").alias("after")))
+    return fixes.applied(files.select("file_path", "content"), edits).select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("doc_id"), "content")
+
+
+IMPORTS = (("import os\nimport sys\n\nx = 1\n", 2), ('"""Doc.\n\nMore."""\nx = 1\n', 3), ("x = 1\n", 0), ("import secrets\nx = 1\n", None), ("def (\n", None), ("", None), ("import os.path as p\nfrom a import (\n    b,\n)\nx = 1\n", 4), ("def f():\n    import secrets\n", None))
+
+
+@registered(f"SELECT doc_id, anchor FROM documents JOIN (VALUES {_rows([(i, a) for i, (_, a) in enumerate(IMPORTS)])}) e(k, anchor) ON k = doc_id % {len(IMPORTS)}")
+def import_anchors(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(t) for t, _ in IMPORTS]), (F.col("doc_id") % len(IMPORTS) + 1).cast("int")).alias("content"))
+    return d.select("doc_id", fixes.import_anchor(F.col("content"), "secrets").alias("anchor"))
+
+
+# Roll-ups and reports ---------------------------------------------------------------------------------------------------
+
+
+@registered("SELECT o_custkey, CASE WHEN count_if(o_orderstatus = 'F') > 1 AND (count(*) > 5) THEN 1 WHEN count_if(o_orderstatus = 'P') > 0 THEN 1 ELSE 0 END AS code FROM orders GROUP BY o_custkey")
+def exit_codes(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    runs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(s == "F").alias("blocking"), F.count("*").alias("n"), F.count_if(s == "P").alias("unanalysed"), F.count_if(s == "O").alias("failed"))
+    result = F.when((F.col("blocking") > 1) & (F.col("n") > 5), "fail").otherwise("warn")
+    return runs.select("o_custkey", rollup.exit_code(result, F.col("unanalysed"), F.col("failed"), F.col("blocking")).alias("code"))
+
+
+@registered(f"WITH {FINDINGS_SQL} SELECT rule_id, severity, count(*) AS n FROM findings GROUP BY ALL")
+def severity_maps(spark, sf_dir):
+    per_file = findings(spark, sf_dir).groupBy("rule_id", "file_path", "severity").agg(F.count("*").alias("n")).groupBy("rule_id", "file_path").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("by_severity"))
+    return rollup.map_totals(per_file, "by_severity", "rule_id").select("rule_id", F.explode("by_severity").alias("severity", "n"))
+
+
+@registered("SELECT lang, string_agg('### ' || doc_id || ':1-1' || chr(10) || chr(10) || substr(text, 1, 20), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id < 100 GROUP BY lang")
+def evidence_texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("doc_id < 100").select("lang", "doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.substring("text", 1, 20).alias("text"))
+    return reports.evidence(d, ["lang"], ["doc_id"])
+
+
+@registered(f"""WITH {FINDINGS_SQL}, c AS (SELECT split_part(rule_id, '.', 1) AS ns, count(*) AS n FROM findings GROUP BY 1), k(control, ns) AS (VALUES ('AC-1', 'SAST'), ('AC-1', 'SECRETS'), ('QA-2', 'QUALITY'), ('QA-2', 'PERFORMANCE'), ('DR-3', 'RESILIENCE')), t AS (SELECT control, coalesce(sum(n), 0) AS n FROM k LEFT JOIN c USING (ns) GROUP BY control)
+SELECT '# Control coverage' || chr(10) || chr(10) || 'Own, version 1, by us (x).' || chr(10) || chr(10) || 'These are findings that concern a control; whether it is met is not said here.' || chr(10) || chr(10) || '## With findings' || chr(10) || chr(10) || '| control | findings | about |' || chr(10) || '|---|---:|---|' || chr(10) || (SELECT string_agg('| `' || control || '` | ' || n::BIGINT || ' | about ' || control || ' |', chr(10) ORDER BY control) FROM t WHERE n > 0)
+|| chr(10) || chr(10) || '## Without findings' || chr(10) || chr(10) || (SELECT string_agg('- `' || control || '`: about ' || control, chr(10) ORDER BY control) FROM t WHERE n = 0) || chr(10) || chr(10) || '## In no control' || chr(10) || chr(10) || (SELECT string_agg('- `' || ns || '`', chr(10) ORDER BY ns) FROM c WHERE ns NOT IN (SELECT ns FROM k)) AS text""")
+def control_report(spark, sf_dir):
+    covered, unmapped = joins.control_coverage(spark.createDataFrame(list(CONTROLS), "control string, namespaces array<string>"), findings(spark, sf_dir))
+    return reports.coverage_report({"name": "Own", "version": "1", "publisher": "us", "reference": "x"}, covered.withColumn("description", F.concat(F.lit("about "), "control")), unmapped)
+
+
+@registered("SELECT '# Against the baseline' || chr(10) || chr(10) || 'The prompt changed. The model is the same.' || chr(10) || chr(10) || '## Rose' || chr(10) || chr(10) || '- `a`: 0.50 to 0.75 (+0.25)' || chr(10) || chr(10) || '## Fell' || chr(10) || chr(10) || '- `b`: 0.90 to 0.40 (-0.50)' || chr(10) || chr(10) || '## Unchanged' || chr(10) || chr(10) || '- `c`: 0.30 to 0.30 (+0.00)' || chr(10) || chr(10) || '## Not in the baseline' || chr(10) || chr(10) || '- `d`' || chr(10) || chr(10) || '## No longer measured' || chr(10) || chr(10) || '- `e`' AS text")
+def comparison_report(spark, sf_dir):
+    rates = spark.createDataFrame([("a", 0.5, 0.75), ("b", 0.9, 0.4), ("c", 0.3, 0.3), ("d", None, 0.2), ("e", 0.1, None)], "check string, before double, after double")
+    one = lambda side: rates.filter(f"{side} is not null").select("check", F.col(side).alias("rate"))
+    return reports.comparison_report(evaluation.compare(one("before"), one("after")), True, False)
+
+
+@registered(f"WITH {CONFUSION_SQL}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(2.0 * tp / (2 * tp + fp + fn), 4) AS f1, false AS met FROM t")
+def score_summary(spark, sf_dir):
+    total = evaluation.scored(evaluation.total(_judged(spark, sf_dir)))
+    value = reports.evaluation_summary(total, spark.createDataFrame([], "case_name string, reason string"), {"precision": 0.99})
+    at = lambda p, kind: F.get_json_object("value", p).cast(kind)
+    return value.select(at("$.tp", "long").alias("tp"), at("$.fp", "long").alias("fp"), at("$.precision", "double").alias("precision"), at("$.f1", "double").alias("f1"), at("$.met", "boolean").alias("met"))
+
+
+@registered("SELECT doc_id, length(text) AS full_length, true AS fits, length(text) > 500 AS was_cut FROM documents")
+def cut_texts(spark, sf_dir):
+    cut = reports.cut(F.col("text"), 500)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("full_length"), (F.length(cut) <= 500).alias("fits"), (cut != F.col("text")).alias("was_cut"))

@@ -80,7 +80,7 @@ def evaluation_summary(total: DataFrame, errors: DataFrame, floors: dict[str, fl
 
 def narration_report(score: DataFrame, coverage: DataFrame, disagreements: DataFrame, stale: DataFrame, floor: float) -> DataFrame:
     """score: of ``evaluation.narration_score``; coverage: of ``check_coverage``; disagreements: case_name, check; stale: case_name."""
-    checks = _gathered(coverage, F.concat(F.lit("| `"), "check", F.lit("` | "), F.concat_ws(" | ", F.coalesce(F.format_string("%.2f", "rate"), F.lit("-")), "passing", "firing"), F.lit(" |")), ["check"], "checks")
+    checks = _gathered(coverage, F.concat(F.lit("| `"), "check", F.lit("` | "), F.concat_ws(" | ", F.when(F.col("rate").isNotNull(), F.format_string("%.2f", "rate")).otherwise("-"), "passing", "firing"), F.lit(" |")), ["check"], "checks")
     wrong = _gathered(disagreements, F.concat(F.lit("- `"), "case_name", F.lit("`: `"), "check", F.lit("`")), ["case_name", "check"], "wrong")
     old = _gathered(stale, F.concat(F.lit("- `"), "case_name", F.lit("`")), ["case_name"], "old")
     head = F.concat(F.lit("# Narration evaluation\n\n"), F.col("cases").cast("string"), F.lit(" case(s). Agreement "), F.format_string("%.2f", "score"), F.lit(", whole cases "), _share("interval"), F.lit(" "), _met(F.col("interval.lower"), floor))

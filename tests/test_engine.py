@@ -1,13 +1,14 @@
 """The review engine on small tables, with values worked out by hand."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import severity, stats
 from tessera.functions.text import tokens
-from tessera.operators import chain, chunking, code, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, trace
+from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, trace
 
 
 def one(spark, column, **values):
@@ -61,7 +62,7 @@ def test_chunks(spark):
     assert {("a.py", 1, 2, ""), ("a.py", 3, 5, "A"), ("a.py", 4, 5, "A.f"), ("a.py", 7, 9, "g"), ("b.py", 1, 3, ""), ("c.txt", 1, 40, ""), ("c.txt", 61, 100, "")} <= got
     doc = spark.createDataFrame([("d.md", "intro\n# One #\na\n```\n# no\n```\n## Two\nb")], "path string, content string")
     assert [(r.start_line, r.end_line, r.name) for r in chunking.markdown(doc).orderBy("start_line").collect()] == [(1, 1, ""), (2, 6, "One"), (7, 8, "Two")]
-    packed = chunking.greedy(spark.createDataFrame([("x", "aa\nbb\ncccccccc\nd")], "path string, content string"), budget=5).orderBy("part").collect()
+    packed = chunking.greedy(spark.createDataFrame([("x", "aa\nbb\ncccccccc\nd")], "path string, content string"), budget=6).orderBy("part").collect()
     assert [r.text for r in packed] == ["aa\nbb", "cccccccc", "d"]
     reads = chunking.read_within(spark.createDataFrame([(1, 1, "a", "xxx"), (1, 2, "b", "yyyyyyyy"), (1, 3, "c", "z")], "group int, ordinal int, path string, content string"), 6, 5)
     assert {r.path: r.text for r in reads.collect()} == {"a": "xxx", "b": None, "c": "z"}
@@ -82,8 +83,8 @@ def test_triage(spark):
 def test_diffs(spark):
     diff = "--- a\n+++ b\n@@ -1,2 +10,3 @@\n ctx\n-old\n+new\n+more\n@@ -9 +40 @@\n+last\n"
     assert sorted(r.line for r in scan.changed_lines(spark.createDataFrame([("p", diff)], "path string, diff string")).collect()) == [11, 12, 40]
-    assert tuple(one(spark, scan.rename_of(F.lit("-def a(x):\n+def b(x):")))) == ("a", "b")
-    scope = one(spark, scan.scope_of(F.lit("-def a():\n-class B:\n+class B:\n+def c():")))
+    assert tuple(one(spark, documentation.rename_of(F.lit("-def a(x):\n+def b(x):")))) == ("a", "b")
+    scope = one(spark, documentation.scope_of(F.lit("-def a():\n-class B:\n+class B:\n+def c():")))
     assert scope.removed == ["a"] and scope.touched == ["B", "a", "c"]
     assert [tuple(c) for c in one(spark, scan.citations(F.lit("see src/app.py:12 and http://x.y:80 then b.go:3.")))] == [("src/app.py", 12)]
 
@@ -117,15 +118,42 @@ def test_grading(spark):
 
 
 def test_chain(spark):
-    sealed = chain.seal(spark.createDataFrame([("c", i, f"p{i}") for i in range(1, 6)], "c string, at int, payload string"), "c", "at", "payload")
-    assert chain.verify(sealed, "c", "at").first().status == "intact"
-    edited = sealed.withColumn("payload", F.when(F.col("sequence") == 3, "x").otherwise(F.col("payload")))
-    assert tuple(chain.verify(edited, "c", "at").select("broken_at", "reason").first()) == (3, "digest")
-    assert tuple(chain.verify(sealed.filter("sequence <> 2"), "c", "at").select("broken_at", "reason").first()) == (2, "link")
-    least = spark.createDataFrame([("c", 6)], "c string, least long")
-    assert chain.verify(sealed, "c", "at", least).first().reason == "truncated"
-    one_ = spark.createDataFrame([("00", 1, '{"b":1,"a":2}')], "p string, s long, body string")
-    assert chain.with_blake(one_, "p", "s", "body", "d").first().d == chain.blake_digest("00", 1, '{"a": 2, "b": 1}')
+    payloads = [("c", i, f'{{"b": {i}, "a": "é"}}') for i in range(1, 6)]
+    records = spark.createDataFrame(payloads, "c string, at int, payload string")
+    sealed = chain.seal(records, "c", "at", "payload")
+    rows, last = sealed.orderBy("at").collect(), chain.GENESIS
+    for r in rows:  # the digest by hand: BLAKE2b of 256 bits over the previous digest, the place and canonical JSON
+        assert r.previous == last and r.digest == hashlib.blake2b(f'{last}\n{r.sequence}\n{{"a":"\\u00e9","b":{r.sequence}}}'.encode(), digest_size=32).hexdigest()
+        last = r.digest
+    of = lambda df, **more: tuple(chain.verify(df, "c", "at", **more).select("status", "broken_at", "reason").first())
+    assert of(sealed) == ("intact", None, None)
+    assert of(sealed.withColumn("payload", F.when(F.col("sequence") == 3, "{}").otherwise(F.col("payload")))) == ("tampered", 3, "digest")
+    assert of(sealed.withColumn("payload", F.when(F.col("sequence") == 2, "no json").otherwise(F.col("payload")))) == ("tampered", 2, "digest")
+    assert of(sealed.filter("sequence <> 2")) == ("tampered", 2, "link")
+    assert of(sealed.filter("sequence < 5")) == ("intact", None, None)
+    assert of(sealed, expect_at_least=spark.createDataFrame([("c", 6)], "c string, least long")) == ("tampered", 5, "truncated")
+    signed, keys = chain.seal(records, "c", "at", "payload", signer=("k", b"s")), {"k": b"s"}
+    assert of(signed, keys=keys)[0] == "intact" and of(signed)[0] == of(signed, keys={"other": b"s"})[0] == of(sealed, keys=keys)[0] == "unverifiable"
+    assert of(signed, keys={"k": b"t"}) == ("tampered", 1, "signature")
+    after = sealed.groupBy("c").agg(F.max("sequence").alias("sequence"), F.max_by("digest", "sequence").alias("digest"))
+    more = chain.seal(spark.createDataFrame([("c", 6, "{}")], "c string, at int, payload string"), "c", "at", "payload", after=after)
+    assert of(sealed.unionByName(more)) == ("intact", None, None) and more.first().sequence == 6
+
+
+def test_erasure_refuses_what_it_can_not_seal_again(spark):
+    records = spark.createDataFrame([("a", 1, '{"project":"x"}'), ("a", 2, '{"project":"y"}'), ("b", 1, '{"project":"x"}')], "c string, at int, payload string")
+    signed = chain.seal(records, "c", "at", "payload", signer=("k", b"s"))
+    gone = F.get_json_object("payload", "$.project") == "x"
+    change = lambda d: chain.erase(d, gone & (F.col("c") == "a"), "p", "t")
+    left, outcome = chain.rewrite(signed, "c", "at", change, keys={"k": b"s"})
+    assert all("no key" in r.refused for r in outcome.collect()) and left.exceptAll(signed.select(left.columns)).count() == 0
+    fresh, outcome = chain.rewrite(signed, "c", "at", change, keys={"k": b"s"}, signer=("k", b"s"))
+    assert {r.c: (r.kept, r.changed, r.refused) for r in outcome.collect()} == {"a": (2, 1, None), "b": (1, 0, None)}
+    assert {r.status for r in chain.verify(fresh, "c", "at", keys={"k": b"s"}).collect()} == {"intact"}
+    again = chain.erase(fresh, F.lit(True) & (F.col("c") == "a") & (F.col("at") == 1), "other", "later")  # a tombstone stays as it is
+    assert again.filter("c = 'a' and at = 1").first().payload == '{"tombstone":{"policy":"p","removed_at":"t"}}'
+    told = chain.redact(records, F.col("c") == "b", "p", "t").filter("c = 'b'").first().payload
+    assert told == '{"project":"","redacted_at":"t","redaction_policy":"p"}'
 
 
 def test_gates_keep_null_apart_from_clean(spark):
@@ -138,7 +166,7 @@ def test_gates_keep_null_apart_from_clean(spark):
 def test_budget(spark):
     rows = spark.createDataFrame([("g", i, w, 100) for i, w in enumerate([3, 4, 2, 2])], "g string, o int, w int, t int")
     got = [r.share for r in routing.split_budget(rows, "g", "o", "w", "t").orderBy("o").collect()]
-    assert sum(got) == 100 and got == [27, 36, 19, 18] or sum(got) == 100
+    assert got == [27, 36, 19, 18]  # 96 by weights 3, 4, 2, 2: 26.2, 34.9, 17.5, 17.5, and one each
     four = routing.split_budget(rows.withColumn("t", F.lit(4)), "g", "o", "w", "t")
     assert [r.share for r in four.collect()] == [1, 1, 1, 1]
 
@@ -170,13 +198,76 @@ def f(a, b, c, d, e, g):
 
 
 def test_code_facts(spark):
-    rows = code.facts(spark.createDataFrame([("a.py", SOURCE), ("b.py", "def (")], "file_path string, content string"))
+    rows = code.facts(spark.createDataFrame([("a.py", SOURCE), ("b.py", "def ("), ("c.py", "(" * 300 + ")" * 300)], "file_path string, content string"))
     got = rows.collect()
     kinds = {r.kind for r in got}
     assert {"sql_taint", "function", "class", "dependency", "docstring", "bare_except", "empty_except", "missing_finally", "n_plus_one", "string_concat", "memory_leak", "unclosed", "import", "degraded"} <= kinds
     f = next(r for r in got if r.kind == "function" and r.name == "f")
     assert f.metrics["loops"] == 2 and f.metrics["params"] == 6 and f.metrics["complexity"] == 4
-    assert {"SAST.SQL_INJECTION", "QUALITY.SOLID_DIP", "PERFORMANCE.N_PLUS_ONE"} <= {r.rule_id for r in code.findings(rows).collect()}
+    assert [r.path for r in got if r.kind == "degraded"][0] == "b.py"
+
+
+def rules_of(spark, source, limits=code.BARE_LIMITS, path="m.py", diff=""):
+    found, degraded = code.analyse_files(spark.createDataFrame([(path, source, diff)], "file_path string, content string, diff string"), limits)
+    assert degraded.count() == 0
+    return sorted((r.rule_id.split(".")[1], r.severity, r.line_number) for r in found.collect())
+
+
+def test_analyzers(spark):
+    nested = "def f(x):\n    for a in x:\n        for b in a:\n            s += 'x'\n"
+    assert rules_of(spark, nested) == [("HIGH_COMPLEXITY", "medium", 1), ("INEFFICIENT_LOOP", "low", 4)]
+    assert rules_of(spark, nested, code.LIMITS) == [("INEFFICIENT_LOOP", "low", 4)]
+    assert rules_of(spark, "class A:\n    def __new__(cls): pass\n    def __init__(self):\n        self.a = models.Thing()\n") == [("TESTABILITY", "low", 1)]
+    assert rules_of(spark, "for k in d:\n    d.get(k)\n    names.filter(k)\n") == []
+    assert rules_of(spark, "for k in d:\n    session.query(M).first()\n") == [("N_PLUS_ONE", "high", 1)]
+    assert rules_of(spark, "p = subprocess.Popen(x)\nlock = threading.Lock()\n") == []
+    assert rules_of(spark, "c = db.cursor()\nc.close()\nurlopen(u)\n") == [("MEMORY_LEAK", "high", 1), ("MEMORY_LEAK", "high", 3)]
+    assert rules_of(spark, "try:\n    with open(p) as f:\n        f.read()\nexcept OSError:\n    raise\n") == []
+    assert rules_of(spark, "\t# eval(x)\n\u00a0// eval(x)\n", path="a.cpp") == []
+    assert rules_of(spark, "q = 'select %s' % x\ncur.execute(q)\nq = 'x'\ncur.execute(q)\n") == [("SQL_INJECTION", "critical", 1)]
+    gone = "-def public(a):\n-    pass\n+y = 1"
+    assert rules_of(spark, "y = 1\n", diff=gone) == [("BREAKING_CHANGE", "high", 0)]
+    assert rules_of(spark, "y = eval(x)  # review-ignore: SAST.*\n") == [("COMMAND_INJECTION", "critical", 1)]
+
+
+def test_change_types(spark):
+    symbol = lambda old, new: F.array(F.struct(F.lit("f").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("line"), F.lit(old).alias("old"), F.lit(new).alias("new"), F.lit(True).alias("public")))
+    side = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    kind = lambda added, removed, changed=symbol(None, "def f()"): one(spark, code.change_type(side(*added), side(*removed), changed))
+    assert kind([], []) == "unknown" and kind(["# x", ""], ["// y"]) == "docs" and kind(["a = 1", "b"], ["b", "a=1"]) == "style"
+    assert kind(["x = 1"], ["y = prefix(debug)"]) == "refactor" and kind(["x = 1"], ["# BUG here", "y"]) == "bugfix" and kind(["x"], ["düzeltme y"]) == "bugfix"
+    assert kind(["x"], ["y"], symbol("def f(a)", "def f()")) == "breaking" and kind(["x", "y"], ["z"]) == "feature" and kind(["x"], []) == "feature"
+    assert kind([], ["x"], F.array().cast(f"array<{code.SYMBOL}>")) == "unknown"
+    assert one(spark, F.size(code.breaking(symbol("def f(a)", "def f()"), side("def f(a): pass")))) == 2
+    assert one(spark, code.change_risk(F.lit("breaking"), F.lit(1), F.lit(1), F.lit(2))) == 100
+
+
+def test_protocols(spark):
+    call = one(spark, scan.tool_call(F.lit("hm\n<tool_call>\n<function=read_file>\n<parameter=path>\n a.py\n</parameter>\n<parameter=line>3</parameter>\n</function>\n</tool_call><tool_call><function=x></function></tool_call>")))
+    assert (call.name, call.arguments) == ("read_file", {"path": "a.py", "line": "3"})
+    assert one(spark, scan.tool_call(F.lit("<tool_call><function=now></function></tool_call>"))).arguments == {}
+    assert one(spark, scan.tool_call(F.lit("<tool_call><function=now>"))) is None and one(spark, scan.tool_call(F.lit("an answer"))) is None
+    asked, rest = scan.handoffs(F.lit("Fine.\nHANDOFF: security — reads input\n  HANDOFF: data-base\nhandoff: no\nEnd."))
+    assert [tuple(h) for h in one(spark, asked)] == [("security", "reads input"), ("data-base", "")] and one(spark, rest).split() == ["Fine.", "handoff:", "no", "End."]
+
+
+def test_memory(spark):
+    bucket = lambda t: one(spark, routing.bucket_of(F.lit(t)))
+    assert [bucket(t) for t in ("[SECURITY] x", "[risk] x", "[PATTERN] x", "[TODO] x", "[else] x", "plain", " [SECURITY] x")] == ["critical", "high", "normal", "low", "normal", "low", "low"]
+    rows = [("m", "low", f"low {i:02d} " + "x" * 32, i) for i in range(5)] + [("m", "normal", f"normal {i} " + "x" * 31, i) for i in range(6)] + [("m", "critical", "c" * 40, 1), ("n", "low", "x" * 40, 1)]
+    kept = routing.summarise(spark.createDataFrame(rows, "g string, bucket string, content string, at int"), "g", 130).collect()
+    held = {b: sorted(r.content[:8] for r in kept if r.g == "m" and r.bucket == b) for b in ("low", "normal", "critical", "summary")}
+    assert len(held["low"]) == 2 and held["low"] == ["low 03 x", "low 04 x"] and len(held["summary"]) >= 1 and held["critical"] == ["c" * 8]
+    assert sum(r.g == "n" for r in kept) == 1
+    jobs = spark.createDataFrame([(i, "done" if i % 2 else "queued", i) for i in range(10)], "key int, state string, at int")
+    assert sorted(r.key for r in routing.forget_old(jobs, 8, "state", ("done",), [F.col("at")]).collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
+    assert routing.forget_old(jobs, 2, "state", ("done",), [F.col("at")]).count() == 5
+
+
+def test_fix_is_dropped_where_the_file_would_not_parse(spark):
+    files = spark.createDataFrame([("f.py", "import os\ndef f():\n    try: pass\n    except:\n        raise\n"), ("g.py", "def (\nh = hashlib.md5(x)\n")], "file_path string, content string")
+    found = spark.createDataFrame([("f.py", 4, "QUALITY.ERROR_HANDLING"), ("g.py", 2, "SAST.WEAK_CRYPTO"), ("g.py", 2, "AGENT.X")], "file_path string, line_number int, rule_id string")
+    assert [(r.file_path, r.after) for r in fixes.suggest(found, files).collect()] == [("g.py", "h = hashlib.sha256(x)")]
 
 
 def test_fixes(spark):
@@ -194,17 +285,71 @@ def test_policy(tmp_path):
     path.write_text("gate:\n  blocking_severity: high\n")
     made = policy.load(str(path), {"TESSERA_TRIAGE__MAX_LINES_FOR_AUTO": "3"})
     assert made["gate"]["blocking_severity"] == "high" and made["triage"]["max_lines_for_auto"] == 3
-    for bad in ("gate:\n  nope: 1\n", "gate:\n  quality_score_threshold: x\n", "x: {}\n"):
+    assert policy.limits(made)["lines"] == 100 and "triage" in made and made["triage"]["skip_patterns"] == list(scan.SKIP)
+    for bad in ("triage:\n  skip_patterns: [1]\n", "gate:\n  nope: 1\n", "gate:\n  quality_score_threshold: x\n", "x: {}\n"):
         path.write_text(bad)
         with pytest.raises(ValueError):
             policy.load(str(path), {})
 
 
-def test_claims_and_calls(spark):
-    doc = spark.createDataFrame([("d.md", "Use `run_it(a)` with `--fast` and `APP_KEY`, see `a.b`.\n```\nx = 1\n```\n")], "path string, content string")
-    assert sorted((r.line, r.kind, r.subject) for r in scan.document_claims(doc).collect()) == [(1, "environment", "APP_KEY"), (1, "option", "--fast"), (1, "signature", "run_it(a)"), (1, "symbol", "a.b"), (3, "example", "x = 1")]
-    assert tuple(one(spark, scan.tool_call(F.lit('<tool_call>{"name": "grep", "arguments": {"p": 1}}</tool_call>')))) == ("grep", '{"p":1}')
-    assert one(spark, scan.tool_call(F.lit("an answer"))) is None
+def test_documentation(spark):
+    text = "# T\nUse `run_it(a)` with `--fast` and `APP_KEY`, see `a.b`, `plain`, `two words`, `f(1)`.\n```\n`x`\n```\n- item\n  ```python\n  x = 1\n  ```\n```py\nx = (\n```\n"
+    got = [(r.line, r.kind, r.subject, r.params, r.parses) for r in documentation.claims(spark.createDataFrame([("d.md", text)], "path string, content string")).orderBy("ordinal").collect()]
+    assert got == [(2, "signature", "run_it", ["a"], None), (2, "option", "--fast", None, None), (2, "environment", "APP_KEY", None, None), (2, "symbol", "a.b", None, None), (2, "word", "plain", None, None), (2, "symbol", "f", None, None), (7, "example", "", None, True), (10, "example", "", None, False)]
+    scope = one(spark, documentation.scope_of(F.lit("-async def a():\n-class B:\n+class B:\n-N_ = 1\n-    M = 2\n+x = get('--new')\n-env['OLD_KEY']")))
+    assert scope.removed == ["N_", "OLD_KEY", "a"] and scope.touched == ["--new", "B", "N_", "OLD_KEY", "a"]
+
+
+def test_reports(spark):
+    from tessera.sources import reports
+
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = spark.createDataFrame([("a.py", 3, "SAST.XSS", "high", None, None, None), ("a.py", 9, "SAST.XSS", "low", "SAST.XSS", 9, "")], "file_path string, line_number int, rule_id string, severity string, directive string, directive_line int, directive_reason string")
+    pairs = "file_path string, reason string"
+    comment = reports.review_comment(
+        spark.createDataFrame([("fail", 3)], "result string, files int"), spark.createDataFrame([("1 critical",)], "reason string"), spark.createDataFrame([("b.py", "crashed")], pairs), empty(pairs), empty("reason string"), found,
+        spark.createDataFrame([("a.py", 3, "SAST.XSS", 4, "2024-01-01")], "file_path string, line_number int, rule_id string, seen_before int, first_seen string"),
+        spark.createDataFrame([("d.md", i, "DOCS.DEAD_REFERENCE", True) for i in range(12)], "file_path string, line_number int, rule_id string, verified boolean"),
+        spark.createDataFrame([(2, "two"), (1, "one")], "ordinal int, text string"), "1.0", "t1", {"Rules": "r7"}, 2,
+    ).first().text
+    for part in ("blocked", "- 1 critical", "`b.py`: crashed", "line 9: `SAST.XSS`, no reason given", "- 1 high", "4 time(s) before", "and 2 more", "Policy 1.0, 3 file(s) considered, trace `t1`", "- Rules: `r7`", "2 suggestion(s)", "one\ntwo"):
+        assert part in comment, part
+    assert "Not reviewed" not in comment and comment.index("crashed") < comment.index("1 high")
+    scored = evaluation.scored(spark.createDataFrame([(8, 2, 4)], "tp long, fp long, fn long"))
+    text = reports.evaluation_report(scored, scored.withColumn("rule_id", F.lit("R")), spark.createDataFrame([("c", "no such file")], "case_name string, reason string"), empty("rule_id string, n long"), {"precision": 0.9}).first().text
+    assert "8 matched, 2 unexpected, 4 missed" in text and "BELOW THE FLOOR" in text and "| `R` | 8 | 2 | 4 | 0.80 | 0.67 |" in text and "Every finding was graded." in text and "`c`: no such file" in text
+    ranks = spark.createDataFrame([(1, 1), (2, 3), (3, 0), (4, None)], "query int, rank int")
+    text = reports.recall_report(ranks, retrieval.recall_share(ranks), 3, 0.0, 0.9).first().text
+    assert "3 case(s)" in text and "| `2` | 3 |" in text and "## Missed\n\n- `3`" in text and text.rstrip().endswith("- `4`") and "BELOW THE FLOOR" in text
+    agreed = evaluation.check_agreement(spark.createDataFrame([("c", "x", True, False), ("d", "x", False, False)], "case_name string, check string, passed boolean, expect_failure boolean"))
+    text = reports.narration_report(evaluation.narration_score(agreed), evaluation.check_coverage(agreed, ["x", "y"]), agreed.filter("not agrees"), empty("case_name string"), 0.5).first().text
+    assert "| `x` | 0.50 | 1 | 1 |" in text and "| `y` | - | 0 | 0 |" in text and "- `d`: `x`" in text and "another prompt" not in text
+
+
+def test_catalogue_and_corpora(spark, tmp_path):
+    from tessera.sources import stores
+
+    path = tmp_path / "c.yaml"
+    path.write_text("name: N\nversion: 1\npublisher: P\nreference: R\ncontrols:\n  A-1: {description: d, namespaces: [sast]}\n")
+    about, controls = stores.load_catalogue(spark, str(path))
+    assert about["name"] == "N" and tuple(controls.first()) == ("A-1", "d", ["SAST"])
+    for bad in ("name: N\n", "- x\n", "name: N\nversion: 1\npublisher: P\nreference: R\ncontrols: {A: x}\n"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            stores.load_catalogue(spark, str(path))
+    case = tmp_path / "n.yaml"
+    case.write_text("name: n\nfile: a.py\nreview: fine\nfindings:\n  - {rule: R, line: 1}\n")
+    assert stores.narration_cases(spark, [str(case)]).first().findings[0].rule == "R"
+    for bad in ("name: n\nfindings:\n  - {rule: R, odd: 1}\n", "name: n\nother: 1\n", "name: n\nreview: 'password = \"hunter22\"'\n"):
+        case.write_text(bad)
+        with pytest.raises(ValueError):
+            stores.narration_cases(spark, [str(case)])
+    baseline = evaluation.baseline(evaluation.check_agreement(spark.createDataFrame([("c", "x", True, False)], "case_name string, check string, passed boolean, expect_failure boolean")), "m", "f", "t")
+    assert stores.read_baseline(spark, str(tmp_path / "none")) is None
+    stores.write_baseline(baseline, str(tmp_path / "b"))
+    assert stores.read_baseline(spark, str(tmp_path / "b")).first().rates == {"x": 1.0}
+    with pytest.raises(ValueError):
+        evaluation.comparable(spark.createDataFrame([("a",)], "case_name string"), spark.createDataFrame([("b",)], "case_name string"))
 
 
 def test_stores_and_streams(spark, tmp_path):
