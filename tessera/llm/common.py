@@ -18,6 +18,11 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of ``df`` as c0, c1 and so on, so that no name of an operator's own can clash with theirs."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n.lower() not in {c.lower() for c in df.columns}]
     if missing:

@@ -47,14 +47,16 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     A null text counts as empty, which is one empty paragraph. Very long texts are read whole; equal ones have equal
     fingerprints. A column named ``out`` is replaced. An empty table gives an empty table.
     """
-    kept = [F.col(f"`{c}`") for c in without(df, [out])]
-    lines = df.select(*kept, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
+    names = without(df, [out])
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    kept = [f"c{i}" for i in range(len(names))]
+    lines = df.select(*columns, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
     units = lines.withColumn("__units", F.flatten(F.transform("__lines", lambda x: F.split(x, "(?<=[.!?,;:|] )"))))
     hashed = units.withColumns({f"__w{j}": _hashes("__lines", j) for j in range(WIDE_HASHES)} | {"__unit": _hashes("__units", WIDE_HASHES)})
     hashed = hashed.withColumns({f"__m{j}": _hashes("__unit", WIDE_HASHES + 1 + j) for j in range(MARK_HASHES)})
     wide = [_signed(_sum(F.col(f"__w{j}"), part), 32).cast("int") for j in range(WIDE_HASHES) for part in (lambda h: h.bitwiseAND(_LOW32), lambda h: F.shiftrightunsigned(h, 32))]
     marks = [_signed(_sum(F.col(f"__m{j}"), lambda h, k=k: _mark(F.shiftrightunsigned(h, k).bitwiseAND(0xFFFFF))), 32).cast("int") for j in range(MARK_HASHES) for k in (0, 21, 42)]
-    return hashed.select(*kept, F.struct(F.size("__units").alias("n"), F.array(*wide).alias("wide"), F.array(*marks).alias("marks")).alias(out))
+    return hashed.select(*kept, F.struct(F.size("__units").alias("n"), F.array(*wide).alias("wide"), F.array(*marks).alias("marks")).alias(out)).toDF(*names, out)
 
 
 def _mark(bits: Column) -> Column:

@@ -62,7 +62,11 @@ def peak_pairs(payload: bytes) -> np.ndarray:
 
 def store_wav(df: DataFrame, text: str = "text", media: str = "media", align: int = 64) -> DataFrame:
     """Replaces ``text`` by a WAV file (``media`` binary) of its UTF-8 bytes, filled with bytes 0 up to a positive multiple
-    of ``align``, and adds ``n_bytes`` (before filling). Null texts are read as empty; output columns replace namesakes."""
+    of ``align``, and adds ``n_bytes`` (before filling).
+
+    Null texts are read as empty, very long ones whole; equal texts give equal files, repeated rows one each. Output columns
+    replace namesakes, other columns are passed on. An empty table gives an empty table.
+    """
     require(df, text)
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -75,7 +79,11 @@ def store_wav(df: DataFrame, text: str = "text", media: str = "media", align: in
 
 def read_wav(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds the samples read back by the wave module (``payload`` binary) and their peak pairs (``peaks`` array of long,
-    ordered by time). A null medium gives null outputs; a text too quiet for peaks gives an empty array."""
+    ordered by time).
+
+    A null medium gives null outputs; one too quiet for peaks gives an empty array. Long media are transformed in chunks of
+    frames. Repeated rows are read each; output columns replace namesakes. An empty table gives an empty table.
+    """
     require(df, media)
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tessera.llm.common import require, without
+from tessera.llm.common import numbered, require
 from tessera.session import few_files, materialised
 
 BANDS, ROWS = 42, 6
@@ -233,6 +233,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     the key and the text are not read. An empty table gives an empty result.
     """
     require(df, key, text)
+    df = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    key, text = "key", "text"
     base = materialised(sketches(df, key, text, width, ("bands",)))
     filled = base.filter((F.col("n") > 0) & F.col("id").isNotNull())
     # Equal sets: the class's smallest id stands for it. Minima are taken per task first, so a class of any size moves as few rows.
@@ -284,7 +286,12 @@ def _bounded(ids: DataFrame, small: bool = True) -> DataFrame:
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of their component; rows without a key are kept. All columns are passed on."""
-    found = classes(df, key, text, width).filter((F.col("id") != F.col("component")).eqNullSafe(True)).select(F.col("id").alias("__id")).distinct()
-    kept = [F.col(f"`{c}`") for c in without(df, ["__id"])]
-    return df.withColumn("__id", F.col(key).cast("long")).join(_bounded(found), "__id", "left_anti").select(*kept)
+    """The rows of ``df`` whose key is the smallest of their component, with all their columns, whatever these are called.
+
+    Rows without a key, and those without words, null and empty texts among them, are kept; rows that share a kept key are kept
+    each. Very long texts are compared whole. An empty table gives an empty table.
+    """
+    found = classes(df, key, text, width).filter((F.col("id") != F.col("component")).eqNullSafe(True)).select("id").distinct()
+    spot = [c.lower() for c in df.columns].index(key.lower())
+    plain = numbered(df, df.columns).withColumn("id", F.col(f"c{spot}").cast("long"))
+    return plain.join(_bounded(found), "id", "left_anti").drop("id").toDF(*df.columns)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import OUT_ROWS, map_rows, require, without
+from tessera.llm.common import OUT_ROWS, map_rows, numbered, require, without
 from tessera.session import few_files, materialised
 
 #: Draws of an entity at most; draws of a round, which grow from the round GROWS on, and attempts by which names get a syllable more.
@@ -325,12 +325,13 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str |
     """Replaces the entities in ``text``; adds ``replaced`` (array of struct<kind, surrogate>, in text order) unless it is None.
 
     Texts without entities, null and empty ones included, stay as they are and never move: only texts that the prefilter lets
-    through are joined to their surrogates, by a hash of the text. Other columns are passed on; one named like the output is
-    replaced. Repeated rows get equal texts. Row order is not kept; an empty table gives an empty table.
+    through are joined to their surrogates, by a hash of the text; very long ones are read whole. Other columns are passed on,
+    whatever they are called; one named like the output is replaced. Repeated rows get equal texts. Row order is not kept; an empty table gives an empty table.
     """
     require(df, text)
     columns = without(df, [replaced] if replaced else [])
-    kept = [F.col(f"`{c}`") for c in columns]
+    df, spot = numbered(df, columns), [c.lower() for c in columns].index(text.lower())
+    kept, text = [F.col(c) for c in df.columns], f"c{spot}"
     maybe = F.coalesce(F.col(text).rlike(PREFILTER), F.lit(False))
     candidates = df.filter(maybe).select(*kept, *_key_of(F.col(text)))
     rest = df.filter(~maybe).select(*kept)
@@ -362,9 +363,8 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str |
             yield "".join(parts) + value[at:], said
 
     said = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("surrogate", T.StringType())]))
-    name = replaced or "__replaced"
     joined = candidates.join(given, ["__h1", "__h2"], "left")
-    done = map_rows(joined, [text, "__given"], [T.StructField("__text", T.StringType()), T.StructField(name, said)], replace, drop=("__h1", "__h2", "__given", text))
-    whole = done.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.col(f"`{name}`"))
-    both = whole.union(rest.withColumn(name, F.array().cast(said)))
-    return both if replaced else both.drop(name)
+    done = map_rows(joined, [text, "__given"], [T.StructField("__text", T.StringType()), T.StructField("__said", said)], replace, drop=("__h1", "__h2", "__given", text))
+    whole = done.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in df.columns], "__said")
+    both = whole.union(rest.withColumn("__said", F.array().cast(said)))
+    return both.toDF(*columns, replaced) if replaced else both.drop("__said").toDF(*columns)

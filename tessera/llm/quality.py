@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import OUT_ROWS, map_rows, require, without
+from tessera.llm.common import OUT_ROWS, map_rows, numbered, require, without
 from tessera.session import materialised
 
 FEATURES, RIDGE, WIDTH, BINS, SEED = 192, 1e-3, 3.0, 512, 7
@@ -243,7 +243,9 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def keep(df: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``df`` whose score is ``least`` or more, with all their columns. Learns as ``classify`` does.
+    """The rows of ``df`` whose score is ``least`` or more, with all their columns, whatever these are called. Learns as ``classify`` does.
+
+    Null, empty and very long texts are scored like any other, repeated rows each; an empty table gives an empty table.
 
     Rows are scored where they are. Up to BROADCAST_KEYS labelled keys are broadcast, so that only their rows' statistics are
     made for learning; beyond, the statistics of all rows are made and joined to the labels. No text moves either way.
@@ -254,11 +256,12 @@ def keep(df: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", te
     if wanted.count() <= BROADCAST_KEYS:
         labelled = labelled.join(F.broadcast(wanted), "__key", "left_semi")
     model = _learn(materialised(with_statistics(labelled, "text", "stats")), labels, key, label)
-    columns = without(df, ["__score"])
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for (value,) in rows:
             yield (float(model.score(np.asarray([statistics(value or "")]))[0]),)
 
-    scored = map_rows(df.select(*[F.col(f"`{c}`") for c in columns]), [text], [T.StructField("__score", T.DoubleType())], kernel)
-    return scored.filter(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in columns])
+    plain = numbered(df, df.columns)
+    spot = [c.lower() for c in df.columns].index(text.lower())
+    scored = map_rows(plain, [f"c{spot}"], [T.StructField("score", T.DoubleType())], kernel)
+    return scored.filter(F.col("score") >= least).drop("score").toDF(*df.columns)

@@ -32,6 +32,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. A null text is empty; an empty table gives an empty result."""
     found = fingerprint.fingerprint_edits(_documents(spark, sf_dir))
     return found.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -41,21 +42,25 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score per row of documents, learned from the labels outside fold 0; null and empty texts are scored, equal ids each."""
     scored = quality.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with surrogates for its entities, and their kinds; null and empty texts stay as they are."""
     return pii.pseudonymise(_documents(spark, sf_dir), pii_key(spark)).select("doc_id", "text", "replaced")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text; a null text is empty and has none."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(_documents(spark, sf_dir), ranks, pattern)
     return bpe.decode(encoded, ranks, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict per row of pages; a null url has an empty host and path."""
     prepare(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     listed = urlfilter.listed_hosts(pages, SPAM_LABELS)
@@ -86,6 +91,7 @@ FROM ruled
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV file, read back; a null text is empty and has 64 silent samples."""
     read = media.read_wav(media.store_wav(_documents(spark, sf_dir)))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
@@ -95,15 +101,18 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of bytes and tokens of every text; a null text is empty and has none."""
     counted = tokencount.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every text's ids and the end id, in sequences; a null text has the end id alone."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row, by the law rows; a null text has no bytes."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = _documents(spark, sf_dir).select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = sharding.shard(rows, order=("text_crc32", "size"))
@@ -111,6 +120,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document; a null text has no shingles and is linked with nothing."""
     found = neardup.classes(_documents(spark, sf_dir), width=4)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 

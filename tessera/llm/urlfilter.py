@@ -16,6 +16,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.common import numbered, require, without
 from tessera.session import few_files, materialised
 
 #: Longest wins: (host, path, verdict).
@@ -147,8 +148,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
     which no rule fits and which is a key like any other. Very long urls are read whole. Columns of ``pages`` named like an
     output are replaced; repeated rows are judged each; an empty table gives an empty result.
     """
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "__said", "__hit")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    require(pages, url)
+    kept = without(pages, ["host", "path", "rule", "verdict"])
+    held = numbered(pages, kept)
+    spot = F.col("c" + str([c.lower() for c in kept].index(url.lower())))
+    parts = held.select("*", host_of(spot).alias("host"), path_of(spot).alias("path"))
     marked = parts.select(F.col("host").alias("key"), F.lit(False).alias("listed"), F.lit(True).alias("here")).unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("here")))
     universe = marked.groupBy("key").agg(F.max("listed").alias("listed"), F.max("here").alias("here")).filter("here").select("key", "listed")
     universe = materialised(few_files(universe))
@@ -160,4 +164,5 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
         ruled, member = ruled.join(names, "host", "left"), F.coalesce(F.col("__hit"), F.lit(False))
     else:
         member = cascade.contains(F.col("host"))
-    return ruled.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("__said", F.when(member, "block").otherwise("allow")).alias("verdict"))
+    told = ruled.select(*held.columns, "host", "path", "rule", F.coalesce("__said", F.when(member, "block").otherwise("allow")).alias("verdict"))
+    return told.toDF(*kept, "host", "path", "rule", "verdict")
