@@ -1,6 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns pieces.
+Extra columns, whatever their names, are passed on. Null and empty texts are scored by the first stage as they are; the others
+keep them. Very long texts are read whole, repeated rows are taken each, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("pii", pii_stage), ("packing", packing_stage)]
-#: SQL can't express the stages; tests/llm compares them with brute force.
+#: SQL can't express the stages; tests/llm/test_queries.py compares run() with plain Python, row by row.
 ORACLE_SQL = None
 
 
