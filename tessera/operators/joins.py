@@ -81,14 +81,16 @@ def usage_class(context: Column, symbol: Column) -> Column:
 def usages(symbols: DataFrame, lines: DataFrame, cap: int = 50) -> DataFrame:
     """(symbol, path, line, usage): up to ``cap`` lines per symbol that hold it, in path order.
 
-    Lines are tokenised and joined on the word, an equi-join, before the cap; no line is compared with every symbol.
+    Lines are tokenised and joined on the word, an equi-join, before the cap; no line is compared with every symbol. The lines'
+    texts are joined to what the cap leaves.
     """
     from pyspark.sql import Window
 
-    words = lines.select("path", "line", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)")))).alias("symbol"))
+    words = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)")))).alias("symbol"))
     hits = words.join(symbols.select("symbol").distinct(), "symbol")
     order = Window.partitionBy("symbol").orderBy("path", "line")
-    return hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).select("symbol", "path", "line", usage_class(F.col("body"), F.col("symbol")).alias("usage"))
+    kept = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("n")
+    return kept.join(lines.select("path", "line", "body"), ["path", "line"]).select("symbol", "path", "line", usage_class(F.col("body"), F.col("symbol")).alias("usage"))
 
 
 def impact(usage_rows: DataFrame) -> DataFrame:

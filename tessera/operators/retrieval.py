@@ -22,17 +22,17 @@ ASKED_TERMS = 200_000
 _HELD = 4
 
 
-def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", hits: DataFrame | None = None) -> DataFrame:
     """(query, key, score, place): the ``limit`` best documents of each query by Okapi BM25, ties by key.
 
     Documents are tokenised once, in the JVM, and cut to the terms that some query has, with their lengths; that table is
     written. Document frequencies and the mean length are sums over it. Scores are made in the tasks that read it, from the
     query terms, which are broadcast in blocks of ASKED_TERMS; a task keeps ``limit`` documents per query, so what moves is
     queries x tasks x limit rows, and no pair of a query and a document is ever a row. A query's repeated terms count repeatedly.
-    Documents without tokens count towards the mean length.
+    Documents without tokens count towards the mean length. ``hits`` is the table of ``asked_terms`` for these queries, if it is at hand.
     """
     asked = materialised(queries.select(F.col(query_key).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf")))
-    hits = asked_terms(docs, asked.select("term").distinct(), key, text)
+    hits = asked_terms(docs, asked.select("term").distinct(), key, text) if hits is None else hits
     n, mean = hits.agg(F.count("*"), F.avg("len")).first()
     df = hits.select(F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -101,10 +101,10 @@ def _scored(hits: DataFrame, weighed: DataFrame, part, limit: int) -> DataFrame:
     return out
 
 
-def overlap(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
+def overlap(docs: DataFrame, queries: DataFrame, limit: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", hits: DataFrame | None = None) -> DataFrame:
     """(query, key, score, place): the ``limit`` documents that share the most distinct terms with each query, ties by key."""
     asked = materialised(queries.select(F.col(query_key).alias("query"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")))
-    hits = asked_terms(docs, asked.select("term").distinct(), key, text)
+    hits = asked_terms(docs, asked.select("term").distinct(), key, text) if hits is None else hits
     return top(_scored(hits, asked.withColumn("weight", F.lit(1.0)), lambda tf, size: 1.0, limit), ["query"], [F.desc("score"), F.col("key")], limit)
 
 

@@ -63,8 +63,9 @@ lists AS (SELECT query, key, place FROM bm WHERE place <= 20 UNION ALL SELECT qu
 SELECT query, key, round(sum(1.0 / (60 + place)), 6) AS score FROM lists GROUP BY ALL""")
 def hybrid_rrf(spark, sf_dir):
     docs, asked = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
-    first = retrieval.bm25(docs, asked, limit=20).select("query", F.lit("bm25").alias("source"), "key", "place")
-    second = retrieval.overlap(docs, asked, 20).select("query", F.lit("overlap").alias("source"), "key", "place")
+    hits = retrieval.asked_terms(docs, asked.select(F.explode(tokens(F.col("text"))).alias("term")).distinct())
+    first = retrieval.bm25(docs, asked, limit=20, hits=hits).select("query", F.lit("bm25").alias("source"), "key", "place")
+    second = retrieval.overlap(docs, asked, 20, hits=hits).select("query", F.lit("overlap").alias("source"), "key", "place")
     return retrieval.fuse(first.unionByName(second)).select("query", "key", F.round("score", 6).alias("score"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.session import table
+from tessera.session import spread, table
 
 #: Text; findings (rule, severity, line); functions (name, line, end, complexity, loops, parameters, recursive); what issues cost in
 #: the quality and in the performance score, before they are told apart by place; what testability loses.
@@ -63,7 +63,7 @@ def _pick(values: list[str | None], at: Column) -> Column:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file_path, content, diff): one file per document."""
-    d, key = table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id")
+    d, key = spread(table(spark, sf_dir, "documents").select("doc_id")), F.col("doc_id")
     one = key % N
     two = (one + 1 + F.floor(key / N) % (N - 1)) % N
     texts = [s[0] for s in SNIPPETS]
