@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import stats
@@ -29,59 +31,55 @@ def scored(matrices: DataFrame) -> DataFrame:
 GRADE = "case_name string, verdict string, rule_id string, line_number int, expected_severity string, found_severity string, found_line int"
 
 
+def _graded(name: str, scope: list, tolerance: int, wants: list[dict], found: list[dict], barred: list[dict]) -> Iterator[tuple]:
+    """The rows of one case."""
+    left = sorted(found, key=lambda f: (f["rule_id"], f["line_number"], f["severity"] or ""))
+    for want in sorted(wants, key=lambda w: w["ordinal"]):
+        rule, line, sev = want["rule_id"], want["line_number"], want["severity"]
+        near = [f for f in left if f["rule_id"] == rule and abs(f["line_number"] - line) <= tolerance]
+        best = min(near, key=lambda f: (sev is not None and f["severity"] != sev, abs(f["line_number"] - line), f["line_number"]), default=None)
+        if best is None:
+            yield name, "missed", rule, line, sev, None, None
+            continue
+        left.remove(best)
+        yield name, "matched" if sev in (None, best["severity"]) else "mismatched", rule, line, sev, best["severity"], best["line_number"]
+    asked = {w["rule_id"] for w in wants}
+    for f in left:
+        rule = f["rule_id"]
+        if any(b["rule_id"] == rule and b["line_number"] in (0, f["line_number"]) for b in barred):
+            verdict = "forbidden"
+        elif not scope or rule in asked or any(s in ("*", rule) or (s.endswith(".*") and rule.startswith(s[:-1])) for s in scope):
+            verdict = "spurious"
+        else:
+            verdict = "ungraded"
+        yield name, verdict, rule, f["line_number"], None, f["severity"], f["line_number"]
+
+
 def grade(expected: DataFrame, findings: DataFrame, forbidden: DataFrame, cases: DataFrame) -> DataFrame:
     """One row per expectation (matched, mismatched, missed) and per unclaimed finding (forbidden, spurious, ungraded).
 
     expected: case_name, ordinal, rule_id, line_number, severity (null: any). findings: case_name, rule_id, line_number,
     severity. forbidden: case_name, rule_id, line_number (0: anywhere). cases: case_name, scope array<string>, line_tolerance.
     Within a case expectations claim in order the best finding left: severity match, then distance, then line. That is
-    sequential, so a case is one group; cases are small and many.
+    sequential, so a case is one row of arrays; cases are small and many.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        case = pdf[pdf.what == "case"]
-        if case.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in GRADE.split(", ")])
-        name, tolerance = case.case_name.iloc[0], int(case.line_number.iloc[0])
-        scope = list(case.scope.iloc[0]) if case.scope.iloc[0] is not None else []
-        wants = pdf[pdf.what == "expected"].sort_values("ordinal", kind="stable")
-        left = pdf[pdf.what == "found"].sort_values(["rule_id", "line_number", "severity"], kind="stable").to_dict("records")
-        barred = pdf[pdf.what == "forbidden"].to_dict("records")
-        rows = []
-        for want in wants.to_dict("records"):
-            near = [f for f in left if f["rule_id"] == want["rule_id"] and abs(f["line_number"] - want["line_number"]) <= tolerance]
-            any_grade = want["severity"] is None or want["severity"] != want["severity"]
-            best = min(near, key=lambda f: (not any_grade and f["severity"] != want["severity"], abs(f["line_number"] - want["line_number"]), f["line_number"]), default=None)
-            if best is None:
-                rows.append((name, "missed", want["rule_id"], want["line_number"], None if any_grade else want["severity"], None, None))
-                continue
-            left.remove(best)
-            verdict = "matched" if any_grade or best["severity"] == want["severity"] else "mismatched"
-            rows.append((name, verdict, want["rule_id"], want["line_number"], None if any_grade else want["severity"], best["severity"], best["line_number"]))
-        asked = set(wants.rule_id)
-        for f in left:
-            if any(b["rule_id"] == f["rule_id"] and b["line_number"] in (0, f["line_number"]) for b in barred):
-                verdict = "forbidden"
-            elif not scope or f["rule_id"] in asked or any(s == f["rule_id"] or (s.endswith(".*") and f["rule_id"].startswith(s[:-1])) for s in scope):
-                verdict = "spurious"
-            else:
-                verdict = "ungraded"
-            rows.append((name, verdict, f["rule_id"], f["line_number"], None, f["severity"], f["line_number"]))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in GRADE.split(", ")])
-
-    shape = ["case_name", "what", "ordinal", "rule_id", "line_number", "severity", "scope"]
-    none = F.lit(None).cast("string")
-    no_scope = F.lit(None).cast("array<string>")
-    parts = [
-        cases.select("case_name", F.lit("case").alias("what"), F.lit(0).alias("ordinal"), none.alias("rule_id"), F.col("line_tolerance").cast("int").alias("line_number"), none.alias("severity"), "scope"),
-        expected.select("case_name", F.lit("expected").alias("what"), F.col("ordinal").cast("int").alias("ordinal"), "rule_id", F.col("line_number").cast("int").alias("line_number"), "severity", no_scope.alias("scope")),
-        findings.select("case_name", F.lit("found").alias("what"), F.lit(0).alias("ordinal"), "rule_id", F.col("line_number").cast("int").alias("line_number"), "severity", no_scope.alias("scope")),
-        forbidden.select("case_name", F.lit("forbidden").alias("what"), F.lit(0).alias("ordinal"), "rule_id", F.col("line_number").cast("int").alias("line_number"), none.alias("severity"), no_scope.alias("scope")),
-    ]
-    rows = parts[0].select(*shape)
-    for part in parts[1:]:
-        rows = rows.unionByName(part.select(*shape))
-    return rows.groupBy("case_name").applyInPandas(one, GRADE)
+    def per_case(rows: DataFrame, out: str, *columns) -> DataFrame:
+        return rows.groupBy("case_name").agg(F.collect_list(F.struct(*columns)).alias(out))
+
+    line, sev = F.col("line_number").cast("int").alias("line_number"), F.col("severity").cast("string").alias("severity")
+    joined = cases.select("case_name", "scope", F.col("line_tolerance").cast("int").alias("tolerance"))
+    joined = joined.join(per_case(expected, "wants", F.col("ordinal").cast("int").alias("ordinal"), "rule_id", line, sev), "case_name", "left")
+    joined = joined.join(per_case(findings, "found", "rule_id", line, sev), "case_name", "left").join(per_case(forbidden, "barred", "rule_id", line), "case_name", "left")
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            rows = [r for name, scope, tolerance, *lists in zip(*columns, strict=True) for r in _graded(name, scope or [], tolerance, *(x or [] for x in lists))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(shape.types)], schema=shape)
+
+    shape = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in (c.split() for c in GRADE.split(", "))])
+    return joined.select("case_name", "scope", "tolerance", "wants", "found", "barred").mapInArrow(run, GRADE)
 
 
 def grade_exact(expected: DataFrame, findings: DataFrame) -> DataFrame:
