@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.llm.common import numbered, require
-from tessera.session import few_files, materialised
+from tessera.session import dropped, few_files, materialised
 
 BANDS, ROWS = 42, 6
 #: Members up to which a bucket proposes all its pairs; times that a larger one is dealt again, by how many other bands.
@@ -202,7 +202,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = state(edges)
     while mark[0]:
         hold = F.broadcast if mark[0] <= BROADCAST_IDS // 2 else materialised
-        edges = materialised(few_files(gather(hook(edges, hold), hold)))
+        old, edges = edges, materialised(few_files(gather(hook(edges, hold), hold)))
+        dropped(old)
         before, mark = mark, state(edges)
         if before == mark:
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm.common import OUT_ROWS, map_rows, numbered, require, without
-from tessera.session import few_files, materialised
+from tessera.session import dropped, few_files, materialised
 
 #: Draws of an entity at most; draws of a round, which grow from the round GROWS on, and attempts by which names get a syllable more.
 ATTEMPTS, GROWS, LONGER = 4096, 8, 2
@@ -302,14 +302,18 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
         free = drawn.join(real, "surrogate", "left_anti")
         if settled is not None:
             free = free.join(settled.select("surrogate"), "surrogate", "left_anti")
+        passed = [drawn]
         if draws > 1:
             free = free.groupBy("kind", "value").agg(F.min(F.struct("attempt", "surrogate")).alias("first")).select("kind", "value", "first.attempt", "first.surrogate")
             free = materialised(few_files(free))
+            passed.append(free)
         least = free.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("first"))
         good = free.join(least, "surrogate").filter(F.struct("kind", "value") == F.col("first")).select(*drawn.columns)
         good = materialised(few_files(good))
         settled = good if settled is None else settled.unionByName(good)
+        passed.append(open_)
         open_ = materialised(few_files(open_.join(good.select("kind", "value"), ["kind", "value"], "left_anti")))
+        dropped(*passed)
         begun += draws
         if open_.isEmpty():
             return settled.select("kind", "value", "surrogate")
