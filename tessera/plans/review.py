@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Window, functions as F
 
-from tessera.functions import severity, stats
-from tessera.functions.text import ENDS
+from tessera.functions import stats
 from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, trace
 from tessera.plans.fixtures import FINDINGS_SQL, SPANS_SQL, findings, spans
-from tessera.plans.queries import CLAIMS, CONTROLS, MEMORY_SQL, METRICS_SQL, SAID_SQL, _agreed, _file_metrics, _judged, _q, _sealed, _wilson_sql, AGREED_SQL, CHAIN_SQL, CONFUSION_SQL, memory, registered, said
+from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, _agreed, _file_metrics, _judged, _q, _wilson_sql, memory, registered, verified
 from tessera.plans.sources import N, SNIPPETS, SOURCES_SQL, TAILS, _rows, source_files
 from tessera.session import spread, table
 from tessera.sources import reports, stores, workspace
@@ -153,11 +150,11 @@ def cited_places(spark, sf_dir):
 PROMPT = "# Role\ntext\n## 🚨 Security Analysis\n### [Priority] - [Title]\n## Impact  \n#### deep\n## Impact #\n### Code Quality & 'Style'\n"
 
 
-@registered("SELECT item_id, ['Role', 'Security Analysis', 'Impact', 'Code Quality & ''Style''', 'Item ' || item_id] AS headings, CASE WHEN item_id % 2 = 0 THEN [] ELSE ['never  said'] END AS missing, CASE WHEN item_id % 3 = 0 THEN [] WHEN item_id % 2 = 0 THEN [] ELSE ['never  said'] END AS missing_any FROM benchmark")
+@registered("SELECT item_id, 'Role|Security Analysis|Impact|Code Quality & ''Style''|Item ' || item_id AS headings, CASE WHEN item_id % 2 = 0 THEN '' ELSE 'never  said' END AS missing, CASE WHEN item_id % 3 = 0 OR item_id % 2 = 0 THEN '' ELSE 'never  said' END AS missing_any FROM benchmark")
 def prompt_sections(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(PROMPT), F.lit("## Item "), F.col("item_id").cast("string"), F.lit("\n"), F.when(F.col("item_id") % 2 == 0, "it was never\nSAID").otherwise("")).alias("prompt"))
     phrases = F.array(F.lit("role text"), F.lit("never  said"))
-    return b.select("item_id", scan.demanded_sections(F.col("prompt")).alias("headings"), scan.absent(phrases, F.col("prompt")).alias("missing"), scan.absent(phrases, F.col("prompt"), F.col("item_id") % 3 == 0).alias("missing_any"))
+    return b.select("item_id", F.array_join(scan.demanded_sections(F.col("prompt")), "|").alias("headings"), F.array_join(scan.absent(phrases, F.col("prompt")), "|").alias("missing"), F.array_join(scan.absent(phrases, F.col("prompt"), F.col("item_id") % 3 == 0), "|").alias("missing_any"))
 
 
 @registered("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'grep_search' END AS name, CASE WHEN turn % 2 = 0 THEN 'user ' || conv_id END AS pattern, CASE WHEN turn % 2 = 0 THEN 'src/' || turn END AS path,
@@ -371,11 +368,11 @@ def run_baseline(spark, sf_dir):
     return b.select("model", F.size("cases").cast("long").alias("cases"), rates.alias("rates"))
 
 
-@registered("SELECT (count_if(n_nationkey % 7 = 0) = 0) AS ready, list_sort(list(n_name) FILTER (n_nationkey % 7 = 0)) AS failures FROM nation")
+@registered("SELECT (count_if(n_nationkey % 7 = 0) = 0) AS ready, (string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 7 = 0)) AS failures FROM nation")
 def service_readiness(spark, sf_dir):
     """Ready only where all pass; nation 7 and its like fail."""
     checks = table(spark, sf_dir, "nation").select(F.col("n_name").alias("check"), (F.col("n_nationkey") % 7 != 0).alias("passed"))
-    return rollup.readiness(checks)
+    return rollup.readiness(checks).withColumn("failures", F.array_join("failures", ","))
 
 
 # Corpora ----------------------------------------------------------------------------------------------------------------
@@ -730,3 +727,43 @@ def score_summary(spark, sf_dir):
 def cut_texts(spark, sf_dir):
     cut = reports.cut(F.col("text"), 500)
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("full_length"), (F.length(cut) <= 500).alias("fits"), (cut != F.col("text")).alias("was_cut"))
+
+
+@registered(f"SELECT user_id, CASE WHEN status = 'intact' THEN 'intact: ' || n || ' record(s), 0 signed, up to sequence ' || n ELSE 'TAMPERED at record ' || broken_at || ': ' || reason END AS line FROM ({ORACLES['chain_verify']})")
+def chain_lines(spark, sf_dir):
+    return reports.chain_line(verified(spark, sf_dir)).select("user_id", "line")
+
+
+@registered("SELECT item_id AS prompt, chk AS \"check\", CASE WHEN chk = 'cites' AND item_id % 2 = 1 THEN 'only a real one' WHEN chk = 'either' AND item_id % 2 = 1 AND item_id % 3 <> 0 THEN 'only a real one,never guess' ELSE '' END AS missing, CASE WHEN (chk = 'cites' AND item_id % 2 = 1) OR (chk = 'either' AND item_id % 2 = 1 AND item_id % 3 <> 0) THEN 'unbacked' ELSE 'aligned' END AS state FROM benchmark, (SELECT unnest(['cites', 'either']) AS chk)")
+def backed_checks(spark, sf_dir):
+    key = F.col("item_id")
+    prompts = table(spark, sf_dir, "benchmark").select(key.alias("prompt"), F.concat(F.lit("Cite a location. "), F.when(key % 2 == 0, "And ONLY a\nreal one. ").otherwise(""), F.when(key % 3 == 0, "Never   guess.").otherwise("")).alias("text"))
+    wanted = spark.createDataFrame([("cites", ["cite a location", "only a real one"], False), ("either", ["only a real one", "never guess"], True)], "check string, phrases array<string>, any_of boolean")
+    return evaluation.backed_checks(wanted, prompts).select("prompt", "check", F.array_join("missing", ",").alias("missing"), "state")
+
+
+@registered("""WITH r AS (SELECT vec_id % 20 AS query, vec_id AS key, (vec_id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS n FROM r) WHERE n = 1),
+g AS (SELECT r.query, r.key, 0.7 * r.score / a.score - 0.3 * list_cosine_similarity(r.v, a.v) AS gain, r.score FROM r JOIN a ON a.query = r.query AND a.key <> r.key),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(gain, 9) DESC, score DESC, key) AS n FROM g) WHERE n = 1)
+SELECT query, key, 1::BIGINT AS place FROM a UNION ALL SELECT query, key, 2 FROM b""")
+def diverse_pairs(spark, sf_dir):
+    """Two diverse picks of each candidate list; more picks are in the tests."""
+    e, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    ranked = e.select((key % 20).alias("query"), key.alias("key"), ((key * 7919 % 1000 + 1) / 1000.0).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("vector"))
+    return retrieval.mmr(ranked, 2)
+
+
+@registered("""SELECT '<!-- review-report -->' || e || '# Review: blocked' || e || '## Blocked by' || e || (SELECT string_agg('- ' || n_name, chr(10) ORDER BY n_name) FROM nation WHERE n_regionkey = 0) || e || '## Not analysed (no finding here means that nothing was examined)' || e
+|| (SELECT string_agg('- `' || n_name || '`: why ' || n_nationkey, chr(10) ORDER BY n_name) FROM nation WHERE n_regionkey = 1) || e || '## Suppressed' || e || '- `a.py` line 3: `SAST.XSS`, no reason given' || e || '## Static analysis' || e || '- 2 high' || e
+|| 'Policy 1.0, 25 file(s) considered, trace `t1`' || e || '---' || e || (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) FROM region) AS text FROM (SELECT chr(10) || chr(10) AS e)""")
+def review_comment(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    found = spark.createDataFrame([("a.py", 4, "SAST.XSS", "high", None, None, None), ("b.py", 4, "SAST.XSS", "high", None, None, None), ("a.py", 3, "SAST.XSS", "low", "SAST.XSS", 3, "")], "file_path string, line_number int, rule_id string, severity string, directive string, directive_line int, directive_reason string")
+    unseen = n.filter("n_regionkey = 1").select(F.col("n_name").alias("file_path"), F.concat(F.lit("why "), F.col("n_nationkey").cast("string")).alias("reason"))
+    return reports.review_comment(
+        n.agg(F.lit("fail").alias("result"), F.count("*").alias("files")), n.filter("n_regionkey = 0").select(F.col("n_name").alias("reason")), unseen, empty("file_path string, reason string"), empty("reason string"), found,
+        empty("file_path string, line_number int, rule_id string, seen_before int, first_seen string"), empty("file_path string, line_number int, rule_id string, verified boolean"),
+        table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("ordinal"), F.col("r_name").alias("text")), "1.0", "t1",
+    )
