@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.operators.history import first_of
+from tessera.session import materialised
 
 # Fixed value: the form of an ignore directive. Group 1: -file, 2: rules, 3: reason.
 DIRECTIVE = r"(?i)(?:#|//)\s*review-ignore(-file)?\s*:\s*([A-Za-z_][A-Za-z0-9_.*]*(?:\s*,\s*[A-Za-z_][A-Za-z0-9_.*]*)*)(?:\s*[-—:]\s*(.*))?$"
@@ -89,7 +90,7 @@ def usages(symbols: DataFrame, lines: DataFrame, cap: int = 50) -> DataFrame:
     words = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)")))).alias("symbol"))
     hits = words.join(symbols.select("symbol").distinct(), "symbol")
     order = Window.partitionBy("symbol").orderBy("path", "line")
-    kept = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("n")
+    kept = materialised(hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("n"))  # its size lets the planner broadcast it
     return kept.join(lines.select("path", "line", "body"), ["path", "line"]).select("symbol", "path", "line", usage_class(F.col("body"), F.col("symbol")).alias("usage"))
 
 

@@ -112,8 +112,10 @@ def load_context(memory: DataFrame, affected: DataFrame | None = None, summary:
     shown = memory.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= lookup(cap))
     lines = shown.select(lookup(rank).alias("r"), "n", F.concat(F.lit("- "), "content").alias("line"), F.upper("bucket").alias("head"))
     if affected is not None:
-        near = affected.select(F.row_number().over(Window.orderBy("at", "path", "symbol")).alias("n"), F.concat(F.lit("- `"), "path", F.lit(":"), "symbol", F.lit("` - "), "reason").alias("line"))
-        lines = lines.unionByName(near.filter(F.col("n") <= AFFECTED).select(F.lit(2).alias("r"), "n", "line", F.lit("AFFECTED CODE").alias("head")))
+        near = affected.orderBy("at", "path", "symbol").limit(AFFECTED)  # a distributed top-k; what is left is numbered
+        place = F.row_number().over(Window.orderBy("at", "path", "symbol"))
+        told = F.concat(F.lit("- `"), "path", F.lit(":"), "symbol", F.lit("` - "), "reason")
+        lines = lines.unionByName(near.select(F.lit(2).alias("r"), place.alias("n"), told.alias("line"), F.lit("AFFECTED CODE").alias("head")))
     parts = lines.groupBy("r", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
     parts = parts.select("r", F.concat(F.lit("## "), "head", F.lit("\n"), "text").alias("text"))
     total = parts.agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("parts"))

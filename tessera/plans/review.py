@@ -539,7 +539,12 @@ def _folder(spark, name: str) -> str:
 
     from tessera.session import shared_folder
 
-    return f"{shared_folder(spark).rstrip('/')}/tessera-stores/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/tessera-stores/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/{name}"
 
 
 @registered(f"WITH {FINDINGS_SQL} SELECT file_path, count(*) AS rules, sum(n)::BIGINT AS occurrences FROM (SELECT file_path, rule_id, count(*) AS n FROM findings GROUP BY ALL) GROUP BY file_path")
