@@ -7,7 +7,7 @@ import warnings
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fingerprint, media, neardup, packing, pii, quality, sharding, tokencount, urlfilter
+from tessera.llm import alignment, bpe, fingerprint, media, neardup, packing, pii, quality, sharding, simhash, tokencount, urlfilter, yinyang
 from tessera.session import prepare, table
 
 #: Labels that name what is advertised; a host that has one is on the block list, beside those that show less text than markup.
@@ -125,5 +125,41 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_neardup": op10_neardup}
-ORACLES = {"op5_urls": OP5_SQL}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens for every text; a null text has none."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    return alignment.link_statistics(_documents(spark, sf_dir), a, b, of_groups=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components; others are not clustered."""
+    prepare(spark)
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"), k=16, components=64, scale=64, rounds=3, salt="1")
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    parts = [
+        "kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS p FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT r, any_value(v) AS v, min(CAST(list_sum(list_transform(list_zip(v, p), lambda e: (e[1] - e[2]) * (e[1] - e[2]))) AS BIGINT) * {k} + c) AS m FROM kept, c{i} GROUP BY r)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, pos, CAST(sum(x) AS BIGINT) AS x, count(*) AS n FROM (SELECT m % {k} AS c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY c, pos)")
+            parts.append(f"m{i} AS (SELECT c, list((x - ((x % n) + n) % n) // n ORDER BY pos) AS p FROM s{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.p, c{i}.p) AS p FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON c = m % {k}"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text; one without words has the fingerprint zero."""
+    found = simhash.classes(_documents(spark, sf_dir), width=3, radius=3)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_urls": op5_urls, "op6_media": op6_media, "op7_tokens": op7_tokens, "op8_packing": op8_packing, "op9_sharding": op9_sharding, "op10_neardup": op10_neardup, "op11_alignment": op11_alignment, "op12_clusters": op12_clusters, "op13_simhash": op13_simhash}
+ORACLES = {"op5_urls": OP5_SQL, "op12_clusters": _op12_sql()}
