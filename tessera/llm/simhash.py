@@ -234,7 +234,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     Rows are linked if their fingerprints differ in at most ``radius`` bits; ``component`` is the smallest id reachable over links,
     itself included. Null and empty texts, and those without words, have the fingerprint 0 and are linked like any other. Rows
-    that share a key are linked by each of their texts, and have each its own text's component. A row without a key is not
+    that share a key share a component. A row without a key is not
     linked, and has no component. Texts are read whole. Other columns are not read, whatever their names. An empty table gives an
     empty result. The key is read as a long.
     """
@@ -242,6 +242,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     base = materialised(fingerprints(df, key, text, width))
     reps = materialised(base.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
     links = near_links(reps.select(F.col("rep").alias("id"), "fp"), radius)
+    # A key with several texts links their classes.
+    several = base.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("id is not null and lo < hi").select("id")
+    same_key = base.join(_bounded(several), "id", "left_semi").join(reps, "fp").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    links = links.union(same_key)
     labels = _bounded(components(links).withColumnRenamed("id", "rep"))
     named = materialised(reps.join(labels, "rep", "left").select("fp", F.coalesce("label", "rep").alias("component")))
     out = base.join(_bounded(named), "fp", "left")
