@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 #: White space of any script, as Java and RE2 both read it.
 BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ENDS = f"^{BLANK}+|{BLANK}+$"
+#: What ends a line, as ``str.splitlines`` reads it.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 
 
@@ -32,6 +34,11 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text without their ends; an end that closes the text begins no further line."""
+    return F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+
+
 def matches_any(column: Column, patterns, ignore_case: bool = False) -> Column:
     """One literal predicate per pattern: a literal pattern is compiled once per task."""
     out = F.lit(False)

@@ -8,26 +8,34 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tessera.functions.text import stripped, text_lines
 
 WINDOW, OVERLAP, SECTION_LINES, DUPLICATE_LINES = 40, 10, 80, 8
 HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
 CHUNK = "path string, start_line int, end_line int, text string, name string"
 
 
-def windows(files: DataFrame, path: str = "path", text: str = "content", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of lines until the end is covered; blank ones are left out. A file is cut where it lies, without a shuffle.
-
-    Lines end at a newline; one at the very end of the text begins no further line.
-    """
+def _windows(n_lines: Column, window: int, overlap: int) -> Column:
+    """Array of (first, last, name): windows from line 1 on until the last line is covered."""
     step = max(1, window - overlap)
-    lines = F.split(F.regexp_replace(F.col(text), r"\n$", ""), "\n")
-    cut = files.filter(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0).select(F.col(path).alias("path"), lines.alias("lines"))
-    last = F.greatest(F.lit(0), F.ceil((F.size("lines") - window) / step)) * step
-    starts = cut.select("path", "lines", F.explode(F.sequence(F.lit(0), last.cast("int"), F.lit(step))).alias("at"))
-    block = F.slice("lines", F.col("at") + 1, F.lit(window))
-    out = starts.select("path", (F.col("at") + 1).alias("start_line"), (F.col("at") + F.size(block)).alias("end_line"), F.array_join(block, "\n").alias("text"), F.lit("").alias("name"))
-    return out.filter(F.col("text").rlike(r"\S"))
+    last = F.greatest(F.lit(0), F.ceil((n_lines - window) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step + 1).alias("first"), F.least(i * step + window, n_lines).alias("last"), F.lit("").alias("name")))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """One chunk for each span of each row (path, lines, spans); blank ones are left out."""
+    spans = rows.select("path", "lines", F.explode("spans").alias("at")).filter("at.last >= at.first")
+    block = F.slice("lines", F.col("at.first"), F.col("at.last") - F.col("at.first") + 1)
+    out = spans.select("path", F.col("at.first").alias("start_line"), F.col("at.last").alias("end_line"), F.array_join(block, "\n").alias("text"), F.col("at.name").alias("name"))
+    return out.filter(stripped(F.col("text")) != "")
+
+
+def windows(files: DataFrame, path: str = "path", text: str = "content", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Overlapping windows of lines until the end is covered; blank ones are left out. A file is cut where it lies, without a shuffle."""
+    cut = files.filter(F.col(text).isNotNull()).select(F.col(path).alias("path"), text_lines(F.col(text)).alias("lines"))
+    return _cut(cut.withColumn("spans", _windows(F.size("lines"), window, overlap)))
 
 
 def per_file(files: DataFrame, path: str, text: str, cut: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
@@ -47,7 +55,7 @@ _HEADING, _FENCE = re.compile(HEADING, re.ASCII), re.compile(r"\s*```", re.ASCII
 
 
 def _sections(text: str, max_lines: int) -> Iterator[tuple]:
-    lines, fenced, starts = text.removesuffix("\n").split("\n"), False, [(0, "")]
+    lines, fenced, starts = text.splitlines(), False, [(0, "")]
     for i, line in enumerate(lines):
         fenced ^= bool(_FENCE.match(line))
         title = None if fenced else _HEADING.match(line)
@@ -65,40 +73,40 @@ def markdown(files: DataFrame, path: str = "path", text: str = "content", max_li
     return per_file(files, path, text, lambda t: _sections(t, max_lines), CHUNK.removeprefix("path string, "))
 
 
+def _below(body: list[ast.stmt], owner: str = "") -> Iterator[tuple[int, int, str]]:
+    """(first line with decorators, last line, name) of the definitions of a module, and of the methods of its classes."""
+    for node in body:
+        is_class = isinstance(node, ast.ClassDef)
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) or (is_class and not owner):
+            yield min(part.lineno for part in (node, *node.decorator_list)), node.end_lineno, owner + node.name
+        if is_class and not owner:
+            yield from _below(node.body, f"{node.name}.")
+
+
+def _spans(source: str | None) -> list[tuple[int, int, str]] | None:
+    """Where the chunks of a Python file lie: what is above the first definition (all, if there is none), then each definition."""
+    try:
+        tree = ast.parse(source) if source is not None else None
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    if tree is None:
+        return None
+    firsts = [n.lineno for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    return [(1, min(firsts) - 1 if firsts else len(source.splitlines()), ""), *_below(tree.body)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("name", T.StringType())])))
+def _python_spans(sources: pd.Series) -> pd.Series:
+    return sources.map(_spans, na_action=None)
+
+
 def sources(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """Python files by definition (imports and constants first, classes, methods, functions); files that don't parse, and others, by windows."""
-
-    def split(source: str) -> list[tuple] | None:
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return None
-        lines, out = source.splitlines(), []
-
-        def add(node, name):
-            start = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            out.append((start, node.end_lineno, name))
-
-        kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
-        for node in tree.body:
-            if isinstance(node, (*kinds, ast.ClassDef)):
-                add(node, node.name)
-                for member in node.body if isinstance(node, ast.ClassDef) else ():
-                    if isinstance(member, kinds):
-                        add(member, f"{node.name}.{member.name}")
-        head = next((n.lineno for n in tree.body if isinstance(n, (*kinds, ast.ClassDef))), len(lines) + 1) - 1
-        return [(a, b, t, name) for a, b, name in [(1, head, ""), *out] if (t := "\n".join(lines[a - 1 : b])).strip()]
+    """Python files by definition (imports and constants first, classes, methods, functions); files that don't parse, and others, by windows.
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, *c) for p, t in zip(pdf["path"], pdf["content"], strict=True) for c in (split(t or "") or [])]
-            yield pd.DataFrame(rows, columns=["path", "start_line", "end_line", "text", "name"])
-
-    named = files.select(F.col(path).alias("path"), F.col(text).alias("content"))
-    python = named.filter(F.col("path").endswith(".py"))
-    parsed = python.mapInPandas(run, CHUNK)
-    rest = named.join(parsed.select("path").distinct(), "path", "left_anti")
-    return parsed.unionByName(windows(rest))
+    The tree gives line numbers only; lines are cut and joined where the file lies, in one pass.
+    """
+    cut = files.select(F.col(path).alias("path"), text_lines(F.col(text)).alias("lines"), _python_spans(F.when(F.col(path).endswith(".py"), F.col(text))).alias("spans"))
+    return _cut(cut.withColumn("spans", F.coalesce("spans", _windows(F.size("lines"), WINDOW, OVERLAP))))
 
 
 def _repeats(text: str, size: int) -> Iterator[tuple]:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators import search
 from tessera.operators.history import first_of
-from tessera.session import materialised
 
 # Fixed value: the form of an ignore directive. Group 1: -file, 2: rules, 3: reason.
 DIRECTIVE = r"(?i)(?:#|//)\s*review-ignore(-file)?\s*:\s*([A-Za-z_][A-Za-z0-9_.*]*(?:\s*,\s*[A-Za-z_][A-Za-z0-9_.*]*)*)(?:\s*[-—:]\s*(.*))?$"
@@ -69,7 +69,7 @@ def deterministic_only(attributed: DataFrame) -> DataFrame:
 
 def usage_class(context: Column, symbol: Column) -> Column:
     """import > inheritance > call > type > data_structure, by what stands around the symbol."""
-    around = lambda before, after: F.regexp_like(context, F.concat(F.lit(before), symbol, F.lit(after)))
+    around = lambda before, after: F.regexp_like(context, F.concat(F.lit(before + r"\Q"), symbol, F.lit(r"\E" + after)))
     return (
         F.when(context.rlike(r"^\s*(?:import|from)\s"), "import")
         .when(around(r"class\s+\w+\s*\([^)]*\b", r"\b"), "inheritance")
@@ -79,19 +79,13 @@ def usage_class(context: Column, symbol: Column) -> Column:
     )
 
 
-def usages(symbols: DataFrame, lines: DataFrame, cap: int = 50) -> DataFrame:
-    """(symbol, path, line, usage): up to ``cap`` lines per symbol that hold it, in path order.
+def usages(symbols: DataFrame, files: DataFrame, cap: int = 50) -> DataFrame:
+    """(symbol, path, line, usage): up to ``cap`` lines of files (path, content) per symbol that hold it, in path order; see :mod:`search`.
 
-    Lines are tokenised and joined on the word, an equi-join, before the cap; no line is compared with every symbol. The lines'
-    texts are joined to what the cap leaves.
+    A symbol is found as it is spelled, also inside a longer word.
     """
-    from pyspark.sql import Window
-
-    words = lines.select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)")))).alias("symbol"))
-    hits = words.join(symbols.select("symbol").distinct(), "symbol")
-    order = Window.partitionBy("symbol").orderBy("path", "line")
-    kept = materialised(hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("n"))  # its size lets the planner broadcast it
-    return kept.join(lines.select("path", "line", "body"), ["path", "line"]).select("symbol", "path", "line", usage_class(F.col("body"), F.col("symbol")).alias("usage"))
+    hits = search.first_hits(search.search(files, symbols), cap)
+    return hits.select("symbol", "path", "line", usage_class(F.col("body"), F.col("symbol")).alias("usage"))
 
 
 def impact(usage_rows: DataFrame) -> DataFrame:

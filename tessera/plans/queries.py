@@ -483,18 +483,21 @@ def ripple_two_hop(spark, sf_dir):
     return joins.ripple(edges)
 
 
-USAGE_SQL = r"""sym AS (SELECT DISTINCT lower(n_name) AS symbol FROM nation UNION SELECT unnest(['the', 'der', 'les', 'que'])),
-l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents),
-w AS (SELECT path, line, body, unnest(list_distinct(regexp_extract_all(body, '[A-Za-z_]\w*'))) AS symbol FROM l),
-h AS (SELECT symbol, path, line, body, row_number() OVER (PARTITION BY symbol ORDER BY path, line) AS n FROM w WHERE symbol IN (SELECT symbol FROM sym)),
-u AS (SELECT symbol, path, line, CASE WHEN regexp_matches(body, '^\s*(?:import|from)\s') THEN 'import' WHEN regexp_matches(body, 'class\s+\w+\s*\([^)]*\b' || symbol || '\b') THEN 'inheritance' WHEN regexp_matches(body, '\b' || symbol || '\s*\(') THEN 'call'
-  WHEN regexp_matches(body, ':\s*[^=]*\b' || symbol || '\b') OR regexp_matches(body, '->\s*[^:]*\b' || symbol || '\b') THEN 'type' ELSE 'data_structure' END AS usage FROM h WHERE n <= 50)"""
+#: Whole words, parts of words, qualified names; the last three may not be searched.
+SYMBOLS = ("the", "der", "les", "que", "an", "th", "e", "the.", "a.b", "-x", "two words", "..")
+USAGE_SQL = rf"""sym AS (SELECT DISTINCT lower(n_name) AS symbol FROM nation UNION SELECT unnest([{', '.join(f"'{s}'" for s in SYMBOLS[:-3])}])),
+l AS (SELECT 'src/m' || doc_id || '.py' AS path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents WHERE NOT contains(text, chr(0))),
+e AS (SELECT symbol, '\Q' || symbol || '\E' AS s, path, line, body, row_number() OVER (PARTITION BY symbol, path ORDER BY line) AS m FROM l, sym WHERE regexp_matches(symbol, '^[A-Za-z0-9_][A-Za-z0-9_.:/-]*$') AND contains(body, symbol)),
+h AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, line) AS n FROM e WHERE m <= 200),
+u AS (SELECT symbol, path, line, CASE WHEN regexp_matches(body, '^\s*(?:import|from)\s') THEN 'import' WHEN regexp_matches(body, 'class\s+\w+\s*\([^)]*\b' || s || '\b') THEN 'inheritance' WHEN regexp_matches(body, '\b' || s || '\s*\(') THEN 'call'
+  WHEN regexp_matches(body, ':\s*[^=]*\b' || s || '\b') OR regexp_matches(body, '->\s*[^:]*\b' || s || '\b') THEN 'type' ELSE 'data_structure' END AS usage FROM h WHERE n <= 50)"""
 
 
 def _usages(spark, sf_dir):
-    extra = spark.createDataFrame([("the",), ("der",), ("les",), ("que",)], "symbol string")
+    extra = spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
     symbols = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("symbol")).union(extra).distinct()
-    return joins.usages(symbols, joins.lines_of(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("path"), "text"), "text", "path"))
+    path = F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return joins.usages(symbols, spread(table(spark, sf_dir, "documents")).select(path.alias("path"), F.col("text").alias("content")))
 
 
 @registered(f"WITH {USAGE_SQL} SELECT * FROM u")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tessera.functions import stats
-from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, trace
+from tessera.functions.text import LINE_END
+from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, search, symbols, trace
 from tessera.plans.fixtures import FINDINGS_SQL, SPANS_SQL, findings, spans
 from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, _agreed, _file_metrics, _judged, _q, _wilson_sql, memory, registered, verified
 from tessera.plans.sources import N, SNIPPETS, SOURCES_SQL, TAILS, _rows, source_files
 from tessera.session import spread, table
-from tessera.sources import reports, stores, workspace
+from tessera.sources import checkout, reports, stores, workspace
 
 # Analyzers over generated sources ---------------------------------------------------------------------------------------
 
@@ -97,11 +98,42 @@ def file_imports(spark, sf_dir):
     return workspace.imports(source_files(spark, sf_dir).select(F.col("file_path").alias("path"), "content"))
 
 
-@registered(f"""WITH {SOURCES_SQL}, f AS (SELECT file_path, name, rec FROM parts JOIN functions USING (s) UNION ALL SELECT file_path, unnest(['_lonely']), 0 FROM ends WHERE tail = 2 UNION ALL SELECT file_path, unnest(['resize_it']), 0 FROM ends WHERE tail = 3
-  UNION ALL SELECT file_path, unnest(CASE s WHEN 19 THEN ['Service'] WHEN 20 THEN ['Wide'] WHEN 21 THEN ['Single'] ELSE []::VARCHAR[] END), 1 FROM parts) SELECT name, count(DISTINCT file_path) AS files FROM f GROUP BY name""")
+#: One file per document, by its id: suffix, comment mark, content ({i}: the id, {k}: its last digit), and (kind, name, params) of what it defines.
+#: The document's own text stands in it as a comment.
+SYMBOL_FILES: list[tuple[str, str, str, list[tuple[str, str, str | None]]]] = [
+    (".py", "# ", "import os\nLIMIT_{k} = 3\nretries: int = 2\nclass Store(Base):\n    kind = 'x'\n    def save(self, item, *, now=None):\n        held = item\n        return os.environ['STORE_HOME']\n    @classmethod\n    def load(cls, path_{i}):\n        return os.getenv('STORE_PATH', 'x')\ndef load(place_{i}, /, mode='r'):\n    return environ.get('MODE')\nparser.add_argument('-v', '--verbose', help='--no')\nother.get('NOT_ENV')\nx.y = '--not-an-option'\n",
+     [("class", "Store", None), ("function", "save", "item,now"), ("method", "Store.save", "item,now"), ("function", "load", "place_{i},mode"), ("method", "Store.load", "path_{i}"), ("assigned", "LIMIT_{k}", None), ("assigned", "retries", None), ("assigned", "kind", None),
+      ("assigned", "held", None), ("environment", "STORE_HOME", None), ("environment", "STORE_PATH", None), ("environment", "MODE", None), ("option", "-v", None), ("option", "--verbose", None)]),
+    (".go", "// ", "package x\nfunc Run(a int) {}\n// func Gone() {}\nfunc (s *Srv) Serve(w W) {}\r\ntype Srv struct{}\nconst Limit = 3\n\tvar inner int\n", [("declaration", n, None) for n in ("Run", "Serve", "Srv", "Limit", "inner")]),
+    (".ts", "// ", "export async function fetchAll(x) {}\nexport abstract class Base {}\ninterface Shape {}\nexport type Id = string\nconst mode = 1\n* let hidden = 2\n", [("declaration", n, None) for n in ("fetchAll", "Base", "Shape", "Id", "mode")]),
+    (".java", "// ", "public final class App {\n  private static int count(int a) {\n  public List<String> names(int b) {\n  record Pair(int a) {}\n  /* class Gone */\n  return run(1);\n", [("declaration", n, None) for n in ("App", "count", "names", "Pair")]),
+    (".jsx", "// ", "function App() {}\nlet state_{k} = 1\nfoo(function inner() {})\n", [("declaration", "App", None), ("declaration", "state_{k}", None)]),
+    (".py", "# ", "def broken(:\n", []),
+    (".rb", "# ", "class Ruby\n", []),
+]
+_FILLED = "replace(replace({}, '{{i}}', doc_id::VARCHAR), '{{k}}', (doc_id % 10)::VARCHAR)"
+SYMBOLS_SQL = f"""told(k, suffix, kind, name, params) AS (VALUES {_rows([(i, f[0], *t) for i, f in enumerate(SYMBOL_FILES) for t in f[3]])}),
+named AS (SELECT 'src/m' || doc_id || suffix AS path, kind, {_FILLED.format('name')} AS name, {_FILLED.format('params')} AS params FROM documents JOIN told ON k = doc_id % {len(SYMBOL_FILES)})"""
+
+
+def symbol_files(spark, sf_dir):
+    d, k = spread(table(spark, sf_dir, "documents")), (F.col("doc_id") % len(SYMBOL_FILES)).cast("int") + 1
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k)
+    mark = pick([f[1] for f in SYMBOL_FILES])
+    own = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\0"), F.lit("")), F.lit(LINE_END), F.concat(F.lit("\n"), mark))
+    filled = F.replace(F.replace(pick([f[2] for f in SYMBOL_FILES]), F.lit("{i}"), F.col("doc_id").cast("string")), F.lit("{k}"), (F.col("doc_id") % 10).cast("string"))
+    return d.select(F.concat(F.lit("src/m"), F.col("doc_id").cast("string"), pick([f[0] for f in SYMBOL_FILES])).alias("path"), F.concat(filled, mark, own, F.lit("\n")).alias("content"))
+
+
+@registered(f"WITH {SYMBOLS_SQL} SELECT kind, name, count(*) AS files FROM named GROUP BY kind, name")
 def symbol_names(spark, sf_dir):
-    index = workspace.symbol_index(source_files(spark, sf_dir).select(F.col("file_path").alias("path"), "content"))
-    return index.filter("kind in ('function', 'class')").groupBy("name").agg(F.countDistinct("path").alias("files"))
+    return symbols.names(symbol_files(spark, sf_dir)).groupBy("kind", "name").agg(F.countDistinct("path").alias("files"))
+
+
+@registered(f"""WITH {SYMBOLS_SQL} SELECT CASE WHEN kind IN ('option', 'environment') THEN kind ELSE 'symbol' END AS kind, name,
+  coalesce(arg_max(params, path) FILTER (WHERE kind = 'method'), arg_min(params, path) FILTER (WHERE kind = 'function')) AS params FROM named GROUP BY 1, 2""")
+def symbol_signatures(spark, sf_dir):
+    return workspace.symbol_index(symbol_files(spark, sf_dir)).withColumn("params", F.array_join("params", ","))
 
 
 @registered(f"WITH {SOURCES_SQL}, p AS (SELECT doc_id, before, s FROM parts), h AS (SELECT p.doc_id, name, before + line AS a, before + last AS b FROM p JOIN functions USING (s)), w AS (SELECT doc_id, unnest(range(1, 9)) AS line FROM documents) SELECT w.doc_id, w.line::INT AS line, name AS \"function\" FROM w LEFT JOIN h ON h.doc_id = w.doc_id AND line BETWEEN a AND b")
@@ -168,16 +200,34 @@ def agent_protocols(spark, sf_dir):
     return c.select("conv_id", "turn", call["name"].alias("name"), F.try_element_at(call["arguments"], F.lit("pattern")).alias("pattern"), F.try_element_at(call["arguments"], F.lit("path")).alias("path"), F.get(asked, F.lit(0))["to"].alias("handed_to"), F.get(asked, F.lit(0))["why"].alias("why"), rest.alias("rest"))
 
 
-@registered("SELECT conv_id, turn, turn % 5 NOT IN (0, 1, 2) AND length(text) <= 200 AND NOT starts_with(text, '-') AND NOT contains(text, '..') AND NOT regexp_matches(text, '[\\x00-\\x1f]') AND trim(text) <> '' AS valid FROM conversations")
+@registered("""WITH p AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN '-rf' WHEN 1 THEN 'a/../b' WHEN 2 THEN ' ' WHEN 3 THEN text WHEN 4 THEN ' ' || string_split(text, ' ')[1] || chr(10) ELSE 'pkg.mod::' || conv_id END AS pattern FROM conversations),
+t AS (SELECT *, regexp_replace(pattern, '^[\t-\r ]+|[\t-\r ]+$', '', 'g') AS s FROM p)
+SELECT conv_id, turn, coalesce(length(s) <= 200 AND NOT contains(s, '..') AND regexp_matches(s, '^[A-Za-z0-9_][A-Za-z0-9_.:/-]*$'), false) AS valid FROM t""")
 def valid_searches(spark, sf_dir):
-    t = F.col("turn") % 5
-    pattern = F.when(t == 0, "-rf").when(t == 1, "a/../b").when(t == 2, " ").otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", scan.valid_search(pattern).alias("valid"))
+    t, text = F.col("turn") % 6, F.col("text")
+    word = F.concat(F.lit(" "), F.split(text, " ")[0], F.lit("\n"))
+    pattern = F.when(t == 0, "-rf").when(t == 1, "a/../b").when(t == 2, " ").when(t == 3, text).when(t == 4, word).otherwise(F.concat(F.lit("pkg.mod::"), F.col("conv_id").cast("string")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", search.valid_search(pattern).alias("valid"))
 
 
-@registered("SELECT doc_id, line, body FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents) WHERE contains(body, 'the.')")
+#: Where a document lies, by its id: some places are never searched.
+PLACES = ("src/m{}.py", "src/build/m{}.py", "lib/.env", "lib/.env.d{}", "lib/id_m{}", "web/m{}.min.js", "web/m{}.js", "web/Build/m{}.js", "etc/m{}.lock", "etc/m{}.pem.txt")
+PLACES_SQL = f"placed AS (SELECT doc_id, text, replace(list_extract([{', '.join(map(_q, PLACES))}], (doc_id % {len(PLACES)} + 1)::INT), '{{}}', doc_id::VARCHAR) AS path, doc_id % {len(PLACES)} IN (0, 6, 7, 9) AS open FROM documents)"
+
+
+def placed(spark, sf_dir):
+    """(doc_id, path, content): the documents as files."""
+    d = spread(table(spark, sf_dir, "documents"))
+    path = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("doc_id") % len(PLACES) + 1).cast("int"))
+    return d.select("doc_id", F.replace(path, F.lit("{}"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+
+
+@registered(f"""WITH {PLACES_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM placed WHERE open),
+h AS (SELECT symbol, path, line, body, row_number() OVER (PARTITION BY symbol, path ORDER BY line) AS n FROM l, (VALUES ('the.'), ('an'), ('e')) p(symbol) WHERE contains(body, symbol))
+SELECT symbol, path, line, body FROM h WHERE n <= 20""")
 def grep_lines(spark, sf_dir):
-    return scan.grep(joins.lines_of(spread(table(spark, sf_dir, "documents")), "text", "doc_id"), "the.")
+    patterns = spark.createDataFrame([("the.",), (" an ",), ("e",), ("-e",), ("../e",), ("two words",)], "symbol string")
+    return search.search(placed(spark, sf_dir), patterns, per_file=20)
 
 
 @registered("SELECT doc_id, decision_kind, n FROM (SELECT doc_id, unnest(['kept']) AS decision_kind, 1 AS n FROM documents WHERE FALSE) UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'review' ELSE 'quiet' END, 1 FROM documents")
@@ -187,13 +237,44 @@ def triage_split(spark, sf_dir):
     return review.select("doc_id", F.lit("review").alias("decision_kind"), F.lit(1).alias("n")).unionByName(quiet.select("doc_id", F.lit("quiet").alias("decision_kind"), F.lit(1).alias("n")))
 
 
-PATHS = ("a/.env", ".env.prod", "x/id_rsa", "certs/site.pem", ".ssh/config", "src/environment.py", "credentials.json", "src/keys.py", "a/.netrc/b", "README.md")
+#: Paths, and whether they are hidden.
+PATHS = {
+    "a/.env": 1, ".env.prod": 1, "x/id_rsa": 1, "certs/site.pem": 1, ".ssh/config": 0, "src/environment.py": 0, "credentials.json": 0, "credentials/x": 1, "src/keys.py": 0, "a/.netrc/b": 1, "README.md": 0,
+    ".envrc": 1, "x/.git/config": 1, ".gitignore": 0, "w/.htpasswd": 1, "s/app.KEYSTORE": 1, "deploy_rsa": 1, "putty/a.ppk": 1, "ID_custom.txt": 1, "my.environment": 0, "id.txt": 0, "k/pem": 0,
+}
 
 
-@registered(f"SELECT event_id, list_extract([{', '.join(_q(p) for p in PATHS)}], (event_id % {len(PATHS)} + 1)::INT) AS path, event_id % {len(PATHS)} IN (0, 1, 2, 3, 4, 6, 8) AS hidden, regexp_extract(list_extract([{', '.join(_q(p) for p in PATHS)}], (event_id % {len(PATHS)} + 1)::INT), '[^/]*$') AS name FROM events")
+@registered(f"SELECT event_id, path, hidden, regexp_extract(path, '[^/]*$') AS name FROM events JOIN (VALUES {_rows([(i, p, h) for i, (p, h) in enumerate(PATHS.items())])}) p(k, path, h) ON k = event_id % {len(PATHS)}, (VALUES (0, false), (1, true)) b(v, hidden) WHERE v = h")
 def sensitive_paths(spark, sf_dir):
-    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("event_id") % len(PATHS) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", path.alias("path"), workspace.is_sensitive(path).alias("hidden"), F.substring_index(path, "/", -1).alias("name"))
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("event_id") % len(PATHS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", path.alias("path"), checkout.is_sensitive(path).alias("hidden"), F.substring_index(path, "/", -1).alias("name"))
+
+
+#: Files of a checkout by document id: path, and whether the scan lists it. The sixth has a byte that is no UTF-8, the seventh a NUL.
+TREE = (
+    ("src/{s}/m{i}.py", 1), ("docs/m{i}.md", 0), ("node_modules/p/m{i}.js", 0), ("src/.git/m{i}.py", 0), ("conf/id_{i}.py", 0), ("conf/deploy_rsa/m{i}.go", 0),
+    ("lib/m{i}.go", 1), ("lib/m{i}.yaml", 1), ("m{i}.toml", 1), ("web/m{i}.TS", 0), ("lib/a/m{i}.cs", 1), ("src/.tox/m{i}.py", 0),
+)
+TREE_BYTES = 2000
+
+
+@registered(f"""WITH f AS (SELECT doc_id % {len(TREE)} AS k, coalesce(text, '') AS t, replace(replace(list_extract([{', '.join(_q(p) for p, _ in TREE)}], (doc_id % {len(TREE)} + 1)::INT), '{{s}}', source), '{{i}}', doc_id::VARCHAR) AS path FROM documents),
+listed AS (SELECT *, row_number() OVER (ORDER BY CASE k WHEN 8 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 10 THEN 2 ELSE 3 END, path) - 1 AS ordinal, strlen(t) + (k IN (6, 7))::INT > {TREE_BYTES} AS long FROM f WHERE k IN ({', '.join(str(i) for i, (_, on) in enumerate(TREE) if on)})),
+cut AS (SELECT *, CASE WHEN long THEN t[:list_max(list_filter(range({TREE_BYTES // 4}, {TREE_BYTES} + 1), lambda n: strlen(t[:n]) <= {TREE_BYTES}))] ELSE t END AS head FROM listed WHERE k <> 7),
+c AS (SELECT ordinal, path, head || CASE WHEN (long AND strlen(head) < {TREE_BYTES}) OR (k = 6 AND NOT long) THEN chr(65533) ELSE '' END
+  || CASE WHEN long THEN chr(10) || chr(10) || '[... truncated: file is larger than {TREE_BYTES} bytes, only the first {TREE_BYTES} were read ...]' ELSE '' END AS content FROM cut)
+SELECT ordinal, path, length(content)::INT AS chars, md5(content) AS digest FROM c WHERE NOT contains(content, chr(0)) AND length(content) - length(replace(content, chr(65533), '')) <= greatest(1.0, length(content) / 100.0)""")
+def checkout_scan(spark, sf_dir):
+    """The documents written as a tree, one file each, and scanned again."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % len(TREE)
+    path = F.element_at(F.array(*[F.lit(p) for p, _ in TREE]), (k + 1).cast("int"))
+    path = F.replace(F.replace(path, F.lit("{s}"), F.col("source")), F.lit("{i}"), F.col("doc_id").cast("string"))
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    content = F.when(k == 6, F.concat(raw, F.unhex(F.lit("E9")))).when(k == 7, F.concat(F.unhex(F.lit("00")), raw)).otherwise(raw)
+    root = _folder(spark, "tree")
+    checkout.write_tree(d.select(path.alias("path"), content.alias("content")), root)
+    found = workspace.files(spark, root, max_file_bytes=TREE_BYTES)
+    return found.select("ordinal", "path", F.length("content").alias("chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @registered("SELECT DISTINCT source AS name FROM documents")

@@ -2,46 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import basename, is_binary
-from tessera.operators import chunking, code
+from tessera.operators import chunking, code, symbols
+from tessera.sources import checkout
+from tessera.sources.checkout import is_sensitive
 
-# What is indexed, pruned and hidden.
-SUFFIXES = ("py", "pyi", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "c", "cc", "cpp", "h", "hpp", "rb", "php", "sh", "sql")
-PRUNED = (".git", ".hg", ".svn", "node_modules", "vendor", "venv", ".venv", "__pycache__", "dist", "build", "target")
-SENSITIVE = (r"^\.env(\..*)?$", r"^id_(rsa|dsa|ecdsa|ed25519)(\.pub)?$", r"\.(pem|key|p12|pfx)$", r"^\.(ssh|aws|gnupg)$", r"^\.(netrc|pgpass|npmrc|pypirc)$", r"^credentials(\..*)?$")
+DOCUMENTS = (".md", ".markdown")
 
 
-def is_sensitive(path: Column) -> Column:
-    """Whether any part of a path is on the deny list."""
-    test = lambda part: F.array_contains(F.array(*[part.rlike("(?i)" + p) for p in SENSITIVE]), True)
-    return F.exists(F.split(path, "/"), test)
+def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = checkout.SUFFIXES, budget: int | None = None, max_file_bytes: int = checkout.MAX_FILE_BYTES) -> DataFrame:
+    """(ordinal, path below the root, content) of the text files of a checkout, in walking order; see :mod:`tessera.sources.checkout`.
 
-
-def is_pruned(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(p) for p in PRUNED]))
-
-
-def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(path relative to the root, content) of text files below ``root``, any store Spark reads; pruned and sensitive paths left out.
-
-    The suffix filter is a glob, so other files are not opened.
+    Files over ``max_file_bytes`` are cut with a note. Of a ``budget`` in bytes, files that no longer fit are refused. Binary files
+    use their share of it, but are left out.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
-    relative = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").rpartition("/")[2].replace(".", r"\.") + "/", "")
-    rows = raw.select(relative.alias("path"), F.expr("decode(content, 'UTF-8')").alias("content"))
-    return rows.filter(~is_pruned(F.col("path")) & ~is_sensitive(F.col("path")) & ~is_binary(F.col("content")))
+    checkout.register(spark)
+    reader = spark.read.format("checkout").option("suffixes", ",".join(suffixes)).option("maxFileBytes", max_file_bytes)
+    raw = (reader if budget is None else reader.option("totalBytes", budget)).load(root)
+    return raw.filter(F.col("content").isNotNull() & ~is_binary(F.col("content"))).select("ordinal", "path", "content")
 
 
 def documents(spark: SparkSession, root: str, limit: int = 500) -> DataFrame:
-    """Markdown documents in path order, up to the cap of the index."""
-    return files(spark, root, ("md", "markdown")).orderBy("path").limit(limit)
+    """Markdown documents in walking order, up to the cap of the index."""
+    return files(spark, root, DOCUMENTS, checkout.INDEX_BYTES).orderBy("ordinal").limit(limit)
 
 
 def chunks(source_files: DataFrame, max_files: int = 2000, max_chunks: int = 20000) -> DataFrame:
-    """Chunks of source files in path order; both caps are those of the index, taken as a distributed top-k."""
-    return chunking.sources(source_files.orderBy("path").limit(max_files)).orderBy("path", "start_line", "name").limit(max_chunks)
+    """Chunks of source files in walking order; both caps are those of the index, taken as a distributed top-k."""
+    kept = source_files.orderBy("ordinal").limit(max_files)
+    cut = chunking.sources(kept).join(kept.select("path", "ordinal"), "path")
+    return cut.orderBy("ordinal", F.col("name") != "", "start_line", F.desc("end_line"), "name").limit(max_chunks).drop("ordinal")
 
 
 def document_chunks(document_files: DataFrame, max_chunks: int = 20000) -> DataFrame:
@@ -64,37 +56,9 @@ def definitions(chunk_rows: DataFrame, symbol: str) -> DataFrame:
     return chunk_rows.filter((F.col("name") == symbol) | F.col("name").endswith(f".{symbol}"))
 
 
-# Declarations of languages without a parser here.
-DECLARATIONS = {
-    "go": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)",
-    "js": r"(?m)^(?:export\s+)?(?:async\s+)?(?:function|class)\s+([A-Za-z_$]\w*)",
-    "ts": r"(?m)^(?:export\s+)?(?:abstract\s+)?(?:async\s+)?(?:function|class|interface|type|enum)\s+([A-Za-z_$]\w*)",
-    "java": r"(?m)^\s*(?:public|protected|private)?\s*(?:static\s+|final\s+|abstract\s+)*(?:class|interface|enum)\s+([A-Za-z_]\w*)",
-}
-
-
-def parameters(signature: Column) -> Column:
-    """The names of a signature's parameters."""
-    inside = F.regexp_replace(F.regexp_extract(signature, r"^def \w+\((.*)\)", 1), r"\[[^\]]*\]", "")
-    names = F.transform(F.split(inside, ","), lambda x: F.trim(F.substring_index(x, ":", 1)))
-    return F.filter(names, lambda n: (n != "") & ~n.isin("self", "cls"))
-
-
-def documentation_index(symbols: DataFrame) -> DataFrame:
-    """A symbol index in the form that ``documentation.defects`` reads."""
-    return symbols.select(F.when(F.col("kind").isin("option", "environment"), F.col("kind")).otherwise("symbol").alias("kind"), "name", "params")
-
-
 def symbol_index(source_files: DataFrame) -> DataFrame:
-    """(path, kind, name, params): functions and classes (Python by syntax tree, others by declaration), options, environment names;
-    of a function its parameters, without self and cls."""
-    out = code.symbols(code.facts(source_files, "path")).select("path", "kind", "name", F.when(F.col("kind") == "function", parameters(F.col("detail"))).alias("params"))
-    none = F.lit(None).cast("array<string>")
-    pick = lambda rows, pattern, kind: rows.select("path", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("name"), none.alias("params"))
-    for suffix, pattern in DECLARATIONS.items():
-        out = out.unionByName(pick(source_files.filter(F.col("path").endswith("." + suffix)), pattern, "declaration"))
-    out = out.unionByName(pick(source_files, r"""['"](--[a-z][a-z0-9-]+)['"]""", "option"))
-    return out.unionByName(pick(source_files, r"""environ(?:\.get\(|\[)\s*['"]([A-Z][A-Z0-9_]+)['"]""", "environment")).distinct()
+    """(kind, name, params) in the form that ``documentation.defects`` reads: every symbol, option and environment name of the files."""
+    return symbols.index(symbols.names(source_files))
 
 
 def imports(source_files: DataFrame) -> DataFrame:

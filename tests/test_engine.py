@@ -372,5 +372,5 @@ def test_stores_and_streams(spark, tmp_path):
         (root / name).write_text(text)
     found = workspace.files(spark, str(root))
     assert {r.path for r in found.collect()} == {"a.py", "c/d.go"}
-    assert {("function", "f"), ("declaration", "Run")} <= {(r.kind, r.name) for r in workspace.symbol_index(found).collect()}
+    assert {("symbol", "f"), ("symbol", "Run")} <= {(r.kind, r.name) for r in workspace.symbol_index(found).collect()}
     assert [r.name for r in workspace.entries(found, "").collect()] == ["a.py", "c"] and workspace.document_chunks(workspace.documents(spark, str(root))).first().name == "T"
