@@ -4,11 +4,9 @@ Every byte of space+text has a label: none, the end of an A token, of a B token,
 and takes the spans up to each both-label; the labels inside a span say how many A and B tokens form its group, and each
 label that is not none ends a range that one A token and one B token share, which is a link.
 
-No token of A or B crosses a space between a character that is no white space and whatever follows (checked for B's pieces
-when they are read), so such places are both-labels in every text. A text is cut there, and each distinct chunk is labelled once
-per worker while a bounded cache holds it.
+Texts are encoded once and their packed ids are written; what follows works on these.
 
-Links are counted in two passes over the texts. The first sums, per task, how many documents hold each pair of ids. Pairs
+Links are counted in two passes. The first sums, per task, how many documents hold each pair of ids. Pairs
 that have at least one in HEAD_PAIRS of all these counts are at most HEAD_PAIRS many, whatever the corpus, and are broadcast
 as two arrays; the second pass looks those up in the task, and all others meet their counts in a shuffle join.
 """
@@ -18,7 +16,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,31 +32,32 @@ from tessera.session import materialised
 
 #: Pairs that are broadcast at most (16 bytes each); pairs that a task sums before it passes them on.
 HEAD_PAIRS, PARTIAL_PAIRS = 1 << 19, 1 << 20
-#: Distinct chunks of a generation that a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 64
 #: Bytes of an output batch, from which on it is passed on.
 BATCH_BYTES = 4 << 20
 A_END, B_END, BOTH = 1, 2, 3
 _GROUP = re.compile(rb"[^\x03]*\x03")
-_ODD_SPACE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
 
 
-def labels(a_sizes: list[int], b_sizes: list[int]) -> bytes:
-    """One label per byte, from the tokens' sizes in bytes."""
-    found, end = bytearray(sum(a_sizes)), -1
-    for size in a_sizes:
-        end += size
-        found[end] = A_END
-    end = -1
-    for size in b_sizes:
-        end += size
-        found[end] |= B_END
-    return bytes(found)
+def labels(a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
+    """One label per byte, from the bytes (counted from 1) at which tokens end."""
+    found = np.zeros(int(a_ends[-1]), dtype=np.uint8)
+    found[a_ends - 1] = A_END
+    found[b_ends - 1] |= B_END
+    return found.tobytes()
 
 
-def group_sizes(label_string: bytes) -> list[tuple[int, int, int]]:
+def group_sizes(label_string: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, A tokens, B tokens) of every span up to a both-label."""
-    return [(len(span), span.count(A_END) + 1, span.count(B_END) + 1) for span in _GROUP.findall(label_string)]
+    sizes = np.fromiter(map(len, _GROUP.findall(label_string)), dtype=np.int64)
+    found, starts = np.frombuffer(label_string, dtype=np.uint8), np.cumsum(sizes) - sizes
+    return sizes, *(np.add.reduceat(found >> bit & 1, starts, dtype=np.int64) for bit in (0, 1))
+
+
+def links(label_string: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A id << 32 | B id for each pair of tokens that share bytes: one for each label that is not none."""
+    ends = np.frombuffer(label_string.translate(None, b"\0"), dtype=np.uint8)
+    a_end, b_end = ends & A_END, ends >> 1
+    return a.astype(np.int64)[np.cumsum(a_end, dtype=np.int64) - a_end] << 32 | b.astype(np.int64)[np.cumsum(b_end, dtype=np.int64) - b_end]
 
 
 class Aligner:
@@ -75,77 +73,67 @@ class Aligner:
             raise ValueError(f"the merges of {a_path} are not in the order of their ids")
         # The byte-level pre-tokenizer's own pattern; the two libraries agree on its classes for every code point.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.a, self.a_size = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {i: len(b) for b, i in ranks.items()}
+        self.a = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.b_inside = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
-        if any(x != "▁" and y == "▁" for x, y in self.b_inside) or any("\n" in p for p in plain):
-            raise ValueError(f"{b_path} has pieces across words or lines")
-        self.b_space = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
+        if any("\n" in p for p in plain):
+            raise ValueError(f"{b_path} has pieces with line feeds")
+        self.a_size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.a_size[list(ranks.values())] = [len(t) for t in ranks]
+        self.b_size = np.array([len(t) for t in self.b_bytes])
+        #: What is packed: two bytes per id, where both vocabularies allow.
+        self.packed = "<u2" if max(len(self.a_size), len(self.b_size)) <= 1 << 16 else "<u4"
+        # Ids in decimals with what follows them in a list of groups, one row of bytes each, filled up with zeros.
+        written = [f"{i}{mark}" for size, mark in ((self.a_size, ","), (self.a_size, "|"), (self.b_size, ","), (self.b_size, ";")) for i in range(len(size))]
+        self.written = np.array(written, dtype="S").view(np.uint8).reshape(len(written), -1)
 
     def _a_ids(self, chunk: str) -> list[int]:
         if len(chunk) <= SEGMENT_CHARS:
             return self.a.encode_ordinary(chunk)
         return [i for part, whole in segments(chunk) for i in (self.a._encode_single_piece(part) if whole else self.a.encode_ordinary(part))]
 
-    def _b_ids(self, rest: str) -> list[int]:
-        """The ids of space+rest. A long one is cut where no piece has the two characters side by side, so no merge crosses the cut;
+    def _b_ids(self, text: str) -> list[int]:
+        """The ids of space+text. A long one is cut where no piece has the two characters side by side, so no merge crosses the cut;
         each further part follows a line feed, which is a piece of its own, instead of the space."""
-        if not rest:
-            return [self.b_space]
         found, start = [], 0
         while True:
             cut = start + SEGMENT_CHARS
-            while cut < len(rest) and rest[cut - 1 : cut + 1].replace(" ", "▁") in self.b_inside:
+            while cut < len(text) and text[cut - 1 : cut + 1].replace(" ", "▁") in self.b_inside:
                 cut += 1
-            part = self.b.encode(("\n" if start else "") + rest[start:cut])
+            part = self.b.encode(("\n" if start else "") + text[start:cut])
             found += part[2:] if start else part
-            if cut >= len(rest):
+            if cut >= len(text):
                 return found
             start = cut
 
-    def _chunk(self, rest: str) -> tuple[int, int, bytes, bytes] | None:
-        """(A tokens, B tokens, groups, packed links) of the chunk space+rest; None if B's bytes differ."""
-        chunk = " " + rest
-        a, b = self._a_ids(chunk), self._b_ids(rest)
-        if b"".join(map(self.b_bytes.__getitem__, b)) != chunk.encode():
-            return None
-        label_string = labels([self.a_size[i] for i in a], [len(self.b_bytes[i]) for i in b])
-        groups, links, i, j = [], array("q"), 0, 0
-        for _, m, n in group_sizes(label_string):
-            groups.append(",".join(map(str, a[i : i + m])) + "|" + ",".join(map(str, b[j : j + n])))
-            i, j = i + m, j + n
-        i = j = 0
-        for label in label_string.translate(None, b"\0"):
-            links.append(a[i] << 32 | b[j])
-            i, j = i + (label & A_END), j + (label >> 1)
-        return len(a), len(b), ";".join(groups).encode(), links.tobytes()
-
-    def chunks(self, text: str) -> list[tuple | None]:
-        rests = text.split(" ") if not _ODD_SPACE.search(" " + text) else [c[1:] for c in _CUT.split(" " + text)]
-        known, older, long = self.known, self.older, {}
-        for rest in set(rests):
-            if rest not in known:
-                found = older[rest] if rest in older else self._chunk(rest)
-                if len(rest) <= CACHE_CHARS:
-                    known[rest] = found
-                else:
-                    long[rest] = found
-        made = [known[r] if r in known else long[r] for r in rests] if long else list(map(known.__getitem__, rests))
-        if len(known) > CACHE_ENTRIES:
-            self.known, self.older = {}, known
-        return made
-
-    def align(self, text: str | None) -> tuple[int, int, bytes, np.ndarray]:
-        """(A tokens, B tokens, groups as ``a1,a2|b1;a3|b2``, links as a << 32 | b) of a text; nothing, if its bytes differ."""
-        made = self.chunks(text) if text else []
-        if not made or None in made:
-            return 0, 0, b"", np.zeros(0, dtype=np.int64)
-        return sum(m[0] for m in made), sum(m[1] for m in made), b";".join([m[2] for m in made]), np.frombuffer(b"".join([m[3] for m in made]), dtype=np.int64)
+    def tokens(self, text: str | None) -> tuple[bytes, bytes]:
+        """Packed ids of A and of B for a text; none, if it is empty or B does not give its bytes back."""
+        if not text:
+            return b"", b""
+        b = self._b_ids(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != f" {text}".encode():
+            return b"", b""
+        return tuple(np.array(ids, dtype=self.packed).tobytes() for ids in (self._a_ids(" " + text), b))
+
+    def opened(self, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(A ids, B ids, label string) of packed ids."""
+        a_ids, b_ids = (np.frombuffer(x, dtype=self.packed) for x in (a, b))
+        return a_ids, b_ids, labels(np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])) if len(a) else b""
+
+    def groups(self, a: np.ndarray, b: np.ndarray, label_string: bytes) -> tuple[bytes, np.ndarray]:
+        """(``a1,a2|b1;a3|b2``, bytes of each group)."""
+        if not label_string:
+            return b"", np.zeros(0, dtype=np.int64)
+        sizes, n_a, n_b = group_sizes(label_string)
+        last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        last_a[np.cumsum(n_a) - 1] = last_b[np.cumsum(n_b) - 1] = 1
+        order = np.zeros(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)] = a + last_a * len(self.a_size)
+        order[np.arange(len(b)) + np.repeat(np.cumsum(n_a), n_b)] = b + last_b * len(self.b_size) + 2 * len(self.a_size)
+        return self.written[order].tobytes().translate(None, b"\0")[:-1], sizes
 
 
 @functools.lru_cache(maxsize=2)
@@ -166,18 +154,29 @@ def align(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFr
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         tool = aligner(a_path, b_path)
         for (value,) in rows:
-            n_a, n_b, groups, _ = tool.align(value)
-            sizes = [sum(tool.a_size[int(i)] for i in g.split(b"|")[0].split(b",")) for g in groups.split(b";")] if groups else []
-            yield n_a, n_b, groups.decode(), np.cumsum(sizes, dtype=np.int64)
+            a, b, label_string = tool.opened(*tool.tokens(value))
+            groups, sizes = tool.groups(a, b, label_string)
+            yield len(a), len(b), groups.decode(), np.cumsum(sizes)
 
     outputs = [T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("groups", T.StringType()), T.StructField("group_ends", T.ArrayType(T.LongType()))]
     return map_rows(df, [text], outputs, kernel)
 
 
-def pair_counts(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """(pair long: A id << 32 | B id, held long): in how many rows of ``df`` the two are linked at least once."""
+def encoded(df: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+    """Replaces column ``text`` by packed ids ``a`` and ``b`` (binary, two or four bytes per id); none for a text without tokens."""
     require(df, text)
 
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        tool = aligner(a_path, b_path)
+        for (value,) in rows:
+            yield tool.tokens(value)
+
+    return map_rows(df, [text], [T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())], kernel, drop=(text,))
+
+
+def pair_counts(tokens: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(pair long: A id << 32 | B id, held long): in how many rows (a, b) of :func:`encoded` the two are linked at least once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, waiting, size = aligner(a_path, b_path), [], 0
         pairs = held = np.zeros(0, dtype=np.int64)
@@ -192,10 +191,11 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16)]), pa.array(held[at : at + (1 << 16)])], names=["pair", "held"])
 
         for batch in batches:
-            for value in batch.column(0):
-                found = np.unique(tool.align(value.as_py())[3])
-                waiting.append(found)
-                size += len(found)
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                a_ids, b_ids, label_string = tool.opened(a.as_py(), b.as_py())
+                if label_string:
+                    waiting.append(np.unique(links(label_string, a_ids, b_ids)))
+                    size += len(waiting[-1])
                 if size > PARTIAL_PAIRS:
                     pairs, held = merged()
                     waiting, size = [], 0
@@ -205,7 +205,7 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text: str = "text") ->
         pairs, held = merged()
         yield from passed()
 
-    partial = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "pair long, held long")
+    partial = tokens.select("a", "b").mapInArrow(run, "pair long, held long")
     return partial.groupBy("pair").agg(F.sum("held").alias("held"))
 
 
@@ -220,8 +220,8 @@ def link_statistics(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id"
     columns are not read, whatever their names. An empty table gives an empty result.
     """
     require(df, key, text)
-    texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    counts = materialised(pair_counts(texts, a_path, b_path))
+    tokens = materialised(encoded(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), a_path, b_path))
+    counts = materialised(pair_counts(tokens, a_path, b_path))
     a_id = F.shiftright("pair", 32)
     # One row per A id: as many as A's vocabulary has.
     top = {row.a: row.top for row in counts.groupBy(a_id.alias("a")).agg(F.max("held").alias("top")).collect()}
@@ -254,14 +254,16 @@ def link_statistics(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id"
                 return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
 
             for i in range(batch.num_rows):
-                n_a, n_b, groups, links = tool.align(batch.column(1)[i].as_py())
-                found, times = np.unique(links, return_counts=True)
+                a, b, label_string = tool.opened(batch.column(1)[i].as_py(), batch.column(2)[i].as_py())
+                groups, sizes_of = tool.groups(a, b, label_string)
+                linked = links(label_string, a, b) if label_string else np.zeros(0, dtype=np.int64)
+                found, times = np.unique(linked, return_counts=True)
                 spot = np.searchsorted(pairs, found)
                 spot[spot == len(pairs)] = 0
                 hit = pairs[spot] == found if len(pairs) else np.zeros(len(found), dtype=bool)
                 count, often = held[spot[hit]], times[hit]
                 best = count == tops[found[hit] >> 32]
-                for column, x in zip(own, (int(often[best].sum()), int((often * count).sum()), n_a, n_b, groups.count(b";") + 1 if groups else 0, len(links), groups.decode()), strict=True):
+                for column, x in zip(own, (int(often[best].sum()), int((often * count).sum()), len(a), len(b), len(sizes_of), len(linked), groups.decode()), strict=True):
                     column.append(x)
                 tail.append((found[~hit], times[~hit].astype(np.int64)))
                 row, size = row + 1, size + len(groups) + 80 * int((~hit).sum())
@@ -269,7 +271,7 @@ def link_statistics(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id"
                     yield made(i + 1)
                     at, size, tail, own = i + 1, 0, [], [[] for _ in range(7)]
 
-    rows = texts.mapInArrow(run, schema)
+    rows = tokens.select("key", "a", "b").mapInArrow(run, schema)
     if of_groups is not None:
         rows = rows.withColumn("groups", of_groups(F.col("groups")))
     best_of = df.sparkSession.createDataFrame(list(top.items()), "a long, top long")
