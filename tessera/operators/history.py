@@ -64,14 +64,17 @@ def retain(history: DataFrame, today: Column, limit: int) -> DataFrame:
 def recall_for(paths: DataFrame, history: DataFrame, today: Column, limit: int = 8) -> DataFrame:
     """For each ``path``: its own history by salience, then that of its directory (the root is none), up to ``limit`` in all.
 
-    The two tiers are two equi-joins. No file can lend more than ``limit`` rows, so each file's are cut to that before a
-    directory's rows are sent to those who ask for it.
+    The two tiers are two equi-joins. No file lends more than ``limit`` rows; of what all files of a directory lend, the best
+    ``2 * limit`` hold ``limit`` that are not the asking file's own. So each path meets that many rows, however large its directory is;
+    both cuts are taken in each task before rows move.
     """
     scored = history.withColumns({"salience": salience(today), "directory": directory(F.col("file_path"))})
     asked = paths.select("path", directory(F.col("path")).alias("asked_directory")).distinct()
     own = asked.join(scored, F.col("path") == F.col("file_path")).withColumn("tier", F.lit(0))
     per_file = Window.partitionBy("file_path").orderBy(F.desc("salience"), *IDENTITY)
     crowd = scored.filter("directory <> ''").withColumn("__of_file", F.row_number().over(per_file)).filter(F.col("__of_file") <= limit).drop("__of_file")
+    per_directory = Window.partitionBy("directory").orderBy(F.desc("salience"), *IDENTITY)
+    crowd = crowd.withColumn("__of_all", F.row_number().over(per_directory)).filter(F.col("__of_all") <= 2 * limit).drop("__of_all")
     near = asked.join(crowd, (F.col("asked_directory") == F.col("directory")) & (F.col("path") != F.col("file_path"))).withColumn("tier", F.lit(1))
     order = Window.partitionBy("path").orderBy("tier", F.desc("salience"), *IDENTITY)
     return own.unionByName(near).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("asked_directory", "directory")

@@ -56,26 +56,51 @@ def risk(severities: Column) -> tuple[Column, Column]:
     return total, level
 
 
-def gate(files: DataFrame, findings: DataFrame, blocking: str = "critical") -> DataFrame:
-    """Per file: n_findings (null where it was not analysed), quality (null likewise) and result.
+def gate(files: DataFrame, findings: DataFrame, blocking: str = "critical", warn_below: int = SCORE_WARN, fail_below: int = SCORE_FAIL) -> DataFrame:
+    """Per file: n_findings (null where it was not analysed), quality (of the prose there, if it has one) and result.
 
-    files: file_path, analysed, prose_blocks, prose_warns. Findings at least as severe as ``blocking`` fail; high and medium
-    ones warn; a score under 60 warns, under 50 fails. A file that was analysed and is clean differs from one that was not.
+    files: file_path, analysed, prose_blocks, prose_warns, and prose_quality if there is any. Findings at least as severe as ``blocking``
+    fail; high and medium ones warn; a score under ``warn_below`` warns, one that is also under ``fail_below`` fails. A file that
+    was analysed and is clean differs from one that was not.
     """
     bar = dict((s[0], s[1]) for s in severity.SEVERITIES)[blocking]
     sev = F.col("severity")
-    found = findings.groupBy("file_path").agg(F.count("*").alias("n"), score(sev).alias("quality"), F.count_if(severity.rank(sev) <= bar).alias("blocks"), F.count_if(sev.isin("high", "medium") & (severity.rank(sev) > bar)).alias("warns"))
-    rows = files.join(found, "file_path", "left").withColumns(
+    counts = [F.count("*").alias("n"), score(sev).alias("quality"), F.count_if(severity.rank(sev) <= bar).alias("blocks"), F.count_if(sev.isin("high", "medium") & (severity.rank(sev) > bar)).alias("warns")]
+    told = F.col("prose_quality") if "prose_quality" in files.columns else F.lit(None).cast("int")
+    rows = files.join(findings.groupBy("file_path").agg(*counts), "file_path", "left").withColumns(
         {
             "n_findings": F.when(F.col("analysed"), F.coalesce("n", F.lit(0))),
-            "quality": F.when(F.col("analysed"), F.coalesce("quality", F.lit(100))),
+            "quality": F.when(F.col("analysed"), F.coalesce("quality", F.lit(100))).otherwise(told.cast("long")),
         }
     )
-    fails = F.coalesce(F.col("prose_blocks"), F.lit(False)) | (F.col("analysed") & ((F.coalesce("blocks", F.lit(0)) > 0) | (F.col("quality") < SCORE_FAIL)))
-    warns = F.coalesce(F.col("prose_warns"), F.lit(False)) | (F.col("analysed") & ((F.coalesce("warns", F.lit(0)) > 0) | (F.col("quality") < SCORE_WARN)))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    low = yes(F.col("quality") < warn_below)
+    fails = yes(F.col("prose_blocks")) | (F.col("analysed") & (F.coalesce("blocks", F.lit(0)) > 0)) | (low & (F.col("quality") < fail_below))
+    warns = yes(F.col("prose_warns")) | (F.col("analysed") & (F.coalesce("warns", F.lit(0)) > 0)) | low
     return rows.select("file_path", "n_findings", "quality", F.when(fails, "fail").when(warns, "warn").otherwise("pass").alias("result"))
 
 
+# What a review says in its own words.
+SCAN_FAILED, RISK_TOLD, QUALITY_TOLD, BREAKS = r"(?i)SAST\s+Scan\s+Result\**\s*:\s*\**\s*\[?\s*FAIL", r"Risk Assessment\*\*:\s*\[?(\w+)\]?", r"SOLID Compliance\*\*:\s*\[?(\d+)/100\]?", "Breaking Changes**: Yes"
+
+
+def gate_reviews(
+    reviews: DataFrame, findings: DataFrame, blocking: str = "critical", warn_below: int = SCORE_WARN, fail_below: int = SCORE_FAIL, critical_blocks: bool = True, tell_breaking: bool = True
+) -> DataFrame:
+    """The gate of reviewed files (file_path, review, analysed).
+
+    Where an analysis ran, the review's prose can only warn. Where none ran, a failed scan or (``critical_blocks``) a critical risk that it
+    tells blocks, its own score is judged, and a missing score warns. ``tell_breaking``: breaking changes that it tells warn.
+    """
+    text, analysed = F.coalesce("review", F.lit("")), F.col("analysed")
+    failed = text.rlike(SCAN_FAILED)
+    critical = (F.lower(F.regexp_extract(text, RISK_TOLD, 1)) == "critical") & F.lit(critical_blocks)
+    quality = F.regexp_extract(text, QUALITY_TOLD, 1).try_cast("int")
+    breaks = F.contains(text, F.lit(BREAKS)) & F.lit(tell_breaking)
+    columns = {"prose_blocks": ~analysed & (failed | critical), "prose_warns": failed | critical | breaks | (~analysed & quality.isNull()), "prose_quality": quality}
+    return gate(reviews.withColumns(columns), findings, blocking, warn_below, fail_below)
+
+
 def outcome(gates: DataFrame, failed: DataFrame, unanalysed: DataFrame) -> DataFrame:
     """One row: the worst verdict. A file that failed to be reviewed is at least a warning, an unanalysed one a failure; nothing passes."""
     ranks = gates.select(verdict_rank(F.col("result")).alias("v")).unionByName(failed.select(F.lit(1).alias("v"))).unionByName(unanalysed.select(F.lit(2).alias("v")))

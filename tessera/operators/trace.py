@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.session import materialised
+from tessera.session import dropped, materialised
 
 KEY = ["trace_id", "span_id"]
 
@@ -53,18 +53,24 @@ def by_kind(timed: DataFrame, *by: str) -> DataFrame:
     return timed.filter("self_ms is not null").groupBy(*by, "kind").agg(F.sum("self_ms").alias("self_ms"))
 
 
-def critical_path(tree: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(trace_id, step, span_id): from the root to a leaf by the longest child; ties by the earlier start, then the id."""
+def critical_path(tree: DataFrame) -> DataFrame:
+    """(trace_id, step, span_id): from the root to a leaf by the longest child; ties by the earlier start, then the id.
+
+    Every span that is its parent's heir follows its parent, so spans form chains. Their heads and places are found by list ranking:
+    in each round a span takes over what the span it points at points at, so a path of any depth d takes log2(d) joins.
+    """
     order = Window.partitionBy("trace_id", "parent").orderBy(F.desc(F.coalesce(duration(), F.lit(0))), "started_ms", "span_id")
-    heir = materialised(tree.filter("parent is not null").withColumn("n", F.row_number().over(order)).filter("n = 1").select("trace_id", "parent", "span_id"))
-    here = tree.filter("parent is null").select("trace_id", "span_id")
-    out = here.withColumn("step", F.lit(1))
-    for step in range(2, max_depth + 1):
-        here = materialised(here.withColumnRenamed("span_id", "parent").join(heir, ["trace_id", "parent"]).select("trace_id", "span_id"))
-        if here.isEmpty():
+    heir = tree.filter("parent is not null").withColumn("n", F.row_number().over(order)).filter("n = 1").select(*KEY, F.col("parent").alias("up"))
+    chain = materialised(tree.select(*KEY).join(heir, KEY, "left").select(*KEY, F.coalesce("up", "span_id").alias("up"), F.col("up").isNotNull().cast("long").alias("above")))
+    while True:
+        further = chain.filter("above > 0").select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"))
+        moved = chain.join(further, ["trace_id", "up"], "left")
+        last, chain = chain, materialised(moved.select(*KEY, F.coalesce("next", "up").alias("up"), (F.col("above") + F.coalesce("more", F.lit(0))).alias("above"), F.col("next").isNotNull().alias("moved")))
+        dropped(last)
+        if chain.filter("moved").isEmpty():
             break
-        out = out.unionByName(here.withColumn("step", F.lit(step)))
-    return out.select("trace_id", "step", "span_id")
+    roots = tree.filter("parent is null").select("trace_id", F.col("span_id").alias("up"))
+    return chain.join(roots, ["trace_id", "up"]).select("trace_id", (F.col("above") + 1).cast("int").alias("step"), "span_id")
 
 
 def bounded_tree(tree: DataFrame, max_depth: int = 4, max_nodes: int = 60) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The review policy: defaults, then a file, then the environment. An unknown or mistyped key is refused."""
+"""The review policy: defaults, then a file, then the environment. An unknown or mistyped key is refused.
+
+A policy is data; the functions below turn it into the predicates and thresholds of triage, analyzers and gate, so a rule that it
+switches off is not part of the plan. The keys security.block_on_high, block_on_medium, quality.block_empty_catches,
+block_generic_exceptions, the gate's other score thresholds and the notifications are read for compatibility; they decide nothing.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,11 @@ import json
 import os
 from collections.abc import Mapping
 
-from tessera.operators import code, scan
+from pyspark.sql import Column, DataFrame
+
+from tessera.operators import code, rollup, scan
+
+Policy = dict[str, dict[str, object]]
 
 # Sections, keys and defaults.
 DEFAULTS: dict[str, dict[str, object]] = {
@@ -29,13 +38,39 @@ def _typed(section: str, key: str, value: object) -> object:
     return value
 
 
-def limits(policy: dict[str, dict[str, object]]) -> dict[str, int]:
-    """The thresholds of the code analyzers under a policy."""
+def limits(policy: Policy) -> dict[str, int]:
+    """The thresholds and switches of the code analyzers under a policy."""
     quality, performance = policy["quality"], policy["performance"]
-    return code.LIMITS | {"methods": quality["max_class_methods"], "lines": quality["max_function_lines"], "complexity": quality["max_cyclomatic_complexity"], "duplicate": quality["min_duplicate_lines"], "loops": performance["max_nested_loops"]}
+    given = {
+        "methods": quality["max_class_methods"], "lines": quality["max_function_lines"], "complexity": quality["max_cyclomatic_complexity"], "duplicate": quality["min_duplicate_lines"], "loops": performance["max_nested_loops"],
+        "srp": quality["enforce_srp"], "dip": quality["enforce_dip"], "n_squared": performance["alert_on_n_squared"], "n_plus_one": performance["alert_on_n_plus_one"], "memory_leak": performance["alert_on_memory_leak"],
+    }
+    return code.LIMITS | {name: int(value) for name, value in given.items()}
+
+
+def triage(changes: DataFrame, policy: Policy) -> DataFrame:
+    """The triage of changes (path, diff) under a policy."""
+    rules, security = policy["triage"], policy["security"]
+    lenient = tuple(name for name in scan.LENIENT if rules[f"allow_{name}"])
+    banned = (*security["banned_patterns"], *security["secret_patterns"])
+    return scan.triage(changes, skip=rules["skip_patterns"], manifests=rules["manifest_patterns"], banned=banned, auto_lines=rules["max_lines_for_auto"], quick_lines=rules["max_lines_for_quick"], lenient=lenient)
+
+
+def gate(reviews: DataFrame, findings: DataFrame, policy: Policy) -> DataFrame:
+    """The gate of reviewed files (file_path, review, analysed) under a policy; see ``rollup.gate_reviews``."""
+    rules = policy["gate"]
+    return rollup.gate_reviews(
+        reviews, findings, rules["blocking_severity"], rules["quality_score_threshold"], rules["fail_pipeline_on_quality_below"], critical_blocks=rules["fail_pipeline_on_critical"], tell_breaking=policy["security"]["block_on_critical"]
+    )
+
+
+def exit_code(outcome: Column, n_unanalysed: Column, n_failed: Column, n_blocking: Column, policy: Policy) -> Column:
+    """0 or 1, by what the policy lets fail."""
+    rules = policy["gate"]
+    return rollup.exit_code(outcome, n_unanalysed, n_failed, n_blocking, rules["fail_pipeline_on_critical"], rules["fail_pipeline_on_analysis_error"], rules["fail_on_review_error"])
 
 
-def load(path: str | None = None, environment: Mapping[str, str] = os.environ, prefix: str = "TESSERA_") -> dict[str, dict[str, object]]:
+def load(path: str | None = None, environment: Mapping[str, str] = os.environ, prefix: str = "TESSERA_") -> Policy:
     """The policy as nested dictionaries. The environment's ``TESSERA_GATE__BLOCKING_SEVERITY`` sets gate.blocking_severity."""
     policy = {name: dict(keys) for name, keys in DEFAULTS.items()}
     given: dict = {}

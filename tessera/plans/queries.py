@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.functions import severity, stats
 from tessera.functions.text import BLANK, ENDS, basename, directory, estimated_tokens, is_binary, tokens
 from tessera.operators import chain, chunking, evaluation, history, joins, retrieval, rollup, routing, scan, trace
+from tessera.plans import policy
 from tessera.plans.fixtures import CHANGES_SQL, FINDINGS_SQL, HISTORY_SQL, SPANS_SQL, changes, findings, sightings, spans
 from tessera.session import prepare, spread, table
 
@@ -211,6 +212,26 @@ def triage_decide(spark, sf_dir):
     return scan.triage(changes(spark, sf_dir)).select("doc_id", "n_changes", "decision")
 
 
+#: A second policy, of a strict team.
+STRICT = {name: dict(keys) for name, keys in policy.DEFAULTS.items()}
+STRICT["triage"] |= {"max_lines_for_auto": 3, "max_lines_for_quick": 20, "allow_only_comments": False, "allow_only_formatting": False, "allow_test_files": False, "skip_patterns": [r"\.txt$"], "manifest_patterns": [r"main\.c$"]}
+STRICT["security"] |= {"banned_patterns": ["the "], "secret_patterns": [], "block_on_critical": False}
+STRICT["gate"] |= {"blocking_severity": "high", "quality_score_threshold": 90, "fail_pipeline_on_quality_below": 70, "fail_pipeline_on_critical": False}
+STRICT["quality"] |= {"max_class_methods": 10, "max_function_lines": 50, "max_cyclomatic_complexity": 10, "min_duplicate_lines": 5, "enforce_srp": False, "enforce_dip": False}
+STRICT["performance"] |= {"max_nested_loops": 2, "alert_on_n_squared": False, "alert_on_n_plus_one": False, "alert_on_memory_leak": False}
+
+
+@registered(f"""WITH {TRIAGE_SQL[: TRIAGE_SQL.index('triaged AS')].rstrip().rstrip(',')},
+strict AS (SELECT doc_id, n::INT AS n_changes, CASE WHEN {_any_sql('path', STRICT['triage']['skip_patterns'], '(?i)')} THEN 'skip'
+  WHEN {_any_sql("array_to_string(added, chr(10))", STRICT['security']['banned_patterns'], '(?i)')} OR {_any_sql('diff', scan.API_CHANGES, '(?m)')} THEN 'critical'
+  WHEN {_any_sql('path', STRICT['triage']['manifest_patterns'])} THEN 'full_review'
+  WHEN n <= 3 AND len(list_filter(both_sides, lambda i: NOT starts_with(regexp_replace(i, '{ENDS}', '', 'g'), '#') AND NOT starts_with(regexp_replace(i, '{ENDS}', '', 'g'), '//') AND {_any_sql('i', scan.LOGIC)})) = 0 THEN 'auto_approve'
+  WHEN n <= 20 THEN 'quick_scan' ELSE 'full_review' END AS decision FROM counted) SELECT * FROM strict""")
+def triage_strict(spark, sf_dir):
+    """The same changes under the strict policy."""
+    return policy.triage(changes(spark, sf_dir), STRICT).select("doc_id", "n_changes", "decision")
+
+
 @registered(f"WITH {TRIAGE_SQL} SELECT d AS decision, count(doc_id) AS n FROM (SELECT unnest(['skip','auto_approve','quick_scan','full_review','critical']) AS d) LEFT JOIN triaged ON decision = d GROUP BY d")
 def triage_summary(spark, sf_dir):
     return rollup.dense_counts(scan.triage(changes(spark, sf_dir)).select("decision"), "decision", list(scan.DECISIONS))
@@ -329,14 +350,14 @@ def confusion_total(spark, sf_dir):
     return evaluation.scored(evaluation.total(_judged(spark, sf_dir))).select("tp", "fp", "fn", F.round("f.lower", 6).alias("f1_lower"))
 
 
-GRADED_SQL = FINDINGS_SQL + """, want AS (SELECT file_path AS c, rule_id, line_number, count(*) AS w FROM findings WHERE event_id % 2 = 0 GROUP BY ALL), got AS (SELECT file_path AS c, rule_id, line_number, count(*) AS g FROM findings WHERE event_id % 3 = 0 GROUP BY ALL),
+GRADED_SQL = FINDINGS_SQL + """, want AS (SELECT file_path AS c, rule_id, line_number, count(*) AS w FROM findings WHERE event_id % 3 <> 0 GROUP BY ALL), got AS (SELECT file_path AS c, rule_id, line_number, count(*) AS g FROM findings WHERE event_id % 3 <> 1 GROUP BY ALL),
 b AS (SELECT rule_id, coalesce(w, 0) AS w, coalesce(g, 0) AS g FROM want FULL JOIN got USING (c, rule_id, line_number))"""
 
 
 @registered(f"WITH {GRADED_SQL} SELECT rule_id, sum(least(w, g))::BIGINT AS tp, sum(g - least(w, g))::BIGINT AS fp, sum(w - least(w, g))::BIGINT AS fn FROM b GROUP BY rule_id")
 def grade_exact(spark, sf_dir):
     f = findings(spark, sf_dir).withColumnRenamed("file_path", "case_name")
-    return evaluation.grade_exact(f.filter("event_id % 2 = 0"), f.filter("event_id % 3 = 0"))
+    return evaluation.grade_exact(f.filter("event_id % 3 <> 0"), f.filter("event_id % 3 <> 1"))
 
 
 @registered()
@@ -348,12 +369,14 @@ def grade_tolerance(spark, sf_dir):
     return graded.groupBy("case_name", "verdict").agg(F.count("*").alias("n"))
 
 
-@registered("""WITH a AS (SELECT lang AS chk, avg(toxic) AS rate FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 AND lang <> 'es' GROUP BY lang), b AS (SELECT lang AS chk, avg(toxic) AS rate FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1 AND lang <> 'fr' GROUP BY lang)
+@registered("""WITH a AS (SELECT lang AS chk, avg(toxic) AS rate FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY lang UNION ALL SELECT 'all before', avg(toxic) FROM labels), b AS (SELECT lang AS chk, avg(toxic) AS rate FROM labels JOIN documents USING (doc_id) WHERE doc_id % 2 = 1 GROUP BY lang UNION ALL SELECT 'all after', avg(toxic) FROM labels)
 SELECT chk AS "check", round(b.rate - a.rate, 6) AS delta, CASE WHEN a.rate IS NULL THEN 'unmeasured' WHEN b.rate IS NULL THEN 'gone' WHEN b.rate - a.rate > 1e-9 THEN 'rose' WHEN b.rate - a.rate < -1e-9 THEN 'fell' ELSE 'unchanged' END AS change FROM a FULL JOIN b USING (chk)""")
 def baseline_compare(spark, sf_dir):
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     rate = lambda x: x.groupBy(F.col("lang").alias("check")).agg(F.avg("toxic").alias("rate"))
-    return evaluation.compare(rate(d.filter("doc_id % 2 = 0 and lang <> 'es'")), rate(d.filter("doc_id % 2 = 1 and lang <> 'fr'"))).select("check", F.round("delta", 6).alias("delta"), "change")
+    alone = lambda name: table(spark, sf_dir, "labels").agg(F.avg("toxic").alias("rate")).select(F.lit(name).alias("check"), "rate")
+    before, after = rate(d.filter("doc_id % 2 = 0")).unionByName(alone("all before")), rate(d.filter("doc_id % 2 = 1")).unionByName(alone("all after"))
+    return evaluation.compare(before, after).select("check", F.round("delta", 6).alias("delta"), "change")
 
 
 # Roll-ups --------------------------------------------------------------------------------------------------------------
@@ -399,6 +422,42 @@ def gate_files(spark, sf_dir):
     return _gates(spark, sf_dir)[1]
 
 
+#: What reviews say, by user: nothing, a failed scan, a risk, scores, breaking changes.
+TOLD = ("", "- **SAST Scan Result**: [FAIL - high]", "**Risk Assessment**: [Critical]", "**SOLID Compliance**: 95/100", "**SOLID Compliance**: [80/100]\nBreaking Changes**: Yes", "**SOLID Compliance**: 40/100", "sast scan result: pass")
+
+
+def _told_gate_sql(p: policy.Policy) -> str:
+    """The gate of the files of each day, with the reviews of TOLD, under a policy."""
+    bar = ("critical", "high", "medium", "low", "info").index(p["gate"]["blocking_severity"])
+    blocking = ", ".join(f"'{s}'" for s in ("critical", "high", "medium", "low", "info")[: bar + 1])
+    warning = ", ".join(f"'{s}'" for s in ("high", "medium") if s not in blocking) or "''"
+    on, below, fail = p["gate"]["fail_pipeline_on_critical"], p["gate"]["quality_score_threshold"], p["gate"]["fail_pipeline_on_quality_below"]
+    return "WITH " + FINDINGS_SQL + f""", sel AS (SELECT * REPLACE (file_path || '@' || day AS file_path) FROM findings),
+r AS (SELECT DISTINCT file_path, u % 5 <> 0 AS analysed, u % {len(TOLD)} AS t FROM (SELECT file_path, regexp_extract(file_path, 'f([0-9]+)', 1)::INT AS u FROM sel)),
+x AS (SELECT file_path, count(*) AS n, greatest(0, 100 - sum({WEIGHT_SQL})) AS q, count_if(severity IN ({blocking})) AS b, count_if(severity IN ({warning})) AS w FROM sel GROUP BY file_path),
+g AS (SELECT r.*, CASE WHEN analysed THEN n END AS n_findings, CASE WHEN analysed THEN q WHEN t = 3 THEN 95 WHEN t = 4 THEN 80 WHEN t = 5 THEN 40 END AS quality, b, w FROM r JOIN x USING (file_path))
+SELECT file_path, n_findings::BIGINT AS n_findings, quality::BIGINT AS quality, CASE
+  WHEN (NOT analysed AND (t = 1 OR (t = 2 AND {on}))) OR (analysed AND b > 0) OR (quality < {below} AND quality < {fail}) THEN 'fail'
+  WHEN t = 1 OR (t = 2 AND {on}) OR (t = 4 AND {p['security']['block_on_critical']}) OR (NOT analysed AND quality IS NULL) OR (analysed AND w > 0) OR quality < {below} THEN 'warn' ELSE 'pass' END AS result FROM g"""
+
+
+def _reviews(spark, sf_dir):
+    f = daily(spark, sf_dir)
+    user = F.regexp_extract("file_path", "f([0-9]+)", 1).cast("int")
+    review = F.element_at(F.array(*map(F.lit, TOLD)), user % len(TOLD) + 1)
+    return f.select("file_path").distinct().select("file_path", (user % 5 != 0).alias("analysed"), review.alias("review")), f
+
+
+@registered(_told_gate_sql(policy.DEFAULTS))
+def gate_reviews(spark, sf_dir):
+    return policy.gate(*_reviews(spark, sf_dir), policy.DEFAULTS)
+
+
+@registered(_told_gate_sql(STRICT))
+def gate_strict(spark, sf_dir):
+    return policy.gate(*_reviews(spark, sf_dir), STRICT)
+
+
 @registered(f"WITH {GATE_SQL} SELECT CASE max(CASE result WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS result FROM (SELECT result FROM gated UNION ALL SELECT 'fail' FROM files WHERE NOT analysed)")
 def verdict_lattice(spark, sf_dir):
     files, gates = _gates(spark, sf_dir)

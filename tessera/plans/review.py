@@ -8,7 +8,8 @@ from tessera.functions import stats
 from tessera.functions.text import LINE_END
 from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, search, symbols, trace
 from tessera.plans.fixtures import FINDINGS_SQL, SPANS_SQL, findings, spans
-from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, _agreed, _file_metrics, _judged, _q, _wilson_sql, memory, registered, verified
+from tessera.plans import policy
+from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, STRICT, _agreed, _file_metrics, _judged, _q, _wilson_sql, memory, registered, verified
 from tessera.plans.sources import N, SNIPPETS, SOURCES_SQL, TAILS, _rows, source_files
 from tessera.session import spread, table
 from tessera.sources import checkout, reports, stores, workspace
@@ -29,6 +30,14 @@ def analyse_sources(spark, sf_dir):
     return found.select("file_path", "rule_id", "severity", "line_number", "directive")
 
 
+@registered(f"""WITH {SOURCES_SQL} SELECT file_path, rule_id, severity, (before + line)::INT AS line_number FROM parts JOIN given USING (s)
+WHERE rule_id NOT IN ('QUALITY.SOLID_SRP', 'QUALITY.SOLID_DIP', 'PERFORMANCE.HIGH_COMPLEXITY', 'PERFORMANCE.N_PLUS_ONE', 'PERFORMANCE.MEMORY_LEAK')""")
+def analyse_strict(spark, sf_dir):
+    """The files alone, without their diffs, under a policy that switches rules off."""
+    found, _ = code.analyse_files(source_files(spark, sf_dir).drop("doc_id").withColumn("diff", F.lit("")), policy.limits(STRICT))
+    return found.select("file_path", "rule_id", "severity", "line_number")
+
+
 @registered(f"""WITH {SOURCES_SQL}, {TAILS_SQL} SELECT file_path, change_type, symbols::INT AS symbols, breaks::INT AS breaks, orphans::INT AS orphans,
 CASE change_type WHEN 'refactor' THEN 40 WHEN 'feature' THEN 50 WHEN 'bugfix' THEN 30 ELSE 60 END + 10 * breaks + 5 * orphans + 5 * public AS risk FROM files JOIN tails USING (tail) WHERE tail > 0""")
 def semantic_changes(spark, sf_dir):
@@ -86,11 +95,19 @@ def docstring_drift(spark, sf_dir):
     return code.facts(d).filter("kind = 'docstring'").select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), F.col("detail").alias("defect"))
 
 
-@registered(f"WITH {SOURCES_SQL}, t(tail, name, first, last) AS (VALUES (2, '_lonely', 1, 2), (3, 'resize_it', 1, 2)), o(s, name, first, last) AS (VALUES (19, 'Service', 1, 5), (20, 'Wide', 1, 12), (21, 'Single', 1, 3)) SELECT file_path, name, (before + first)::INT AS start_line, (before + last)::INT AS end_line FROM ends JOIN t USING (tail) UNION ALL SELECT file_path, name, (before + first)::INT, (before + last)::INT FROM parts JOIN o USING (s)")
+#: Every definition of a file with its lines: those of the snippets (methods under their class, from their decorator on), the classes, the tail's.
+DEFINED_SQL = """classes(s, name, last) AS (VALUES (19, 'Service', 5), (20, 'Wide', 12), (21, 'Single', 3)),
+defined AS (SELECT file_path, name, before + 1 AS first, before + last AS last FROM parts JOIN classes USING (s)
+  UNION ALL SELECT file_path, coalesce(c.name || '.', '') || f.name, before + CASE WHEN s = 21 THEN 2 ELSE line END, before + f.last FROM parts JOIN functions f USING (s) LEFT JOIN classes c USING (s)
+  UNION ALL SELECT file_path, name, before + 1, before + 2 FROM ends JOIN tail_functions USING (tail)),
+long AS (SELECT file_path, before + CASE WHEN tail < 2 THEN 1 ELSE 2 END AS lines FROM ends)"""
+
+
+@registered(f"""WITH {SOURCES_SQL}, {TAIL_FUNCTIONS_SQL}, {DEFINED_SQL}, head AS (SELECT l.file_path, coalesce(min(first) - 1, any_value(lines)) AS last FROM long l LEFT JOIN defined d USING (file_path) GROUP BY l.file_path)
+SELECT file_path, name, first::INT AS start_line, last::INT AS end_line FROM defined UNION ALL SELECT file_path, '', 1, last::INT FROM head WHERE last > 0""")
 def source_chunks(spark, sf_dir):
-    """The chunks of classes and of the tail's functions; the preamble and the rest are in the tests."""
     cut = chunking.sources(source_files(spark, sf_dir).withColumnRenamed("file_path", "path"))
-    return cut.filter(F.col("name").isin("_lonely", "resize_it", "Service", "Wide", "Single")).select(F.col("path").alias("file_path"), "name", "start_line", "end_line")
+    return cut.select(F.col("path").alias("file_path"), "name", "start_line", "end_line")
 
 
 @registered(f"WITH {SOURCES_SQL}, {TAIL_FUNCTIONS_SQL}, i(s, name) AS (VALUES (0, 'os'), (24, 'time')) SELECT file_path AS path, name FROM parts JOIN i USING (s)")
@@ -136,23 +153,37 @@ def symbol_signatures(spark, sf_dir):
     return workspace.symbol_index(symbol_files(spark, sf_dir)).withColumn("params", F.array_join("params", ","))
 
 
-@registered(f"WITH {SOURCES_SQL}, p AS (SELECT doc_id, before, s FROM parts), h AS (SELECT p.doc_id, name, before + line AS a, before + last AS b FROM p JOIN functions USING (s)), w AS (SELECT doc_id, unnest(range(1, 9)) AS line FROM documents) SELECT w.doc_id, w.line::INT AS line, name AS \"function\" FROM w LEFT JOIN h ON h.doc_id = w.doc_id AND line BETWEEN a AND b")
+@registered(f"""WITH {SOURCES_SQL}, {TAIL_FUNCTIONS_SQL}, {DEFINED_SQL}, w AS (SELECT file_path, unnest(range(1, lines + 1)) AS line FROM long),
+h AS (SELECT file_path, name, before + line AS a, before + last AS b FROM parts JOIN functions USING (s) UNION ALL SELECT file_path, name, before + 1, before + 2 FROM ends JOIN tail_functions USING (tail))
+SELECT w.file_path, w.line::INT AS line, name AS "function" FROM w LEFT JOIN h ON h.file_path = w.file_path AND w.line BETWEEN a AND b""")
 def containing_function(spark, sf_dir):
+    """The function around every line of every file."""
     files = source_files(spark, sf_dir)
-    f = code.symbols(code.facts(files)).filter("kind = 'function' and name not in ('_lonely', 'resize_it')").select("path", "name", F.col("line").alias("start"), F.col("end_line").alias("end"))
-    lines = files.select("doc_id", F.col("file_path").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("line"))
-    return joins.containing(lines, f).select("doc_id", "line", "function")
+    f = code.symbols(code.facts(files)).filter("kind = 'function'").select("path", "name", F.col("line").alias("start"), F.col("end_line").alias("end"))
+    lines = files.select(F.col("file_path").alias("path"), F.explode(F.sequence(F.lit(1), F.size(F.split("content", "\n")))).alias("line"))
+    return joins.containing(lines, f).select(F.col("path").alias("file_path"), "line", "function")
+
 
+#: What the analyzers find in the sources: their rules, and what the diffs give.
+FOUND_SQL = f"""{SOURCES_SQL}, {TAILS_SQL}, found AS (SELECT file_path, rule_id, severity, before + line AS line FROM parts JOIN given USING (s)
+  UNION ALL SELECT file_path, 'SEMANTIC.BREAKING_CHANGE', 'high', CASE WHEN break_line > 0 THEN before + break_line ELSE 0 END FROM ends JOIN tails USING (tail) WHERE breaks > 0
+  UNION ALL SELECT file_path, 'SEMANTIC.UNREFERENCED_IN_FILE', 'low', 0 FROM ends JOIN tails USING (tail) WHERE orphans > 0)"""
 
-@registered(f"SELECT unnest([{', '.join(_q(r) for r in ['SAST.' + t for t in scan.TYPES] + ['QUALITY.' + t for t in code.QUALITY_RULES] + ['PERFORMANCE.' + t for t in code.PERFORMANCE_RULES] + ['SEMANTIC.' + t for t in code.SEMANTIC_RULES])}]) AS rule_id")
+
+@registered(f"WITH {FOUND_SQL} SELECT e.rule_id, count(file_path) AS n FROM (SELECT unnest([{', '.join(map(_q, code.emittable_rules()))}]) AS rule_id) e LEFT JOIN found USING (rule_id) GROUP BY e.rule_id")
 def emittable_rules(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r in code.emittable_rules()], "rule_id string")
+    """Every rule that can be reported, with the number of its findings in the sources; what is found must be one of them."""
+    found, _ = code.analyse_files(source_files(spark, sf_dir).drop("doc_id"), LIMITS)
+    rules = spark.createDataFrame([(r,) for r in code.emittable_rules()], "rule_id string")
+    counts = found.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return rules.join(counts, "rule_id", "full").select("rule_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@registered(f"WITH {SOURCES_SQL}, f AS (SELECT file_path, rule_id, severity, before + line AS line FROM parts JOIN given USING (s)) SELECT * FROM (SELECT file_path, rule_id, line::INT AS line_number, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, file_path, line, CASE WHEN rule_id LIKE 'QUALITY.%' THEN replace(split_part(rule_id, '.', 2), '_', ' ') ELSE array_to_string(list_transform(string_split(split_part(rule_id, '.', 2), '_'), lambda w: w[1] || lower(w[2:])), ' ') END)::INT AS place FROM f) WHERE place <= 100")
+@registered(f"""WITH {FOUND_SQL} SELECT * FROM (SELECT file_path, rule_id, line::INT AS line_number, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, file_path, line,
+  CASE WHEN rule_id LIKE 'QUALITY.%' THEN replace(split_part(rule_id, '.', 2), '_', ' ') ELSE array_to_string(list_transform(string_split(split_part(rule_id, '.', 2), '_'), lambda w: w[1] || lower(w[2:])), ' ') END)::INT AS place FROM found) WHERE place <= 100""")
 def first_findings(spark, sf_dir):
     """The first hundred findings in the order of reports."""
-    found, _ = code.analyse_files(source_files(spark, sf_dir).drop("doc_id").withColumn("diff", F.lit("")), LIMITS)
+    found, _ = code.analyse_files(source_files(spark, sf_dir).drop("doc_id"), LIMITS)
     best = found.orderBy(*code.in_order()).limit(100)
     return best.withColumn("place", F.row_number().over(Window.orderBy(*code.in_order()))).select("file_path", "rule_id", "line_number", "place")
 
@@ -171,12 +202,14 @@ def owasp_counts(spark, sf_dir):
     return scan.scan_files(source_files(spark, sf_dir)).groupBy("owasp").agg(F.count("*").alias("n"))
 
 
-@registered(f"SELECT conv_id, turn, len(regexp_extract_all(text, '[.]'))::INT AS n, CASE WHEN turn % 3 = 0 THEN 'src/a_b.py' END AS path, CASE WHEN turn % 3 = 0 THEN (10 + conv_id % 90)::INT END AS line FROM conversations")
+@registered("""SELECT conv_id, turn, len(regexp_extract_all(text, '[.]'))::INT AS n, CASE turn % 3 WHEN 0 THEN 'src/a_b.py:' || (10 + conv_id % 90) || ',lib/c.go:7,src/a_b.py:' || (10 + conv_id % 90) WHEN 1 THEN 'x.ts:' || conv_id ELSE '' END AS places FROM conversations""")
 def cited_places(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    told = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("see src/a_b.py:"), (10 + F.col("conv_id") % 90).cast("string"), F.lit(", not http://x.y:80"))).otherwise("see a.b")
-    found = scan.citations(told)
-    return c.select("conv_id", "turn", F.regexp_count("text", F.lit("[.]")).alias("n"), F.get(found, F.lit(0))["path"].alias("path"), F.get(found, F.lit(0))["line"].alias("line"))
+    """Every citation of a reply, in order, repeats kept."""
+    c, line = table(spark, sf_dir, "conversations"), (10 + F.col("conv_id") % 90).cast("string")
+    many = F.concat(F.lit("see src/a_b.py:"), line, F.lit(", not http://x.y:80; lib/c.go:7 and src/a_b.py:"), line)
+    told = F.when(F.col("turn") % 3 == 0, many).when(F.col("turn") % 3 == 1, F.concat(F.lit("(x.ts:"), F.col("conv_id").cast("string"), F.lit(")"))).otherwise("see a.b")
+    places = F.transform(scan.citations(told), lambda p: F.concat_ws(":", p["path"], p["line"].cast("string")))
+    return c.select("conv_id", "turn", F.regexp_count("text", F.lit("[.]")).alias("n"), F.array_join(places, ",").alias("places"))
 
 
 PROMPT = "# Role\ntext\n## 🚨 Security Analysis\n### [Priority] - [Title]\n## Impact  \n#### deep\n## Impact #\n### Code Quality & 'Style'\n"
@@ -393,7 +426,7 @@ def narration_evaluation(spark, sf_dir):
     return evaluation.evaluate_narration(cases, "now").groupBy("check").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("stale").alias("stale"))
 
 
-GRADE_ZERO_SQL = FINDINGS_SQL + """, want AS (SELECT file_path AS c, rule_id, line_number, count(*) AS w FROM findings WHERE event_id % 2 = 0 GROUP BY ALL), got AS (SELECT file_path AS c, rule_id, line_number, count(*) AS g FROM findings WHERE event_id % 3 = 0 GROUP BY ALL),
+GRADE_ZERO_SQL = FINDINGS_SQL + """, want AS (SELECT file_path AS c, rule_id, line_number, count(*) AS w FROM findings WHERE event_id % 3 <> 0 GROUP BY ALL), got AS (SELECT file_path AS c, rule_id, line_number, count(*) AS g FROM findings WHERE event_id % 3 <> 1 GROUP BY ALL),
 b AS (SELECT c, rule_id, line_number, coalesce(w, 0) AS w, coalesce(g, 0) AS g FROM want FULL JOIN got USING (c, rule_id, line_number)),
 asked AS (SELECT DISTINCT c, rule_id FROM want),
 v AS (SELECT b.rule_id, least(w, g) AS matched, w - least(w, g) AS missed, CASE WHEN b.rule_id = 'DOCS.DEAD_REFERENCE' AND line_number % 4 = 1 THEN g - least(w, g) ELSE 0 END AS forbidden,
@@ -404,8 +437,8 @@ def _graded(spark, sf_dir):
     f = findings(spark, sf_dir).withColumnRenamed("file_path", "case_name")
     cases = f.select("case_name").distinct().select("case_name", F.array(F.lit("SAST.*")).alias("scope"), F.lit(0).alias("line_tolerance"))
     barred = f.filter("line_number % 4 = 1").select("case_name", F.lit("DOCS.DEAD_REFERENCE").alias("rule_id"), "line_number").distinct()
-    want = f.filter("event_id % 2 = 0").withColumns({"ordinal": F.col("event_id").cast("int"), "severity": F.lit(None).cast("string")})
-    return evaluation.grade(want, f.filter("event_id % 3 = 0"), barred, cases)
+    want = f.filter("event_id % 3 <> 0").withColumns({"ordinal": F.col("event_id").cast("int"), "severity": F.lit(None).cast("string")})
+    return evaluation.grade(want, f.filter("event_id % 3 <> 1"), barred, cases)
 
 
 @registered(f"WITH {GRADE_ZERO_SQL} SELECT rule_id, sum(matched)::BIGINT AS matched, sum(missed)::BIGINT AS missed, sum(forbidden)::BIGINT AS forbidden, sum(spurious)::BIGINT AS spurious, sum(extra - forbidden - spurious)::BIGINT AS ungraded FROM v GROUP BY rule_id")
@@ -436,10 +469,12 @@ def rate_intervals(spark, sf_dir):
 RECIPES = ("SAST.WEAK_CRYPTO", "SAST.INSECURE_DESERIALIZATION", "SAST.HARDCODED_SECRET", "SAST.INSECURE_RANDOM", "SAST.INSECURE_HTTP", "QUALITY.ERROR_HANDLING")
 
 
-@registered(f"SELECT rule_id, CASE WHEN rule_id IN ({', '.join(map(_q, RECIPES))}) THEN 'recipe' WHEN rule_id LIKE 'SEMANTIC.%' THEN 'declined' ELSE 'unaccounted' END AS state FROM (SELECT unnest([{', '.join(map(_q, code.emittable_rules()))}]) AS rule_id)")
+@registered(f"WITH {FOUND_SQL} SELECT rule_id, CASE WHEN rule_id IN ({', '.join(map(_q, RECIPES))}) THEN 'recipe' WHEN rule_id LIKE 'SEMANTIC.%' THEN 'declined' ELSE 'unaccounted' END AS state FROM (SELECT DISTINCT rule_id FROM found)")
 def recipe_coverage(spark, sf_dir):
+    """The rules of all findings in the sources: which of them a recipe mends."""
     one = lambda values: spark.createDataFrame([(v,) for v in values], "rule_id string")
-    return evaluation.recipe_coverage(one(code.emittable_rules()), one(fixes.RECIPES), one(["SEMANTIC." + r for r in code.SEMANTIC_RULES]))
+    found, _ = code.analyse_files(source_files(spark, sf_dir).drop("doc_id"), LIMITS)
+    return evaluation.recipe_coverage(found.select("rule_id").distinct(), one(fixes.RECIPES), one(["SEMANTIC." + r for r in code.SEMANTIC_RULES]))
 
 
 @registered(f"WITH {AGREED_SQL} SELECT 'model-1' AS model, count(DISTINCT case_name) AS cases, (SELECT string_agg(chk || '=' || rate, ',' ORDER BY chk) FROM (SELECT chk, round(avg(agrees::INT), 4) AS rate FROM a GROUP BY chk)) AS rates FROM a")
@@ -780,10 +815,14 @@ def severity_maps(spark, sf_dir):
     return rollup.map_totals(per_file, "by_severity", "rule_id").select("rule_id", F.explode("by_severity").alias("severity", "n"))
 
 
-@registered("SELECT lang, string_agg('### ' || doc_id || ':1-1' || chr(10) || chr(10) || substr(text, 1, 20), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id < 100 GROUP BY lang")
+@registered("""SELECT lang, source, doc_id // 64 AS block, md5(string_agg('### ' || doc_id || ':1-' || len(string_split(text, chr(10))) || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest
+FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
 def evidence_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 100").select("lang", "doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.substring("text", 1, 20).alias("text"))
-    return reports.evidence(d, ["lang"], ["doc_id"])
+    """Every document as one chunk; a text of evidence for each language and source of 64 ids."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    cited = d.select("lang", "source", F.floor(F.col("doc_id") / 64).alias("block"), "doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), "text")
+    found = reports.evidence(cited, ["lang", "source", "block"], ["doc_id"])
+    return found.select("lang", "source", "block", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @registered(f"""WITH {FINDINGS_SQL}, c AS (SELECT split_part(rule_id, '.', 1) AS ns, count(*) AS n FROM findings GROUP BY 1), k(control, ns) AS (VALUES ('AC-1', 'SAST'), ('AC-1', 'SECRETS'), ('QA-2', 'QUALITY'), ('QA-2', 'PERFORMANCE'), ('DR-3', 'RESILIENCE')), t AS (SELECT control, coalesce(sum(n), 0) AS n FROM k LEFT JOIN c USING (ns) GROUP BY control)
@@ -794,11 +833,19 @@ def control_report(spark, sf_dir):
     return reports.coverage_report({"name": "Own", "version": "1", "publisher": "us", "reference": "x"}, covered.withColumn("description", F.concat(F.lit("about "), "control")), unmapped)
 
 
-@registered("SELECT '# Against the baseline' || chr(10) || chr(10) || 'The prompt changed. The model is the same.' || chr(10) || chr(10) || '## Rose' || chr(10) || chr(10) || '- `a`: 0.50 to 0.75 (+0.25)' || chr(10) || chr(10) || '## Fell' || chr(10) || chr(10) || '- `b`: 0.90 to 0.40 (-0.50)' || chr(10) || chr(10) || '## Unchanged' || chr(10) || chr(10) || '- `c`: 0.30 to 0.30 (+0.00)' || chr(10) || chr(10) || '## Not in the baseline' || chr(10) || chr(10) || '- `d`' || chr(10) || chr(10) || '## No longer measured' || chr(10) || chr(10) || '- `e`' AS text")
+@registered("""WITH r AS (SELECT lang AS chk, avg(toxic) FILTER (WHERE doc_id % 2 = 0) AS b, avg(toxic) FILTER (WHERE doc_id % 2 = 1) AS a FROM labels JOIN documents USING (doc_id) GROUP BY lang
+  UNION ALL SELECT 'source ' || source, avg(toxic) FILTER (WHERE doc_id % 2 = 0), NULL FROM labels JOIN documents USING (doc_id) GROUP BY source UNION ALL SELECT 'all', NULL, avg(toxic) FROM labels UNION ALL SELECT 'same', 0.3, 0.3),
+l AS (SELECT chk, CASE WHEN b IS NULL THEN 3 WHEN a IS NULL THEN 4 WHEN a - b > 1e-9 THEN 0 WHEN a - b < -1e-9 THEN 1 ELSE 2 END AS k, '- `' || chk || '`' || CASE WHEN a IS NULL OR b IS NULL THEN '' ELSE printf(': %.2f to %.2f (%+.2f)', b, a, a - b) END AS t FROM r WHERE a IS NOT NULL OR b IS NOT NULL),
+parts AS (SELECT k, string_agg(t, chr(10) ORDER BY chk) AS t FROM l GROUP BY k)
+SELECT '# Against the baseline' || chr(10) || chr(10) || 'The prompt changed. The model is the same.' || (SELECT string_agg(chr(10) || chr(10) || '## ' || ['Rose', 'Fell', 'Unchanged', 'Not in the baseline', 'No longer measured'][k + 1] || chr(10) || chr(10) || t, '' ORDER BY k) FROM parts) AS text""")
 def comparison_report(spark, sf_dir):
-    rates = spark.createDataFrame([("a", 0.5, 0.75), ("b", 0.9, 0.4), ("c", 0.3, 0.3), ("d", None, 0.2), ("e", 0.1, None)], "check string, before double, after double")
-    one = lambda side: rates.filter(f"{side} is not null").select("check", F.col(side).alias("rate"))
-    return reports.comparison_report(evaluation.compare(one("before"), one("after")), True, False)
+    """Toxic shares of the even documents against those of the odd ones; checks that only one run has are made of sources and of all."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    rate = lambda rows, check: rows.groupBy(check.alias("check")).agg(F.avg("toxic").alias("rate"))
+    even, odd, same = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1"), spark.createDataFrame([("same", 0.3)], "check string, rate double")
+    before = rate(even, F.col("lang")).unionByName(rate(even, F.concat(F.lit("source "), "source"))).unionByName(same)
+    after = rate(odd, F.col("lang")).unionByName(rate(table(spark, sf_dir, "labels"), F.lit("all"))).unionByName(same)
+    return reports.comparison_report(evaluation.compare(before, after), True, False)
 
 
 @registered(f"WITH {CONFUSION_SQL}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM m) SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(2.0 * tp / (2 * tp + fp + fn), 4) AS f1, false AS met FROM t")
