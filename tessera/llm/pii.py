@@ -4,12 +4,13 @@ A surrogate keeps its entity's format: digits stay digits, letters keep their ca
 addresses stay addresses, and names keep gender (the title's) and script (their own letters'). It is a keyed permutation of the entities of one format (names:
 a keyed hash), so without the key it can't be undone, and the same entity gets the same surrogate in every document.
 
-Names are replaced part by part, whatever their case, and a document's titled names also in its later mentions without a title;
-phone numbers and cards by their digits, whatever the punctuation. So different spellings of one entity agree.
+Names are replaced part by part, whatever their case, and a document's titled names also in all its mentions without a title, before
+and behind; phone numbers and cards by their digits, whatever the punctuation. So different spellings of one entity agree.
+A part that stands alone is no mention if it is a month or a day, or if it begins a sentence and the text also has it in lower case.
 
 A corpus-wide check makes the entities' table and draws again, with another attempt number, for every entity whose surrogate
 equals an entity of the corpus or another's surrogate, until no such case is left. Names and e-mail addresses grow with the
-attempt; where another format's values are all taken (ATTEMPTS draws found none free), the operator fails.
+attempt; where another format's values are all taken (ATTEMPTS draws found none free), the entity is masked and a warning tells how many.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import functools
 import hashlib
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tessera.llm.common import OUT_ROWS, map_rows, numbered, require, without
+from tessera.llm.common import map_rows, numbered, require, without
 from tessera.session import dropped, few_files, materialised
 
 #: Draws of an entity at most; draws of a round, which grow from the round GROWS on, and attempts by which names get a syllable more.
@@ -54,6 +55,12 @@ ENDINGS = {
 _CAP = r"[^\W\d_a-zа-яα-ω]"
 _NAME = rf"(?:{_CAP}[^\W\d_]*(?:['’-]{_CAP}[^\W\d_]+)+|{_CAP}[^\W\d_]+)"
 _PART = re.compile(r"[^\W\d_]+")
+_WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"(?:^|[.!?:;\n\"“«(])\s*$")
+#: Words that are names and dates.
+CALENDAR = frozenset(
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "Januar Februar März Mai Juni Juli Oktober Dezember Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Abril Junio Julio Avril Juin Juillet".split()
+)
 #: Country codes of phone numbers, by their first digits.
 _COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 #: In order of priority; a later kind leaves alone what an earlier one has taken. The entity is group 1.
@@ -132,24 +139,32 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """The mentions, without a title, of words and hyphenated parts of the names among ``found``, behind the first that has them."""
-    first: dict[str, tuple[int, str]] = {}
-    for _, end, kind, value in sorted(x for x in found if x[2].startswith("person")):
+    """The mentions, without a title, of words and hyphenated parts of the names among ``found``, wherever they stand. A part that
+    several names have is the first one's."""
+    first: dict[str, str] = {}
+    for *_, kind, value in sorted(x for x in found if x[2].startswith("person")):
         for word in value.split(" "):
             for part in {word, *_PART.findall(word)}:
                 if not _is_initial(part) and not part.endswith("."):
                     for spelled in (part, part.upper()):
-                        first.setdefault(spelled, (end, kind))
+                        first.setdefault(spelled, kind)
     if not first:
         return []
     word = "(?:" + "|".join(map(re.escape, sorted(first, key=len, reverse=True))) + ")"
-    taken, more = sorted((a, b) for a, b, _, _ in found), []
+    taken, more, words = sorted((a, b) for a, b, _, _ in found), [], None
     starts = [a for a, _ in taken]
     for m in re.finditer(rf"(?<!\w){word}(?:[ -]{word})*(?!\w)", text):
-        end, kind = first[re.match(word, m[0])[0]]
         at = bisect.bisect_left(starts, m.end())
-        if m.start() >= end and not (at and taken[at - 1][1] > m.start()):
-            more.append((*m.span(), kind, m[0]))
+        if at and taken[at - 1][1] > m.start():
+            continue
+        if m[0] in first:  # alone
+            if m[0] in CALENDAR:
+                continue
+            if m[0].lower() != m[0] and _SENTENCE.search(text, max(0, m.start() - 8), m.start()):
+                words = words or set(_WORD.findall(text))
+                if m[0].lower() in words:
+                    continue
+        more.append((*m.span(), first[re.match(word, m[0])[0]], m[0]))
     return more
 
 
@@ -169,26 +184,51 @@ def _is_initial(part: str) -> bool:
     return len(part) == 1 and part.lower() != part.upper()
 
 
+@functools.lru_cache(maxsize=64)
+def _cycle(key: bytes, kind: str, letters: str) -> dict[str, str]:
+    """Each letter's successor in a keyed order of all: a known pair tells no other one."""
+    order = sorted(letters, key=lambda c: hashlib.blake2b(f"{kind}|initial|{c}".encode(), key=key, digest_size=16).digest())
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def _initial(key: bytes, kind: str, letter: str) -> str:
-    """Another letter of the alphabet; different letters get different ones."""
+    """Another letter of the alphabet; different letters of an alphabet get different ones."""
     letters = {"cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}.get(script_of(letter), _CLASSES[2])
-    at = letters.index(letter) if letter in letters else ord(letter)
-    turn = int.from_bytes(hashlib.blake2b(kind.encode(), key=key, digest_size=8).digest()) % (len(letters) - 1) + 1
-    return letters[(at + turn) % len(letters)]
+    cycle = _cycle(key, kind, letters)
+    return cycle.get(letter) or cycle[letters[ord(letter) % len(letters)]]
+
+
+def initials_of(values: list[tuple[str, str]], known: dict[tuple[str, str], str | None]) -> dict[tuple[str, str, str], str]:
+    """(kind, initial, surname in lower case): the initial of the surrogate, for the names (kind, value) of a text that are written out."""
+    out: dict[tuple[str, str, str], str] = {}
+    for kind, value in values:
+        parts = _PART.findall(value) if kind.startswith("person") else []
+        for part in parts[:-1]:
+            new = None if _is_initial(part) else known.get((f"{kind}:{script_of(part)}", part.lower()))
+            if new:
+                out.setdefault((kind, part[0], parts[-1].lower()), new[0].upper())
+    return out
+
+
+def _masked(text: str) -> str:
+    return "".join("*" if c.isalnum() else c for c in text)
 
 
-def laid(key: bytes, kind: str, value: str, known: dict[tuple[str, str], str]) -> str:
-    """The surrogate of a found value, in its spelling, from those of its ``entities_of``."""
+def laid(key: bytes, kind: str, value: str, known: dict[tuple[str, str], str | None], initials: dict[tuple[str, str, str], str] | None = None) -> str:
+    """The surrogate of a found value, in its spelling, from those of its ``entities_of``; stars for one that has none."""
     if kind.startswith("person"):
+        surname = (_PART.findall(value) or [""])[-1].lower()
 
         def part(m: re.Match) -> str:
             if _is_initial(m[0]):
-                return _initial(key, kind, m[0])
+                return (initials or {}).get((kind, m[0], surname)) or _initial(key, kind, m[0])
             new = known[f"{kind}:{script_of(m[0])}", m[0].lower()]
-            return new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize()
+            return _masked(m[0]) if new is None else new.upper() if m[0].isupper() and len(m[0]) > 1 else new.capitalize()
 
         return _PART.sub(part, value)
     new = known[entities_of(kind, value)[0]]
+    if new is None:
+        return _masked(value)
     if kind in ("phone", "card"):
         digits = iter(new[-sum(c.isdecimal() for c in value) :])
         return "".join(_digits_like(next(digits), c) if c.isdecimal() else c for c in value)
@@ -291,7 +331,7 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): no surrogate is an entity or another's surrogate.
 
     Only the entities that are in conflict are drawn again in each round. Of those that share a surrogate, the least by kind
-    and value, and any that was settled in an earlier round, keeps it. Raises ValueError where no free surrogate is found.
+    and value, and any that was settled in an earlier round, keeps it. Where no free surrogate is found, it is null, and a warning tells.
     """
     real = entities.select(F.col("value").alias("surrogate")).distinct()
     settled, open_, begun = None, entities.select("kind", "value"), 0
@@ -317,7 +357,9 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
         begun += draws
         if open_.isEmpty():
             return settled.select("kind", "value", "surrogate")
-    raise ValueError(f"no free surrogate for {open_.count()} entities of the kinds {sorted(r.kind for r in open_.select('kind').distinct().limit(20).collect())}")
+    kinds = sorted(r.kind for r in open_.select("kind").distinct().limit(20).collect())
+    warnings.warn(f"no free surrogate for {open_.count()} entities of the kinds {kinds}: they are masked", stacklevel=2)
+    return settled.select("kind", "value", "surrogate").unionByName(open_.select("kind", "value", F.lit(None).cast("string").alias("surrogate")))
 
 
 def _key_of(text: Column) -> list[Column]:
@@ -328,9 +370,10 @@ def _key_of(text: Column) -> list[Column]:
 def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str | None = "replaced") -> DataFrame:
     """Replaces the entities in ``text``; adds ``replaced`` (array of struct<kind, surrogate>, in text order) unless it is None.
 
-    Texts without entities, null and empty ones included, stay as they are and never move: only texts that the prefilter lets
-    through are joined to their surrogates, by a hash of the text; very long ones are read whole. Other columns are passed on,
-    whatever they are called; one named like the output is replaced. Repeated rows get equal texts. Row order is not kept; an empty table gives an empty table.
+    Texts without entities, null and empty ones included, stay as they are and are not shuffled. Texts that the prefilter lets through
+    are read once, whole, and written with what was found in them; those with entities are joined to the surrogates by a hash of
+    the text. Other columns are passed on, whatever they are called; one named like the output is replaced. Repeated rows get equal
+    texts. Row order is not kept; an empty table gives an empty table.
     """
     require(df, text)
     columns = without(df, [replaced] if replaced else [])
@@ -340,35 +383,37 @@ def pseudonymise(df: DataFrame, key: bytes, text: str = "text", replaced: str |
     candidates = df.filter(maybe).select(*kept, *_key_of(F.col(text)))
     rest = df.filter(~maybe).select(*kept)
 
-    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for h1, h2, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += sorted({(h1, h2, *entity) for _, _, kind, found in find(value) for entity in entities_of(kind, found)})
-            for at in range(0, len(rows), OUT_ROWS):
-                part = list(zip(*rows[at : at + OUT_ROWS], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.string()), pa.array(part[3], pa.string())], names=["__h1", "__h2", "kind", "value"])
-
-    seen = candidates.select("__h1", "__h2", F.col(text)).mapInArrow(detect, "__h1 long, __h2 long, kind string, value string")
-    entities = materialised(few_files(seen.distinct()))
+    def detect(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (value,) in rows:
+            found = find(value)
+            entities = sorted({entity for *_, kind, v in found for entity in entities_of(kind, v)})
+            yield [dict(zip(("start", "end", "kind", "value"), f, strict=True)) for f in found], [{"kind": k, "value": v} for k, v in entities]
+
+    pair = [T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), *pair]))
+    marked = materialised(map_rows(candidates, [text], [T.StructField("__found", spans), T.StructField("__entities", T.ArrayType(T.StructType(pair)))], detect))
+    busy = marked.filter(F.size("__found") > 0)
+    rest = rest.union(marked.filter(F.size("__found") == 0).select(*kept))
+    entities = materialised(few_files(busy.select("__h1", "__h2", F.inline("__entities")).distinct()))
     table = materialised(few_files(resolve(entities.select("kind", "value").distinct(), key)))
     given = entities.join(table, ["kind", "value"]).groupBy("__h1", "__h2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__given"))
     given = materialised(few_files(given))
 
     def replace(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for value, pairs in rows:
-            known = {(p["kind"], p["value"]): p["surrogate"] for p in pairs or []}
+        for value, found, pairs in rows:
+            known = {(p["kind"], p["value"]): p["surrogate"] for p in pairs}
+            initials = initials_of([(f["kind"], f["value"]) for f in found], known)
             parts, at, said = [], 0, []
-            for start, end, kind, found in find(value) if known else []:
-                new = laid(key, kind, found, known)
-                parts += [value[at:start], new]
-                said.append({"kind": kind, "surrogate": new})
-                at = end
+            for f in found:
+                new = laid(key, f["kind"], f["value"], known, initials)
+                parts += [value[at : f["start"]], new]
+                said.append({"kind": f["kind"], "surrogate": new})
+                at = f["end"]
             yield "".join(parts) + value[at:], said
 
     said = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("surrogate", T.StringType())]))
-    joined = candidates.join(given, ["__h1", "__h2"], "left")
-    done = map_rows(joined, [text, "__given"], [T.StructField("__text", T.StringType()), T.StructField("__said", said)], replace, drop=("__h1", "__h2", "__given", text))
+    joined = busy.drop("__entities").join(given, ["__h1", "__h2"])
+    done = map_rows(joined, [text, "__found", "__given"], [T.StructField("__text", T.StringType()), T.StructField("__said", said)], replace, drop=("__h1", "__h2", "__given", "__found", text))
     whole = done.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in df.columns], "__said")
     both = whole.union(rest.withColumn("__said", F.array().cast(said)))
     return both.toDF(*columns, replaced) if replaced else both.drop("__said").toDF(*columns)

@@ -120,8 +120,9 @@ def test_op3(spark, tables):
             attempt[e] += 1
     for i, text in texts.items():
         expected, shift = text, 0
+        initials = pii.initials_of([x[2:] for x in found.get(i, [])], given)
         for start, end, kind, value in found.get(i, []):
-            new = pii.laid(queries.PII_KEY, kind, value, given)
+            new = pii.laid(queries.PII_KEY, kind, value, given, initials)
             expected, shift = expected[: start + shift] + new + expected[end + shift :], shift + len(new) - (end - start)
         assert got[i].text == expected and len(got[i].replaced) == len(found.get(i, []))
     assert len(set(given.values())) == len(given) > 3
@@ -237,8 +238,9 @@ def test_pipeline_equals_brute_force(spark, tables):
     entities = sorted({e for f in found.values() for *_, k, v in f for e in pii.entities_of(k, v)})
     table = {(r.kind, r.value): r.surrogate for r in pii.resolve(spark.createDataFrame(entities or [("x", "x")], "kind string, value string"), queries.PII_KEY).collect()}
     for i, places in found.items():
+        initials = pii.initials_of([p[2:] for p in places], table)
         for start, end, kind, value in reversed(places):
-            kept[i] = kept[i][:start] + pii.laid(queries.PII_KEY, kind, value, table) + kept[i][end:]
+            kept[i] = kept[i][:start] + pii.laid(queries.PII_KEY, kind, value, table, initials) + kept[i][end:]
     assert 5 < len(kept) < len(texts)
     check_pieces(corpus_pipeline.run(spark, folder).collect(), kept)
 
