@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessera.llm.common import OUT_ROWS, require
-from tessera.llm.wordbpe import pre_tokens, word_encoder
+from tessera.llm.wordbpe import word_encoder
 from tessera.session import few_files, materialised
 
 #: At most so many pre-tokens are broadcast; those of more than HEAD_CHARS characters as an MD5 digest.
 HEAD_SHARE, HEAD_CHARS = 1 << 19, 48
-#: Distinct pre-tokens that a task sums before it passes them on.
-PARTIAL_ENTRIES = 200_000
+#: Distinct pre-tokens that a task sums before it passes them on, and characters of long ones, which are counted at every sight.
+PARTIAL_ENTRIES, PARTIAL_CHARS, LONG_CHARS = 200_000, 16 << 20, 64
 
 
 def vocabulary_counts(texts: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -30,6 +30,7 @@ def vocabulary_counts(texts: DataFrame, vocabulary: str, text: str = "text") ->
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        encoder, long = word_encoder(vocabulary), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             names = list(counts)
@@ -40,9 +41,12 @@ def vocabulary_counts(texts: DataFrame, vocabulary: str, text: str = "text") ->
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                counts.update(pre_tokens(value or ""))
-                if len(counts) > PARTIAL_ENTRIES:
+                pieces = encoder.pre_tokens(value or "")
+                counts.update(pieces)
+                long += sum(n for n in map(len, pieces) if n > LONG_CHARS)
+                if len(counts) > PARTIAL_ENTRIES or long > PARTIAL_CHARS:
                     yield from flush()
+                    long = 0
         yield from flush()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,14 +76,14 @@ def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     shared = df.sparkSession.sparkContext.broadcast(head)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, context = shared.value, TaskContext.get()
+        known, encoder, context = shared.value, word_encoder(vocabulary), TaskContext.get()
         row = (context.partitionId() if context else 0) << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 keys, rows, pieces, sizes, amounts = [], [], [], [], []
                 for name, value in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
                     value, tokens = value or "", 0
-                    for piece, n in Counter(pre_tokens(value)).items():
+                    for piece, n in Counter(encoder.pre_tokens(value)).items():
                         each = known.get(piece if len(piece) <= HEAD_CHARS else hashlib.md5(piece.encode()).digest())
                         if each is None:
                             keys.append(name), rows.append(row), pieces.append(piece), sizes.append(0), amounts.append(n)

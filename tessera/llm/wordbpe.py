@@ -1,8 +1,9 @@
 """Word-level BPE of the tokenizers library, once per distinct pre-token.
 
-A text of Latin-1 characters is cut into pre-tokens here, by the library's own pattern: for these characters its
-normaliser is lower-casing alone. Any other text, and one that may hold a special string, is cut at spaces and newlines,
-which the library drops and never merges across; such a chunk is then encoded whole by the library.
+A text is cut into the library's own pre-tokens. One of Latin-1 characters is cut here, by the library's pattern: for these
+characters its normaliser is lower-casing alone. Of any other text, the chunks between spaces and newlines, which the library drops
+and never merges across, are normalised and cut by the library's parts themselves, each distinct chunk once while a bounded cache
+holds it. A chunk that may hold a special string stays whole, and is encoded by the whole library.
 """
 
 from __future__ import annotations
@@ -24,22 +25,6 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_B
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 
 
-def plain_pieces(text: str) -> list[str] | None:
-    """The pre-tokens of a text that is cut here; None for a text that is not."""
-    if "<|" in text:
-        return None
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return None
-    return _PIECES.findall(text.lower())
-
-
-def pre_tokens(text: str) -> list[str]:
-    pieces = plain_pieces(text)
-    return [chunk for chunk in text.replace("\n", " ").split(" ") if chunk] if pieces is None else pieces
-
-
 def _byte_letters() -> dict[int, int]:
     """The printable character that byte-level BPE writes for each byte: itself, or the next one from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -48,13 +33,24 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_LETTER_BYTES = {v: k for k, v in _BYTE_LETTERS.items()}
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
     """Encodes pre-tokens through a bounded cache of two generations: the older is dropped when the younger is full.
 
-    Plain pre-tokens need neither the library's normaliser nor its cutting, so they go to a tokenizer of the same vocabulary
-    without these, as the byte-level letters that it would make of them.
+    Pre-tokens need neither the library's normaliser nor its cutting, so they go to a tokenizer of the same vocabulary without
+    these, as the byte-level letters that it would make of them.
     """
 
     def __init__(self, path: str):
@@ -65,31 +61,54 @@ class WordEncoder:
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def encode_distinct(self, pieces: list[str], plain: bool) -> list[list[int]]:
-        if plain:
-            letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in pieces]
-            return [e.ids for e in self.bare.encode_batch_fast(letters, add_special_tokens=False)]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.cut: dict[str, list[str]] = {}
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """The library's pre-tokens of a text, normalised; a chunk that may hold a special string is one."""
+        if "<|" not in text and _latin(text):
+            return _PIECES.findall(text.lower())
+        found: list[str] = []
+        for chunk in text.replace("\n", " ").split(" "):
+            if chunk:
+                pieces = self.cut.get(chunk)
+                found += self._cut(chunk) if pieces is None else pieces
+        return found
+
+    def _cut(self, chunk: str) -> list[str]:
+        if "<|" in chunk:
+            return [chunk]
+        if _latin(chunk):
+            pieces = _PIECES.findall(chunk.lower())
+        else:
+            written = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(chunk))
+            pieces = [letters.translate(_LETTER_BYTES).encode("latin-1").decode() for letters, _ in written]
+        if len(chunk) <= CACHE_CHARS:
+            if len(self.cut) >= CACHE_ENTRIES // 2:
+                self.cut.clear()
+            self.cut[chunk] = pieces
+        return pieces
+
+    def encode_distinct(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each pre-token."""
+        whole = [p for p in pieces if "<|" in p]
+        letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in pieces if "<|" not in p]
+        of_whole = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        of_letters = iter(self.bare.encode_batch_fast(letters, add_special_tokens=False))
+        return [next(of_whole if "<|" in p else of_letters).ids for p in pieces]
 
     def count_distinct(self, pieces: list[str]) -> list[int]:
-        """Token counts of pieces of either kind."""
-        plain = [plain_pieces(p) == [p] for p in pieces]
-        counts = {k: iter(self.encode_distinct([p for p, x in zip(pieces, plain, strict=True) if x == k], k)) for k in (True, False)}
-        return [len(next(counts[k])) for k in plain]
+        """The number of tokens of each pre-token."""
+        return [len(ids) for ids in self.encode_distinct(pieces)]
 
     def packed(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
-        pieces = plain_pieces(text)
-        plain = pieces is not None
-        pieces = pieces if plain else pre_tokens(text)
-        known, older = self.known, self.older
+        pieces, known, older = self.pre_tokens(text), self.known, self.older
         missing = [p for p in set(pieces) if p not in known]
         if not missing:
             return b"".join(map(known.__getitem__, pieces))
         new = [p for p in missing if p not in older]
         known.update((p, older[p]) for p in missing if p in older)
-        known.update(zip(new, [array("I", ids).tobytes() for ids in self.encode_distinct(new, plain)], strict=True))
+        known.update(zip(new, [array("I", ids).tobytes() for ids in self.encode_distinct(new)], strict=True))
         made = b"".join(map(known.__getitem__, pieces))
         for piece in new:
             if len(piece) > CACHE_CHARS:

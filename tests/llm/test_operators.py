@@ -99,6 +99,22 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(encoder.packed(text), "<u4").tolist() == word_ids(text), repr(text)
 
 
+def test_pre_tokens_are_the_librarys():
+    """For any script: normalised and cut as the library does, so that pieces repeat; ideographs are cut at their punctuation."""
+    encoder, r = wordbpe.WordEncoder(P.path("word_bpe_49k.json")), random.Random(8)
+    alphabet = list("abcAB  \n\t'’“”—…ÄéΣςİıКапК漢字かな、。한국어٣٤१२ﬁ𝔸😀\u00a0\u3000\u0301\u0308!?.,0123<|>")
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(2000)] + ["hello, world’s end.", "It’s “quoted” — don’t", "x <|endoftext|>y ’s"]
+    whole = encoder.tokenizer
+    for text in texts:
+        written = whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(text))
+        if "<|" not in text:
+            assert [p.encode().decode("latin-1").translate(wordbpe._BYTE_LETTERS) for p in encoder.pre_tokens(text)] == [x for x, _ in written], repr(text)
+        assert sum(encoder.count_distinct(encoder.pre_tokens(text))) == len(word_ids(text)) == len(encoder.packed(text)) // 4, repr(text)
+    assert encoder.pre_tokens("hello, world’s end.") == ["hello", ",", "world", "’", "s", "end", "."]
+    cjk = "".join(r.choice("天地玄黄宇宙洪荒") if r.random() < 0.9 else r.choice("、。！") for _ in range(4000))
+    assert max(map(len, encoder.pre_tokens(cjk))) < 128 and np.mean([len(p) for p in encoder.pre_tokens(cjk)]) < 64
+
+
 def test_token_counts(docs, empty, rows):
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(docs, P.path("word_bpe_49k.json")).collect()}
     assert got == {i: (len((t or "").encode()), len(word_ids(t))) for i, t, *_ in rows}
