@@ -72,8 +72,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """At most four partitions per core: a result of small rows need not be written in as many files as its shuffle had."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """The rows in as few partitions as their size needs: a result of small rows need not be written in as many files as its shuffle had.
+
+    The planner splits and joins partitions by their size at run time; the stage before keeps all of its tasks.
+    """
+    return df.hint("rebalance")
 
 
 def materialised(df: DataFrame) -> DataFrame:
