@@ -9,8 +9,9 @@
 5. A larger bucket whose members are not yet in one component is not settled by its star: its members are dealt again by
    AGAIN other bands within the bucket. So a group costs a number of pairs linear in its rows, and most links that the star's
    centre does not have are found.
-6. The members of larger buckets that are still not in one component are joined exactly, by their rarest shingles: two sets
-   that are similar enough have their first common shingle, rare ones first, near the start of both. No bucket is dropped.
+6. Larger buckets whose members are still not in one component are compared whole, in blocks of a fixed size: sketches of SIGNS
+   permutations tell, inside a task, which pairs can link at all, and only those are confirmed on full sets. So many pages that
+   share paragraphs cost comparisons of bytes, not rows. No bucket is dropped.
 7. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm.common import numbered, require
 from tessera.session import dropped, few_files, materialised
@@ -31,11 +32,15 @@ BANDS, ROWS = 42, 6
 SMALL, DEPTH, AGAIN = 12, 1, 8
 #: Stars of a bucket that is dealt again: one from its smallest member, the others from members that a hash chooses.
 STARS = 5
+#: Rows of a block of an unsettled bucket; permutations of the sketch that is compared there, a byte per bin; deviations that it may be
+#: under the similarity of a link (one link in 10^11 is further off).
+BLOCK, SIGNS, DEVIATIONS = 2048, 4, 7
 #: Rows of ids that are broadcast at most, 16 to 40 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _BINS = BANDS * ROWS
 _U = np.uint64
 _MIX = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
+_TURNS = np.arange(SIGNS, dtype=_U) * _MIX[0]
 #: Bytes of a shingle's hash that are kept to confirm links: 48 bits.
 _KEPT = 6
 
@@ -151,30 +156,70 @@ def _opened(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every pair (a, b) of rows (id, n, label) with different labels that can have a similarity of 0.8, by prefix filtering.
+def sketch(packed: bytes) -> bytes:
+    """SIGNS x BANDS x ROWS bytes of a packed, non-empty set: two sets agree on a byte with a probability of their similarity (and 1/256)."""
+    found, parts = _opened(packed) << _U(16), []
+    for i in range(SIGNS):
+        turned = found if i == 0 else np.sort(_finish(found + _TURNS[i]))
+        parts.append((signature(turned) >> _U(16)).astype(np.uint8))
+    return np.concatenate(parts).tobytes()
 
-    Shingles are ranked by the number of rows that have them, rarest first. Two sets of na and nb shingles need 4/9 (na + nb)
-    common ones. Their first common one, at places ia and ib from 0, leaves at most na - ia and nb - ib; so it is among the
-    first ninth of the smaller set and the first fifth of the larger one. A passage that many rows share is behind that.
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """Equal bytes that a link's sketches have at least, for sets of ``n`` shingles: fewer shingles fill fewer bins."""
+    filled = SIGNS * _BINS * -np.expm1(-n / _BINS)
+    return SIGNS * _BINS * (0.8 - DEVIATIONS * np.sqrt(0.16 / filled))
+
+
+def _possible(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), of different labels, of rows (bucket, id, n, label) of a bucket that can link, by their sizes and sketches.
+
+    A bucket is cut into slices of BLOCK / 2 rows; each pair of slices is a task's work, so a bucket of any size is many tasks.
     """
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    slices = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
+    cut = held.join(_bounded(sizes), "bucket").withColumn("slices", slices).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select(F.xxhash64("bucket", low, high).alias("block"), side.alias("side"), "id", "n", "label")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(m.as_py()) for m in batch.column(1)], pa.binary())], names=["id", "sketch"])
+
+    def compared(block: list[tuple]) -> pa.RecordBatch:
+        sides, ids, n, label = (np.array([row[i] for row in block], dtype=np.int64) for i in range(4))
+        bytes_ = np.frombuffer(b"".join(row[4] for row in block), dtype=np.uint8).reshape(len(block), -1)
+        least, second = _least(n), int(np.searchsorted(sides, 2))
+        one, two = [], []
+        for i in range(len(block)):
+            start = i + 1 if sides[i] == 0 else second if sides[i] == 1 else len(block)
+            m = n[start:]
+            can = np.flatnonzero((label[start:] != label[i]) & (100 * m >= 80 * n[i]) & (100 * n[i] >= 80 * m)) + start
+            if len(can):
+                equal = (bytes_[can] == bytes_[i]).sum(axis=1)
+                near = can[equal >= np.minimum(least[can], least[i])]
+                one.append(np.full(len(near), ids[i]))
+                two.append(ids[near])
+        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (one, two))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, []
         for batch in batches:
-            for id_, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = _opened(packed.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), id_, dtype=np.int64)), pa.array(found)], names=["id", "shingle"])
-
-    tokens = sets.join(_bounded(rows.select("id")), "id", "left_semi").select("id", "members").mapInArrow(run, "id long, shingle long")
-    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    ranked = tokens.join(_bounded(common, small=False), "shingle", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle")).cast("long") - 1).filter("held > 1")
-    starts = materialised(ranked.join(_bounded(rows), "id").filter("5 * at <= n").select("shingle", "id", "n", "label", "at"))
-    smaller, larger = ([F.col(c).alias(f"{c}{side}") for c in ("id", "n", "label", "at")] for side in "ab")
-    met = starts.filter("9 * at <= n").select("shingle", *smaller).join(starts.select("shingle", *larger), "shingle")
-    met = met.filter("labela <> labelb and (na < nb or (na = nb and ida < idb))").filter(_sizes_fit(F.col("na"), F.col("nb")))
-    met = met.filter("9 * (na - ata) >= 4 * (na + nb) and 9 * (nb - atb) >= 4 * (na + nb)")
-    return met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now and block:
+                    yield compared(block)
+                    block = []
+                now = key
+                block.append(row)
+        if block:
+            yield compared(block)
+
+    sketches_ = sets.select("id", "members").mapInArrow(signed, "id long, sketch binary")
+    rows = dealt.join(materialised(sketches_), "id").repartition("block").sortWithinPartitions("block", "side")
+    return rows.select("block", "side", "id", "n", "label", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,10 +314,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         turn = F.array(*[F.get("bands", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BANDS)).cast("int")) for i in range(AGAIN)])
         again = held.join(heads.select("id", "bands"), "id").select("id", "n", "label", "bucket", F.explode(F.array_distinct(turn)).alias("band"))
         rows = materialised(again.filter(F.col("bucket") != F.col("band")).select("id", "n", F.xxhash64("bucket", "band").alias("bucket"), "label"))
-    open_ = materialised(few_files(held.select("id", "n", "label").distinct()))
-    if not open_.isEmpty():
-        sets = sets_of(open_)
-        found = materialised(few_files(_confirm(materialised(_joined(open_, sets)), sets)))
+    if not held.isEmpty():
+        sets = sets_of(held.select("id").distinct())
+        found = materialised(few_files(_confirm(materialised(_possible(held, sets)), sets)))
         if not found.isEmpty():
             labels = components(links.union(found))
     named = base.select("id", "n", "digest").join(reps, "digest", "left").join(_bounded(labels.withColumnRenamed("id", "rep")), "rep", "left")

@@ -375,6 +375,31 @@ def test_pairs_in_a_family_that_shares_a_template_are_found(spark):
     assert {r.id: r.component for r in neardup.classes(df).collect()} == expected
 
 
+def test_sketches_are_near_the_similarity():
+    r = np.random.default_rng(3)
+    for n in (12, 60, 400, 3000):
+        for _ in range(40):
+            whole = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+            common = -(-8 * 2 * len(whole) // 18)  # the least that a link of equal sizes needs
+            other = np.unique(np.concatenate((whole[r.permutation(len(whole))[:common]], r.integers(0, 1 << 63, len(whole) - common, dtype=np.uint64))))
+            packed = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for x in (whole, other)]
+            a, b = (np.frombuffer(neardup.sketch(p), dtype=np.uint8) for p in packed)
+            assert (a == b).sum() >= neardup._least(np.array([len(whole)]))[0]
+
+
+def test_pages_of_shared_paragraphs(spark, monkeypatch):
+    """Pages of 12 of 24 shared paragraphs, a similarity of 0.4 to 0.7 each: nearly no pair is proposed, no link is lost."""
+    r, seen = random.Random(4), []
+    stock = [" ".join(f"w{r.randrange(4000)}" for _ in range(40)) for _ in range(24)]
+    pages = {i: "\n".join(r.sample(stock, 12)) for i in range(400)}
+    pages |= {1000 + i: pages[i].replace("\n", " odd ", 1) for i in range(0, 400, 40)}
+    possible = neardup._possible
+    monkeypatch.setattr(neardup, "_possible", lambda held, sets: seen.append(possible(held, sets).count()) or possible(held, sets))
+    got = {r.id: r.component for r in neardup.classes(spark.createDataFrame(list(pages.items()), "doc_id long, text string"), width=4).collect()}
+    assert got == brute_components(pages, 4)
+    assert sum(seen) < 2 * len(pages)
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 150)] + [(300, 200), (200, 300), (7, 7)]
     got = {r.id: r.label for r in neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
