@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ast
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.text import stripped, text_lines
+from tessera.session import materialised
 
 WINDOW, OVERLAP, SECTION_LINES, DUPLICATE_LINES = 40, 10, 80, 8
 HEADING = r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
@@ -139,12 +142,61 @@ def greedy(files: DataFrame, path: str = "path", text: str = "content", budget:
     return per_file(files, path, text, lambda t: _greedy(t, budget), "part int, text string")
 
 
+#: Rounds of running totals before what is left of each group is decided in order, row by row.
+BUDGET_ROUNDS = 4
+
+
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds ``upto``: the sum of ``size`` in a group (group, ordinal, path), up to and with each row.
+
+    Rows are dealt to blocks by ranges of their order, so a group of any size is many blocks; blocks are summed, their sums are
+    added up in order, and each block continues from the sum before it.
+    """
+    placed = materialised(rows.repartitionByRange("group", "ordinal", "path").withColumn("block", F.spark_partition_id()))
+    earlier = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("group", "block").agg(F.sum("size").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(earlier), F.lit(0))).drop("all")
+    inside = Window.partitionBy("group", "block").orderBy("ordinal", "path").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(sums, ["group", "block"]).withColumn("upto", F.col("before") + F.sum("size").over(inside)).drop("block", "before")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """(group, ordinal, path) of the rows (group, ordinal, path, size, room) that are taken one after the other, as long as there is room.
+
+    A group is read in order by one task, which holds one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, room = None, 0
+        for batch in batches:
+            taken = []
+            for name, size, start in zip(*(batch.column(c).to_pylist() for c in ("group", "size", "room")), strict=True):
+                if (name,) != group:
+                    group, room = (name,), start
+                taken.append(size <= room)
+                room -= size if taken[-1] else 0
+            yield batch.select(["group", "ordinal", "path"]).filter(pa.array(taken, pa.bool_()))
+
+    ordered = rows.repartition("group").sortWithinPartitions("group", "ordinal", "path")
+    return ordered.mapInArrow(run, ordered.select("group", "ordinal", "path").schema)
+
+
 def read_within(files: DataFrame, per_file: int, total: int) -> DataFrame:
     """files: group, ordinal, path, content. Texts are cut to ``per_file``; in order, one that would exceed the group's ``total``
-    is refused and adds nothing. Adds text (null: refused)."""
-    sized = files.withColumn("size", F.least(F.length("content"), F.lit(per_file)))
-    ordered = sized.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("ordinal", "path", "size"))).alias("files"))
-    empty = F.struct(F.lit(0).cast("int").alias("used"), F.array().cast("array<string>").alias("paths"))
-    fold = F.aggregate("files", empty, lambda s, f: F.when(s["used"] + f["size"] <= total, F.struct((s["used"] + f["size"]).alias("used"), F.concat(s["paths"], F.array(f["path"])).alias("paths"))).otherwise(s), lambda s: s["paths"])
-    kept = ordered.select("group", F.explode(fold).alias("path"), F.lit(True).alias("ok"))
-    return sized.join(kept, ["group", "path"], "left").select("group", "ordinal", "path", F.when(F.col("ok"), F.substring("content", 1, per_file)).alias("text"))
+    is refused and adds nothing. Adds text (null: refused). Rows without a group are refused.
+
+    Only sizes are ordered. All rows up to a group's first refusal are taken at once, by running totals; what is too large for the room
+    that is left is refused for good, and the rest is asked again with that room, in rounds, and at last row by row.
+    """
+    sized = files.withColumn("size", F.least(F.length(F.coalesce("content", F.lit(""))), F.lit(per_file)).cast("long"))
+    open_, taken = sized.select("group", "ordinal", "path", "size", F.lit(total).cast("long").alias("room")), []
+    for _ in range(BUDGET_ROUNDS):
+        run = materialised(_running(open_))
+        fits = F.col("upto") <= F.col("room")
+        taken.append(run.filter(fits).select("group", "ordinal", "path"))
+        rooms = run.groupBy("group").agg((F.first("room") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0))).alias("room"))
+        open_ = run.filter(~fits).drop("upto", "room").join(rooms, "group").filter("size <= room")
+        if open_.isEmpty():
+            break
+    else:
+        taken.append(materialised(_in_order(open_)))
+    kept = functools.reduce(DataFrame.unionByName, taken).withColumn("ok", F.lit(True))
+    return sized.join(kept, ["group", "ordinal", "path"], "left").select("group", "ordinal", "path", F.when(F.col("ok"), F.substring(F.coalesce("content", F.lit("")), 1, per_file)).alias("text"))

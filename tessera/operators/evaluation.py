@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import stats
@@ -28,31 +25,19 @@ def scored(matrices: DataFrame) -> DataFrame:
     return out.withColumns({"f1": stats.harmonic(F.col("precision"), F.col("recall")), "f": stats.f1_interval(F.col("p"), F.col("r"))})
 
 
-GRADE = "case_name string, verdict string, rule_id string, line_number int, expected_severity string, found_severity string, found_line int"
-
-
-def _graded(name: str, scope: list, tolerance: int, wants: list[dict], found: list[dict], barred: list[dict]) -> Iterator[tuple]:
-    """The rows of one case."""
-    left = sorted(found, key=lambda f: (f["rule_id"], f["line_number"], f["severity"] or ""))
-    for want in sorted(wants, key=lambda w: w["ordinal"]):
-        rule, line, sev = want["rule_id"], want["line_number"], want["severity"]
-        near = [f for f in left if f["rule_id"] == rule and abs(f["line_number"] - line) <= tolerance]
-        best = min(near, key=lambda f: (sev is not None and f["severity"] != sev, abs(f["line_number"] - line), f["line_number"]), default=None)
-        if best is None:
-            yield name, "missed", rule, line, sev, None, None
-            continue
-        left.remove(best)
-        yield name, "matched" if sev in (None, best["severity"]) else "mismatched", rule, line, sev, best["severity"], best["line_number"]
-    asked = {w["rule_id"] for w in wants}
-    for f in left:
-        rule = f["rule_id"]
-        if any(b["rule_id"] == rule and b["line_number"] in (0, f["line_number"]) for b in barred):
-            verdict = "forbidden"
-        elif not scope or rule in asked or any(s in ("*", rule) or (s.endswith(".*") and rule.startswith(s[:-1])) for s in scope):
-            verdict = "spurious"
-        else:
-            verdict = "ungraded"
-        yield name, verdict, rule, f["line_number"], None, f["severity"], f["line_number"]
+_FOUND = "struct<rule_id:string,line_number:int,severity:string>"
+_VERDICT = "struct<verdict:string,rule_id:string,line_number:int,expected_severity:string,found_severity:string,found_line:int>"
+
+
+def _claimed(left: Column, want: Column, tolerance: Column) -> Column:
+    """The place in ``left`` of the finding that an expectation claims, from 0: of its rule and near enough, by its severity, then
+    the nearest, then the first line; null without any."""
+    none = F.lit(None).cast("int")
+    distance = lambda f: F.abs(f["line_number"] - want["line_number"])
+    other = lambda f: want["severity"].isNotNull() & ~f["severity"].eqNullSafe(want["severity"])
+    near = lambda f: (f["rule_id"] == want["rule_id"]) & (distance(f) <= tolerance)
+    ranked = F.transform(left, lambda f, i: F.when(near(f), F.struct(other(f).alias("other"), distance(f).alias("distance"), f["line_number"].alias("line"), i.alias("at"))))
+    return F.coalesce(F.array_min(F.filter(ranked, lambda r: r.isNotNull()))["at"], none)
 
 
 def grade(expected: DataFrame, findings: DataFrame, forbidden: DataFrame, cases: DataFrame) -> DataFrame:
@@ -60,26 +45,43 @@ def grade(expected: DataFrame, findings: DataFrame, forbidden: DataFrame, cases:
 
     expected: case_name, ordinal, rule_id, line_number, severity (null: any). findings: case_name, rule_id, line_number,
     severity. forbidden: case_name, rule_id, line_number (0: anywhere). cases: case_name, scope array<string>, line_tolerance.
-    Within a case expectations claim in order the best finding left: severity match, then distance, then line. That is
-    sequential, so a case is one row of arrays; cases are small and many.
+    Within a case expectations claim in order the best finding left: severity match, then distance, then line. That is sequential, so
+    a case, which is small, is one row of sorted arrays, and the claim a fold over them.
     """
 
     def per_case(rows: DataFrame, out: str, *columns) -> DataFrame:
-        return rows.groupBy("case_name").agg(F.collect_list(F.struct(*columns)).alias(out))
+        return rows.groupBy("case_name").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(out))
 
     line, sev = F.col("line_number").cast("int").alias("line_number"), F.col("severity").cast("string").alias("severity")
     joined = cases.select("case_name", "scope", F.col("line_tolerance").cast("int").alias("tolerance"))
     joined = joined.join(per_case(expected, "wants", F.col("ordinal").cast("int").alias("ordinal"), "rule_id", line, sev), "case_name", "left")
     joined = joined.join(per_case(findings, "found", "rule_id", line, sev), "case_name", "left").join(per_case(forbidden, "barred", "rule_id", line), "case_name", "left")
-
-    def run(batches):
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            rows = [r for name, scope, tolerance, *lists in zip(*columns, strict=True) for r in _graded(name, scope or [], tolerance, *(x or [] for x in lists))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(shape.types)], schema=shape)
-
-    shape = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in (c.split() for c in GRADE.split(", "))])
-    return joined.select("case_name", "scope", "tolerance", "wants", "found", "barred").mapInArrow(run, GRADE)
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def said(verdict, rule, at, wanted, got, got_line) -> Column:
+        text = lambda c: F.lit(c) if c is None or isinstance(c, str) else c
+        return F.struct(
+            text(verdict).cast("string").alias("verdict"), rule.alias("rule_id"), at.alias("line_number"), text(wanted).cast("string").alias("expected_severity"), text(got).cast("string").alias("found_severity"), text(got_line).cast("int").alias("found_line")
+        )
+
+    def claim(state: Column, want: Column) -> Column:
+        at = _claimed(state["left"], want, F.col("tolerance"))
+        best = F.get(state["left"], at)
+        fits = want["severity"].isNull() | want["severity"].eqNullSafe(best["severity"])
+        told = F.when(at.isNull(), said("missed", want["rule_id"], want["line_number"], want["severity"], None, None)).otherwise(
+            said(F.when(fits, "matched").otherwise("mismatched"), want["rule_id"], want["line_number"], want["severity"], best["severity"], best["line_number"])
+        )
+        left = F.when(at.isNull(), state["left"]).otherwise(F.filter(state["left"], lambda f, i: i != at))
+        return F.struct(left.alias("left"), F.concat(state["told"], F.array(told)).alias("told"))
+
+    start = F.struct(F.coalesce("found", empty(_FOUND)).alias("left"), empty(_VERDICT).alias("told"))
+    done = joined.withColumn("done", F.aggregate(F.coalesce("wants", F.array().cast(joined.schema["wants"].dataType)), start, claim))
+    asked = F.transform(F.coalesce("wants", F.array().cast(joined.schema["wants"].dataType)), lambda w: w["rule_id"])
+    banned = lambda f: F.coalesce(F.exists("barred", lambda b: (b["rule_id"] == f["rule_id"]) & b["line_number"].isin(0, f["line_number"])), F.lit(False))
+    scoped = lambda f: F.exists("scope", lambda s: (s == "*") | (s == f["rule_id"]) | (s.endswith(".*") & f["rule_id"].startswith(F.regexp_replace(s, r"\*$", ""))))
+    inside = lambda f: (F.size(F.coalesce("scope", F.array().cast("array<string>"))) == 0) | F.array_contains(asked, f["rule_id"]) | F.coalesce(scoped(f), F.lit(False))
+    rest = F.transform(F.col("done.left"), lambda f: said(F.when(banned(f), "forbidden").when(inside(f), "spurious").otherwise("ungraded"), f["rule_id"], f["line_number"], None, f["severity"], f["line_number"]))
+    return done.select("case_name", F.inline(F.concat("done.told", rest)))
 
 
 def grade_exact(expected: DataFrame, findings: DataFrame) -> DataFrame:

@@ -181,33 +181,29 @@ def fuse(rankings: DataFrame, k: int = RRF_K, limit: int | None = None) -> DataF
     return top(fused, ["query"], [F.desc("score"), F.col("key")], limit or 1 << 30)
 
 
-def mmr(ranked: DataFrame, limit: int = 5, weight: float = LAMBDA) -> DataFrame:
-    """Maximal marginal relevance per query. ranked: query, key, score, vector (null: like nothing). Returns query, key, place.
+def mmr(ranked: DataFrame, limit: int = 5, weight: float = LAMBDA, depth: int = 40) -> DataFrame:
+    """Maximal marginal relevance per query. ranked: query, key, score, vector (null or zero: like nothing). Returns query, key, place.
 
-    Selection is greedy, so a query's candidates, of which a search returns a fixed number, are one group.
+    Of each query the best ``depth`` by score, ties by key, are candidates; selection is greedy over them, a fold over one array. Gains
+    that differ by less than 10^-12 are ties, which go to the better score.
     """
-
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        unit = []
-        for v in pdf["vector"]:
-            v = None if v is None else np.asarray(v, dtype=float)
-            unit.append(v / n if v is not None and (n := np.linalg.norm(v)) > 0 else None)
-        top_score = max(pdf["score"].max(), 1e-12)
-        chosen: list[int] = []
-        while len(chosen) < min(limit, len(pdf)):
-            best, best_gain = -1, -np.inf
-            for i in range(len(pdf)):
-                if i in chosen:
-                    continue
-                near = max((float(np.clip(unit[i] @ unit[j], -1, 1)) if unit[i] is not None and unit[j] is not None else 0.0 for j in chosen), default=0.0)
-                gain = weight * pdf["score"][i] / top_score - (1 - weight) * near if chosen else pdf["score"][i]
-                if gain > best_gain + 1e-12:
-                    best, best_gain = i, gain
-            chosen.append(best)
-        return pd.DataFrame({"query": pdf["query"].iloc[chosen].to_numpy(), "key": pdf["key"].iloc[chosen].to_numpy(), "place": np.arange(1, len(chosen) + 1)})
-
-    return ranked.select("query", "key", "score", "vector").groupBy("query").applyInPandas(select, "query long, key long, place long")
+    best = top(ranked.select("query", "key", F.col("score").cast("double").alias("score"), "vector"), ["query"], [F.desc("score"), F.col("key")], depth)
+    norm = F.sqrt(F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    unit = F.when(norm > 0, F.transform("vector", lambda x: x.cast("double") / norm))
+    listed = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "key", "score", unit.alias("unit")))).alias("c"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    like = lambda p, q: F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p, q))), F.lit(0.0))
+    highest = F.greatest(F.get("c", F.lit(0))["score"], F.lit(1e-12))
+
+    def pick(chosen: Column, _: Column) -> Column:
+        near = lambda x: F.array_max(F.transform(chosen, lambda j: like(x["unit"], F.get(F.col("c"), j)["unit"])))
+        gain = lambda x: F.when(F.size(chosen) == 0, x["score"]).otherwise(weight * x["score"] / highest - (1 - weight) * F.coalesce(near(x), F.lit(0.0)))
+        open_ = F.transform("c", lambda x, i: F.when(~F.array_contains(chosen, i), F.struct((-F.round(gain(x), 12)).alias("loss"), i.alias("at"))))
+        return F.concat(chosen, F.transform(F.array_compact(F.array(F.array_min(F.filter(open_, lambda o: o.isNotNull()))["at"])), lambda i: i))
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, limit))), F.array().cast("array<int>"), pick) if limit > 0 else F.array().cast("array<int>")
+    chosen = listed.select("query", "c", F.posexplode(picks).alias("n", "at"))
+    return chosen.select("query", F.get("c", F.col("at"))["key"].alias("key"), (F.col("n") + 1).cast("long").alias("place"))
 
 
 def hashed(df: DataFrame, key: str, text: str, out: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -87,11 +87,30 @@ def hashing_embed(spark, sf_dir):
     return made.select("item_id", F.posexplode("vector").alias("dimension", "value")).withColumn("value", F.round("value", 6))
 
 
-@registered()
+def _mmr_sql(candidates: str, limit: int, weight: float = retrieval.LAMBDA) -> str:
+    """Recursive picks over ``candidates`` (query, key, score, v): CTEs listed, walk and picked (query, key, place)."""
+    gain = f"CASE WHEN len(chosen) = 0 THEN x.score ELSE {weight} * x.score / greatest(c[1].score, 1e-12) - (1 - {weight}) * list_max(list_transform(chosen, lambda j: CASE WHEN x.zero OR c[j].zero THEN 0.0 ELSE greatest(-1, least(1, list_cosine_similarity(x.v, c[j].v))) END)) END"
+    return f"""listed AS (SELECT query, list({{'key': key, 'score': score, 'v': v, 'zero': list_max(list_transform(v, lambda x: abs(x))) = 0}} ORDER BY score DESC, key) AS c FROM {candidates} GROUP BY query),
+walk AS (SELECT query, c, []::INT[] AS chosen FROM listed UNION ALL
+  SELECT query, c, list_append(chosen, list_sort(list_filter(list_transform(c, lambda x, i: {{'loss': -round({gain}, 12), 'at': i::INT, 'open': NOT list_contains(chosen, i)}}), lambda o: o.open))[1].at) FROM walk WHERE len(chosen) < least({limit}, len(c))),
+picked AS (SELECT query, c[chosen[len(chosen)]].key AS key, len(chosen)::BIGINT AS place FROM walk WHERE len(chosen) > 0)"""
+
+
+def _hashed_sql(name: str, source: str, key: str, width: int) -> str:
+    """``name`` (key, v): counts of the buckets of a text's tokens."""
+    return f"""{name} AS (SELECT {key} AS key, list_transform(range({width}), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS v FROM (SELECT {key}, list_transform({TOKENS_SQL}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {width}) AS s FROM {source}))"""
+
+
+@registered(f"""WITH RECURSIVE {BM25_SQL}, {_hashed_sql('dv', 'documents', 'doc_id', 128)}, {_hashed_sql('qv', 'benchmark', 'item_id', 128)},
+sims AS (SELECT q.key AS query, d.key, round(CASE WHEN list_max(q.v) = 0 OR list_max(d.v) = 0 THEN 0 ELSE greatest(-1, least(1, list_cosine_similarity(q.v, d.v))) END, 6) AS score FROM qv q, dv d),
+nearest AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM sims),
+fused AS (SELECT query, key, round(sum(1.0 / (60 + place)), 9)::DOUBLE AS score FROM (SELECT query, key, place FROM bm WHERE place <= 20 UNION ALL SELECT query, key, place FROM nearest WHERE place <= 20) GROUP BY ALL),
+cand AS (SELECT query, key, score, v FROM fused JOIN dv USING (key)), {_mmr_sql('cand', 5)}
+SELECT query, key, place FROM picked""")
 def hybrid_related(spark, sf_dir):
     docs, asked = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
-    vectors = retrieval.embed(docs, "doc_id", F.col("text"), 128)
-    wanted = retrieval.embed(asked, "item_id", F.col("text"), 128)
+    vectors = retrieval.hashed(docs, "doc_id", "text", "vector", 128).withColumnRenamed("doc_id", "key")
+    wanted = retrieval.hashed(asked, "item_id", "text", "vector", 128).withColumnRenamed("item_id", "key")
     near = retrieval.knn(vectors, wanted, 20, key="key", vector="vector", exclude_self=False)
     return retrieval.related(retrieval.bm25(docs, asked, limit=20), near, vectors).select("query", "key", "place")
 
@@ -360,12 +379,29 @@ def grade_exact(spark, sf_dir):
     return evaluation.grade_exact(f.filter("event_id % 3 <> 0"), f.filter("event_id % 3 <> 1"))
 
 
-@registered()
+#: Expectations (with their severity, but for every fifth) claim findings within two lines, case after case, in their order.
+TOLERANCE_SQL = "WITH RECURSIVE " + FINDINGS_SQL + """,
+want AS (SELECT file_path AS c, list({'r': rule_id, 'l': line_number, 's': CASE WHEN event_id % 5 <> 0 THEN severity END} ORDER BY event_id) AS wants FROM findings WHERE event_id % 3 <> 0 GROUP BY 1),
+got AS (SELECT file_path AS c, list({'r': rule_id, 'l': line_number, 's': severity} ORDER BY rule_id, line_number, severity) AS found FROM findings WHERE event_id % 3 <> 1 GROUP BY 1),
+barred AS (SELECT file_path AS c, list(DISTINCT {'r': rule_id, 'l': line_number * (event_id % 2)}) AS barred FROM findings WHERE event_id % 50 = 1 GROUP BY 1),
+cases AS (SELECT c, coalesce(wants, []) AS wants, coalesce(found, []) AS found, coalesce(barred, []) AS barred FROM (SELECT DISTINCT file_path AS c FROM findings) LEFT JOIN want USING (c) LEFT JOIN got USING (c) LEFT JOIN barred USING (c)),
+walk AS (SELECT c, 0 AS n, wants, found AS rest, barred, '' AS verdict, NULL::VARCHAR AS rule FROM cases UNION ALL
+  SELECT c, n, wants, CASE WHEN best IS NULL THEN rest ELSE list_filter(rest, lambda x, i: i <> best.i) END, barred, CASE WHEN best IS NULL THEN 'missed' WHEN best.o THEN 'mismatched' ELSE 'matched' END, w.r FROM (
+    SELECT c, n + 1 AS n, wants, rest, barred, wants[n + 1] AS w, list_sort(list_filter(list_transform(rest, lambda x, i: {'o': wants[n + 1].s IS NOT NULL AND x.s <> wants[n + 1].s, 'd': abs(x.l - wants[n + 1].l), 'l': x.l, 'i': i, 'on': x.r = wants[n + 1].r}), lambda y: y.on AND y.d <= 2))[1] AS best
+    FROM walk WHERE n < len(wants))),
+last AS (SELECT c, wants, barred, unnest(rest) AS f FROM walk WHERE n = len(wants)),
+verdicts AS (SELECT c, verdict FROM walk WHERE n > 0 UNION ALL
+  SELECT c, CASE WHEN len(list_filter(barred, lambda b: b.r = f.r AND (b.l = 0 OR b.l = f.l))) > 0 THEN 'forbidden' WHEN f.r LIKE 'SAST.%' OR len(list_filter(wants, lambda w: w.r = f.r)) > 0 THEN 'spurious' ELSE 'ungraded' END FROM last)
+SELECT c AS case_name, verdict, count(*) AS n FROM verdicts GROUP BY ALL"""
+
+
+@registered(TOLERANCE_SQL)
 def grade_tolerance(spark, sf_dir):
     f = findings(spark, sf_dir).withColumnRenamed("file_path", "case_name")
     cases = f.select("case_name").distinct().select("case_name", F.array(F.lit("SAST.*")).alias("scope"), F.lit(2).alias("line_tolerance"))
-    barred = f.filter("event_id % 50 = 1").select("case_name", "rule_id", F.lit(0).alias("line_number"))
-    graded = evaluation.grade(f.filter("event_id % 2 = 0").withColumn("ordinal", F.col("event_id").cast("int")), f.filter("event_id % 3 = 0"), barred, cases)
+    barred = f.filter("event_id % 50 = 1").select("case_name", "rule_id", (F.col("line_number") * (F.col("event_id") % 2)).alias("line_number"))
+    wants = f.filter("event_id % 3 <> 0").withColumns({"ordinal": F.col("event_id").cast("int"), "severity": F.when(F.col("event_id") % 5 != 0, F.col("severity"))})
+    graded = evaluation.grade(wants, f.filter("event_id % 3 <> 1"), barred, cases)
     return graded.groupBy("case_name", "verdict").agg(F.count("*").alias("n"))
 
 

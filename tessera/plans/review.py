@@ -9,7 +9,7 @@ from tessera.functions.text import LINE_END
 from tessera.operators import chain, chunking, code, documentation, evaluation, fixes, history, joins, retrieval, rollup, routing, scan, search, symbols, trace
 from tessera.plans.fixtures import FINDINGS_SQL, SPANS_SQL, findings, spans
 from tessera.plans import policy
-from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, STRICT, _agreed, _file_metrics, _judged, _q, _wilson_sql, memory, registered, verified
+from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, STRICT, _agreed, _file_metrics, _judged, _mmr_sql, _q, _wilson_sql, memory, registered, verified
 from tessera.plans.sources import N, SNIPPETS, SOURCES_SQL, TAILS, _rows, source_files
 from tessera.session import spread, table
 from tessera.sources import checkout, reports, stores, workspace
@@ -875,16 +875,13 @@ def backed_checks(spark, sf_dir):
     return evaluation.backed_checks(wanted, prompts).select("prompt", "check", F.array_join("missing", ",").alias("missing"), "state")
 
 
-@registered("""WITH r AS (SELECT vec_id % 20 AS query, vec_id AS key, (vec_id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS n FROM r) WHERE n = 1),
-g AS (SELECT r.query, r.key, 0.7 * r.score / a.score - 0.3 * list_cosine_similarity(r.v, a.v) AS gain, r.score FROM r JOIN a ON a.query = r.query AND a.key <> r.key),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(gain, 9) DESC, score DESC, key) AS n FROM g) WHERE n = 1)
-SELECT query, key, 1::BIGINT AS place FROM a UNION ALL SELECT query, key, 2 FROM b""")
-def diverse_pairs(spark, sf_dir):
-    """Two diverse picks of each candidate list; more picks are in the tests."""
+@registered(f"""WITH RECURSIVE r AS (SELECT vec_id // 100 AS query, vec_id AS key, (vec_id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS n FROM r) WHERE n <= 40), {_mmr_sql('cut', 6)} SELECT query, key, place FROM picked""")
+def diverse_picks(spark, sf_dir):
+    """Six diverse picks of the candidates of each hundred vectors."""
     e, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
-    ranked = e.select((key % 20).alias("query"), key.alias("key"), ((key * 7919 % 1000 + 1) / 1000.0).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("vector"))
-    return retrieval.mmr(ranked, 2)
+    ranked = e.select(F.floor(key / 100).alias("query"), key.alias("key"), ((key * 7919 % 1000 + 1) / 1000.0).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("vector"))
+    return retrieval.mmr(ranked, 6)
 
 
 @registered("""SELECT '<!-- review-report -->' || e || '# Review: blocked' || e || '## Blocked by' || e || (SELECT string_agg('- ' || n_name, chr(10) ORDER BY n_name) FROM nation WHERE n_regionkey = 0) || e || '## Not analysed (no finding here means that nothing was examined)' || e
