@@ -9,9 +9,10 @@
 5. A larger bucket whose members are not yet in one component is not settled by its star: its members are dealt again by
    AGAIN other bands within the bucket. So a group costs a number of pairs linear in its rows, and most links that the star's
    centre does not have are found.
-6. Larger buckets whose members are still not in one component are compared whole, in blocks of a fixed size: sketches of SIGNS
-   permutations tell, inside a task, which pairs can link at all, and only those are confirmed on full sets. So many pages that
-   share paragraphs cost comparisons of bytes, not rows. No bucket is dropped.
+6. The members of larger buckets that are still not in one component are joined exactly, by their rarest shingles: two sets
+   that are similar enough have their first common shingle, rare ones first, near the start of both. Members that have a frequent
+   shingle there, such as pages made of shared paragraphs, are compared within their buckets instead, in blocks of a fixed size:
+   sketches of SIGNS permutations tell, inside a task, which pairs can link at all. No bucket is dropped.
 7. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.llm.common import numbered, require
 from tessera.session import dropped, few_files, materialised
@@ -32,6 +33,8 @@ BANDS, ROWS = 42, 6
 SMALL, DEPTH, AGAIN = 12, 1, 8
 #: Stars of a bucket that is dealt again: one from its smallest member, the others from members that a hash chooses.
 STARS = 5
+#: Rows with a shingle near their start up to which it proposes pairs.
+HOT = 128
 #: Rows of a block of an unsettled bucket; permutations of the sketch that is compared there, a byte per bin; deviations that it may be
 #: under the similarity of a link (one link in 10^11 is further off).
 BLOCK, SIGNS, DEVIATIONS = 2048, 4, 7
@@ -156,6 +159,37 @@ def _opened(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _joined(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every pair (a, b) of rows (id, n, label) with different labels that can have a similarity of 0.8, by prefix filtering; but for
+    pairs that meet only at shingles that are in the start of over HOT rows: the ids of those rows are the second result.
+
+    Shingles are ranked by the number of rows that have them, rarest first. Two sets of na and nb shingles need 4/9 (na + nb)
+    common ones. Their first common one, at places ia and ib from 0, leaves at most na - ia and nb - ib; so it is among the
+    first ninth of the smaller set and the first fifth of the larger one. A passage that many rows share is behind that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = _opened(packed.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), id_, dtype=np.int64)), pa.array(found)], names=["id", "shingle"])
+
+    tokens = sets.join(_bounded(rows.select("id")), "id", "left_semi").select("id", "members").mapInArrow(run, "id long, shingle long")
+    common = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    ranked = tokens.join(_bounded(common, small=False), "shingle", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle")).cast("long") - 1).filter("held > 1")
+    starts = materialised(ranked.join(_bounded(rows), "id").filter("5 * at <= n").select("shingle", "id", "n", "label", "at"))
+    frequent = starts.groupBy("shingle").agg(F.count_if(F.expr("9 * at <= n")).alias("first")).filter(F.col("first") > HOT).select("shingle")
+    frequent = _bounded(frequent)
+    hot = starts.join(frequent, "shingle", "left_semi").select("id").distinct()
+    starts = starts.join(frequent, "shingle", "left_anti")
+    smaller, larger = ([F.col(c).alias(f"{c}{side}") for c in ("id", "n", "label", "at")] for side in "ab")
+    met = starts.filter("9 * at <= n").select("shingle", *smaller).join(starts.select("shingle", *larger), "shingle")
+    met = met.filter("labela <> labelb and (na < nb or (na = nb and ida < idb))").filter(_sizes_fit(F.col("na"), F.col("nb")))
+    met = met.filter("9 * (na - ata) >= 4 * (na + nb) and 9 * (nb - atb) >= 4 * (na + nb)")
+    return met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")), hot
+
+
 def sketch(packed: bytes) -> bytes:
     """SIGNS x BANDS x ROWS bytes of a packed, non-empty set: two sets agree on a byte with a probability of their similarity (and 1/256)."""
     found, parts = _opened(packed) << _U(16), []
@@ -219,7 +253,7 @@ def _possible(held: DataFrame, sets: DataFrame) -> DataFrame:
 
     sketches_ = sets.select("id", "members").mapInArrow(signed, "id long, sketch binary")
     rows = dealt.join(materialised(sketches_), "id").repartition("block").sortWithinPartitions("block", "side")
-    return rows.select("block", "side", "id", "n", "label", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("block", "side", "id", "n", "label", "sketch").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,9 +348,12 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         turn = F.array(*[F.get("bands", F.pmod(F.xxhash64("bucket", F.lit(i)), F.lit(BANDS)).cast("int")) for i in range(AGAIN)])
         again = held.join(heads.select("id", "bands"), "id").select("id", "n", "label", "bucket", F.explode(F.array_distinct(turn)).alias("band"))
         rows = materialised(again.filter(F.col("bucket") != F.col("band")).select("id", "n", F.xxhash64("bucket", "band").alias("bucket"), "label"))
-    if not held.isEmpty():
-        sets = sets_of(held.select("id").distinct())
-        found = materialised(few_files(_confirm(materialised(_possible(held, sets)), sets)))
+    open_ = materialised(few_files(held.select("id", "n", "label").distinct()))
+    if not open_.isEmpty():
+        sets = sets_of(open_)
+        pairs, hot = _joined(open_, sets)
+        pairs = materialised(pairs.union(_possible(held.join(_bounded(hot), "id", "left_semi"), sets)).distinct())
+        found = materialised(few_files(_confirm(pairs, sets)))
         if not found.isEmpty():
             labels = components(links.union(found))
     named = base.select("id", "n", "digest").join(reps, "digest", "left").join(_bounded(labels.withColumnRenamed("id", "rep")), "rep", "left")
