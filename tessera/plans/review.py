@@ -875,13 +875,26 @@ def backed_checks(spark, sf_dir):
     return evaluation.backed_checks(wanted, prompts).select("prompt", "check", F.array_join("missing", ",").alias("missing"), "state")
 
 
-@registered(f"""WITH RECURSIVE r AS (SELECT vec_id // 100 AS query, vec_id AS key, (vec_id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS n FROM r) WHERE n <= 40), {_mmr_sql('cut', 6)} SELECT query, key, place FROM picked""")
+def _picks_sql(query: str, limit: int) -> str:
+    return f"""WITH RECURSIVE r AS (SELECT {query} AS query, vec_id AS key, (vec_id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS n FROM r) WHERE n <= 40), {_mmr_sql('cut', limit)} SELECT query, key, place FROM picked"""
+
+
+def _ranked_vectors(spark, sf_dir, query):
+    e, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    return e.select(query.alias("query"), key.alias("key"), ((key * 7919 % 1000 + 1) / 1000.0).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@registered(_picks_sql("vec_id % 20", 2))
+def diverse_pairs(spark, sf_dir):
+    """Two diverse picks of the best candidates of each of twenty lists."""
+    return retrieval.mmr(_ranked_vectors(spark, sf_dir, F.col("vec_id") % 20), 2)
+
+
+@registered(_picks_sql("vec_id // 100", 6))
 def diverse_picks(spark, sf_dir):
     """Six diverse picks of the candidates of each hundred vectors."""
-    e, key = table(spark, sf_dir, "embeddings"), F.col("vec_id")
-    ranked = e.select(F.floor(key / 100).alias("query"), key.alias("key"), ((key * 7919 % 1000 + 1) / 1000.0).cast("double").alias("score"), F.col("embedding").cast("array<double>").alias("vector"))
-    return retrieval.mmr(ranked, 6)
+    return retrieval.mmr(_ranked_vectors(spark, sf_dir, F.floor(F.col("vec_id") / 100)), 6)
 
 
 @registered("""SELECT '<!-- review-report -->' || e || '# Review: blocked' || e || '## Blocked by' || e || (SELECT string_agg('- ' || n_name, chr(10) ORDER BY n_name) FROM nation WHERE n_regionkey = 0) || e || '## Not analysed (no finding here means that nothing was examined)' || e
