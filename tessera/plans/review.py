@@ -12,7 +12,7 @@ from tessera.plans import policy
 from tessera.plans.queries import AGREED_SQL, CONFUSION_SQL, CONTROLS, MEMORY_SQL, METRICS_SQL, ORACLES, STRICT, _agreed, _file_metrics, _judged, _mmr_sql, _q, _wilson_sql, memory, registered, verified
 from tessera.plans.sources import N, SNIPPETS, SOURCES_SQL, TAILS, _rows, source_files
 from tessera.session import spread, table
-from tessera.sources import checkout, reports, stores, workspace
+from tessera.sources import checkout, reports, sealed, stores, workspace
 
 # Analyzers over generated sources ---------------------------------------------------------------------------------------
 
@@ -679,8 +679,26 @@ def sealed_store(spark, sf_dir):
     e, path = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct("event_id", "event_type")).alias("payload")), _folder(spark, "records")
     middle = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
     for half in (e.filter(F.col("event_id") <= middle), e.filter(F.col("event_id") > middle)):
-        stores.append_sealed(half, path, "user_id", "event_id")
-    return chain.verify(spark.read.json(path), "user_id", "event_id").select("user_id", "n", "status")
+        sealed.append(half, path, "user_id", "event_id")
+    return chain.verify(sealed.read(spark, path), "user_id", "event_id").select("user_id", "n", "status")
+
+
+@registered("SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS events, 'intact' AS status FROM events GROUP BY user_id")
+def contested_store(spark, sf_dir):
+    """Two writers begin at one version: the second is refused, and appends again; a batch that is replayed changes nothing."""
+    e, path = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct("event_id", "event_type")).alias("payload")), _folder(spark, "contested")
+    third = lambda i: e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i)
+    sealed.append(third(0), path, "user_id", "event_id", expected=0)
+    try:
+        sealed.append(third(1), path, "user_id", "event_id", expected=0)
+        raise AssertionError("a fork was not refused")
+    except sealed.Conflict:
+        sealed.append(third(1), path, "user_id", "event_id", expected=1)
+    for _ in range(2):
+        sealed.batches("s", path, "user_id", "event_id")(third(2), 7)
+    records = sealed.read(spark, path)
+    state = chain.verify(records, "user_id", "sequence").select("user_id", "n", "status")
+    return state.join(records.groupBy("user_id").agg(F.countDistinct("event_id").alias("events")), "user_id")
 
 
 @registered(f"WITH {METRICS_SQL} SELECT project_id, count(*) AS files FROM f GROUP BY project_id")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.operators import chain, scan
+from tessera.operators import scan
 from tessera.session import materialised
 
 HISTORY = "kind string, file_path string, rule_id string, first_seen date, last_seen date, severity string, occurrences long, reason string"
@@ -43,16 +43,6 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def append_sealed(payloads: DataFrame, path: str, chain_column: str, order: str, signer: tuple[str, bytes] | None = None) -> None:
-    """Seals records behind the ends of the chains that a store holds, and appends them. One writer at a time: two would fork a chain."""
-    spark, after = payloads.sparkSession, None
-    if _exists(spark, path):
-        held = spark.read.json(path)
-        after = held.groupBy(chain_column).agg(F.max_by(F.struct("sequence", "digest"), "sequence").alias("end")).select(chain_column, "end.sequence", "end.digest")
-        after = materialised(after)
-    chain.seal(payloads, chain_column, order, "payload", signer=signer, after=after).write.mode("append").json(path)
-
-
 def replace_records(records: DataFrame, path: str) -> None:
     """Replaces a store by records that were read from it: they are written beside it first."""
     materialised(records).write.mode("overwrite").json(path)

@@ -94,3 +94,57 @@ def test_budgets_are_kept_in_order(spark, monkeypatch):
                 right[i] = text
         got = {x.ordinal: x.text for x in chunking.read_within(df, 30, total).collect()}
         assert len(got) == len(rows) and {i: t for i, t in got.items() if t is not None} == right, (rounds, total)
+
+
+def test_a_sealed_store_does_not_fork(spark, tmp_path):
+    import threading
+
+    import pytest
+
+    from tessera.operators import chain
+    from tessera.sources import sealed
+
+    path = str(tmp_path / "store")
+    rows = lambda name, n: spark.createDataFrame([(c, i, f'{{"of":"{name}","i":{i}}}') for c in ("a", "b") for i in range(n)], "chain string, at long, payload string")
+    with pytest.raises(ValueError, match="no commit"):
+        sealed.read(spark, path)
+    assert sealed.append(rows("first", 3), path, "chain", "at") == 1
+    outcomes, gate = {}, threading.Barrier(2)
+
+    def writer(name):
+        gate.wait()
+        try:
+            outcomes[name] = sealed.append(rows(name, 4), path, "chain", "at", expected=1)
+        except sealed.Conflict:
+            outcomes[name] = None
+
+    threads = [threading.Thread(target=writer, args=(n,)) for n in ("x", "y")]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(outcomes.values(), key=str) == [2, None]
+    held = sealed.read(spark, path)
+    assert held.count() == 14 and {r.status for r in chain.verify(held, "chain", "sequence").collect()} == {"intact"}
+    assert len(list((tmp_path / "store" / "data").iterdir())) == 2 and sealed.read(spark, path, 1).count() == 6
+    # A stream, of which a batch comes twice.
+    rows("stream", 5).write.parquet(str(tmp_path / "in"))
+    write = sealed.batches("s", path, "chain", "at")
+    query = spark.readStream.schema("chain string, at long, payload string").parquet(str(tmp_path / "in")).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    write(rows("stream", 5), 0)
+    held = sealed.read(spark, path)
+    assert held.count() == 24 and {(r.n, r.status) for r in chain.verify(held, "chain", "sequence").collect()} == {(12, "intact")}
+    # Another writer between reading and committing: sealed again behind the new ends.
+    commit, stolen = sealed._commit, []
+
+    def late(*args):
+        if not stolen:
+            sealed._commit = commit
+            stolen.append(sealed.append(rows("thief", 1), path, "chain", "at"))
+        return commit(*args)
+
+    sealed._commit = late
+    try:
+        assert sealed.append(rows("slow", 2), path, "chain", "at", attempts=2) == 5 and stolen == [4]
+    finally:
+        sealed._commit = commit
+    assert {(r.n, r.status) for r in chain.verify(sealed.read(spark, path), "chain", "sequence").collect()} == {(15, "intact")}
