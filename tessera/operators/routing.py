@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -106,18 +108,18 @@ def tokens_of(content: Column) -> Column:
 def load_context(memory: DataFrame, affected: DataFrame | None = None, summary: str = "", budget: int = 100_000) -> DataFrame:
     """One text: all critical insights, then the first of each bucket within its cap, oldest first; affected places (path, symbol,
     reason, at) stand behind the high ones. Normal insights are shown while more than ROOM tokens are free; low ones never are."""
-    rank, cap = ({b[0]: v for b, v in zip(BUCKETS, values, strict=True)} for values in ((0, 1, 3, 4), [b[1] if b[1] is not None else 1 << 30 for b in BUCKETS]))
-    lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) for pair in d.items() for x in pair]), F.col("bucket"))
-    order = Window.partitionBy("bucket").orderBy("at", "content")
-    shown = memory.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= lookup(cap))
-    lines = shown.select(lookup(rank).alias("r"), "n", F.concat(F.lit("- "), "content").alias("line"), F.upper("bucket").alias("head"))
+
+    def section(rows: DataFrame, rank: int, head: str, order: list[str], line: Column, cap: int | None) -> DataFrame:
+        """(r, text) of the first ``cap`` rows, a top-k of each task's; no row where there are none."""
+        first = rows if cap is None else rows.orderBy(*order).limit(cap)
+        listed = first.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x")).filter(F.size("x") > 0)
+        return listed.select(F.lit(rank).alias("r"), F.concat(F.lit(f"## {head}\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("text"))
+
+    sections = [section(memory.filter(F.col("bucket") == name), rank, name.upper(), ["at", "content"], F.concat(F.lit("- "), "content"), cap) for (name, cap, *_), rank in zip(BUCKETS, (0, 1, 3, 4), strict=True) if cap != 0]
     if affected is not None:
-        near = affected.orderBy("at", "path", "symbol").limit(AFFECTED)  # a distributed top-k; what is left is numbered
-        place = F.row_number().over(Window.orderBy("at", "path", "symbol"))
         told = F.concat(F.lit("- `"), "path", F.lit(":"), "symbol", F.lit("` - "), "reason")
-        lines = lines.unionByName(near.select(F.lit(2).alias("r"), place.alias("n"), told.alias("line"), F.lit("AFFECTED CODE").alias("head")))
-    parts = lines.groupBy("r", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    parts = parts.select("r", F.concat(F.lit("## "), "head", F.lit("\n"), "text").alias("text"))
+        sections.append(section(affected, 2, "AFFECTED CODE", ["at", "path", "symbol"], told, AFFECTED))
+    parts = functools.reduce(DataFrame.unionByName, sections)
     total = parts.agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("parts"))
     used = F.aggregate(F.filter("parts", lambda p: p["r"] < 3), F.lit(0).cast("long"), lambda s, p: s + tokens_of(p["text"]))
     kept = F.filter("parts", lambda p: (p["r"] < 3) | (budget - used > ROOM))
