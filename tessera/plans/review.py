@@ -673,6 +673,23 @@ def history_store(spark, sf_dir):
     return stores.read_history(spark, path).groupBy("file_path").agg(F.count("*").alias("rules"), F.sum("occurrences").alias("occurrences"))
 
 
+@registered("""SELECT 'c' || doc_id AS name, 'src/' || source || '/m' || doc_id || '.py' AS file, md5(coalesce(text, '')) AS digest, (doc_id % 3)::INT AS line_tolerance, (doc_id % 4)::INT AS expected,
+  CASE WHEN doc_id % 4 > 0 THEN (doc_id % 90 * (doc_id % 4) + (doc_id % 4) * (doc_id % 4 - 1) // 2)::BIGINT END AS lines, CASE WHEN doc_id % 4 > 1 THEN 'high' END AS severity, doc_id % 2 = 0 AS barred FROM documents""")
+def corpus_cases(spark, sf_dir):
+    """Every document as a YAML case of an evaluation corpus, written as a file and read again."""
+    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    number = lambda c: c.cast("string")
+    wants = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < key % 4, F.concat(F.lit("  - {rule: R"), number(i), F.lit(", line: "), number(key % 90 + i), F.when(i == 1, ", severity: high}").otherwise("}"))))
+    expect = F.when(key % 4 > 0, F.concat(F.lit("expect:\n"), F.array_join(wants, "\n"))).otherwise("expect: []")
+    head = F.concat(F.lit("name: c"), number(key), F.lit("\nfile: 'src/"), "source", F.lit("/m"), number(key), F.lit(".py'\nscope: [\"SAST.*\"]\nline_tolerance: "), number(key % 3), F.lit("\ndiff: '"), F.hex(F.coalesce("text", F.lit("")).cast("binary")), F.lit("'"))
+    text = F.concat_ws("\n", head, expect, F.when(key % 2 == 0, "expect_absent:\n- rule: X\n  line: 0"))
+    root = _folder(spark, "corpus")
+    checkout.write_tree(d.select(F.concat("source", F.lit("/c"), number(key), F.lit(".yaml")).alias("path"), text.cast("binary").alias("content")), root)
+    cases = stores.read_corpus(spark, root, stores.CORPORA["cases"])
+    lines = F.when(F.size("expect") > 0, F.aggregate("expect", F.lit(0).cast("long"), lambda s, e: s + e["line"]))
+    return cases.select("name", "file", F.md5(F.unhex("diff")).alias("digest"), "line_tolerance", F.size("expect").alias("expected"), lines.alias("lines"), F.get("expect", F.lit(1))["severity"].alias("severity"), F.col("expect_absent").isNotNull().alias("barred"))
+
+
 @registered("SELECT user_id, count(*) AS n, 'intact' AS status FROM events GROUP BY user_id")
 def sealed_store(spark, sf_dir):
     """Two appends to one store of sealed records, then verified as a whole."""

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.operators import scan
 from tessera.session import materialised
+from tessera.sources import checkout
 
 HISTORY = "kind string, file_path string, rule_id string, first_seen date, last_seen date, severity string, occurrences long, reason string"
 RECORD = "sequence long, previous string, digest string, signature string, key_id string, payload string"
@@ -129,37 +132,76 @@ CORPORA = {
 }
 
 
-def read_corpus(spark: SparkSession, paths: list[str], schema: str, secret_free: str | None = None) -> DataFrame:
-    """YAML cases, one per file, in path order, with a strict schema at every depth. Corpora are written by hand and small.
+#: Bytes of a case at most, and bad files that an error names.
+CASE_BYTES, NAMED = 16 << 20, 50
+
+
+def _case_files(spark: SparkSession, place: str | list[str]) -> DataFrame:
+    """(path, content, truncated) of the YAML files of a folder, or of the files of a list."""
+    if isinstance(place, str):
+        checkout.register(spark)
+        return spark.read.format("checkout").option("suffixes", ".yaml,.yml").option("maxFileBytes", CASE_BYTES).load(place).select("path", "content", "truncated")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, name = checkout.opened(path)
+                with store.open_input_stream(name) as stream:
+                    raw = stream.read(CASE_BYTES + 1)
+                columns = [pa.array([path]), pa.array([raw[:CASE_BYTES].decode("utf-8", "replace")]), pa.array([len(raw) > CASE_BYTES])]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "content", "truncated"])
+
+    listed = spark.createDataFrame([(p,) for p in place], "path string")
+    return listed.mapInArrow(run, "path string, content string, truncated boolean")
 
-    ``secret_free`` names a text field in which a secret is refused.
-    """
-    import yaml
 
+def read_corpus(spark: SparkSession, place: str | list[str], schema: str, secret_free: str | None = None) -> DataFrame:
+    """YAML cases, one per file, of a folder or a list of paths, with a strict schema at every depth. Files are read and parsed in the tasks.
+
+    All files that are no mapping, have unknown fields or values of another type are named by one error; so are cases that have a
+    secret in the text field ``secret_free``.
+    """
     wanted = spark.createDataFrame([], schema).schema
-    rows = []
-    for path in sorted(paths):
-        with open(path, encoding="utf-8") as text:
-            case = yaml.safe_load(text)
-        if not isinstance(case, dict):
-            raise ValueError(f"{path}: no mapping")
-        if extra := sorted(_unknown(case, wanted)):
-            raise ValueError(f"{path}: unknown fields {extra}")
-        rows.append(json.dumps(case, default=str))
-    held = spark.createDataFrame([(r,) for r in rows], "value string")
-    cases = held.select(F.from_json("value", wanted, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            values, faults = [], []
+            for content, cut in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                value = fault = None
+                try:
+                    case = yaml.safe_load(content.as_py() or "")
+                    unknown = sorted(_unknown(case, wanted)) if isinstance(case, dict) else []
+                    fault = "too long" if cut else "no mapping" if not isinstance(case, dict) else f"unknown fields {unknown}" if unknown else None
+                    value = json.dumps(case, default=str) if fault is None else None
+                except yaml.YAMLError as error:
+                    fault = "no YAML: " + str(error).partition("\n")[0]
+                values.append(value), faults.append(fault)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.string()), pa.array(faults, pa.string())], names=["path", "value", "fault"])
+
+    parsed = _case_files(spark, place).mapInArrow(parse, "path string, value string, fault string")
+    strict = T.StructType([*wanted.fields, T.StructField("_odd", T.StringType())])
+    typed = parsed.select("path", "fault", F.from_json("value", strict, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"}).alias("c"))
+    held = materialised(typed.select("path", F.coalesce("fault", F.when(F.col("c._odd").isNotNull(), "a value of another type")).alias("fault"), "c"))
+    bad = held.filter("fault is not null")
+    named = bad.orderBy("path").limit(NAMED).collect()
+    if named:
+        raise ValueError(f"{bad.count()} bad cases: " + "; ".join(f"{r.path}: {r.fault}" for r in named))
+    cases = held.select(*[F.col(f"c.{f.name}").alias(f.name) for f in wanted.fields])
     if secret_free:
-        told = [r[0] for r in scan.redact(cases, secret_free).filter("masked > 0").select(cases.columns[0]).collect()]
+        secrets = scan.redact(cases, secret_free).filter("masked > 0").select(cases.columns[0])
+        told = [r[0] for r in secrets.limit(NAMED).collect()]
         if told:
-            raise ValueError(f"cases with a secret: {sorted(told)}")
+            raise ValueError(f"{secrets.count()} cases with a secret: {sorted(told)}")
     return cases
 
 
-def narration_cases(spark: SparkSession, paths: list[str]) -> DataFrame:
+def narration_cases(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return read_corpus(spark, paths, CORPORA["narration"], "review")
 
 
-def retrieval_cases(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def retrieval_cases(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(cases, documents (name, path, content)); a case that expects a document it does not carry is broken."""
     cases = read_corpus(spark, paths, CORPORA["retrieval"])
     broken = ~F.array_contains(F.map_keys("documents"), F.col("expect.path"))

@@ -128,3 +128,22 @@ def test_chunks_of_any_line_end(spark):
     assert got == {("a.py", 1, 3, ""): "import os\n\n@d", ("a.py", 3, 5, "f"): "@d\ndef f():\n    pass", ("b.txt", 1, 4, ""): "one\ntwo\nthree\nfour", ("c.py", 1, 2, ""): "X = 1\n", ("d.py", 1, 1, ""): "def ("}
     lines = spark.createDataFrame([("x", "\n".join(map(str, range(95))))], "path string, content string")
     assert [(r.start_line, r.end_line) for r in chunking.windows(lines).orderBy("start_line").collect()] == [(1, 40), (31, 70), (61, 95)]
+
+
+def test_a_corpus_names_all_bad_files(spark, tmp_path):
+    from tessera.sources import stores
+
+    good = {"a.yaml": "name: a\nfile: x.py\nexpect:\n  - {rule: R, line: 3}\n", "deep/b.yml": "name: b\nscope: ['*']\n", "note.txt": "- no case\n"}
+    bad = {"c.yaml": "- a list\n", "deep/d.yaml": "name: d\nexpect:\n  - {rule: R, odd: 1}\n", "e.yaml": "name: [\n", "f.yaml": "name: f\nline_tolerance: many\n", "g.yaml": ""}
+    for name, text in (good | bad).items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    with pytest.raises(ValueError) as told:
+        stores.read_corpus(spark, str(tmp_path), stores.CORPORA["cases"])
+    assert "5 bad cases" in str(told.value) and all(n in str(told.value) for n in bad) and "a.yaml:" not in str(told.value)
+    for name in bad:
+        (tmp_path / name).unlink()
+    cases = {r.name: r for r in stores.read_corpus(spark, str(tmp_path), stores.CORPORA["cases"]).collect()}
+    assert set(cases) == {"a", "b"} and cases["a"].expect[0].line == 3 and cases["b"].scope == ["*"] and cases["b"].expect is None
+    listed = stores.read_corpus(spark, [str(tmp_path / "a.yaml")], stores.CORPORA["cases"])
+    assert [r.name for r in listed.collect()] == ["a"] and listed.columns == list(cases["a"].asDict())
