@@ -11,8 +11,8 @@
    centre does not have are found.
 6. The members of larger buckets that are still not in one component are joined exactly, by their rarest shingles: two sets
    that are similar enough have their first common shingle, rare ones first, near the start of both. Members that have a frequent
-   shingle there, such as pages made of shared paragraphs, are compared within their buckets instead, in blocks of a fixed size:
-   sketches of SIGNS permutations tell, inside a task, which pairs can link at all. No bucket is dropped.
+   shingle there, such as pages made of shared paragraphs, are compared within their buckets instead, in blocks of a fixed size and
+   inside a task: by sketches of SIGNS permutations, then by full sets. It passes on links that connect, not pairs. No bucket is dropped.
 7. Confirmed links are joined to components by alternating rounds of the smallest label and of pointer jumping.
 """
 
@@ -38,6 +38,8 @@ HOT = 128
 #: Rows of a block of an unsettled bucket; permutations of the sketch that is compared there, a byte per bin; deviations that it may be
 #: under the similarity of a link (one link in 10^11 is further off).
 BLOCK, SIGNS, DEVIATIONS = 2048, 4, 7
+#: Hashes that are looked up at once in a task.
+AT_ONCE = 1 << 20
 #: Rows of ids that are broadcast at most, 16 to 40 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _BINS = BANDS * ROWS
@@ -205,10 +207,11 @@ def _least(n: np.ndarray) -> np.ndarray:
     return SIGNS * _BINS * (0.8 - DEVIATIONS * np.sqrt(0.16 / filled))
 
 
-def _possible(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), of different labels, of rows (bucket, id, n, label) of a bucket that can link, by their sizes and sketches.
+def _linked(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between rows (bucket, id, n, label) of a bucket, enough to connect whatever labels are linked in it.
 
-    A bucket is cut into slices of BLOCK / 2 rows; each pair of slices is a task's work, so a bucket of any size is many tasks.
+    A bucket is cut into slices of BLOCK / 2 rows; each pair of slices is compared inside a task, by sizes, then sketches, then full
+    sets. So a bucket of any size is many tasks, and a task passes on fewer links than it has rows, however many pairs are near.
     """
     sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     slices = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
@@ -220,23 +223,34 @@ def _possible(held: DataFrame, sets: DataFrame) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(m.as_py()) for m in batch.column(1)], pa.binary())], names=["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(m.as_py()) for m in batch.column(1)], pa.binary()), batch.column(1)], names=["id", "sketch", "members"])
 
     def compared(block: list[tuple]) -> pa.RecordBatch:
         sides, ids, n, label = (np.array([row[i] for row in block], dtype=np.int64) for i in range(4))
         bytes_ = np.frombuffer(b"".join(row[4] for row in block), dtype=np.uint8).reshape(len(block), -1)
         least, second = _least(n), int(np.searchsorted(sides, 2))
+        part = np.unique(label, return_inverse=True)[1]  # what is connected so far
         one, two = [], []
         for i in range(len(block)):
             start = i + 1 if sides[i] == 0 else second if sides[i] == 1 else len(block)
             m = n[start:]
-            can = np.flatnonzero((label[start:] != label[i]) & (100 * m >= 80 * n[i]) & (100 * n[i] >= 80 * m)) + start
+            can = np.flatnonzero((part[start:] != part[i]) & (100 * m >= 80 * n[i]) & (100 * n[i] >= 80 * m)) + start
             if len(can):
                 equal = (bytes_[can] == bytes_[i]).sum(axis=1)
-                near = can[equal >= np.minimum(least[can], least[i])]
-                one.append(np.full(len(near), ids[i]))
-                two.append(ids[near])
-        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (one, two))
+                can = can[equal >= np.minimum(least[can], least[i])]
+            mine = _opened(block[i][5]) if len(can) else None
+            step = max(1, AT_ONCE // int(n[i]))
+            for at in range(0, len(can), step):
+                near = can[at : at + step]
+                flat = _opened(b"".join(block[j][5] for j in near))
+                spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                common = np.add.reduceat(mine[spot] == flat, np.cumsum(n[near]) - n[near], dtype=np.int64)
+                for j in near[100 * common >= 80 * (n[i] + n[near] - common)].tolist():
+                    if part[j] != part[i]:
+                        part[part == part[j]] = part[i]
+                        one.append(ids[i])
+                        two.append(ids[j])
+        a, b = (np.array(x, dtype=np.int64) for x in (one, two))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +265,9 @@ def _possible(held: DataFrame, sets: DataFrame) -> DataFrame:
         if block:
             yield compared(block)
 
-    sketches_ = sets.select("id", "members").mapInArrow(signed, "id long, sketch binary")
-    rows = dealt.join(materialised(sketches_), "id").repartition("block").sortWithinPartitions("block", "side")
-    return rows.select("block", "side", "id", "n", "label", "sketch").mapInArrow(run, "a long, b long")
+    sketches_ = materialised(sets.select("id", "members").mapInArrow(signed, "id long, sketch binary, members binary"))
+    rows = dealt.join(sketches_, "id").repartition("block").sortWithinPartitions("block", "side")
+    return rows.select("block", "side", "id", "n", "label", "sketch", "members").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,8 +366,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     if not open_.isEmpty():
         sets = sets_of(open_)
         pairs, hot = _joined(open_, sets)
-        pairs = materialised(pairs.union(_possible(held.join(_bounded(hot), "id", "left_semi"), sets)).distinct())
-        found = materialised(few_files(_confirm(pairs, sets)))
+        found = _confirm(materialised(pairs.distinct()), sets).union(_linked(held.join(_bounded(hot), "id", "left_semi"), sets))
+        found = materialised(few_files(found))
         if not found.isEmpty():
             labels = components(links.union(found))
     named = base.select("id", "n", "digest").join(reps, "digest", "left").join(_bounded(labels.withColumnRenamed("id", "rep")), "rep", "left")

@@ -395,6 +395,7 @@ def test_pages_of_shared_paragraphs(spark, monkeypatch):
     pages |= {1000 + i: pages[i].replace("\n", " odd ", 1) for i in range(0, 400, 40)}
     confirm = neardup._confirm
     monkeypatch.setattr(neardup, "HOT", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 64)  # several slices
     monkeypatch.setattr(neardup, "_confirm", lambda pairs, sets: seen.append(pairs.count()) or confirm(pairs, sets))
     got = {r.id: r.component for r in neardup.classes(spark.createDataFrame(list(pages.items()), "doc_id long, text string"), width=4).collect()}
     assert got == brute_components(pages, 4)
