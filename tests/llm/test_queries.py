@@ -35,7 +35,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def no_rows(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
