@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: White space of any script, as Java and RE2 both read it.
 BLANK = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Anything else: a text with none of it is blank.
+INK = BLANK.replace("[", "[^", 1)
 ENDS = f"^{BLANK}+|{BLANK}+$"
 #: What ends a line, as ``str.splitlines`` reads it.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -24,6 +28,19 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(F.array(F.lower(w)), parts(w))))
 
 
+_CAPITALS, _HUMP, _SEAM = re.compile(r"([A-Z]+)([A-Z][a-z])"), re.compile(r"([a-z0-9])([A-Z])"), re.compile(r"_|[A-Z]{2}[a-z]|[a-z0-9][A-Z]")
+words = re.compile(WORD).findall
+
+
+def tokens_of(word: str) -> tuple[str, ...]:
+    """What ``tokens`` makes of one word, for tasks that count words first and need this once for each distinct one."""
+    whole = word.lower()
+    if not _SEAM.search(word):
+        return (whole,)
+    parts = _HUMP.sub(r"\1 \2", _CAPITALS.sub(r"\1 \2", word.replace("_", " "))).lower().split(" ")
+    return (whole, *(p for p in parts if p not in ("", whole)))
+
+
 def is_binary(text: Column) -> Column:
     """A NUL, or more replacement characters than one in a hundred (and than one)."""
     odd = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
