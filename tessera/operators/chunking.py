@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tessera.functions.text import stripped, text_lines
+from tessera.functions.text import INK, text_lines
 from tessera.session import materialised
 
 WINDOW, OVERLAP, SECTION_LINES, DUPLICATE_LINES = 40, 10, 80, 8
@@ -28,11 +28,12 @@ def _windows(n_lines: Column, window: int, overlap: int) -> Column:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """One chunk for each span of each row (path, lines, spans); blank ones are left out."""
-    spans = rows.select("path", "lines", F.explode("spans").alias("at")).filter("at.last >= at.first")
-    block = F.slice("lines", F.col("at.first"), F.col("at.last") - F.col("at.first") + 1)
-    out = spans.select("path", F.col("at.first").alias("start_line"), F.col("at.last").alias("end_line"), F.array_join(block, "\n").alias("text"), F.col("at.name").alias("name"))
-    return out.filter(stripped(F.col("text")) != "")
+    """One chunk for each span of each row (path, lines, spans); blank ones are left out. Chunks are cut before they become rows, so
+    a file's lines are never copied into each of them."""
+    held = F.filter("spans", lambda s: s["last"] >= s["first"])
+    block = lambda s: F.array_join(F.slice("lines", s["first"], s["last"] - s["first"] + 1), "\n")
+    cut = F.transform(held, lambda s: F.struct(s["first"].alias("start_line"), s["last"].alias("end_line"), block(s).alias("text"), s["name"].alias("name")))
+    return rows.select("path", F.inline(cut)).filter(F.col("text").rlike(INK))
 
 
 def windows(files: DataFrame, path: str = "path", text: str = "content", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
