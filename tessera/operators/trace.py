@@ -18,29 +18,31 @@ def resolved(spans: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Adds parent (null for the root) and anomaly (null, orphan, cycle, second_root).
 
     Whether a span reaches a root is found by pointer doubling: after r rounds a span points 2^r ancestors up, so depth d
-    takes log2(d) joins. Spans that still have an ancestor when no span has moved to a root are those on, or under, a cycle.
+    takes log2(d) joins. A round takes along only the spans that still have an ancestor. When no span of these has moved to a
+    root, they are those on, or under, a cycle. Spans are written once, with the parents that exist.
     """
-    own = spans.select(*KEY, F.nullif(F.col("parent_id"), F.lit("")).alias("p"))
-    exists = spans.select("trace_id", F.col("span_id").alias("p"), F.lit(True).alias("known")).distinct()
-    linked = materialised(own.join(exists, ["trace_id", "p"], "left").select(*KEY, F.when(F.col("known"), F.col("p")).alias("p"), (F.col("p").isNotNull() & F.col("known").isNull()).alias("orphan")))
-    jump = linked.select(*KEY, F.col("p").alias("up"))
-    before = None
+    exists = spans.select("trace_id", F.col("span_id").alias("__p"), F.lit(True).alias("__known")).distinct()
+    own = spans.withColumn("__p", F.nullif(F.col("parent_id"), F.lit("")))
+    linked = materialised(own.join(exists, ["trace_id", "__p"], "left").select(*spans.columns, F.when(F.col("__known"), F.col("__p")).alias("__p"), (F.col("__p").isNotNull() & F.col("__known").isNull()).alias("__orphan")))
+    jump = linked.filter("__p is not null").select(*KEY, F.col("__p").alias("up"))
+    climbing, before = jump.count(), None
     for _ in range(max_rounds):
-        climbing = jump.filter("up is not null").count()
         if climbing == 0 or climbing == before:
             break
-        before = climbing
         nxt = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"))
-        jump = materialised(jump.join(nxt, ["trace_id", "up"], "left").select(*KEY, F.col("next").alias("up")))
-    cyclic = jump.filter("up is not null").select(*KEY, F.lit(True).alias("cyclic"))
-    state = linked.join(cyclic, KEY, "left").select(*KEY, F.when(F.col("cyclic").isNull(), F.col("p")).alias("p"), "orphan", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-    rooted = spans.join(state, KEY)
-    roots = rooted.filter("p is null").withColumn("n", F.row_number().over(Window.partitionBy("trace_id").orderBy("started_ms", "span_id")))
-    chief = roots.filter("n = 1").select("trace_id", F.col("span_id").alias("root"))
-    joined = rooted.join(chief, "trace_id")
-    extra = F.col("p").isNull() & (F.col("span_id") != F.col("root"))
-    anomaly = F.when(F.col("cyclic"), "cycle").when(F.col("orphan"), "orphan").when(extra, "second_root")
-    return joined.withColumns({"parent": F.when(extra, F.col("root")).otherwise(F.col("p")), "anomaly": anomaly}).select(*spans.columns, "parent", "anomaly")
+        last, jump = jump, materialised(jump.join(nxt, ["trace_id", "up"]).select(*KEY, F.col("next").alias("up")))
+        dropped(last)
+        climbing, before = jump.count(), climbing
+    rooted = linked.withColumn("__cyclic", F.lit(False))
+    if climbing:
+        cyclic = jump.select(*KEY, F.lit(True).alias("__on"))
+        rooted = linked.join(cyclic, KEY, "left").withColumns({"__p": F.when(F.col("__on").isNull(), F.col("__p")), "__cyclic": F.col("__on").isNotNull()}).drop("__on")
+    free = rooted.filter("__p is null")
+    chief = free.groupBy("trace_id").agg(F.min(F.struct("started_ms", "span_id"))["span_id"].alias("__root"))
+    bound = rooted.filter("__p is not null").withColumn("__root", F.lit(None).cast(dict(spans.dtypes)["span_id"]))
+    extra = F.col("__p").isNull() & (F.col("span_id") != F.col("__root"))
+    anomaly = F.when(F.col("__cyclic"), "cycle").when(F.col("__orphan"), "orphan").when(extra, "second_root")
+    return free.join(chief, "trace_id").unionByName(bound).select(*spans.columns, F.when(extra, F.col("__root")).otherwise(F.col("__p")).alias("parent"), anomaly.alias("anomaly"))
 
 
 def self_time(tree: DataFrame) -> DataFrame:
@@ -56,21 +58,20 @@ def by_kind(timed: DataFrame, *by: str) -> DataFrame:
 def critical_path(tree: DataFrame) -> DataFrame:
     """(trace_id, step, span_id): from the root to a leaf by the longest child; ties by the earlier start, then the id.
 
-    Every span that is its parent's heir follows its parent, so spans form chains. Their heads and places are found by list ranking:
-    in each round a span takes over what the span it points at points at, so a path of any depth d takes log2(d) joins.
+    Every span that is its parent's heir follows its parent, so heirs form chains. Which of them begin at a root, and the places in
+    these, are found by list ranking: in each round an open heir takes over what the one it points at points at, so a path of any depth d
+    takes log2(d) joins. An heir that points at no heir and no root is on no path, and leaves.
     """
-    order = Window.partitionBy("trace_id", "parent").orderBy(F.desc(F.coalesce(duration(), F.lit(0))), "started_ms", "span_id")
-    heir = tree.filter("parent is not null").withColumn("n", F.row_number().over(order)).filter("n = 1").select(*KEY, F.col("parent").alias("up"))
-    chain = materialised(tree.select(*KEY).join(heir, KEY, "left").select(*KEY, F.coalesce("up", "span_id").alias("up"), F.col("up").isNotNull().cast("long").alias("above")))
-    while True:
-        further = chain.filter("above > 0").select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"))
-        moved = chain.join(further, ["trace_id", "up"], "left")
-        last, chain = chain, materialised(moved.select(*KEY, F.coalesce("next", "up").alias("up"), (F.col("above") + F.coalesce("more", F.lit(0))).alias("above"), F.col("next").isNotNull().alias("moved")))
+    held = materialised(tree.select(*KEY, "parent", (-F.coalesce(duration(), F.lit(0))).alias("order"), "started_ms"))
+    roots = held.filter("parent is null").select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("root"))
+    heir = held.filter("parent is not null").groupBy("trace_id", F.col("parent").alias("up")).agg(F.min(F.struct("order", "started_ms", "span_id"))["span_id"].alias("span_id"))
+    chain = materialised(heir.join(roots, ["trace_id", "up"], "left").select(*KEY, "up", F.lit(1).cast("long").alias("above"), F.col("root").isNotNull().alias("done")))
+    while not chain.filter("not done").isEmpty():
+        further = chain.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("above").alias("more"), F.col("done").alias("ends"))
+        moved = chain.filter("not done").join(further, ["trace_id", "up"]).select(*KEY, F.col("next").alias("up"), (F.col("above") + F.col("more")).alias("above"), F.col("ends").alias("done"))
+        last, chain = chain, materialised(chain.filter("done").unionByName(moved))
         dropped(last)
-        if chain.filter("moved").isEmpty():
-            break
-    roots = tree.filter("parent is null").select("trace_id", F.col("span_id").alias("up"))
-    return chain.join(roots, ["trace_id", "up"]).select("trace_id", (F.col("above") + 1).cast("int").alias("step"), "span_id")
+    return roots.select("trace_id", F.lit(1).alias("step"), F.col("up").alias("span_id")).unionByName(chain.select("trace_id", (F.col("above") + 1).cast("int").alias("step"), "span_id"))
 
 
 def bounded_tree(tree: DataFrame, max_depth: int = 4, max_nodes: int = 60) -> DataFrame:
