@@ -10,6 +10,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import materialised
+
 GENESIS = "0" * 64
 # The key of a tombstone, and the fields of a record that name a subject.
 TOMBSTONE, SUBJECT_FIELDS = "tombstone", ("project", "merge_request")
@@ -175,8 +177,10 @@ def rewrite(entries: DataFrame, chain: str, position: str, change: Callable[[Dat
     """(entries, outcome): a store whose records ``change`` has altered, each chain sealed again from its beginning.
 
     outcome (chain, kept, changed, refused): a chain that does not verify, or is signed and could not be signed again, is left
-    as it is and named with the reason; so is one in which nothing changed, without a reason.
+    as it is and named with the reason; so is one in which nothing changed, without a reason. The store is written once before, as
+    it is read several times: entries that are still to be sealed would be sealed anew for each.
     """
+    entries = materialised(entries)
     state = verify(entries, chain, position, None, algorithm, keys)
     refused = (
         F.when(F.col("status") == "tampered", F.concat(F.lit("record "), F.col("broken_at").cast("string"), F.lit(": "), "reason"))
@@ -186,7 +190,7 @@ def rewrite(entries: DataFrame, chain: str, position: str, change: Callable[[Dat
     altered = change(entries).select(chain, position, F.col("payload").alias("__new"))
     both = entries.join(altered, [chain, position])
     counts = both.groupBy(chain).agg(F.count("*").alias("kept"), F.count_if(~F.col("payload").eqNullSafe(F.col("__new"))).alias("changed"))
-    outcome = state.join(counts, chain).select(chain, "kept", F.when(refused.isNull(), F.col("changed")).otherwise(0).alias("changed"), refused.alias("refused"))
+    outcome = materialised(state.join(counts, chain).select(chain, "kept", F.when(refused.isNull(), F.col("changed")).otherwise(0).alias("changed"), refused.alias("refused")))
     rewritten = both.join(outcome.filter("refused is null and changed > 0").select(chain), chain, "left_semi").select(chain, position, F.col("__new").alias("payload"))
     fresh = seal(rewritten, chain, position, "payload", algorithm, signer)
     left = entries.join(outcome.filter("refused is not null or changed = 0").select(chain), chain, "left_semi")

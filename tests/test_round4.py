@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens, tokens_of, words
-from tessera.operators import chunking, retrieval, scan
+from tessera.operators import chain, chunking, retrieval, scan, trace
 
 PROSE = ["the getHTTPResponse of a_b and __x 42 XMLHttp", "", None, "SSauheit a1B2 camelCase camelCase the", "é the 7up _ ABC Abc"]
 
@@ -63,3 +63,27 @@ def test_plain_texts_meet_no_pattern(spark):
     found = scan.scan_lines(spark.createDataFrame(lines, "line int, body string"), F.lit("python"))
     assert "CONTAINS" in _plan(found).upper()
     assert sorted(r["line"] for r in found.collect()) == [1, 2, 3, 4, 7]
+
+
+def test_rounds_take_along_open_spans_only(spark, monkeypatch):
+    rows = [("t", str(i), str(i - 1) if i else "", "k", i, i + 1000 - i) for i in range(64)]
+    rows += [(f"u{i}", "a", "", "k", 0, 1) for i in range(200)]
+    spans, written = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, kind string, started_ms long, ended_ms long"), []
+    real = trace.materialised
+    monkeypatch.setattr(trace, "materialised", lambda df: (written.append(made := real(df)), made)[1])
+    monkeypatch.setattr(trace, "dropped", lambda *tables: None)
+    path = trace.critical_path(trace.resolved(spans)).collect()
+    assert {(r["trace_id"], r["step"], r["span_id"]) for r in path} == {("t", i + 1, str(i)) for i in range(64)} | {(f"u{i}", 1, "a") for i in range(200)}
+    sizes = [t.count() for t in written]
+    assert sum(n > 64 for n in sizes) == 2  # the spans, and what the path needs of them; each round has fewer
+
+
+def test_a_store_is_sealed_once_before_it_is_rewritten(spark):
+    e = spark.createDataFrame([(c, i, f'{{"n": {i}}}') for c in range(3) for i in range(4)], "c long, o long, payload string")
+    calls = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda p: (calls.add(1), p)[1], "string").asNondeterministic()
+    sealed = chain.seal(e.withColumn("payload", counted("payload")), "c", "o", "payload")
+    fresh, outcome = chain.rewrite(sealed, "c", "o", lambda d: chain.erase(d, F.col("sequence") == 2, "p", "t"))
+    assert {(r["c"], r["kept"], r["changed"], r["refused"]) for r in outcome.collect()} == {(c, 4, 1, None) for c in range(3)}
+    assert {r["status"] for r in chain.verify(fresh, "c", "o").collect()} == {"intact"} and fresh.count() == 12
+    assert calls.value == 12
